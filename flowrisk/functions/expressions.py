@@ -24,7 +24,8 @@ def epoch_seconds(ts: Column) -> Column:
 
 def floor_window(ts: Column, minutes: int) -> Column:
     """Start of the fixed-length window that holds ``ts``."""
-    return F.window(ts, f"{minutes} minutes").getField("start")
+    seconds = F.unix_seconds(ts)
+    return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(minutes * 60)))
 
 
 def time_slice(ts: Column, seconds: int) -> Column:

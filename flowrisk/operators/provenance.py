@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowrisk import config as C
 from flowrisk.functions import expressions as X
 from flowrisk.operators.world import WINDOW_KEY
+from flowrisk.session import broadcast_if_small
 
 JOB_PATH = r"^projects/[^/]+/locations/[^/]+/jobs/[^/]+$"
 CHUNK = 4096
@@ -115,8 +116,7 @@ def zone_match(sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) ->
               .groupBy(*WINDOW_KEY, "_chunk")
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target_zone"))),
                                lambda r: r["target_zone"]).alias("_zones")))
-    # Patterns are a hand-kept registry; they ride along as one broadcast row each.
-    tables = (chunks.join(F.broadcast(zoned), F.lit(True))
+    tables = (chunks.join(broadcast_if_small(zoned), F.lit(True))
               .withColumn("_table", X.lcs_segments(F.col("_zones"), F.col("expected_zones"))))
     whole = (tables.groupBy(*WINDOW_KEY, "pattern_id", "expected_zones")
              .agg(F.sum(F.size("_zones")).alias("_n"),
@@ -136,7 +136,7 @@ def pattern_match(windows: DataFrame, sequences: DataFrame, patterns: DataFrame)
     """
     active = active_patterns(patterns)
     zones = zone_match(sequences, active)
-    pairs = windows.select(*WINDOW_KEY, "event_count").join(F.broadcast(active), F.lit(True))
+    pairs = windows.select(*WINDOW_KEY, "event_count").join(broadcast_if_small(active), F.lit(True))
     w = C.PATTERN_WEIGHTS
     scored = (pairs.join(zones, [*WINDOW_KEY, "pattern_id"], "left")
               .withColumn("_score",

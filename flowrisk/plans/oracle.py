@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from flowrisk.config import LEAK_VOCABULARY, METHOD_ACTIONS, VALUE_PATTERNS
+from flowrisk.functions.expressions import hmac_pads, seed_salt
+
 # Canonical events. Every query below starts from this chain of subqueries.
 EV = """
 src AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events),
@@ -288,3 +291,367 @@ ORACLE |= {
         WHEN 'ALERT_MED' THEN 'REQUEST_REVIEW' ELSE 'INCREASE_MONITORING' END AS suggested_action FROM lev WHERE level <> 'NORMAL'"""),
     "tier_counts": sql(*RISK, select="SELECT tier, count(*) AS n FROM risk GROUP BY tier"),
 }
+
+
+# --- ingestion ---------------------------------------------------------------------
+
+_METHODS = ", ".join(f"({i}, '{s}', '{m}', '{a}', '{z}')" for i, (s, m, a, z) in enumerate(METHOD_ACTIONS))
+RAW = f"""
+src AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events),
+raw AS (SELECT *, epoch_us(ts) AS us, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '123Z' AS stamp, 'i' || event_id AS insert_id,
+  'p' || (user_id % 2) AS project_id,
+  CASE WHEN event_type = 'error' AND k IN (5, 6) THEN 'malformed' WHEN event_type = 'signup' THEN 'scheduler'
+    WHEN event_type = 'click' THEN 'request' WHEN event_type = 'error' AND k < 5 THEN 'unknown' ELSE 'audit' END AS log_format FROM src),
+meth(i, svc, m, action, zone) AS (VALUES {_METHODS}),
+aud0 AS (SELECT raw.*, 'v1.' || coalesce(m, 'Foo') AS method, coalesce(action, 'OTHER') AS action_type, coalesce(zone, 'DATA') AS zone,
+  (user_id + k) % 9 AS ri,
+  CASE (user_id + k) % 9 WHEN 0 THEN 'projects/p/serviceAccounts/a' WHEN 1 THEN 'projects/p/serviceAccounts/a/keys/'
+    WHEN 2 THEN 'projects/p/secrets/s' WHEN 3 THEN 'projects/p/cryptoKeys/c' WHEN 4 THEN 'projects/_/buckets/external-b/objects/o'
+    WHEN 5 THEN 'projects/_/buckets/inner/objects/o' WHEN 6 THEN 'bigquery.googleapis.com/projects/public-x/d'
+    WHEN 7 THEN 'zones/z/instances/i' END || (k % 5) AS res,
+  CASE WHEN user_id % 5 = 0 THEN 'unknown' WHEN user_id % 5 = 1 THEN 'svc' || user_id || '@gcp-sa-logging.iam.gserviceaccount.com'
+    WHEN user_id % 5 = 2 THEN 'w' || user_id || '@p.iam.gserviceaccount.com' ELSE 'h' || user_id || '@example.com' END AS actor
+  FROM raw LEFT JOIN meth ON meth.i = (user_id * 7 + k) % 26 WHERE log_format = 'audit'),
+aud AS (SELECT *, coalesce(res, 'unknown') AS target_id,
+  substr(sha256(stamp || '|' || actor || '|' || method || '|' || coalesce(res, 'unknown') || '|' || insert_id), 1, 32) AS eid,
+  zone = 'DATA' AND action_type IN ('GCS_READ','GCS_WRITE','GCS_LIST','BQ_JOB_SUBMIT') AND ri IN (4, 6) AS leaves FROM aud0)"""
+
+ORACLE |= {
+    "scan_raw_logs": sql(RAW, select="""SELECT CASE WHEN event_type = 'click' THEN 'run.googleapis.com'
+        ELSE 'cloudaudit.googleapis.com/activity' END AS source, CASE WHEN log_format <> 'malformed' THEN insert_id END AS insert_id,
+        CAST(sum(CASE WHEN k % 5 IN (2, 3) THEN 2 ELSE 1 END) AS BIGINT) AS n FROM raw GROUP BY ALL"""),
+    "incremental_files": sql("""f AS (SELECT DISTINCT event_type AS source, event_type || '/' || strftime(ts, '%Y/%m/%d/%H') || '.jsonl' AS path FROM events)""",
+        select="""SELECT source, count(*) AS n_new, min(path) AS first_new, max(path) AS last_path FROM f
+        WHERE source = 'view' OR path > source || '/2024/01/15/12.jsonl' GROUP BY source"""),
+    "route_formats": sql(RAW, select="SELECT event_id, log_format FROM raw"),
+    "ingest_stats": sql(RAW, select="""SELECT log_format, CASE log_format WHEN 'malformed' THEN 'error' WHEN 'unknown' THEN 'skipped'
+        ELSE 'parsed' END AS status, count(*) AS n FROM raw GROUP BY ALL"""),
+    "quarantined_entries": sql(RAW, select="SELECT event_id, log_format FROM raw WHERE log_format = 'malformed'"),
+    "canonicalize_audit": sql(RAW, select="""SELECT eid AS event_id, us AS ts,
+        strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, actor AS actor_id, method AS action_subtype,
+        target_id, CASE WHEN k % 7 = 0 THEN 'FAIL' ELSE 'SUCCESS' END AS result, project_id,
+        CASE WHEN user_id % 3 = 0 THEN 'projects/p/locations/l/jobs/' || (user_id % 7) END AS trigger_ref,
+        CASE WHEN user_id % 3 = 0 THEN 'WEAK' ELSE 'NONE' END AS provenance_level, CASE WHEN user_id % 4 = 0 THEN 'd1' ELSE '' END AS delegation_chain,
+        'projects/p/logs/cloudaudit.googleapis.com%2Factivity:' || insert_id AS raw_ref, 'sandbox' AS env, false AS is_deploy FROM aud"""),
+    "event_content_id": sql(RAW, select="SELECT insert_id, eid AS event_id FROM aud"),
+    "map_actions": sql(RAW, select="""SELECT eid AS event_id, action_type, CASE WHEN leaves THEN 'EXFIL_RISK_DEST' ELSE
+        CASE ri WHEN 0 THEN 'SERVICE_ACCOUNT' WHEN 1 THEN 'SERVICE_ACCOUNT' WHEN 2 THEN 'SECRET' WHEN 3 THEN 'KMS_KEY' WHEN 4 THEN 'GCS_BUCKET'
+        WHEN 5 THEN 'GCS_BUCKET' WHEN 6 THEN 'BIGQUERY' WHEN 7 THEN 'COMPUTE' ELSE 'OTHER' END END AS target_type,
+        CASE WHEN leaves THEN 'EXFIL_RISK' ELSE zone END AS target_zone FROM aud"""),
+    "exfil_reclass": sql(RAW, select="SELECT action_type, target_id, count(*) AS n FROM aud WHERE leaves GROUP BY ALL"),
+    "actor_class": sql(RAW, select="""SELECT DISTINCT actor AS actor_id, CASE WHEN user_id % 5 = 0 THEN 'UNKNOWN' WHEN user_id % 5 < 3
+        THEN 'SERVICE_ACCOUNT' ELSE 'HUMAN' END AS actor_type, user_id % 5 = 1 AS is_infrastructure FROM aud"""),
+    "parse_ts": """SELECT event_id, form, CASE form WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts) // 1000 * 1000
+        WHEN 2 THEN epoch_us(ts) // 1000000 * 1000000 END AS parsed FROM events, (SELECT unnest([0, 1, 2, 3]) AS form)""",
+    "floor_window": """SELECT event_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS w15,
+        strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS w5 FROM events""",
+    "canonicalize_scheduler": sql(RAW, select="""SELECT insert_id, 'j' || (user_id % 7) AS job_id, 'https://s' || (user_id % 3) || '/' AS target_url,
+        CASE WHEN k < 80 THEN 'AttemptStarted' ELSE 'AttemptFinished' END AS attempt_type, us AS at, CASE WHEN k < 80 THEN us END AS scheduled,
+        CASE WHEN k >= 80 THEN 500 END AS http_status, project_id FROM raw WHERE log_format = 'scheduler'"""),
+    "canonicalize_requests": sql(RAW, select="""SELECT insert_id, 's' || (user_id % 3) AS service_name, 'https://s' || (user_id % 3) AS request_url,
+        200 AS status_code, us AS at, round(k / 1000.0, 6) AS latency_seconds, k < 80 AS is_scheduler_invoked, project_id
+        FROM raw WHERE log_format = 'request'"""),
+    "dedup_events": sql(RAW, select="""SELECT DISTINCT eid AS event_id, 1 AS arrival, actor AS actor_id FROM aud
+        WHERE substr(eid, 32, 1) NOT IN ('0', '2', '4', '6')"""),
+}
+
+CORR = """
+src AS (SELECT *, epoch_us(ts) AS us, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
+  lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, 'p' || (user_id % 2) AS project_id FROM events),
+runs AS (SELECT project_id, id, us, 'https://s' || (user_id % 3) AS url FROM src WHERE event_type = 'signup'),
+calls AS (SELECT project_id, id, us, k, 's' || (user_id % 3) AS svc, 'https://s' || (user_id % 3) AS url FROM src
+  WHERE event_type = 'click' AND k < 80),
+aud AS (SELECT id, us, 'w' || (user_id % 4) AS actor_id, CASE WHEN user_id % 4 < 3 THEN 's' || (user_id % 4) END AS svc
+  FROM src WHERE event_type = 'purchase'),
+g0 AS (SELECT project_id, (us - lag(us) OVER (PARTITION BY project_id ORDER BY us, id)) / 1e6 AS gap FROM runs),
+cad AS (SELECT project_id, list_sort(list(gap))[count(*) // 2 + 1] AS cadence FROM g0 WHERE gap > 0 GROUP BY project_id),
+links AS (SELECT project_id, 'r' || id AS sid, id AS rid, k % 2 = 0 AS url_match, 'j' || (k % 7) AS job, us - k::BIGINT * 60000000 AS sched, svc, us AS req FROM calls),
+cnt AS (SELECT l.sid, count(c.id) AS n FROM links l LEFT JOIN calls c ON c.svc = l.svc AND c.us >= l.sched AND c.us <= l.sched + 3600000000 GROUP BY l.sid),
+best AS (SELECT a.id, a.us, l.*, row_number() OVER (PARTITION BY a.id ORDER BY l.req DESC, l.sched, l.sid) AS rn FROM aud a
+  JOIN links l ON l.svc = a.svc AND a.us >= l.req AND a.us - l.req < 7200000000),
+cor AS (SELECT a.id, a.actor_id, b.* EXCLUDE (id), n, cadence FROM aud a LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON b.id = a.id
+  LEFT JOIN cnt ON cnt.sid = b.sid LEFT JOIN cad ON cad.project_id = b.project_id),
+obsv AS (SELECT l.svc, a.actor_id, count(*) AS n FROM links l JOIN aud a ON a.us >= l.req AND a.us <= l.req + 7200000000 GROUP BY ALL),
+top AS (SELECT DISTINCT ON (svc) svc, actor_id, n FROM obsv ORDER BY svc, n DESC, actor_id),
+cfg(svc, w) AS (VALUES ('s0', 'w0'), ('s1', 'w1'), ('s2', 'w2'), ('s9', 'w9')),
+val AS (SELECT coalesce(top.svc, cfg.svc) AS service_name, w AS configured_worker, actor_id AS observed_worker, coalesce(n, 0) AS n_events,
+  CASE WHEN actor_id IS NULL THEN 'unobserved' WHEN w IS NULL THEN 'discovered' WHEN w = actor_id THEN 'confirmed' ELSE 'mismatched' END AS status
+  FROM top FULL JOIN cfg ON top.svc = cfg.svc)"""
+
+# One pass in time order per project, carrying the used requests along.
+GREEDY = """
+ordered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY us, id) AS i FROM runs),
+walk AS (SELECT DISTINCT project_id, 0::BIGINT AS i, []::VARCHAR[] AS used, ''::VARCHAR AS sid, NULL::VARCHAR AS rid, false AS url_match FROM runs
+  UNION ALL
+  SELECT w.project_id, o.i, CASE WHEN p.c IS NULL THEN w.used ELSE list_append(w.used, p.c.id) END, o.id, p.c.id, coalesce(p.c.hit, false)
+  FROM walk w JOIN ordered o ON o.project_id = w.project_id AND o.i = w.i + 1
+  LEFT JOIN LATERAL (SELECT arg_min({'id': c.id, 'hit': c.url = o.url}, (c.url <> o.url, c.us, c.id)) AS c FROM calls c
+    WHERE c.project_id = o.project_id AND c.us >= o.us AND c.us < o.us + 3600000000 AND NOT list_contains(w.used, c.id)) p ON true)"""
+
+ORACLE |= {
+    "link_sched_requests": sql(CORR, GREEDY, select="""SELECT walk.project_id, sid AS scheduler_id, rid AS request_id, url_match, svc AS service_name
+        FROM walk JOIN calls ON calls.id = rid""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "sched_cadence": sql(CORR, select=f"SELECT project_id, {r6('cadence')} AS cadence_seconds FROM cad"),
+    "link_candidates": sql(CORR, select="SELECT sid AS scheduler_id, n AS candidate_count FROM cnt"),
+    "correlate_audit": sql(CORR, select="""SELECT id AS event_id, actor_id, CASE WHEN sid IS NOT NULL THEN 'sched:' || job || ':' || (sched // 1000000) END AS trigger_ref,
+        sid AS scheduler_id, rid AS request_id FROM cor"""),
+    "correlation_confidence": sql(CORR, select="""SELECT id AS event_id, CASE WHEN sid IS NULL THEN 0.0 ELSE round_even(least(1.0e0,
+        0.4e0 + 0.3e0 * CASE WHEN url_match THEN 1 ELSE 0 END + 0.2e0 / greatest(n, 1) + 0.1e0 * greatest(0.0e0, 1.0e0 - (us - req) / 1e6 / cadence)), 4) END
+        AS correlation_confidence FROM cor"""),
+    "validate_service_map": sql(CORR, select="SELECT * FROM val"),
+    "hydration_summary": sql(CORR, select="""SELECT count(configured_worker) AS configured, count(*) FILTER (status = 'confirmed') AS confirmed,
+        count(*) FILTER (status = 'mismatched') AS mismatched, min(n_events) AS min_observations,
+        count(configured_worker) = count(*) FILTER (status = 'confirmed') AND count(*) FILTER (status = 'mismatched') = 0 AND min(n_events) > 0 AS hydration_complete FROM val"""),
+}
+
+
+# --- ablation and detection ------------------------------------------------------------
+
+def _named(cte: str, source: str) -> str:
+    """Rows with role and scenario derived from the user number."""
+    return f"""{cte} AS (SELECT *, CAST(regexp_extract(actor_id, '^u([0-9]+)', 1) AS BIGINT) AS u,
+  ['worker','attacker','reader','other'][CAST(CAST(regexp_extract(actor_id, '^u([0-9]+)', 1) AS BIGINT) % 4 + 1 AS INTEGER)] AS role,
+  's' || (CAST(regexp_extract(actor_id, '^u([0-9]+)', 1) AS BIGINT) % 5) AS scenario FROM {source})"""
+
+
+ABL = """
+ab AS (SELECT *, a0 - fusion AS delta, CASE WHEN fusion >= .8 THEN 'HIGH' WHEN fusion >= .5 THEN 'MEDIUM' WHEN fusion >= .005 THEN 'WATCH' ELSE 'NORMAL' END AS old_tier,
+  CASE WHEN a0 >= .8 THEN 'HIGH' WHEN a0 >= .5 THEN 'MEDIUM' WHEN a0 >= .005 THEN 'WATCH' ELSE 'NORMAL' END AS new_tier
+  FROM (SELECT *, (.17 * s1 + .13 * s2 + .30 * s3 + .04 * s4 + .13 * s5 + .08 * s6) / .85 AS a0 FROM fu))"""
+ROLES = _named("nr", "ab")
+RISKN = _named("rn", "risk")
+ABLATED, SCENES = (*FUSED, ABL), (*RISK, RISKN)
+_SIG = {"inv_score": "inv_score", "novelty_score": "novelty", "sigma_coarse": "sigma", "bridge_new": "bridges", "delta_f": "d",
+        "closure_gap": "1 - ratio", "orphaned_priv": "orphaned"}
+_NR = lambda p: f"list_sort(list(residual))[CAST(round_even((count(*) - 1) * {p}, 0) AS BIGINT) + 1]"
+_SETS = """
+sets AS (SELECT 'overall' AS axis, 'all' AS level, * FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, * FROM orders
+  UNION ALL SELECT 'o_orderpriority', o_orderpriority, * FROM orders)"""
+RECAL = f"""
+att AS (SELECT {_NR(0.75)} AS p75, {_NR(0.90)} AS p90, {_NR(0.95)} AS p95 FROM rn WHERE u % 10 = 0),
+ben AS (SELECT {_NR(0.95)} AS b95 FROM rn WHERE u % 10 <> 0),
+lim AS (SELECT greatest(p75, b95) AS watch, p90 AS medium, p95 AS high, b95 AS benign_p95 FROM att, ben)"""
+
+ORACLE |= {
+    "ablation": sql(*ABLATED, select=f"""SELECT {WS}, actor_id, {r6('fusion')} AS fusion_raw, {r6('a0')} AS ablated, {r6('delta')} AS delta,
+        old_tier, new_tier FROM ab"""),
+    "tier_migration": sql(*ABLATED, select="SELECT old_tier, new_tier, count(*) AS n FROM ab GROUP BY ALL"),
+    "ablation_stats": sql(*ABLATED, select=f"""SELECT {r6('avg(abs(delta))')} AS mean, {r6('median(abs(delta))')} AS median,
+        {r6('stddev_samp(abs(delta))')} AS stdev, {r6('max(abs(delta))')} AS max FROM ab"""),
+    "ablation_top": sql(*ABLATED, select=f"""SELECT {WS}, actor_id, {r6('delta')} AS delta, (SELECT string_agg(s, ',' ORDER BY v DESC, i) FROM (
+        SELECT * FROM (VALUES (.17 * s1, 0, 'inv_score'), (.13 * s2, 1, 'inv_count'), (.30 * s3, 2, 'novelty_score'), (.04 * s4, 3, 'sigma_coarse'),
+        (.13 * s5, 4, 'bridge_new'), (.08 * s6, 5, 'delta_f'), (.10 * s7, 6, 'closure_gap'), (.05 * s8, 7, 'orphaned_priv')) t(v, i, s)
+        ORDER BY v DESC, i LIMIT 3)) AS dominant_signals FROM (SELECT * FROM ab ORDER BY abs(delta) DESC, ws, actor_id LIMIT 10)"""),
+    "role_stats": sql(*ABLATED, ROLES, select=f"""SELECT role, count(*) AS count, {r6('avg(fusion)')} AS baseline_mean, {r6('stddev_samp(fusion)')} AS baseline_stdev,
+        {r6('avg(a0)')} AS zero_mean, {r6('stddev_samp(a0)')} AS zero_stdev, {r6('avg(a0)')} AS redist_mean, {r6('stddev_samp(a0)')} AS redist_stdev,
+        {r6('avg(CASE WHEN 1 - ratio > 0.001 THEN 100.0 ELSE 0 END)')} AS closure_gap_active_pct,
+        {r6('avg(CASE WHEN orphaned > 0.001 THEN 100.0 ELSE 0 END)')} AS orphaned_priv_active_pct,
+        count(*) FILTER (old_tier <> new_tier) AS tier_changes_zero, count(*) FILTER (old_tier <> new_tier) AS tier_changes_redist,
+        {r6("avg(fusion) / (SELECT avg(fusion) FROM nr WHERE role = 'worker')")} AS gap_baseline,
+        {r6("avg(a0) / (SELECT avg(a0) FROM nr WHERE role = 'worker')")} AS gap_zero,
+        {r6("avg(a0) / (SELECT avg(a0) FROM nr WHERE role = 'worker')")} AS gap_redist FROM nr GROUP BY role"""),
+    "role_extract": """SELECT CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE lower(c_mktsegment) END AS role, count(*) AS n FROM customer GROUP BY ALL""",
+    "scenario_summary": sql(*SCENES, select=f"""SELECT scenario, {r6('max(residual)')} AS max_residual, {r6('avg(residual)')} AS mean_residual,
+        arg_max(tier, CASE tier WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'WATCH' THEN 1 ELSE 0 END) AS max_tier,
+        (SELECT string_agg(DISTINCT f, ',' ORDER BY f) FROM (SELECT scenario AS sc, unnest(string_split(fired, ',')) AS f FROM rn JOIN inv USING (ws, actor_id))
+         WHERE sc = rn.scenario AND f <> '') AS fired_invariants, count(*) AS n_pairs FROM rn GROUP BY scenario"""),
+    "role_gap": sql(*SCENES, "pa AS (SELECT scenario, role, actor_id, avg(residual) AS m, count(*) AS n, count(*) FILTER (tier IN ('HIGH','MEDIUM')) AS h "
+        "FROM rn GROUP BY ALL), rg AS (SELECT scenario, coalesce(avg(m) FILTER (role = 'attacker'), 0) AS am, coalesce(avg(m) FILTER (role = 'worker'), 0) AS wm, "
+        "coalesce(sum(h) FILTER (role = 'worker') / sum(n) FILTER (role = 'worker'), 0) AS fp, "
+        "coalesce(sum(n - h) FILTER (role = 'attacker') / sum(n) FILTER (role = 'attacker'), 0) AS fn FROM pa GROUP BY scenario)",
+        select=f"""SELECT scenario, {r6('am')} AS attacker_mean, {r6('wm')} AS worker_mean, {r6('fp')} AS fp_rate, {r6('fn')} AS fn_rate,
+        {r6('CASE WHEN wm > 0 THEN (am - wm) / wm * 100 WHEN am > 0 THEN 100.0 ELSE 0.0 END')} AS gap_pct FROM rg"""),
+    "signal_activation": sql(*SCENES, select="SELECT scenario, " + ", ".join(
+        f"round(avg(CASE WHEN {e} THEN 1.0 ELSE 0 END), 6) AS {n}" for n, e in (("inv_score", "inv_score > 0"), ("novelty_score", "novelty > 0"),
+        ("bridge_new", "bridges > 0"), ("closure_gap", "ratio < 1"), ("orphaned_priv", "orphaned > 0"), ("trigger_resolved", "resolved"))) +
+        " FROM rn GROUP BY scenario"),
+    "signal_max": sql(*SCENES, select="SELECT actor_id, round(max(residual), 6) AS residual_risk_max, " + ", ".join(
+        f"{r6(f'CAST(max({e}) AS DOUBLE)')} AS {s}_max, max({e}) > 0 AS {s}_fired" for s, e in _SIG.items()) + " FROM rn GROUP BY actor_id"),
+    "prediction_divergence": sql(*SCENES, "pd AS (SELECT u, s, f, CASE WHEN u % 2 = 0 THEN s IN ('inv_score', 'delta_f') ELSE s = 'closure_gap' END AS ex FROM (" +
+        " UNION ALL ".join(f"SELECT u, '{s}' AS s, max({e}) > 0 AS f FROM rn GROUP BY u" for s, e in _SIG.items()) + "))",
+        select="""SELECT s AS signal, count(*) FILTER (ex AND f) AS expected_fired, count(*) FILTER (ex AND NOT f) AS expected_silent,
+        count(*) FILTER (NOT ex AND f) AS unexpected_fired, count(*) FILTER (NOT ex AND NOT f) AS unexpected_silent FROM pd GROUP BY s"""),
+    "sweep_report": sql(_SETS, select="""SELECT axis, level, count(*) AS runs, round(avg(o_totalprice), 3) AS mean, round(stddev_samp(o_totalprice), 3) AS std,
+        round(min(o_totalprice), 3) AS min, round(max(o_totalprice), 3) AS max, round(median(o_totalprice), 3) AS median FROM sets GROUP BY ALL"""),
+    "detection_by_axis": sql(_SETS, "rt AS (SELECT axis, level, count(*) AS n, avg(CASE WHEN o_totalprice > 200000 THEN 1.0 ELSE 0 END) AS rate FROM sets GROUP BY ALL)",
+        select=f"""SELECT axis, level, n, {r6('rate')} AS rate, CASE WHEN o >= .8 AND z > 0 THEN 'PASS' WHEN o >= .8 THEN 'CLASS-WIPE' WHEN o >= .6 THEN 'BORDERLINE'
+        ELSE 'FAIL' END AS verdict FROM rt, (SELECT max(rate) FILTER (axis = 'overall') AS o, min(rate) AS z FROM rt)"""),
+    "blind_spots": """SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice FROM orders WHERE NOT o_totalprice > 200000
+        ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 30""",
+    "residual_percentiles": sql(*SCENES, select="SELECT scenario, count(*) AS n, " + ", ".join(
+        f"{r6(_NR(p))} AS p{int(p * 100)}" for p in (0.50, 0.75, 0.90, 0.95, 0.99)) + " FROM rn GROUP BY scenario"),
+    "recalibrate": sql(*SCENES, RECAL, select=f"SELECT {r6('watch')} AS watch, {r6('medium')} AS medium, {r6('high')} AS high, {r6('benign_p95')} AS benign_p95 FROM lim"),
+    "recalibrated_tiers": sql(*SCENES, RECAL, select="""SELECT CASE WHEN residual >= high THEN 'HIGH' WHEN residual >= medium THEN 'MEDIUM' WHEN residual >= watch THEN 'WATCH'
+        ELSE 'NORMAL' END AS recal_tier, residual >= watch AS recal_detected, count(*) AS n FROM rn, lim WHERE u % 10 = 0 GROUP BY ALL"""),
+    "embed_in_baseline": sql(EV, select=f"""SELECT {WS}, 'attack-' || actor_id AS actor_id, count(*) AS event_count, count(DISTINCT target_id) AS n_targets
+        FROM ev WHERE user_id % 10 = 0 GROUP BY ws, actor_id"""),
+    "separation_stats": """SELECT l_returnflag, count(*) AS count, round(avg(l_extendedprice), 3) AS mean, round(stddev_pop(l_extendedprice), 3) AS std,
+        round(min(l_extendedprice), 3) AS min, round(quantile_cont(l_extendedprice, 0.25), 3) AS p25, round(quantile_cont(l_extendedprice, 0.5), 3) AS p50,
+        round(quantile_cont(l_extendedprice, 0.75), 3) AS p75, round(quantile_cont(l_extendedprice, 0.9), 3) AS p90, round(max(l_extendedprice), 3) AS max
+        FROM lineitem GROUP BY l_returnflag""",
+    "effect_size": """SELECT round(am, 3) AS attack_mean, round(bm, 3) AS benign_mean, round((am - bm) / sqrt((sa * sa + sb * sb) / 2), 6) AS cohens_d,
+        round(am / bm, 6) AS separation_ratio FROM (SELECT avg(l_extendedprice) FILTER (l_returnflag = 'R') AS am, avg(l_extendedprice) FILTER (l_returnflag <> 'R') AS bm,
+        stddev_pop(l_extendedprice) FILTER (l_returnflag = 'R') AS sa, stddev_pop(l_extendedprice) FILTER (l_returnflag <> 'R') AS sb FROM lineitem)""",
+}
+
+# --- trajectories ------------------------------------------------------------------------
+
+TR = """
+tr0 AS (SELECT 'u' || user_id AS actor, user_id, us / 1e6 AS t, event_id AS seq, lag(target_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src,
+  target_id AS dst, event_type AS action FROM ev),
+tr AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY t, seq) AS p, count(*) OVER (PARTITION BY actor) AS n FROM tr0 WHERE src IS NOT NULL)"""
+BAL = """
+bal AS (SELECT actor, src, dst, action, sum(f) AS f, sum(b) AS b FROM (SELECT actor, src, dst, action, 1 AS f, 0 AS b FROM tr
+  UNION ALL SELECT actor, dst, src, action, 0, 1 FROM tr) GROUP BY ALL)"""
+
+
+def _excess(window_rows: str, base_rows: str, key: str) -> str:
+    """Smoothed divergence of window rows from baseline rows, straight from its definition."""
+    return f"""
+wc AS (SELECT {key}, src, dst, action, count(*) AS w FROM ({window_rows}) GROUP BY ALL),
+bc AS (SELECT {key}, src, dst, action, count(*) AS b FROM ({base_rows}) GROUP BY ALL),
+un AS (SELECT {key}, src, dst, action, coalesce(w, 0) AS w, coalesce(b, 0) AS b FROM wc FULL JOIN bc USING ({key}, src, dst, action)),
+tot AS (SELECT {key}, sum(w) AS tw, sum(b) AS tb, count(*) AS e FROM un GROUP BY {key}),
+exs AS (SELECT {key}, any_value(tw) AS tw, any_value(tb) AS tb, CASE WHEN any_value(tb) = 0 THEN 0.0 ELSE greatest(0.0, sum((w + 1) / (tw + e) *
+  ln(((w + 1) / (tw + e)) / ((b + 1) / (tb + e))))) END AS score FROM un JOIN tot USING ({key}) WHERE tw > 0 GROUP BY {key})"""
+
+
+def _roll(stride: int) -> str:
+    ends = f"SELECT actor AS ea, p AS pe FROM tr WHERE p >= 20 AND (p - 20) % {stride} = 0"
+    return _excess(f"SELECT tr.*, pe FROM tr JOIN ({ends}) ON ea = actor AND p > pe - 20 AND p <= pe",
+                   f"SELECT tr.*, pe FROM tr JOIN ({ends}) ON ea = actor AND p <= pe - 20", "actor, pe")
+
+
+BUDGET = """
+al AS (SELECT actor, t AS wt, max(round(score, 9)) AS score FROM exs JOIN tr USING (actor) WHERE p = pe GROUP BY ALL),
+bu AS (SELECT *, CAST(floor(wt / 86400) AS BIGINT) AS day, row_number() OVER (PARTITION BY floor(wt / 86400) ORDER BY score DESC, actor, wt) AS rk FROM al QUALIFY rk <= 3),
+camp AS (SELECT 'u' || user_id AS actor, min(us) / 1e6 AS ts0, min(us) / 1e6 + 3 * 86400 AS te, 'f' || ((user_id // 10) % 5) AS flavor FROM ev WHERE user_id % 10 = 0 GROUP BY user_id),
+det AS (SELECT c.*, (SELECT arg_min({'t': wt, 's': score, 'd': day}, (-score, wt)) FROM bu WHERE bu.actor = c.actor AND wt BETWEEN ts0 AND te) AS a FROM camp c)"""
+CAMP = """
+camp AS (SELECT 'u' || user_id AS actor, min(us) / 1e6 AS ts0, min(us) / 1e6 + 3 * 86400 AS te, 'f' || ((user_id // 10) % 5) AS flavor FROM ev WHERE user_id % 10 = 0 GROUP BY user_id)"""
+SPANS = """
+wd AS (SELECT median(te - ts0) AS w FROM camp),
+life AS (SELECT actor, min(t) AS lo, max(t) AS hi, any_value(w) AS w FROM tr, wd GROUP BY actor),
+sp AS (SELECT actor, i AS span, lo + i * w AS a, lo + (i + 1) * w AS b FROM (SELECT *, unnest(range(CAST(floor((hi - lo) / w) AS BIGINT))) AS i FROM life)),
+ok AS (SELECT * FROM sp WHERE NOT EXISTS (SELECT 1 FROM camp c WHERE c.actor = sp.actor AND NOT (b <= ts0 OR a >= te))),
+smp AS (SELECT actor, a, b, 'benign' AS flavor FROM ok UNION ALL SELECT actor, ts0, te, flavor FROM camp),
+srow AS (SELECT s.actor, s.flavor, s.a, src, dst, action FROM smp s JOIN tr ON tr.actor = s.actor AND t >= s.a AND t < s.b),
+deg AS (SELECT actor, flavor, a, node, count(*) AS dg FROM (SELECT actor, flavor, a, unnest([src, dst]) AS node FROM srow) GROUP BY ALL),
+dsum AS (SELECT actor, flavor, a, count(*) AS r, max(dg) AS dmax, avg(dg) AS davg FROM deg GROUP BY ALL),
+feat AS (SELECT s.actor, s.flavor, s.a, count(r.src) AS n, count(DISTINCT r.src || '>' || r.dst || '>' || r.action) AS e, count(DISTINCT r.action) AS na
+  FROM smp s LEFT JOIN srow r ON r.actor = s.actor AND r.flavor = s.flavor AND r.a = s.a GROUP BY ALL)"""
+_INNER, _OUTER = (p.hex() for p in hmac_pads(seed_salt(7)))
+_H = lambda c: f"substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode({c})))), 1, 16)"
+
+ORACLE |= {
+    "trajectories": sql(EV, TR, select="SELECT actor, seq, src, dst, action, p AS position FROM tr"),
+    "trajectory_slice": sql(EV, TR, """sl AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY t, seq) AS q FROM tr
+        WHERE t >= 1704067200 + 5 * 86400 AND t < 1704067200 + 20 * 86400)""",
+        select="SELECT actor, count(DISTINCT s) AS n_states FROM (SELECT actor, unnest([src, dst]) AS s FROM sl WHERE q <= 10) GROUP BY actor"),
+    "trajectory_reversed": sql(EV, TR, select="SELECT actor, seq, dst AS src, src AS dst, round(max(t) OVER (PARTITION BY actor) - t, 3) AS t FROM tr"),
+    "kl_irreversibility": sql(EV, TR, BAL, "z AS (SELECT actor, sum(f) AS n, count(*) AS e FROM bal GROUP BY actor)",
+        select=f"SELECT actor, {r6('greatest(0.0, sum((f + 1) / (n + e) * ln((f + 1) / (b + 1))))')} AS kl FROM bal JOIN z USING (actor) GROUP BY actor"),
+    "flux_divergence": sql(EV, TR, BAL, select=f"""SELECT actor, CAST(sum(f) AS BIGINT) AS n_transitions, {r6('sum(abs(f - b)) / sum(f)')} AS flux_l1,
+        {r6('max(abs(f - b)) / sum(f)')} AS flux_max FROM bal GROUP BY actor HAVING sum(f) >= 2"""),
+    "node_divergence": sql(EV, TR, select=f"""SELECT actor, node, {r6('sum(s) / any_value(n)')} AS divergence FROM (SELECT actor, n, src AS node, 1 AS s FROM tr
+        UNION ALL SELECT actor, n, dst, -1 FROM tr) GROUP BY actor, node"""),
+    "excess_kl": sql(EV, TR, "lw AS (SELECT actor AS la, min(t) AS t0, max(t) AS t1 FROM tr WHERE p > n - 20 AND n > 20 GROUP BY actor)",
+        _excess("SELECT tr.* FROM tr JOIN lw ON la = actor AND t BETWEEN t0 AND t1", "SELECT tr.* FROM tr JOIN lw ON la = actor AND t < t0", "actor"),
+        select=f"SELECT actor, CAST(tw AS BIGINT) AS n_window, CAST(tb AS BIGINT) AS n_baseline, {r6('score')} AS excess FROM exs"),
+    "rolling_excess": sql(EV, TR, _roll(10), select=f"SELECT actor, pe AS end_position, {r6('score')} AS score FROM exs"),
+    "entropy_rate": sql(EV, TR, """hc AS (SELECT actor, (p - 1) // 20 AS half, dst, count(*) AS c FROM tr WHERE p <= 40 AND n >= 40 GROUP BY ALL),
+        hh AS (SELECT actor, half, -sum(c / 20 * ln(c / 20)) AS h FROM hc GROUP BY ALL)""",
+        select=f"SELECT actor, {r6('(max(h) FILTER (half = 1) - max(h) FILTER (half = 0)) / 20')} AS entropy_rate FROM hh GROUP BY actor"),
+    "transitions_per_actor": sql(EV, TR, select="SELECT actor, count(*) AS n_transitions FROM tr GROUP BY actor"),
+    "pseudonymize": sql(EV, TR, "tk AS (SELECT action, 'T' || lpad(CAST(row_number() OVER (ORDER BY action) AS VARCHAR), 3, '0') AS token FROM (SELECT DISTINCT action FROM tr))",
+        select=f"""SELECT {_H('actor')} AS actor, {_H('src')} AS src, {_H('dst')} AS dst, token AS action, count(*) AS n FROM tr JOIN tk USING (action) GROUP BY ALL"""),
+    "alert_budget": sql(EV, TR, _roll(5), BUDGET, select=f"SELECT actor, day, rk AS rank, {r6('score')} AS score FROM bu"),
+    "campaign_detection": sql(EV, TR, _roll(5), BUDGET, select=f"""SELECT actor, flavor, a IS NOT NULL AS detected, round(a.t, 3) AS alert_time,
+        {r6('a.s')} AS alert_score, a.d AS budget_day FROM det"""),
+    "budget_eval": sql(EV, TR, _roll(5), BUDGET, select=f"""SELECT coalesce(flavor, 'ALL') AS flavor, count(*) AS total, count(a) AS tp, count(*) - count(a) AS fn,
+        {r6('count(a) / count(*)')} AS detection_rate FROM det GROUP BY ROLLUP (flavor)"""),
+    "campaigns_per_flavor": sql(EV, CAMP, select="SELECT flavor, count(*) AS n_campaigns FROM camp GROUP BY flavor"),
+    "behavioural_read": sql(EV, TR, CAMP, """up AS (SELECT c.actor, c.flavor, c.te, count(*) FILTER (t >= ts0) AS k, max(p) AS lp, any_value(ts0) AS ts0 FROM camp c
+        JOIN tr ON tr.actor = c.actor AND t <= te GROUP BY ALL),
+        iw AS (SELECT up.actor AS la, flavor, te AS t1, CASE WHEN k < 5 THEN tr.t ELSE ts0 END AS t0 FROM up JOIN tr ON tr.actor = up.actor AND tr.p = greatest(1, lp - 79))""",
+        _excess("SELECT tr.*, flavor FROM tr JOIN iw ON la = actor AND t BETWEEN t0 AND t1", "SELECT tr.*, flavor FROM tr JOIN iw ON la = actor AND t < t0", "actor, flavor"),
+        select="SELECT flavor, count(*) AS count, " + ", ".join(f"{r6(e)} AS {n}" for n, e in (("mean", "avg(score)"), ("std", "stddev_pop(score)"), ("min", "min(score)"),
+        ("p25", "quantile_cont(score, 0.25)"), ("p50", "quantile_cont(score, 0.5)"), ("p75", "quantile_cont(score, 0.75)"), ("p90", "quantile_cont(score, 0.9)"),
+        ("max", "max(score)"))) + " FROM exs GROUP BY flavor"),
+    "benign_spans": sql(EV, TR, CAMP, SPANS, select="SELECT actor, span, round(a, 3) AS t_start, round(b, 3) AS t_end FROM ok"),
+    "span_features": sql(EV, TR, CAMP, SPANS, select="""SELECT actor, flavor, round(a, 3) AS t_start, CAST(n AS DOUBLE) AS n_events, CAST(coalesce(r, 0) AS DOUBLE) AS n_resources,
+        CAST(e AS DOUBLE) AS n_edges, CAST(na AS DOUBLE) AS n_actions, CASE WHEN n > 0 THEN round(e / n, 6) ELSE 0.0 END AS edge_diversity,
+        CAST(coalesce(dmax, 0) AS DOUBLE) AS max_degree, round(coalesce(davg, 0.0), 6) AS mean_degree FROM feat LEFT JOIN dsum USING (actor, flavor, a)"""),
+    "average_precision": sql(EV, """th AS (SELECT event_type, k, count(*) AS n, count(*) FILTER (value > 20) AS p FROM src GROUP BY ALL),
+        cu AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM th WINDOW w AS (PARTITION BY event_type ORDER BY k DESC))""",
+        select=f"SELECT event_type, {r6('sum(cp / cn * p) / sum(p)')} AS average_precision, {r6('sum(p) / sum(n)')} AS prevalence FROM cu GROUP BY event_type"),
+    "ks_two_sample": """WITH s AS (SELECT count(*) FILTER (o_orderstatus = 'F') AS n1, count(*) FILTER (o_orderstatus <> 'F') AS n2 FROM orders),
+        c AS (SELECT o_totalprice AS v, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus <> 'F') AS b FROM orders GROUP BY ALL),
+        d AS (SELECT max(abs(ca / n1 - cb / n2)) AS d, any_value(n1) AS n1, any_value(n2) AS n2 FROM (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb FROM c), s)
+        SELECT n1, n2, round(d, 6) AS statistic, (SELECT round(greatest(0.0, least(1.0, sum((CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END) *
+        exp(-2.0 * j * j * n1 * n2 / (n1 + n2) * d * d)))), 6) FROM (SELECT unnest(range(1, 60)) AS j)) AS p_value FROM d""",
+    "degree_dist": sql(EV, TR, select="""SELECT degree, count(*) AS n_nodes FROM (SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM tr)
+        GROUP BY node) GROUP BY degree"""),
+    "iqr_check": sql(EV, TR, """na AS (SELECT user_id % 10 = 0 AS att, actor, count(*) AS n FROM tr GROUP BY ALL),
+        q AS (SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.75) AS q3 FROM na WHERE NOT att)""",
+        select="""SELECT q1, q3, count(*) AS n, count(*) FILTER (n < q1 - 1 OR n > q3 + 1) AS n_outside, count(*) FILTER (n < q1 - 1 OR n > q3 + 1) = 0 AS passed
+        FROM na, q WHERE att GROUP BY ALL"""),
+    "activity_check": sql(EV, TR, select=f"""SELECT count(*) AS n_actors, min(n) AS min, CAST(floor(median(n)) AS BIGINT) AS median, {r6('avg(n)')} AS mean,
+        min(n) >= 80 AS passed FROM (SELECT count(*) AS n FROM tr GROUP BY actor) WHERE n >= 50"""),
+    "leak_scan": "WITH w AS (SELECT DISTINCT unnest([" + ", ".join(f"'{w.lower()}'" for w in LEAK_VOCABULARY) + """]) AS word),
+        c AS (SELECT doc_id, 'text' AS "column", text AS v FROM documents UNION ALL SELECT doc_id, 'lang', lang FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents)
+        SELECT doc_id, "column", word FROM c, w WHERE contains(lower(v), word)""",
+}
+
+# --- log profiling -------------------------------------------------------------------------------
+
+_TYPES = " ".join(f"WHEN regexp_matches(value, '{p}') THEN '{n}'" for n, p in VALUE_PATTERNS)
+LEAF = f"""
+src AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events),
+leaf0(id, log_type, path, value, is_string) AS (
+  SELECT 'e' || event_id, 'events', p, v, s FROM (SELECT event_id, unnest([
+    {{'p': 'logName', 'v': 'projects/p/logs/events', 's': true}}, {{'p': 'timestamp', 'v': strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 's': true}},
+    {{'p': 'actor.email', 'v': 'u' || user_id || '@example.com', 's': true}}, {{'p': 'actor.ids[]', 'v': CAST(user_id AS VARCHAR), 's': false}},
+    {{'p': 'actor.ids[]', 'v': CAST(k AS VARCHAR), 's': false}}, {{'p': 'resource', 'v': 'projects/p/x/' || (k % 10), 's': true}},
+    {{'p': 'kind', 'v': event_type, 's': true}}], recursive := true) FROM src)
+  UNION ALL SELECT 'o' || o_orderkey, 'orders', p, v, s FROM (SELECT o_orderkey, unnest([
+    {{'p': 'logName', 'v': 'projects/p/logs/orders', 's': true}}, {{'p': 'order.key', 'v': CAST(o_orderkey AS VARCHAR), 's': false}},
+    {{'p': 'order.status', 'v': o_orderstatus, 's': true}}, {{'p': 'order.priority', 'v': o_orderpriority, 's': true}},
+    {{'p': 'createTime', 'v': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ'), 's': true}},
+    {{'p': 'customer', 'v': 'u' || o_custkey || '@example.com', 's': true}}], recursive := true) FROM orders)
+  UNION ALL SELECT 'c-' || conv_id || '-' || turn, 'UNKNOWN', p, v, s FROM (SELECT conv_id, turn, unnest([
+    {{'p': 'conv.id', 'v': CAST(conv_id AS VARCHAR), 's': false}}, {{'p': 'conv.turn', 'v': CAST(turn AS VARCHAR), 's': false}},
+    {{'p': 'role', 'v': role, 's': true}}, {{'p': 'text', 'v': text, 's': true}}], recursive := true) FROM conversations)),
+leaf AS (SELECT *, CASE WHEN NOT is_string THEN NULL {_TYPES} END AS vt FROM leaf0),
+tot AS (SELECT (SELECT count(*) FROM events) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM conversations) AS n),
+dt AS (SELECT DISTINCT ON (path) path, vt FROM (SELECT path, vt, count(*) AS c FROM leaf WHERE vt IS NOT NULL GROUP BY ALL) ORDER BY path, c DESC, vt),
+smp AS (SELECT path, string_agg(value, ',' ORDER BY value) AS samples FROM (SELECT path, value, row_number() OVER (PARTITION BY path ORDER BY value) AS r
+  FROM (SELECT DISTINCT path, value FROM leaf)) WHERE r <= 5 GROUP BY path),
+prof AS (SELECT path, count(*) AS c, count(DISTINCT value) AS card, any_value(n) AS n FROM leaf, tot GROUP BY path)"""
+CLUST = """
+tl AS (SELECT 'e' || event_id AS id, epoch_us(ts) AS us, event_id AS eid FROM events),
+tg AS (SELECT *, CASE WHEN us - lag(us) OVER (ORDER BY us, id) <= 60000000 THEN 0 ELSE 1 END AS fresh FROM tl),
+tc AS (SELECT *, sum(fresh) OVER (ORDER BY us, id) AS g FROM tg),
+cl AS (SELECT g, min(us) AS a, max(us) AS b, count(*) AS n FROM tc GROUP BY g HAVING count(*) >= 2),
+sh AS (SELECT a, path, min(value) AS value FROM leaf JOIN tc USING (id) JOIN cl USING (g) GROUP BY a, path HAVING count(DISTINCT value) = 1)"""
+
+ORACLE |= {
+    "log_type_counts": """SELECT 'events' AS log_type, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders
+        UNION ALL SELECT 'UNKNOWN', count(*) FROM conversations""",
+    "flatten_json": sql(LEAF, select="SELECT id, log_type, path, value, is_string FROM leaf"),
+    "semantic_types": sql(LEAF, select="SELECT path, vt AS value_type, count(*) AS n FROM leaf WHERE vt IS NOT NULL GROUP BY ALL"),
+    "profile_fields": sql(LEAF, select=f"""SELECT path, c AS count, card AS cardinality, vt AS dominant_type, {r6('c / n')} AS presence_rate, samples
+        FROM prof LEFT JOIN dt USING (path) JOIN smp USING (path)"""),
+    "timestamp_fields": sql(LEAF, select="SELECT path FROM dt WHERE vt = 'iso_timestamp' AND path IN ('timestamp', 'createTime')"),
+    "actor_target_fields": sql(LEAF, select="""SELECT path, card AS cardinality, CASE vt WHEN 'email' THEN 'actor' ELSE 'target' END AS kind
+        FROM prof JOIN dt USING (path) WHERE vt IN ('email', 'uri')"""),
+    "correlation_candidates": sql(LEAF, select="""SELECT path, round(1.0 - abs(card / c - 0.3), 3) AS score FROM prof
+        WHERE card / c > 0.01 AND card / c < 0.8 AND card >= 2 AND c >= 5"""),
+    "temporal_clusters": sql(LEAF, CLUST, select="SELECT a AS cluster_start, b AS cluster_end, n AS n_entries FROM cl"),
+    "cluster_shared": sql(LEAF, CLUST, select="SELECT a AS cluster_start, path, value FROM sh"),
+    "cluster_keys": sql(LEAF, CLUST, select="""SELECT path, count(DISTINCT value) AS n_values, count(*) AS n_clusters, 0.9 AS score FROM sh
+        GROUP BY path HAVING count(DISTINCT value) >= 2"""),
+    "cross_log_overlap": sql(LEAF, "pl AS (SELECT DISTINCT log_type, path, value FROM leaf WHERE is_string AND length(value) > 3)",
+        select="""SELECT a.log_type AS log_type_1, a.path AS field_1, b.log_type AS log_type_2, b.path AS field_2, count(*) AS shared_values
+        FROM pl a JOIN pl b ON a.value = b.value AND a.log_type < b.log_type GROUP BY ALL"""),
+}

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk import config as C
-from flowrisk.config import ClosureConfig
+from flowrisk.config import ClosureConfig, CorrelationConfig
 from flowrisk.functions import expressions as X
-from flowrisk.operators import closure, invariants, provenance, scoring, world
+from flowrisk.operators import (
+    audits, closure, correlate, evaluate, invariants, normalize, profile, provenance, scoring, trajectory, world,
+)
 from flowrisk.plans import pipeline
 from flowrisk.plans import tables as T
+from flowrisk.sources import raw_logs
 from flowrisk.session import tune
 
 DAY = T.DAY
@@ -22,10 +25,11 @@ REGISTRY: dict = {}
 
 
 def query(fn):
+    """Register a query under its name (a trailing underscore avoids a module name)."""
     def run(spark, sf_dir):
         return fn(tune(spark), sf_dir)
-    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-    REGISTRY[fn.__name__] = run
+    run.__name__, run.__doc__ = fn.__name__.rstrip("_"), fn.__doc__
+    REGISTRY[run.__name__] = run
     return fn
 
 
@@ -196,7 +200,7 @@ def _invariants(spark, sf):
 
 
 @query
-def invariants_all(spark, sf):
+def invariants_(spark, sf):
     return _invariants(spark, sf).select(*key(), "inv_score", "inv_count",
                                          joined("fired_invariants").alias("fired_invariants"))
 
@@ -334,4 +338,617 @@ def tier_counts(spark, sf):
     return _risk(spark, sf).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-REGISTRY["invariants"] = REGISTRY.pop("invariants_all")
+
+
+# --- ingestion ---------------------------------------------------------------------
+
+def _parsed(spark, sf):
+    return normalize.parse_entries(T.raw_entries(spark, sf))
+
+
+def _audit(spark, sf):
+    return normalize.canonicalize_audit(_parsed(spark, sf))
+
+
+@query
+def scan_raw_logs(spark, sf):
+    lines = raw_logs.select_prefixes(T.raw_lines(spark, sf), C.LOG_PREFIXES)
+    entries = raw_logs.split_entries(lines)
+    return (entries.withColumn("source", raw_logs.source_of(F.col("source_file")))
+            .groupBy("source", F.get_json_object("entry", "$.insertId").alias("insert_id"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def incremental_files(spark, sf):
+    """New files per source and the marks after reading them; a file is one hour of one event type."""
+    files = T.table(spark, sf, "events").select(
+        F.col("event_type").alias("source"),
+        F.concat("event_type", F.lit("/"), F.date_format("ts", "yyyy/MM/dd/HH"), F.lit(".jsonl")).alias("path")).distinct()
+    marks = files.where(F.col("source") != "view").groupBy("source").agg(F.max("path").alias("_p")).select(
+        "source", F.concat("source", F.lit("/2024/01/15/12.jsonl")).alias("last_path"))
+    new = raw_logs.new_files(files, marks)
+    after = raw_logs.advance_checkpoints(marks, new)
+    return (new.groupBy("source").agg(F.count(F.lit(1)).alias("n_new"), F.min("path").alias("first_new"))
+            .join(after, "source"))
+
+
+@query
+def route_formats(spark, sf):
+    return _parsed(spark, sf).select("event_id", "log_format")
+
+
+@query
+def ingest_stats(spark, sf):
+    return normalize.ingest_stats(_parsed(spark, sf))
+
+
+@query
+def quarantined_entries(spark, sf):
+    return normalize.quarantine(_parsed(spark, sf)).select("event_id", "log_format")
+
+
+@query
+def canonicalize_audit(spark, sf):
+    return _audit(spark, sf).select(
+        "event_id", F.unix_micros("ts").alias("ts"), text("window_start").alias("window_start"), "actor_id",
+        "action_subtype", "target_id", "result", "project_id", "trigger_ref", "provenance_level",
+        joined("delegation_chain").alias("delegation_chain"), "raw_ref", "env", "is_deploy")
+
+
+@query
+def event_content_id(spark, sf):
+    return _audit(spark, sf).select(F.substring_index("raw_ref", ":", -1).alias("insert_id"), "event_id")
+
+
+@query
+def map_actions(spark, sf):
+    return _audit(spark, sf).select("event_id", "action_type", "target_type", "target_zone")
+
+
+@query
+def exfil_reclass(spark, sf):
+    return (_audit(spark, sf).where(F.col("target_zone") == "EXFIL_RISK")
+            .groupBy("action_type", "target_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def actor_class(spark, sf):
+    return _audit(spark, sf).select("actor_id", "actor_type", "is_infrastructure").distinct()
+
+
+@query
+def parse_ts(spark, sf):
+    """Timestamps with nine, three and no fraction digits."""
+    e = T.table(spark, sf, "events")
+    base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    forms = F.array(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("999Z")),
+                    F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")),
+                    F.concat(base, F.lit("Z")), F.lit("not a time"))
+    return e.select("event_id", F.posexplode(forms).alias("form", "raw")).select(
+        "event_id", "form", F.unix_micros(X.parse_ts(F.col("raw"))).alias("parsed"))
+
+
+@query
+def floor_window(spark, sf):
+    return T.table(spark, sf, "events").select(
+        "event_id", text(X.floor_window(F.col("ts"), 15)).alias("w15"), text(X.floor_window(F.col("ts"), 5)).alias("w5"))
+
+
+@query
+def canonicalize_scheduler(spark, sf):
+    return normalize.canonicalize_scheduler(_parsed(spark, sf)).select(
+        "insert_id", "job_id", "target_url", "attempt_type", F.unix_micros("timestamp").alias("at"),
+        F.unix_micros("scheduled_time").alias("scheduled"), "http_status", "project_id")
+
+
+@query
+def canonicalize_requests(spark, sf):
+    return normalize.canonicalize_requests(_parsed(spark, sf)).select(
+        "insert_id", "service_name", "request_url", "status_code", F.unix_micros("timestamp").alias("at"),
+        r6("latency_seconds").alias("latency_seconds"), "is_scheduler_invoked", "project_id")
+
+
+@query
+def dedup_events(spark, sf):
+    """Every entry arrives twice; half of the ids with an even last digit are stored already."""
+    first = _audit(spark, sf).withColumn("arrival", F.lit(1))
+    again = _audit(spark, sf).withColumn("arrival", F.lit(2))
+    stored = first.where(F.substring("event_id", 32, 1).isin("0", "2", "4", "6")).select("event_id")
+    out = normalize.dedup_events(first.unionByName(again), ["arrival", "ts"], stored)
+    return out.select("event_id", "arrival", "actor_id")
+
+
+# --- correlation ---------------------------------------------------------------------
+
+# Table times are minutes apart, so tolerances are in minutes here.
+WIDE = CorrelationConfig(link_seconds=3600, audit_seconds=7200, slice_seconds=14400)
+
+
+@query
+def link_sched_requests(spark, sf):
+    links = correlate.link_requests(T.scheduler_runs(spark, sf), T.service_requests(spark, sf), WIDE)
+    return links.select("project_id", "scheduler_id", "request_id", "url_match", "service_name")
+
+
+@query
+def sched_cadence(spark, sf):
+    return correlate.cadence(T.scheduler_runs(spark, sf), WIDE).select(
+        "project_id", r6("cadence_seconds").alias("cadence_seconds"))
+
+
+@query
+def link_candidates(spark, sf):
+    c = correlate.candidate_counts(T.request_links(spark, sf), T.service_requests(spark, sf), WIDE)
+    return c.select("scheduler_id", "candidate_count")
+
+
+def _correlated(spark, sf):
+    return correlate.correlate_events(
+        T.audit_events(spark, sf), T.request_links(spark, sf), T.service_requests(spark, sf),
+        T.scheduler_runs(spark, sf), T.service_map(spark), WIDE)
+
+
+@query
+def correlate_audit(spark, sf):
+    return _correlated(spark, sf).select("event_id", "actor_id", "trigger_ref", "scheduler_id", "request_id")
+
+
+@query
+def correlation_confidence(spark, sf):
+    return _correlated(spark, sf).select("event_id", F.round("correlation_confidence", 4).alias("correlation_confidence"))
+
+
+def _validated(spark, sf):
+    return correlate.validate_service_map(T.request_links(spark, sf), T.audit_events(spark, sf),
+                                          T.service_map(spark), WIDE)
+
+
+@query
+def validate_service_map(spark, sf):
+    return _validated(spark, sf)
+
+
+@query
+def hydration_summary(spark, sf):
+    return correlate.hydration_summary(_validated(spark, sf))
+
+
+# --- ablation and detection ------------------------------------------------------------
+
+ZEROED = ["closure_gap", "orphaned_priv"]
+
+
+def user() -> Column:
+    return F.regexp_extract("actor_id", r"^u(\d+)", 1).cast("long")
+
+
+def role() -> Column:
+    return F.element_at(F.array(*[F.lit(r) for r in ("worker", "attacker", "reader", "other")]),
+                        (user() % 4 + 1).cast("int"))
+
+
+def scenario() -> Column:
+    return F.concat(F.lit("s"), user() % 5)
+
+
+def _ablated(spark, sf, mode="zero"):
+    return evaluate.ablate(_fused(spark, sf), ZEROED, mode)
+
+
+@query
+def ablation(spark, sf):
+    return _ablated(spark, sf).select(*key(), *[r6(c).alias(c) for c in ("fusion_raw", "ablated", "delta")],
+                                      "old_tier", "new_tier")
+
+
+@query
+def tier_migration(spark, sf):
+    return evaluate.tier_migration(_ablated(spark, sf, "redistribute"))
+
+
+@query
+def ablation_stats(spark, sf):
+    return evaluate.ablation_stats(_ablated(spark, sf)).select(
+        *[r6(c).alias(c) for c in ("mean", "median", "stdev", "max")])
+
+
+@query
+def ablation_top(spark, sf):
+    return evaluate.ablation_top(_ablated(spark, sf)).select(
+        *key(), r6("delta").alias("delta"), joined("dominant_signals").alias("dominant_signals"))
+
+
+@query
+def role_stats(spark, sf):
+    out = evaluate.role_stats(_fused(spark, sf), ZEROED, "worker", role())
+    floats = [c for c, t in out.dtypes if t == "double"]
+    return out.select(*[r6(c).alias(c) if c in floats else F.col(c) for c in out.columns])
+
+
+@query
+def role_extract(spark, sf):
+    """Role prefixes of account names, with and without the separator."""
+    c = T.table(spark, sf, "customer")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(
+        F.concat(F.lower("c_mktsegment"), F.lit("-sa-"), "c_custkey", F.lit("@p.iam.gserviceaccount.com")))
+    return c.select(X.role_of(name).alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scenario_summary(spark, sf):
+    s = evaluate.scenario_summary(_risk(spark, sf).withColumn("scenario", scenario()), ["scenario"])
+    return s.select("scenario", r6("max_residual").alias("max_residual"), r6("mean_residual").alias("mean_residual"),
+                    "max_tier", joined("fired_invariants").alias("fired_invariants"), "n_pairs")
+
+
+@query
+def role_gap(spark, sf):
+    g = evaluate.role_gap(_risk(spark, sf).withColumn("scenario", scenario()), ["scenario"], role() == "attacker", role() == "worker")
+    return g.select("scenario", *[r6(c).alias(c) for c in g.columns if c != "scenario"])
+
+
+@query
+def signal_activation(spark, sf):
+    g = evaluate.signal_activation(_risk(spark, sf).withColumn("scenario", scenario()), ["scenario"])
+    return g.select("scenario", *[r6(c).alias(c) for c in g.columns if c != "scenario"])
+
+
+def _signal_max(spark, sf):
+    return evaluate.signal_max(_risk(spark, sf), ["actor_id"])
+
+
+@query
+def signal_max(spark, sf):
+    g = _signal_max(spark, sf)
+    return g.select(*[r6(c).alias(c) if c.endswith("_max") else F.col(c) for c in g.columns])
+
+
+@query
+def prediction_divergence(spark, sf):
+    expected = F.when(user() % 2 == 0, F.array(F.lit("inv_score"), F.lit("delta_f"))).otherwise(F.array(F.lit("closure_gap")))
+    return evaluate.prediction_divergence(_signal_max(spark, sf).withColumn("expected_signals", expected))
+
+
+@query
+def sweep_report(spark, sf):
+    out = evaluate.sweep_report(T.table(spark, sf, "orders"), "o_totalprice", ["o_orderstatus", "o_orderpriority"])
+    return out.select("axis", "level", "runs", *[F.round(c, 3).alias(c) for c in ("mean", "std", "min", "max", "median")])
+
+
+@query
+def detection_by_axis(spark, sf):
+    out = evaluate.detection_by_axis(T.table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"],
+                                     F.col("o_totalprice") > 200000)
+    return out.select("axis", "level", "n", r6("rate").alias("rate"), "verdict")
+
+
+@query
+def blind_spots(spark, sf):
+    o = T.table(spark, sf, "orders")
+    return evaluate.blind_spots(o, F.col("o_totalprice") > 200000, [F.col("o_totalprice").desc(), "o_orderkey"]).select(
+        "o_orderkey", "o_orderstatus", r6("o_totalprice").alias("o_totalprice"))
+
+
+PROBS = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
+
+
+@query
+def residual_percentiles(spark, sf):
+    p = evaluate.residual_percentiles(_risk(spark, sf).withColumn("scenario", scenario()), ["scenario"], "residual_risk", PROBS)
+    return p.select("scenario", "n", *[r6(c).alias(c) for c in PROBS])
+
+
+def _split(spark, sf):
+    risk = _risk(spark, sf)
+    return risk.where(user() % 10 == 0), risk.where(user() % 10 != 0)
+
+
+@query
+def recalibrate(spark, sf):
+    out = evaluate.recalibrate(*_split(spark, sf), "residual_risk")
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query
+def recalibrated_tiers(spark, sf):
+    attack, benign = _split(spark, sf)
+    limits = evaluate.recalibrate(attack, benign, "residual_risk")
+    return (evaluate.with_recalibrated_tier(attack, limits, "residual_risk")
+            .groupBy("recal_tier", "recal_detected").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def embed_in_baseline(spark, sf):
+    ev = _events(spark, sf)
+    both = evaluate.embed_in_baseline(ev, ev.where(F.col("user_id") % 10 == 0))
+    return (world.window_activity(world.target_activity(both))
+            .select(*key(), "event_count", "n_targets").where(F.col("actor_id").startswith("attack-")))
+
+
+@query
+def separation_stats(spark, sf):
+    s = evaluate.separation_stats(T.table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice")
+    return s.select("l_returnflag", "count", *[F.round(c, 3).alias(c) for c in
+                                               ("mean", "std", "min", "p25", "p50", "p75", "p90", "max")])
+
+
+@query
+def effect_size(spark, sf):
+    s = evaluate.effect_size(T.table(spark, sf, "lineitem"), F.col("l_returnflag") == "R", "l_extendedprice")
+    return s.select(F.round("attack_mean", 3).alias("attack_mean"), F.round("benign_mean", 3).alias("benign_mean"),
+                    r6("cohens_d").alias("cohens_d"), r6("separation_ratio").alias("separation_ratio"))
+
+
+# --- trajectories ------------------------------------------------------------------------
+
+def _transitions(spark, sf):
+    return trajectory.from_state_visits(T.state_visits(spark, sf))
+
+
+@query
+def trajectories(spark, sf):
+    return trajectory.positions(_transitions(spark, sf)).select("actor", "seq", "src", "dst", "action", "position")
+
+
+MONTH_START = 1704067200  # 2024-01-01 UTC
+
+
+@query
+def trajectory_slice(spark, sf):
+    """State space of the first ten transitions of each actor between day 5 and day 20."""
+    part = trajectory.between(_transitions(spark, sf), MONTH_START + 5 * 86400, MONTH_START + 20 * 86400)
+    return trajectory.state_space(trajectory.truncate(part, 10)).groupBy("actor").agg(F.count(F.lit(1)).alias("n_states"))
+
+
+@query
+def trajectory_reversed(spark, sf):
+    return trajectory.reverse(_transitions(spark, sf)).select("actor", "seq", "src", "dst", F.round("t", 3).alias("t"))
+
+
+@query
+def kl_irreversibility(spark, sf):
+    return trajectory.kl_irreversibility(_transitions(spark, sf)).select("actor", r6("kl").alias("kl"))
+
+
+@query
+def flux_divergence(spark, sf):
+    return trajectory.flux_divergence(_transitions(spark, sf)).select(
+        "actor", "n_transitions", r6("flux_l1").alias("flux_l1"), r6("flux_max").alias("flux_max"))
+
+
+@query
+def node_divergence(spark, sf):
+    return trajectory.node_divergence(_transitions(spark, sf)).select("actor", "node", r6("divergence").alias("divergence"))
+
+
+@query
+def excess_kl(spark, sf):
+    tr = _transitions(spark, sf)
+    return trajectory.excess_kl(tr, trajectory.last_windows(tr, 20)).select(
+        "actor", "n_window", "n_baseline", r6("excess").alias("excess"))
+
+
+def _rolling(spark, sf, stride=10):
+    return trajectory.rolling_excess(_transitions(spark, sf), 20, 1.0, stride)
+
+
+@query
+def rolling_excess(spark, sf):
+    return _rolling(spark, sf).select("actor", "end_position", r6("score").alias("score"))
+
+
+@query
+def entropy_rate(spark, sf):
+    return trajectory.entropy_rate(_transitions(spark, sf), 20).select("actor", r6("entropy_rate").alias("entropy_rate"))
+
+
+@query
+def transitions_per_actor(spark, sf):
+    return trajectory.transitions_per_actor(_transitions(spark, sf))
+
+
+@query
+def pseudonymize(spark, sf):
+    tr = _transitions(spark, sf)
+    out = trajectory.pseudonymize(tr, 7)
+    return (out.groupBy("actor", "src", "dst", "action").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- alert budget and behavioural read ------------------------------------------------------
+
+def _alerts(spark, sf):
+    return _rolling(spark, sf, 5).select("actor", "window_time", F.round("score", 9).alias("score"))
+
+
+def _budgeted(spark, sf):
+    return evaluate.alert_budget(_alerts(spark, sf), 3)
+
+
+@query
+def alert_budget(spark, sf):
+    return _budgeted(spark, sf).select("actor", "day", "rank", r6("score").alias("score"))
+
+
+@query
+def campaign_detection(spark, sf):
+    d = evaluate.campaign_detection(T.campaigns(spark, sf), _budgeted(spark, sf))
+    return d.select("actor", "flavor", "detected", F.round("alert_time", 3).alias("alert_time"),
+                    r6("alert_score").alias("alert_score"), "budget_day")
+
+
+@query
+def budget_eval(spark, sf):
+    d = evaluate.campaign_detection(T.campaigns(spark, sf), _budgeted(spark, sf))
+    return evaluate.budget_eval(d).select("flavor", "total", "tp", "fn", r6("detection_rate").alias("detection_rate"))
+
+
+@query
+def campaigns_per_flavor(spark, sf):
+    return evaluate.campaigns_per_flavor(T.campaigns(spark, sf))
+
+
+@query
+def behavioural_read(spark, sf):
+    """Excess of labelled intervals, by flavor."""
+    tr = _transitions(spark, sf)
+    spans = evaluate.instance_windows(trajectory.positions(tr), T.campaigns(spark, sf))
+    scored = trajectory.excess_kl(tr, spans.drop("flavor")).withColumn("flavor", F.substring_index("window_id", "|", 1))
+    s = evaluate.separation_stats(scored, "flavor", "excess")
+    return s.select("flavor", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "p90", "max")])
+
+
+# --- audits ------------------------------------------------------------------------------------
+
+def _spans(spark, sf):
+    return audits.benign_spans(_transitions(spark, sf), T.campaigns(spark, sf))
+
+
+@query
+def benign_spans(spark, sf):
+    return _spans(spark, sf).select("actor", "span", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"))
+
+
+def _samples(spark, sf):
+    tr = _transitions(spark, sf)
+    benign = _spans(spark, sf).select("actor", "t_start", "t_end", F.lit("benign").alias("flavor"), F.lit(0).alias("y"))
+    marked = T.campaigns(spark, sf).select("actor", "t_start", "t_end", "flavor", F.lit(1).alias("y"))
+    spans = benign.unionByName(marked).withColumn(
+        "sample", F.concat_ws("|", "actor", "y", F.floor("t_start").cast("string")))
+    return spans.join(audits.span_features(tr, spans, "sample"), "sample")
+
+
+@query
+def span_features(spark, sf):
+    return _samples(spark, sf).select("actor", "flavor", F.round("t_start", 3).alias("t_start"),
+                                      *[r6(c).alias(c) for c in audits.FEATURES])
+
+
+@query
+def average_precision(spark, sf):
+    e = T.raw_events(spark, sf).select("event_type", (F.col("k") / F.lit(100.0)).alias("score"),
+                                       (F.col("value") > 20).cast("int").alias("label"))
+    return audits.average_precision(e, ["event_type"], "score", "label").select(
+        "event_type", r6("average_precision").alias("average_precision"), r6("prevalence").alias("prevalence"))
+
+
+@query
+def leakage_audit(spark, sf):
+    s = _samples(spark, sf)
+    return audits.leakage_audit(s, F.pmod(F.xxhash64("actor"), F.lit(10)) < 6, replicates=200, stratum_replicates=100)
+
+
+@query
+def ks_two_sample(spark, sf):
+    o = T.table(spark, sf, "orders")
+    k = audits.ks_two_sample(o, "o_totalprice", F.col("o_orderstatus") == "F", slice_width=1000.0)
+    return k.select("n1", "n2", r6("statistic").alias("statistic"), r6("p_value").alias("p_value"))
+
+
+@query
+def degree_dist(spark, sf):
+    return audits.degree_dist(_transitions(spark, sf), []).groupBy("degree").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query
+def iqr_check(spark, sf):
+    n = trajectory.transitions_per_actor(_transitions(spark, sf)).withColumn(
+        "u", F.substring("actor", 2, 20).cast("long"))
+    out = audits.iqr_check(n.where("u % 10 != 0"), n.where("u % 10 = 0"), "n_transitions")
+    return out.select(r6("q1").alias("q1"), r6("q3").alias("q3"), "n", "n_outside", "passed")
+
+
+@query
+def activity_check(spark, sf):
+    out = audits.activity_check(trajectory.transitions_per_actor(_transitions(spark, sf)))
+    return out.select("n_actors", "min", "median", r6("mean").alias("mean"), "passed")
+
+
+@query
+def leak_scan(spark, sf):
+    return audits.leak_scan(T.table(spark, sf, "documents").drop("n_chars"), ["doc_id"])
+
+
+# --- log profiling -------------------------------------------------------------------------------
+
+def _entries(spark, sf):
+    return profile.with_log_type(T.mixed_entries(spark, sf))
+
+
+def _leaves(spark, sf):
+    return profile.flatten_json(_entries(spark, sf), keep=["id", "log_type"], max_depth=3)
+
+
+def _profile(spark, sf):
+    entries = _entries(spark, sf)
+    return profile.profile_fields(profile.flatten_json(entries, keep=["id"], max_depth=3),
+                                  entries.agg(F.count(F.lit(1))))
+
+
+@query
+def log_type_counts(spark, sf):
+    return profile.log_type_counts(_entries(spark, sf))
+
+
+@query
+def flatten_json(spark, sf):
+    return _leaves(spark, sf)
+
+
+@query
+def semantic_types(spark, sf):
+    return (profile.semantic_types(_leaves(spark, sf)).where(F.col("value_type").isNotNull())
+            .groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def profile_fields(spark, sf):
+    return _profile(spark, sf).select("path", "count", "cardinality", "dominant_type", r6("presence_rate").alias("presence_rate"),
+                                      joined("samples").alias("samples"))
+
+
+@query
+def timestamp_fields(spark, sf):
+    return profile.timestamp_fields(_profile(spark, sf)).select("path")
+
+
+@query
+def actor_target_fields(spark, sf):
+    p = _profile(spark, sf)
+    return (profile.actor_candidates(p).select("path", "cardinality", F.lit("actor").alias("kind"))
+            .unionByName(profile.target_candidates(p).select("path", "cardinality", F.lit("target").alias("kind"))))
+
+
+@query
+def correlation_candidates(spark, sf):
+    return profile.correlation_candidates(_profile(spark, sf)).select("path", "score")
+
+
+def _timed(spark, sf):
+    return T.table(spark, sf, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), "ts")
+
+
+@query
+def temporal_clusters(spark, sf):
+    c = profile.cluster_sizes(profile.temporal_clusters(_timed(spark, sf), 60.0))
+    return c.select(F.unix_micros("cluster_start").alias("cluster_start"), F.unix_micros("cluster_end").alias("cluster_end"),
+                    "n_entries")
+
+
+def _shared(spark, sf):
+    return profile.cluster_shared(_leaves(spark, sf), profile.temporal_clusters(_timed(spark, sf), 60.0))
+
+
+@query
+def cluster_shared(spark, sf):
+    return _shared(spark, sf).select(F.unix_micros("cluster_start").alias("cluster_start"), "path", "value")
+
+
+@query
+def cluster_keys(spark, sf):
+    return profile.cluster_keys(_shared(spark, sf))
+
+
+@query
+def cross_log_overlap(spark, sf):
+    return profile.cross_log_overlap(_leaves(spark, sf))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the library relies on. All are runtime settings, so they can be
 # applied to a session somebody else made.
@@ -60,3 +61,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Broadcast a configuration table after counting it; a larger one is left to the optimizer."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
