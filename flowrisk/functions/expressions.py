@@ -160,44 +160,66 @@ def half_even_rank(count: Column, p: float) -> Column:
 
 # --- sequences --------------------------------------------------------------
 
-def lcs_row(symbols: Column, pattern: Column) -> Column:
-    """Last row of the LCS table: entry j is LCS(symbols, first j of pattern).
+# The LCS of a long sequence and a short pattern is kept as one bit vector per
+# pattern start: after reading the sequence, the zero bits among the low j bits
+# of the vector for start i number LCS(sequence, pattern[i .. i + j)).
 
-    Symbols that the pattern lacks cannot matter and are dropped first.
-    """
-    start = F.transform(F.sequence(F.lit(0), F.size(pattern)), lambda _: F.lit(0))
+MAX_PATTERN = 60  # so that bit sums stay inside a long
 
-    def step(row, symbol):
-        cells = F.sequence(F.lit(1), F.size(pattern))
-        return F.aggregate(
-            cells, F.array(F.lit(0)),
-            lambda acc, j: F.concat(acc, F.array(
-                F.when(F.element_at(pattern, j) == symbol, F.get(row, j - 1) + 1)
-                .otherwise(F.greatest(F.get(row, j), F.get(acc, j - 1))))))
 
-    useful = F.filter(symbols, lambda s: F.array_contains(pattern, s))
-    return F.aggregate(useful, start, step)
+def symbol_masks(pattern: Column) -> Column:
+    """Map of each pattern symbol to the bits of its positions."""
+    places = F.sequence(F.lit(1), F.size(pattern))
+    one = F.lit(1).cast("long")
+    return F.map_from_entries(F.transform(F.array_distinct(pattern), lambda c: F.struct(
+        c.alias("symbol"),
+        F.aggregate(places, F.lit(0).cast("long"), lambda acc, j: acc + F.when(
+            F.element_at(pattern, j) == c, F.call_function("shiftleft", one, j - 1))
+            .otherwise(F.lit(0).cast("long"))).alias("mask"))))
 
 
-def lcs_segments(symbols: Column, pattern: Column) -> Column:
-    """Entry i, j is LCS(symbols, pattern[i .. i+j)): enough to join chunks exactly."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(pattern) - 1),
-        lambda i: lcs_row(symbols, F.slice(pattern, i + 1, F.size(pattern) - i)))
+def low_bits(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+
+
+def lcs_vector(masks: Column, length: Column, start: Column | None = None) -> Column:
+    """Bit vector of a sequence given as pattern masks, for the pattern from ``start`` on."""
+    whole = low_bits(length if start is None else length - start)
+    mask = (lambda m: m) if start is None else (lambda m: F.call_function("shiftright", m, start))
+
+    def step(v, m):
+        hit = v.bitwiseAND(mask(m))
+        return (v + hit).bitwiseOR(v - hit).bitwiseAND(whole)
+
+    return F.aggregate(masks, whole, step)
+
+
+def lcs_masks(symbols: Column, table: Column) -> Column:
+    """Masks of the symbols that the pattern has; the others cannot matter."""
+    return F.filter(F.transform(symbols, lambda c: F.try_element_at(table, c)), lambda m: m.isNotNull())
+
+
+def lcs_vectors(masks: Column, length: Column) -> Column:
+    """Vectors for every pattern start: enough to join chunks exactly."""
+    return F.transform(F.sequence(F.lit(0), length - 1), lambda i: lcs_vector(masks, length, i))
+
+
+def lcs_of_vector(vector: Column, length: Column) -> Column:
+    return length - F.bit_count(vector.bitwiseAND(low_bits(length)))
 
 
 def lcs_join(chunks: Column, length: Column) -> Column:
-    """LCS of a long sequence from the ordered segment tables of its chunks."""
+    """LCS of a long sequence from the ordered vectors of its chunks."""
     start = F.transform(F.sequence(F.lit(0), length), lambda _: F.lit(0))
 
-    def step(best, table):
-        return F.transform(
-            F.sequence(F.lit(0), length),
-            lambda j: F.array_max(F.transform(
-                F.sequence(F.lit(0), j),
-                lambda i: F.get(best, i) + F.coalesce(F.get(F.get(table, i), j - i), F.lit(0)))))
+    def reach(best, vectors, j):
+        longer = F.transform(F.sequence(F.lit(0), j), lambda i: F.get(best, i) + F.when(
+            i < j, lcs_of_vector(F.get(vectors, i), j - i)).otherwise(0))
+        return F.array_max(longer)
 
-    return F.get(F.aggregate(chunks, start, step), length)
+    best = F.aggregate(chunks, start, lambda row, vectors: F.transform(
+        F.sequence(F.lit(0), length), lambda j: reach(row, vectors, j)))
+    return F.get(best, length)
 
 
 # --- keyed hashing ----------------------------------------------------------

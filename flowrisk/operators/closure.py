@@ -11,6 +11,7 @@ from flowrisk.config import ClosureConfig, WorldConfig
 from flowrisk.functions import expressions as X
 from flowrisk.operators.ordered import asof_lookup, nearest_value, values_at_ranks
 from flowrisk.operators.world import WINDOW_KEY
+from flowrisk.session import materialize
 
 HOUR = 3600
 # Openings are grouped in cells of this share of the watch length; with six
@@ -89,7 +90,7 @@ def explicit_closings(events: DataFrame, opened: DataFrame, pairs: DataFrame) ->
 
 
 def settlements(events: DataFrame, opened: DataFrame, windows: DataFrame,
-                cfg: ClosureConfig = ClosureConfig(), world: WorldConfig = WorldConfig()) -> DataFrame:
+                cfg: ClosureConfig = ClosureConfig()) -> DataFrame:
     """First window of the opening actor at which a resource has been quiet long enough.
 
     A watch settles at window W when W is at least ``s`` hours past both the
@@ -125,14 +126,14 @@ def settlements(events: DataFrame, opened: DataFrame, windows: DataFrame,
 
 
 def close_times(events: DataFrame, opened: DataFrame, windows: DataFrame, pairs: DataFrame,
-                cfg: ClosureConfig = ClosureConfig(), world: WorldConfig = WorldConfig()) -> DataFrame:
+                cfg: ClosureConfig = ClosureConfig()) -> DataFrame:
     """Watches with the times at which each way of closing takes effect."""
     expiry = F.when(F.col("expected_close_type") == "TEMPORAL_EXPIRY",
                     F.timestamp_micros(F.unix_micros("opening_ts") +
                                        F.col("window_hours").cast("long") * (HOUR * 1_000_000)))
     return (opened.withColumn("expiry_ts", expiry)
             .join(explicit_closings(events, opened, pairs), "resource_id", "left")
-            .join(settlements(events, opened, windows, cfg, world), "resource_id", "left"))
+            .join(settlements(events, opened, windows, cfg), "resource_id", "left"))
 
 
 def closure_signals(closed: DataFrame, windows: DataFrame, world: WorldConfig = WorldConfig(),
@@ -230,7 +231,7 @@ def mine_pairs(events: DataFrame, cfg: ClosureConfig = ClosureConfig(),
     slice_by = X.time_slice(F.col("ts"), slice_seconds)
     rows = (events.where(F.col("target_zone").isin(zones))
             .select("target_id", "ts", "event_id", "action_type"))
-    before = nearest_value(rows, ["target_id"], order, F.col("action_type"), "_prev", slice_by)
+    before = materialize(nearest_value(rows, ["target_id"], order, F.col("action_type"), "_prev", slice_by), "runs")
     # A run starts where the action changes; every event looks for the next run.
     start = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("action_type")),
                    F.struct("ts", "action_type"))
@@ -241,7 +242,7 @@ def mine_pairs(events: DataFrame, cfg: ClosureConfig = ClosureConfig(),
                      F.col("_next.action_type").alias("closing_action_type"), gap.alias("gap_hours"))
              .where(F.col("gap_hours") <= cfg.max_gap_hours))
     keys = ["opening_action_type", "closing_action_type"]
-    middle = values_at_ranks(found, keys, "gap_hours", {"median_gap_hours": F.expr("n div 2")})
+    middle = values_at_ranks(materialize(found, "gaps"), keys, "gap_hours", {"median_gap_hours": F.expr("n div 2")})
     return (middle.where(F.col("n") >= cfg.min_observations)
             .select(F.concat_ws("-", F.lit("cp"), *keys).alias("candidate_id"), *keys,
                     F.col("n").alias("obs_count"), "median_gap_hours"))

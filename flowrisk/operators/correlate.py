@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowrisk import config as C
 from flowrisk.config import CorrelationConfig
 from flowrisk.operators.ordered import asof_lookup, values_at_ranks, with_position, with_previous
-from flowrisk.session import broadcast_if_small, cut_lineage
+from flowrisk.session import broadcast_if_small, cut_lineage, materialize
 
 LINK_SCHEMA = "project_id string, _slice long, scheduler_id string, request_id string, url_match boolean"
 
@@ -127,11 +127,12 @@ def candidate_counts(links: DataFrame, requests: DataFrame,
 
     calls = requests.where("is_scheduler_invoked").select(
         "service_name", "insert_id", F.unix_micros("timestamp").alias("_at"))
-    placed = with_position(calls, ["service_name"], ["_at", "insert_id"], "_pos", by_slice(F.col("_at")))
+    placed = materialize(
+        with_position(calls, ["service_name"], ["_at", "insert_id"], "_pos", by_slice(F.col("_at"))), "placed")
     probe = (links.withColumn("_lo", F.unix_micros("scheduled_time"))
              .withColumn("_hi", F.col("_lo") + cfg.link_seconds * 1_000_000))
-    upto = asof_lookup(probe, placed, ["service_name"], "_hi", "_at", ["_pos"], "_a", by_slice,
-                       tie_order=["_pos"])
+    upto = materialize(asof_lookup(probe, placed, ["service_name"], "_hi", "_at", ["_pos"], "_a", by_slice,
+                                   tie_order=["_pos"]), "probed")
     both = asof_lookup(upto, placed, ["service_name"], "_lo", "_at", ["_pos"], "_b", by_slice,
                        strict=True, tie_order=["_pos"])
     zero = F.lit(0)
@@ -165,7 +166,7 @@ def correlate_events(audit: DataFrame, links: DataFrame, requests: DataFrame, sc
              .withColumn("_req", F.unix_micros("request_ts"))
              .withColumn("_late", -F.unix_micros("scheduled_time")))
     cad = cadence(schedulers, cfg)
-    right = right.join(cad, "project_id", "left")
+    right = materialize(right.join(cad, "project_id", "left"), "links")
     values = ["scheduler_id", "request_id", "job_id", "scheduled_time", "url_match", "candidate_count",
               "cadence_seconds"]
     near = asof_lookup(named.where(F.col("service_name").isNotNull()), right, ["service_name"], "_us", "_req",

@@ -10,18 +10,19 @@ from flowrisk.config import WorldConfig
 from flowrisk.operators.world import WINDOW_KEY, mark_new
 
 
-def simple_rules(activity: DataFrame, known: DataFrame) -> DataFrame:
-    """Rules that look at one window only. ``known`` lists known initiators (``actor_id``)."""
-    novel = activity.join(known.select("actor_id").distinct().withColumn("_known", F.lit(True)),
-                          "actor_id", "left")
-    return novel.select(
-        *WINDOW_KEY,
+def _with_known(activity: DataFrame, known: DataFrame) -> DataFrame:
+    return activity.join(known.select("actor_id").distinct().withColumn("_known", F.lit(True)),
+                         "actor_id", "left")
+
+
+def _simple() -> list:
+    return [
         (F.col("n_policy_no_deploy") > 0).alias("INV_001"),
         (F.col("n_create_key") > 0).alias("INV_002"),
         ((F.col("n_create_key") > 0) & F.col("_known").isNull()).alias("INV_003"),
         (F.col("n_impersonate") > 0).alias("INV_004"),
         ((F.col("n_policy") > 0) & (F.col("n_secret") > 0)).alias("INV_007"),
-        (F.col("n_metadata") > 0).alias("INV_009"))
+        (F.col("n_metadata") > 0).alias("INV_009")]
 
 
 def _past(cfg: WorldConfig):
@@ -30,13 +31,34 @@ def _past(cfg: WorldConfig):
             .rangeBetween(-cfg.lookback_seconds, -1))
 
 
-def impersonation_spike(activity: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
-    """More than twice the mean of earlier windows that had any impersonation."""
+def _spike(cfg: WorldConfig) -> list:
     n = F.col("n_impersonate")
     baseline = F.avg(F.when(n > 0, n)).over(_past(cfg))
-    return activity.select(
-        *WINDOW_KEY, n, baseline.alias("impersonation_baseline"),
-        ((n > 0) & (baseline.isNull() | (n > 2 * baseline))).alias("INV_005"))
+    return [baseline.alias("impersonation_baseline"),
+            ((n > 0) & (baseline.isNull() | (n > 2 * baseline))).alias("INV_005")]
+
+
+def _bare(cfg: WorldConfig) -> list:
+    chained, total = F.sum("n_chained").over(_past(cfg)), F.sum("event_count").over(_past(cfg))
+    service = F.col("actor_id").contains(".iam.gserviceaccount.com")
+    usual = F.coalesce((total >= 10) & (chained / total >= 0.8), F.lit(False))
+    return [F.coalesce(chained, F.lit(0)).alias("past_chained"), F.coalesce(total, F.lit(0)).alias("past_events"),
+            (service & (F.col("event_count") > F.col("n_chained")) & usual).alias("INV_011")]
+
+
+def simple_rules(activity: DataFrame, known: DataFrame) -> DataFrame:
+    """Rules that look at one window only. ``known`` lists known initiators (``actor_id``)."""
+    return _with_known(activity, known).select(*WINDOW_KEY, *_simple())
+
+
+def impersonation_spike(activity: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
+    """More than twice the mean of earlier windows that had any impersonation."""
+    return activity.select(*WINDOW_KEY, "n_impersonate", *_spike(cfg))
+
+
+def missing_delegation(activity: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
+    """A service account that usually acts through a delegation chain acts without one."""
+    return activity.select(*WINDOW_KEY, *_bare(cfg))
 
 
 def novel_access(targets: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
@@ -58,28 +80,12 @@ def new_sensitive_edge(edges: DataFrame) -> DataFrame:
             .select(*WINDOW_KEY).distinct().withColumn("INV_010", F.lit(True)))
 
 
-def missing_delegation(activity: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
-    """A service account that usually acts through a delegation chain acts without one."""
-    past = _past(cfg)
-    chained, total = F.sum("n_chained").over(past), F.sum("event_count").over(past)
-    now_bare = F.col("event_count") > F.col("n_chained")
-    return activity.select(
-        *WINDOW_KEY, F.coalesce(chained, F.lit(0)).alias("past_chained"),
-        F.coalesce(total, F.lit(0)).alias("past_events"),
-        (F.col("actor_id").contains(".iam.gserviceaccount.com") & now_bare &
-         F.coalesce((total >= 10) & (chained / total >= 0.8), F.lit(False))).alias("INV_011"))
-
-
 def check_invariants(activity: DataFrame, targets: DataFrame, edges: DataFrame, known: DataFrame,
                      cfg: WorldConfig = WorldConfig()) -> DataFrame:
     """All rules, with score (highest severity), count and sorted ids of fired rules."""
     rules = sorted(C.INVARIANT_SEVERITY)
-    # The two history rules share one window pass over the activity table.
-    history = (activity.join(impersonation_spike(activity, cfg).select(*WINDOW_KEY, "INV_005"), WINDOW_KEY)
-               .join(missing_delegation(activity, cfg).select(*WINDOW_KEY, "INV_011"), WINDOW_KEY)
-               .select(*WINDOW_KEY, "INV_005", "INV_011"))
-    joined = (simple_rules(activity, known)
-              .join(history, WINDOW_KEY)
+    # One shuffle by actor serves the lookup and both history rules.
+    joined = (_with_known(activity, known).select(*WINDOW_KEY, *_simple(), *_spike(cfg), *_bare(cfg))
               .join(novel_access(targets, cfg), WINDOW_KEY, "left")
               .join(new_sensitive_edge(edges), WINDOW_KEY, "left"))
     return roll_up(joined.select(*WINDOW_KEY, *[F.coalesce(r, F.lit(False)).alias(r) for r in rules]))

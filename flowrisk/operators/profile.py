@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.functions import expressions as X
 from flowrisk.operators.ordered import nearest_value
+from flowrisk.session import materialize
 
 
 def log_short_name(log_name: Column) -> Column:
@@ -127,7 +128,7 @@ def temporal_clusters(timed: DataFrame, gap_seconds: float = 30.0, slice_seconds
     order = ["_us", "id"]
     rows = timed.where(F.col("ts").isNotNull()).withColumn("_us", F.unix_micros("ts"))
     piece = X.time_slice(F.col("ts"), slice_seconds)
-    before = nearest_value(rows, [], order, F.col("_us"), "_prev", piece)
+    before = materialize(nearest_value(rows, [], order, F.col("_us"), "_prev", piece), "timed")
     fresh = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > int(gap_seconds * 1_000_000))
     marked = nearest_value(before, [], order, F.when(fresh, F.col("_us")), "_start", piece, include_current=True)
     return marked.select(*timed.columns, F.timestamp_micros("_start").alias("cluster_start"))

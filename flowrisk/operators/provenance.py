@@ -110,23 +110,30 @@ def zone_match(sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) ->
     fixed length, so no array outgrows ``chunk``; a sequence of several chunks
     is put together exactly from the segment tables of its chunks.
     """
-    zoned = (patterns.where(F.coalesce(F.size("expected_zones"), F.lit(0)) > 0)
-             .select("pattern_id", "expected_zones"))
+    length = F.size("expected_zones")
+    zoned = (patterns.where(F.coalesce(length, F.lit(0)) > 0)
+             .select("pattern_id", length.alias("_m"), F.assert_true(
+                 length <= X.MAX_PATTERN, F.lit("a pattern may hold at most 60 zones")).alias("_ok"),
+                 X.symbol_masks(F.col("expected_zones")).alias("_masks")))
     chunks = (sequences.withColumn("_chunk", F.expr(f"(position - 1) div {chunk}"))
               .groupBy(*WINDOW_KEY, "_chunk")
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target_zone"))),
                                lambda r: r["target_zone"]).alias("_zones")))
-    tables = (chunks.join(broadcast_if_small(zoned), F.lit(True))
-              .withColumn("_table", X.lcs_segments(F.col("_zones"), F.col("expected_zones"))))
-    whole = (tables.groupBy(*WINDOW_KEY, "pattern_id", "expected_zones")
-             .agg(F.sum(F.size("_zones")).alias("_n"),
-                  F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_table"))),
-                              lambda r: r["_table"]).alias("_tables")))
-    length = F.size("expected_zones")
-    lcs = F.when(F.size("_tables") == 1, F.get(F.get(F.get("_tables", F.lit(0)), F.lit(0)), length)) \
-        .otherwise(X.lcs_join(F.col("_tables"), length))
-    return whole.select(*WINDOW_KEY, "pattern_id",
-                        (lcs / F.greatest(F.col("_n"), length)).alias("zone_score"))
+    read = X.lcs_masks(F.col("_zones"), F.col("_masks"))
+    # A first chunk that is not full is the whole sequence and needs one vector only.
+    alone = (F.col("_chunk") == 0) & (F.size("_zones") < chunk)
+    tables = (chunks.join(broadcast_if_small(zoned), F.lit(True)).withColumn("_read", read)
+              .select(*WINDOW_KEY, "pattern_id", "_m", "_ok", "_chunk", F.size("_zones").alias("_n"),
+                      F.when(alone, F.array(X.lcs_vector(F.col("_read"), F.col("_m"))))
+                      .otherwise(X.lcs_vectors(F.col("_read"), F.col("_m"))).alias("_vectors")))
+    whole = (tables.where(F.col("_ok").isNull()).groupBy(*WINDOW_KEY, "pattern_id", "_m")
+             .agg(F.sum("_n").alias("_n"),
+                  F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_vectors"))),
+                              lambda r: r["_vectors"]).alias("_chunks")))
+    m = F.col("_m")
+    lcs = F.when(F.size("_chunks") == 1, X.lcs_of_vector(F.get(F.get("_chunks", F.lit(0)), F.lit(0)), m)) \
+        .otherwise(X.lcs_join(F.col("_chunks"), m))
+    return whole.select(*WINDOW_KEY, "pattern_id", (lcs / F.greatest(F.col("_n"), m)).alias("zone_score"))
 
 
 def pattern_match(windows: DataFrame, sequences: DataFrame, patterns: DataFrame) -> DataFrame:

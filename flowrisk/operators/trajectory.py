@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.functions import expressions as X
 from flowrisk.operators.ordered import running_totals, with_position, with_previous
+from flowrisk.session import materialize
 
 ORDER = ["t", "seq"]
 EDGE = ["src", "dst", "action"]
@@ -146,8 +147,8 @@ def rolling_excess(transitions: DataFrame, window_size: int = 80, alpha: float =
     ln(count + alpha) over seen edges, and the baseline count of a window edge
     is its running count at its first use in the window.
     """
-    p = positions(transitions, slice_seconds)
-    c = with_position(p, ["actor", *EDGE], ORDER, "_c", day_slice(slice_seconds))
+    p = materialize(positions(transitions, slice_seconds), "positions")
+    c = materialize(with_position(p, ["actor", *EDGE], ORDER, "_c", day_slice(slice_seconds)), "counted")
     step = F.log((F.col("_c") + alpha) / (F.col("_c") - 1 + alpha))
     h = running_totals(c, ["actor"], ORDER, {
         "_log_seen": step, "_seen": (F.col("_c") == 1).cast("long")}, day_slice(slice_seconds))

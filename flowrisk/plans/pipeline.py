@@ -11,6 +11,7 @@ from flowrisk import config as C
 from flowrisk.config import ClosureConfig, WorldConfig
 from flowrisk.functions import expressions as X
 from flowrisk.operators import closure, invariants, provenance, scoring, world
+from flowrisk.session import materialize
 
 
 @dataclass(frozen=True)
@@ -24,10 +25,17 @@ class WorldModel:
     cfg: WorldConfig
 
 
-def build_world(events: DataFrame, cfg: WorldConfig = WorldConfig()) -> WorldModel:
-    targets = world.target_activity(events)
-    edges = world.edge_novelty(world.zone_edges(events, cfg), cfg)
-    return WorldModel(events, targets, world.window_activity(targets), edges, cfg)
+def build_world(events: DataFrame, cfg: WorldConfig = WorldConfig(), store: bool = True) -> WorldModel:
+    """Activity and transition tables of all windows.
+
+    Several signals read each of them, so they are written once (``store``)
+    and the events are not scanned again for every signal.
+    """
+    keep = materialize if store else (lambda df, name: df)
+    targets = keep(world.target_activity(events), "targets")
+    activity = keep(world.window_activity(targets), "activity")
+    edges = keep(world.edge_novelty(keep(world.zone_edges(events, cfg), "transitions"), cfg), "edges")
+    return WorldModel(events, targets, activity, edges, cfg)
 
 
 def all_pairs(events: DataFrame, seeded: DataFrame, cfg: ClosureConfig = ClosureConfig()) -> DataFrame:
@@ -40,9 +48,10 @@ def fusion(model: WorldModel, known: DataFrame, pairs: DataFrame,
            closure_cfg: ClosureConfig = ClosureConfig(), point_in_time: bool = True) -> DataFrame:
     """Signals and fused score of every (window, actor)."""
     cfg, keys = model.cfg, model.activity.select(*world.WINDOW_KEY)
-    flux = world.zone_flux(keys, model.edges, cfg)
+    flux = materialize(world.zone_flux(keys, model.edges, cfg), "flux")
     opened = closure.watches(model.events, pairs, closure_cfg)
-    closed = closure.close_times(model.events, opened, keys, pairs, closure_cfg, cfg)
+    opened = materialize(opened, "watches")
+    closed = materialize(closure.close_times(model.events, opened, keys, pairs, closure_cfg), "closed")
     return scoring.fusion_scores(
         model.activity,
         invariants.check_invariants(model.activity, model.targets, model.edges, known, cfg),
@@ -53,7 +62,7 @@ def fusion(model: WorldModel, known: DataFrame, pairs: DataFrame,
 def residual(model: WorldModel, fused: DataFrame, known: DataFrame, patterns: DataFrame) -> DataFrame:
     """Fused scores after the provenance discount, with tiers."""
     matches = provenance.pattern_match(model.activity, world.zone_sequences(model.events, model.cfg), patterns)
-    dominant = provenance.dominant_provenance(model.events)
+    dominant = materialize(provenance.dominant_provenance(model.events), "provenance")
     chains = provenance.trigger_chains(dominant, model.events, known)
     return (provenance.residual_risk(fused, matches, dominant, chains)
             .withColumn("tier", X.tier(F.col("residual_risk"), C.RESIDUAL_TIERS)))

@@ -18,7 +18,7 @@ from flowrisk.operators import (
 from flowrisk.plans import pipeline
 from flowrisk.plans import tables as T
 from flowrisk.sources import raw_logs
-from flowrisk.session import tune
+from flowrisk.session import materialize, tune
 
 DAY = T.DAY
 REGISTRY: dict = {}
@@ -55,21 +55,22 @@ def _events(spark, sf) -> DataFrame:
 
 
 def _edges(spark, sf) -> DataFrame:
-    return world.edge_novelty(world.zone_edges(_events(spark, sf), DAY), DAY)
+    return materialize(world.edge_novelty(materialize(world.zone_edges(_events(spark, sf), DAY), "transitions"), DAY),
+                       "edges")
 
 
 def _flux(spark, sf) -> DataFrame:
-    return world.zone_flux(_events(spark, sf), _edges(spark, sf), DAY)
+    return materialize(world.zone_flux(_events(spark, sf), _edges(spark, sf), DAY), "flux")
 
 
 def _risk(spark, sf) -> DataFrame:
-    return pipeline.score_events(_events(spark, sf), T.known_initiators(spark, sf), T.patterns(spark),
-                                 closure.seed_pairs(spark), DAY)
+    return materialize(pipeline.score_events(_events(spark, sf), T.known_initiators(spark, sf), T.patterns(spark),
+                                             closure.seed_pairs(spark), DAY), "risk")
 
 
 def _fused(spark, sf) -> DataFrame:
-    return pipeline.fusion(pipeline.build_world(_events(spark, sf), DAY), T.known_initiators(spark, sf),
-                           closure.seed_pairs(spark))
+    return materialize(pipeline.fusion(pipeline.build_world(_events(spark, sf), DAY), T.known_initiators(spark, sf),
+                                       closure.seed_pairs(spark)), "fused")
 
 
 # --- windows, edges, flux ------------------------------------------------------
@@ -151,7 +152,7 @@ def novelty_score(spark, sf):
 # --- invariants ----------------------------------------------------------------
 
 def _activity(spark, sf):
-    targets = world.target_activity(_events(spark, sf))
+    targets = materialize(world.target_activity(_events(spark, sf)), "targets")
     return targets, world.window_activity(targets)
 
 
@@ -223,8 +224,9 @@ def closure_closed(spark, sf):
 
 def _closed(spark, sf):
     ev, pairs = _events(spark, sf), closure.seed_pairs(spark)
-    keys = ev.select(*world.WINDOW_KEY).distinct()
-    return closure.close_times(ev, closure.watches(ev, pairs), keys, pairs, ClosureConfig(), DAY), keys
+    keys = materialize(ev.select(*world.WINDOW_KEY).distinct(), "keys")
+    opened = materialize(closure.watches(ev, pairs), "watches")
+    return materialize(closure.close_times(ev, opened, keys, pairs, ClosureConfig()), "closed"), keys
 
 
 @query
@@ -683,7 +685,7 @@ def effect_size(spark, sf):
 # --- trajectories ------------------------------------------------------------------------
 
 def _transitions(spark, sf):
-    return trajectory.from_state_visits(T.state_visits(spark, sf))
+    return materialize(trajectory.from_state_visits(T.state_visits(spark, sf)), "transitions")
 
 
 @query
@@ -730,7 +732,7 @@ def excess_kl(spark, sf):
 
 
 def _rolling(spark, sf, stride=10):
-    return trajectory.rolling_excess(_transitions(spark, sf), 20, 1.0, stride)
+    return materialize(trajectory.rolling_excess(_transitions(spark, sf), 20, 1.0, stride), "rolling")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,24 +46,41 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "flowri
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to shared storage so that iterations survive lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that every executor can read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where that is unset (tests on one machine) a folder is made here.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where
+    that is unset (tests on one machine) a folder is made here.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to shared storage so that iterations survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to shared storage and read it back.
+
+    For tables that several later steps read. Unlike a cache it survives lost
+    executors, and unlike a checkpoint it is columnar, so readers prune columns
+    and the optimizer knows its size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Broadcast a configuration table after counting it; a larger one is left to the optimizer."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
