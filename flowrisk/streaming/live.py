@@ -102,7 +102,8 @@ def track_watches(events: DataFrame, cfg: ClosureConfig = ClosureConfig(), delay
 
     State per resource is one small row. A watch opens at the first opening
     event, and closes at the expected action, at its time to live, or when the
-    resource has been quiet for its settlement time.
+    resource has been quiet for its settlement time. Events count in time order
+    within a batch and in order of arrival across batches.
     """
     closing = {p[1]: (p[2], float(p[3])) for p in cfg.pairs}
     opening = set(cfg.opening_types) | set(closing)
