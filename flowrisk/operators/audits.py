@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowrisk import config as C
 from flowrisk.operators.ordered import linear_percentiles, running_totals
 from flowrisk.operators.trajectory import EDGE
-from flowrisk.session import cut_lineage
+from flowrisk.session import cut_lineage, materialize
 
 FEATURES = ["n_events", "n_resources", "n_edges", "n_actions", "edge_diversity", "max_degree", "mean_degree"]
 
@@ -50,7 +50,7 @@ def span_features(transitions: DataFrame, spans: DataFrame, key: str) -> DataFra
     """
     rows = (transitions.join(spans.select(key, "actor", "t_start", "t_end"), "actor")
             .where((F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end"))))
-    by_edge = rows.groupBy(key, *EDGE).agg(F.count(F.lit(1)).alias("c"))
+    by_edge = materialize(rows.groupBy(key, *EDGE).agg(F.count(F.lit(1)).alias("c")), "span_edges")
     edges = by_edge.groupBy(key).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("e"))
     actions = by_edge.select(key, "action").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("a"))
     degrees = (by_edge.select(key, "c", F.explode(F.array("src", "dst")).alias("node"))
@@ -180,7 +180,7 @@ def leak_scan(rows: DataFrame, id_columns: list[str], vocabulary: list[str] | No
     """Every (row, column, forbidden word) where the word occurs in the value, letter case aside."""
     words = sorted({w.lower() for w in (C.LEAK_VOCABULARY if vocabulary is None else vocabulary)})
     columns = [c for c in rows.columns if c not in id_columns]
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower("value"), w))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lower(F.col(c).cast("string")).alias("value")) for c in columns])
+    found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("value"), w))
     return (rows.select(*id_columns, F.explode(cells).alias("c")).select(*id_columns, "c.column", "c.value")
             .select(*id_columns, "column", F.explode(found).alias("word")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk import config as C
@@ -21,7 +21,8 @@ def parse_entries(entries: DataFrame, column: str = "entry") -> DataFrame:
            .when(F.col("log.logName").contains(C.REQUEST_LOG_MARKER), "request")
            .when(F.col("log.protoPayload").isNotNull() & F.col("log.timestamp").isNotNull(), "audit")
            .otherwise("unknown"))
-    return entries.withColumn("log", log).withColumn("log_format", fmt)
+    # Generating the struct keeps the parser from being repeated for every field read from it.
+    return entries.select("*", F.explode(F.array(log)).alias("log")).withColumn("log_format", fmt)
 
 
 def canonicalize_audit(parsed: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
@@ -115,10 +116,9 @@ def ingest_stats(parsed: DataFrame) -> DataFrame:
 def dedup_events(events: DataFrame, arrival: list[str], existing: DataFrame | None = None) -> DataFrame:
     """First arrival of each event id that is not stored yet.
 
-    Copies are merged by a partial aggregate before the shuffle, so many copies
-    of one event cost little.
+    Spark keeps only the first row per id of each task before the shuffle, so
+    many copies of one event cost little.
     """
-    row = F.struct(*arrival, *[c for c in events.columns if c not in arrival])
-    first = (events.groupBy("event_id").agg(F.min_by(row, F.struct(*arrival)).alias("_e"))
-             .select([F.col(f"_e.{c}").alias(c) for c in events.columns]))
+    order = Window.partitionBy("event_id").orderBy(*arrival)
+    first = events.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
     return first if existing is None else first.join(existing.select("event_id"), "event_id", "left_anti")

@@ -11,31 +11,35 @@ from flowrisk import config as C
 from flowrisk.config import ClosureConfig, WorldConfig
 from flowrisk.functions import expressions as X
 from flowrisk.operators import closure, invariants, provenance, scoring, world
-from flowrisk.session import materialize
+from flowrisk.session import materialize_all
 
 
 @dataclass(frozen=True)
 class WorldModel:
-    """The shared frames every signal is built from."""
+    """The shared tables every signal is built from."""
 
     events: DataFrame
     targets: DataFrame
     activity: DataFrame
     edges: DataFrame
+    watches: DataFrame
+    provenance: DataFrame
     cfg: WorldConfig
 
 
-def build_world(events: DataFrame, cfg: WorldConfig = WorldConfig(), store: bool = True) -> WorldModel:
-    """Activity and transition tables of all windows.
+def build_world(events: DataFrame, pairs: DataFrame, cfg: WorldConfig = WorldConfig(),
+                closure_cfg: ClosureConfig = ClosureConfig()) -> WorldModel:
+    """Reduce the events to the tables that later steps share.
 
-    Several signals read each of them, so they are written once (``store``)
-    and the events are not scanned again for every signal.
+    Each is written once, so the events are not scanned again for every signal.
     """
-    keep = materialize if store else (lambda df, name: df)
-    targets = keep(world.target_activity(events), "targets")
-    activity = keep(world.window_activity(targets), "activity")
-    edges = keep(world.edge_novelty(keep(world.zone_edges(events, cfg), "transitions"), cfg), "edges")
-    return WorldModel(events, targets, activity, edges, cfg)
+    targets, transitions, opened, dominant = materialize_all({
+        "targets": world.target_activity(events), "transitions": world.zone_edges(events, cfg),
+        "watches": closure.watches(events, pairs, closure_cfg),
+        "provenance": provenance.dominant_provenance(events)})
+    activity, edges = materialize_all({
+        "activity": world.window_activity(targets), "edges": world.edge_novelty(transitions, cfg)})
+    return WorldModel(events, targets, activity, edges, opened, dominant, cfg)
 
 
 def all_pairs(events: DataFrame, seeded: DataFrame, cfg: ClosureConfig = ClosureConfig()) -> DataFrame:
@@ -48,23 +52,21 @@ def fusion(model: WorldModel, known: DataFrame, pairs: DataFrame,
            closure_cfg: ClosureConfig = ClosureConfig(), point_in_time: bool = True) -> DataFrame:
     """Signals and fused score of every (window, actor)."""
     cfg, keys = model.cfg, model.activity.select(*world.WINDOW_KEY)
-    flux = materialize(world.zone_flux(keys, model.edges, cfg), "flux")
-    opened = closure.watches(model.events, pairs, closure_cfg)
-    opened = materialize(opened, "watches")
-    closed = materialize(closure.close_times(model.events, opened, keys, pairs, closure_cfg), "closed")
+    flux, closed, fired = materialize_all({
+        "flux": world.zone_flux(keys, model.edges, cfg),
+        "closed": closure.close_times(model.events, model.watches, keys, pairs, closure_cfg),
+        "invariants": invariants.check_invariants(model.activity, model.targets, model.edges, known, cfg)})
     return scoring.fusion_scores(
-        model.activity,
-        invariants.check_invariants(model.activity, model.targets, model.edges, known, cfg),
-        world.novelty_scores(model.edges), flux, world.ema_delta(flux, cfg),
+        model.activity, fired, world.novelty_scores(model.edges), flux, world.ema_delta(flux, cfg),
         closure.closure_signals(closed, keys, cfg, point_in_time))
 
 
 def residual(model: WorldModel, fused: DataFrame, known: DataFrame, patterns: DataFrame) -> DataFrame:
     """Fused scores after the provenance discount, with tiers."""
     matches = provenance.pattern_match(model.activity, world.zone_sequences(model.events, model.cfg), patterns)
-    dominant = materialize(provenance.dominant_provenance(model.events), "provenance")
-    chains = provenance.trigger_chains(dominant, model.events, known)
-    return (provenance.residual_risk(fused, matches, dominant, chains)
+    chains = provenance.trigger_chains(model.provenance, model.events, known)
+    fused, matches = materialize_all({"fused": fused, "matches": matches})
+    return (provenance.residual_risk(fused, matches, model.provenance, chains)
             .withColumn("tier", X.tier(F.col("residual_risk"), C.RESIDUAL_TIERS)))
 
 
@@ -72,7 +74,7 @@ def score_events(events: DataFrame, known: DataFrame, patterns: DataFrame, pairs
                  cfg: WorldConfig = WorldConfig(), closure_cfg: ClosureConfig = ClosureConfig(),
                  point_in_time: bool = True, explain: bool = False) -> DataFrame:
     """The whole pipeline: canonical events in, one risk row per (window, actor) out."""
-    model = build_world(events, cfg)
+    model = build_world(events, pairs, cfg, closure_cfg)
     fused = fusion(model, known, pairs, closure_cfg, point_in_time)
     if explain:
         flags = invariants.check_invariants(model.activity, model.targets, model.edges, known, cfg)

@@ -69,8 +69,9 @@ def _risk(spark, sf) -> DataFrame:
 
 
 def _fused(spark, sf) -> DataFrame:
-    return materialize(pipeline.fusion(pipeline.build_world(_events(spark, sf), DAY), T.known_initiators(spark, sf),
-                                       closure.seed_pairs(spark)), "fused")
+    pairs = closure.seed_pairs(spark)
+    return materialize(pipeline.fusion(pipeline.build_world(_events(spark, sf), pairs, DAY),
+                                       T.known_initiators(spark, sf), pairs), "fused")
 
 
 # --- windows, edges, flux ------------------------------------------------------
@@ -815,8 +816,8 @@ def _samples(spark, sf):
     tr = _transitions(spark, sf)
     benign = _spans(spark, sf).select("actor", "t_start", "t_end", F.lit("benign").alias("flavor"), F.lit(0).alias("y"))
     marked = T.campaigns(spark, sf).select("actor", "t_start", "t_end", "flavor", F.lit(1).alias("y"))
-    spans = benign.unionByName(marked).withColumn(
-        "sample", F.concat_ws("|", "actor", "y", F.floor("t_start").cast("string")))
+    spans = materialize(benign.unionByName(marked).withColumn(
+        "sample", F.concat_ws("|", "actor", "y", F.floor("t_start").cast("string"))), "spans")
     return spans.join(audits.span_features(tr, spans, "sample"), "sample")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """Materialize independent tables at the same time, so that small ones fill idle executors."""
+    shared_folder(next(iter(frames.values())).sparkSession)
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(lambda item: materialize(item[1], item[0]), frames.items()))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Broadcast a configuration table after counting it; a larger one is left to the optimizer."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
