@@ -42,13 +42,17 @@ def benign_spans(transitions: DataFrame, campaigns: DataFrame, width: float | No
                     (F.col("lo") + (F.col("span") + 1) * F.col("width")).alias("t_end")))
 
 
-def span_features(transitions: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+def span_features(transitions: DataFrame, spans: DataFrame, key: str, bucket_seconds: float = 86400.0) -> DataFrame:
     """Shallow features of one actor's transitions in [t_start, t_end), one row per span ``key``.
 
-    Distinct counts come from grouping by what is counted first, so no set is
-    held for a whole span.
+    Spans and transitions meet only in the time buckets they share. Distinct
+    counts come from grouping by what is counted first, so no set is held for a
+    whole span.
     """
-    rows = (transitions.join(spans.select(key, "actor", "t_start", "t_end"), "actor")
+    bucket = lambda c: F.floor(F.col(c) / F.lit(bucket_seconds)).cast("long")
+    covered = spans.select(key, "actor", "t_start", "t_end",
+                           F.explode(F.sequence(bucket("t_start"), bucket("t_end"))).alias("_b"))
+    rows = (transitions.withColumn("_b", bucket("t")).join(covered, ["actor", "_b"])
             .where((F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end"))))
     by_edge = materialize(rows.groupBy(key, *EDGE).agg(F.count(F.lit(1)).alias("c")), "span_edges")
     edges = by_edge.groupBy(key).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("e"))

@@ -193,19 +193,27 @@ def observed_workers(links: DataFrame, audit: DataFrame,
                      cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     """Audit events per (service, actor) in the time after each linked request, ends included.
 
-    Both sides are counted per second-exact time first and meet only in the
-    time buckets they share.
+    An event counts once for every request of the service that it follows
+    closely enough. For each service active around the event that number is a
+    difference of request positions, so events and requests are never paired.
     """
     width = cfg.audit_seconds * 1_000_000
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    seen = (audit.groupBy("actor_id", F.unix_micros("ts").alias("_e")).agg(F.count(F.lit(1)).alias("_ne"))
-            .withColumn("_b", bucket(F.col("_e"))))
-    calls = (links.groupBy("service_name", F.unix_micros("request_ts").alias("_r"))
-             .agg(F.count(F.lit(1)).alias("_nr"))
-             .withColumn("_b", F.explode(F.array(bucket(F.col("_r")), bucket(F.col("_r")) + 1))))
-    return (seen.join(calls, "_b")
-            .where((F.col("_e") >= F.col("_r")) & (F.col("_e") <= F.col("_r") + width))
-            .groupBy("service_name", "actor_id").agg(F.sum(F.col("_ne") * F.col("_nr")).alias("n_events")))
+    calls = links.select("service_name", F.unix_micros("request_ts").alias("_r"),
+                         F.monotonically_increasing_id().alias("_id"))
+    placed = materialize(with_position(calls, ["service_name"], ["_r", "_id"], "_pos", bucket(F.col("_r"))), "placed")
+    active = (placed.select("service_name", F.explode(F.array(bucket(F.col("_r")), bucket(F.col("_r")) + 1)).alias("_b"))
+              .distinct())
+    seen = (audit.groupBy("actor_id", F.unix_micros("ts").alias("_e")).agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_b", bucket(F.col("_e"))).join(active, "_b").drop("_b")
+            .withColumn("_from", F.col("_e") - width))
+    upto = materialize(asof_lookup(seen, placed, ["service_name"], "_e", "_r", ["_pos"], "_a", bucket,
+                                   tie_order=["_pos"]), "probed")
+    both = asof_lookup(upto, placed, ["service_name"], "_from", "_r", ["_pos"], "_b", bucket, strict=True,
+                       tie_order=["_pos"])
+    near = F.coalesce("_a._pos", F.lit(0)) - F.coalesce("_b._pos", F.lit(0))
+    return (both.withColumn("_near", near).where(F.col("_near") > 0)
+            .groupBy("service_name", "actor_id").agg(F.sum(F.col("_n") * F.col("_near")).alias("n_events")))
 
 
 def validate_service_map(links: DataFrame, audit: DataFrame, service_map: DataFrame,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from flowrisk import config as C
 from flowrisk.functions import expressions as X
-from flowrisk.operators.ordered import linear_percentiles, values_at_ranks
+from flowrisk.operators.ordered import asof_lookup, linear_percentiles, values_at_ranks
 from flowrisk.operators.scoring import normalised_signals, weighted_sum
 from flowrisk.operators.world import WINDOW_KEY
+from flowrisk.session import materialize
 
 
 # --- ablation ------------------------------------------------------------------
@@ -275,9 +276,16 @@ def instance_windows(positioned: DataFrame, campaigns: DataFrame, least: int = 5
     last ``fallback`` transitions up to its end. ``positioned`` carries
     ``position``.
     """
-    upto = (campaigns.join(positioned.select("actor", "t", "position"), "actor").where(F.col("t") <= F.col("t_end"))
-            .groupBy(*campaigns.columns)
-            .agg(F.sum((F.col("t") >= F.col("t_start")).cast("long")).alias("_in"), F.max("position").alias("_last")))
+    day = lambda t: F.floor(t / F.lit(86400.0)).cast("long")
+    place = positioned.select("actor", "t", "position")
+    # Counts come from positions at both ends, not from pairs of intervals and transitions.
+    ends = materialize(asof_lookup(campaigns, place, ["actor"], "t_end", "t", ["position"], "_e", day,
+                                   tie_order=["position"]), "ends")
+    both = asof_lookup(ends, place, ["actor"], "t_start", "t", ["position"], "_s", day, strict=True,
+                       tie_order=["position"])
+    upto = both.where(F.col("_e").isNotNull()).select(
+        *campaigns.columns, F.col("_e.position").alias("_last"),
+        (F.col("_e.position") - F.coalesce("_s.position", F.lit(0))).alias("_in"))
     back = positioned.select("actor", F.col("position").alias("_first"), F.col("t").alias("_back"))
     return (upto.withColumn("_first", F.greatest(F.lit(1).cast("long"), F.col("_last") - fallback + 1))
             .join(back, ["actor", "_first"])

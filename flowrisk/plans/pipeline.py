@@ -65,7 +65,7 @@ def residual(model: WorldModel, fused: DataFrame, known: DataFrame, patterns: Da
     """Fused scores after the provenance discount, with tiers."""
     matches = provenance.pattern_match(model.activity, world.zone_sequences(model.events, model.cfg), patterns)
     chains = provenance.trigger_chains(model.provenance, model.events, known)
-    fused, matches = materialize_all({"fused": fused, "matches": matches})
+    fused, matches, chains = materialize_all({"fused": fused, "matches": matches, "chains": chains})
     return (provenance.residual_risk(fused, matches, model.provenance, chains)
             .withColumn("tier", X.tier(F.col("residual_risk"), C.RESIDUAL_TIERS)))
 

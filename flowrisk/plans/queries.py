@@ -795,7 +795,8 @@ def campaigns_per_flavor(spark, sf):
 def behavioural_read(spark, sf):
     """Excess of labelled intervals, by flavor."""
     tr = _transitions(spark, sf)
-    spans = evaluate.instance_windows(trajectory.positions(tr), T.campaigns(spark, sf))
+    spans = evaluate.instance_windows(materialize(trajectory.positions(tr), "positions"), T.campaigns(spark, sf))
+    spans = materialize(spans, "spans")
     scored = trajectory.excess_kl(tr, spans.drop("flavor")).withColumn("flavor", F.substring_index("window_id", "|", 1))
     s = evaluate.separation_stats(scored, "flavor", "excess")
     return s.select("flavor", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "p90", "max")])
