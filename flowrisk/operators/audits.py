@@ -85,7 +85,7 @@ def average_precision(scored: DataFrame, keys: list[str], score: str, label: str
                          F.floor(F.col("_s") * slices).cast("long"))
     precision = (F.col("_p") + F.col("p")) / (F.col("_n") + F.col("n"))
     return run.groupBy(*keys).agg(
-        (F.sum(precision * F.col("p")) / F.sum("p")).alias("average_precision"),
+        F.try_divide(F.sum(precision * F.col("p")), F.sum("p")).alias("average_precision"),
         (F.sum("p") / F.sum("n")).alias("prevalence"))
 
 

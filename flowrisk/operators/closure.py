@@ -259,3 +259,15 @@ def promote_pairs(candidates: DataFrame, pairs: DataFrame,
                     .alias("pair_id"),
                     "opening_action_type", "closing_action_type", hours.alias("window_hours"),
                     F.lit(2).alias("tier")))
+
+
+def candidate_status(candidates: DataFrame, pairs: DataFrame,
+                     cfg: ClosureConfig = ClosureConfig()) -> DataFrame:
+    """Candidates with what became of them: ``existing``, the id of the new pair, or null."""
+    known = (pairs.select("opening_action_type", "closing_action_type").distinct()
+             .withColumn("_known", F.lit(True)))
+    fresh = F.concat_ws("-", F.lit("disc"), "opening_action_type", "closing_action_type")
+    return (candidates.join(F.broadcast(known), ["opening_action_type", "closing_action_type"], "left")
+            .select(*candidates.columns, F.when(
+                F.col("obs_count") >= cfg.promote_observations,
+                F.when(F.col("_known"), F.lit("existing")).otherwise(fresh)).alias("promoted_to")))

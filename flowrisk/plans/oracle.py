@@ -264,6 +264,8 @@ ORACLE |= {
     "promote_pairs": sql(EV, MINED, select="""SELECT 'disc-' || oa || '-' || ca AS pair_id, oa AS opening_action_type,
         ca AS closing_action_type, CAST(greatest(1, floor(2 * round_even(med, 1))) AS INTEGER) AS window_hours, 2 AS tier FROM cand
         WHERE n >= 5 AND NOT (oa = 'IAM_CREATE_KEY' AND ca = 'IAM_DELETE_KEY')"""),
+    "candidate_status": sql(EV, MINED, select="""SELECT 'cp-' || oa || '-' || ca AS candidate_id, n AS obs_count, CASE WHEN n < 5 THEN NULL
+        WHEN oa = 'IAM_CREATE_KEY' AND ca = 'IAM_DELETE_KEY' THEN 'existing' ELSE 'disc-' || oa || '-' || ca END AS promoted_to FROM cand"""),
     "fusion_score": sql(*FUSED, select=f"""SELECT {WS}, actor_id, inv_score, inv_count, {r6('novelty')} AS novelty_score,
         bridges AS bridge_new, {r6('sigma')} AS sigma_coarse, {r6('d')} AS delta_f, {r6('ratio')} AS closure_ratio,
         {r6('orphaned')} AS orphaned_privilege, {r6('fusion')} AS fusion_raw FROM fu"""),

@@ -266,6 +266,12 @@ def promote_pairs(spark, sf):
     return closure.promote_pairs(closure.mine_pairs(_events(spark, sf)), closure.seed_pairs(spark))
 
 
+@query
+def candidate_status(spark, sf):
+    return closure.candidate_status(closure.mine_pairs(_events(spark, sf)), closure.seed_pairs(spark)).select(
+        "candidate_id", "obs_count", "promoted_to")
+
+
 # --- fusion, provenance, policy ---------------------------------------------------
 
 @query

@@ -131,3 +131,26 @@ def test_attack_scores_above_benign(spark, make_events):
     by = {r.actor_id: r.m for r in risk.groupBy("actor_id").agg(F.max("residual_risk").alias("m")).collect()}
     assert by["x"] >= 2 * by["w"]
     assert "SA key created targeting k" in risk.where("actor_id = 'x'").first().explanation
+
+
+def test_pattern_registry_and_usage(spark):
+    p = tables.patterns(spark)
+    off = provenance.deactivate_pattern(p, "pat-a")
+    assert {r.pattern_id for r in provenance.active_patterns(off).collect()} == {"pat-b", "pat-c"}
+    more = provenance.register_pattern(off, p.where("pattern_id = 'pat-b'").unionByName(
+        p.where("pattern_id = 'pat-c'").withColumn("pattern_id", F.lit("pat-d"))))
+    assert sorted(r.pattern_id for r in more.collect()) == ["pat-a", "pat-b", "pat-c", "pat-d"]
+    m = spark.createDataFrame([(T0, "a", "pat-b"), (T0, "b", "pat-b"), (T0.replace(hour=11), "a", "pat-b"), (T0, "c", None)],
+                              "window_start timestamp, actor_id string, matched_pattern_id string")
+    r = provenance.pattern_usage(m).first()
+    assert (r.match_count, r.last_matched_ts) == (2, T0.replace(hour=11))
+
+
+def test_newest_pattern_wins_ties(spark):
+    w = spark.createDataFrame([(T0, "a", 1)], "window_start timestamp, actor_id string, event_count long")
+    s = spark.createDataFrame([(T0, "a", 1, "DATA")], "window_start timestamp, actor_id string, position long, target_zone string")
+    base = tables.patterns(spark).where("pattern_id = 'pat-c'").withColumn("expected_window", F.lit(None).cast(
+        "struct<days_of_week:array<int>,hour_start:int,hour_end:int>"))
+    both = base.unionByName(base.withColumn("pattern_id", F.lit("pat-0"))
+                            .withColumn("registered_ts", F.to_timestamp(F.lit("2025-01-01"))))
+    assert provenance.pattern_match(w, s, both).first().matched_pattern_id == "pat-0"
