@@ -99,7 +99,8 @@ def leakage_audit(samples: DataFrame, train: Column, replicates: int = 1000, str
     bootstrap interval, overall and per flavor. A stratum is at chance when the
     upper bound stays within ``margin`` of the prevalence.
     """
-    fit = samples.where(train)
+    samples = materialize(samples.withColumn("_train", train), "samples")
+    fit, rest = samples.where("_train"), samples.where("NOT _train")
     share = fit.groupBy("y").agg((F.count(F.lit(1))).alias("_n"))
     total = fit.agg(F.count(F.lit(1)).alias("_all"))
     weights = share.join(F.broadcast(total), F.lit(True)).select("y", (F.col("_all") / (2 * F.col("_n"))).alias("_w"))
@@ -109,23 +110,23 @@ def leakage_audit(samples: DataFrame, train: Column, replicates: int = 1000, str
     n = data.count()
     model = LogisticRegression(maxIter=1000, regParam=1.0 / max(n, 1), standardization=False,
                                weightCol="_w").fit(data)
-    scored = model.transform(vectors.transform(samples.where(~train))).select(
+    scored = model.transform(vectors.transform(rest)).select(
         "y", "flavor", F.round(vector_to_array("probability")[1], 12).alias("score"))
     held = cut_lineage(scored)
     flavors = held.where("y = 1").groupBy("flavor").agg(F.count(F.lit(1)).alias("n_pos"))
-    strata = (held.where("y = 1").withColumn("stratum", F.explode(F.array(F.lit("ALL"), F.col("flavor"))))
+    strata = materialize(held.where("y = 1").withColumn("stratum", F.explode(F.array(F.lit("ALL"), F.col("flavor"))))
               .unionByName(held.where("y = 0").withColumn("stratum", F.lit("ALL")))
               .unionByName(held.where("y = 0").join(F.broadcast(flavors.select(F.col("flavor").alias("stratum"))),
-                                                    F.lit(True))))
+                                                    F.lit(True))), "strata")
     point = average_precision(strata, ["stratum"], "score", "y")
     # Poisson(1) counts stand in for resampling, so each row draws on its own.
     draws = F.when(F.col("stratum") == "ALL", replicates).otherwise(stratum_replicates)
-    uniform = F.rand(seed)
-    poisson = sum((F.when(uniform > sum(math.exp(-1) / math.factorial(i) for i in range(k)), 1).otherwise(0)
+    poisson = sum((F.when(F.col("_u") > sum(math.exp(-1) / math.factorial(i) for i in range(k)), 1).otherwise(0)
                    for k in range(1, 9)), F.lit(0))
     resampled = (strata.withColumn("replicate", F.explode(F.sequence(F.lit(1), draws)))
-                 .withColumn("_k", poisson).where(F.col("_k") > 0))
-    boot = average_precision(resampled, ["stratum", "replicate"], "score", "y", F.col("_k"))
+                 .withColumn("_u", F.rand(seed)).withColumn("_k", poisson).where(F.col("_k") > 0))
+    boot = materialize(average_precision(resampled, ["stratum", "replicate"], "score", "y", F.col("_k"), slices=8),
+                       "replicates")
     bounds = linear_percentiles(boot.where(F.col("average_precision").isNotNull()), ["stratum"],
                                 "average_precision", {"ci_lower": 0.025, "ci_upper": 0.975}).drop("n")
     n_pos = strata.groupBy("stratum").agg(F.sum("y").alias("n_pos"))
