@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -70,6 +71,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table as the program ends; the session may have ended before."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
@@ -78,6 +87,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and the optimizer knows its size.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
