@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowrisk.llm import embedding_dedup, simhash, suffix_tree
 from flowrisk.llm.common import table
+from flowrisk.llm.language import language
 from flowrisk.llm.mixing import mix
 from flowrisk.llm.packing import pack_documents
 from flowrisk.llm.quality import quality
@@ -28,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,6 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op5_mixing, op7_quality_rules, op8_suffix_tree,
-                                  op9_sharding, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op4_language, op5_mixing, op7_quality_rules,
+                                  op8_suffix_tree, op9_sharding, op10_embedding_dedup)}
 ORACLE: dict[str, str] = {}
