@@ -11,6 +11,7 @@ from flowrisk.llm.language import language
 from flowrisk.llm.mixing import mix
 from flowrisk.llm.packing import pack_documents
 from flowrisk.llm.quality import quality
+from flowrisk.llm.secret_scan import secrets
 from flowrisk.llm.sharding import shard_rows
 from flowrisk.llm.token_counts import token_counts
 
@@ -37,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,6 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op4_language, op5_mixing, op7_quality_rules,
-                                  op8_suffix_tree, op9_sharding, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op4_language, op5_mixing, op6_secret_scan,
+                                  op7_quality_rules, op8_suffix_tree, op9_sharding, op10_embedding_dedup)}
 ORACLE: dict[str, str] = {}
