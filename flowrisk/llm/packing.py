@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,10 +13,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk.llm.common import groups_for
+from flowrisk.llm.token_counts import byte_alphabet
 
 END_ID = 2
 CACHE_WORDS = 400_000
 GROUP_DOCS = 8_192
+CHUNK_DOCS = 256
+# Lower-case Latin letters, composed, then plain marks: two pre-tokens that no normaliser changes. Or any other word.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:]*)(?= |$)|([^ ]+)")
+
+
+class Encoder:
+    """Token ids of words as little-endian 32-bit bytes; words that were seen are looked up.
+
+    A pre-token never spans white space, so the ids of a text are those of its words. Plain words go to the
+    tokenizer's own model many at a time, without normaliser and pre-tokenizer, which leave them as they are;
+    a piece with a word end closes each. All other words are encoded in full.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.full = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.full.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.full.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.seen: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
+        if not words:
+            return {}
+        text = " ".join(words).encode().decode("latin-1").translate(self.shown | {32: " "})
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+        packed = ids.tobytes()
+        return {w: packed[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
+    def learn(self, words: set[bytes]) -> None:
+        new = list(words.difference(self.seen))
+        parts = PLAIN.findall(b" ".join(new).decode())
+        plain = self._plain(list(dict.fromkeys(core for core, _, _ in parts if core)))
+        others = [w for _, _, w in parts if w] + list({m for _, m, _ in parts if m not in self.marks})
+        whole = dict(zip(others, self._whole(others)))
+        self.marks.update((m, whole[m]) for _, m, _ in parts if m not in self.marks)
+        self.seen.update((raw, plain[core] + self.marks[m] if core else whole[w]) for raw, (core, m, w) in zip(new, parts))
 
 
 class FirstFit:
@@ -54,25 +102,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
     """Tokenise every text, append END_ID, and cut it into pieces of at most ``capacity`` ids.
 
     One row per piece: id, start, length, ids_crc32, doc_tokens, salt. A null text is an empty one
-    and yields the single END_ID. Ids are those of the whole text: a pre-token never spans ASCII
-    white space, so words are encoded one by one and remembered (at most CACHE_WORDS per task).
+    and yields the single END_ID. A task remembers the ids of about CACHE_WORDS words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, seen, end = Tokenizer.from_file(tokenizer_path), {}, np.array([END_ID], "<u4").tobytes()
-        at = 0
-        for batch in batches:
+        encoder, end, at = Encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes(), 0
+        for batch in (b.slice(i, CHUNK_DOCS) for b in batches for i in range(0, b.num_rows, CHUNK_DOCS)):
+            raw = [(text or "").encode() for text in batch.column(1).to_pylist()]
+            # Special tokens are found with their case, all else is lower-cased by the tokenizer.
+            words = [(r if b"<|" in r else r.lower()).split() for r in raw]
+            encoder.learn(set().union(*words))
             order, start, length, crc, total = [], [], [], [], []
-            for n, text in enumerate(batch.column(1).to_pylist()):
-                raw = (text or "").encode()
-                # Special tokens are found with their case, all else is lower-cased by the tokenizer.
-                words = (raw if b"<|" in raw else raw.lower()).split()
-                new = list(set(words).difference(seen))
-                if new:
-                    coded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                    seen.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
-                ids = b"".join([*map(seen.__getitem__, words), end])
+            for n, own in enumerate(words):
+                ids = b"".join([*map(encoder.seen.__getitem__, own), end])
                 size = len(ids) // 4
                 for s in range(0, size, capacity):
                     part = ids[4 * s:4 * (s + capacity)]
@@ -81,8 +122,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     total.append(size)
-                if len(seen) > CACHE_WORDS:
-                    seen.clear()
+            if len(encoder.seen) > CACHE_WORDS:
+                encoder.seen.clear()
             salt = np.arange(at, at + len(order), dtype="int64")
             at += len(order)
             numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total, salt)]

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from flowrisk.llm.packing import FirstFit, pack_documents, sequences, write_sequences
+from flowrisk.llm.packing import Encoder, FirstFit, pack_documents, sequences, write_sequences
 from flowrisk.llm.queries import VOCABULARY
 
 
@@ -56,3 +56,14 @@ def test_odd_rows(docs_of, odd_rows):
     whole(out, [(r[0], r[1]) for r in odd_rows])
     assert [p.length for p in out if p.doc_id == 1] == [1]
     assert pack_documents(docs_of([]), VOCABULARY).collect() == []
+
+
+def test_words_give_the_ids_of_the_text():
+    tokenizer, encoder = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    text = ("plain, words. and more!? don't it's 42nd été straße ÉTÉ éte naïve?! ÿ ß the.the ... , a,b c.d x_y <|endoftext|> <|ENDOFTEXT|> "
+            " odd space z\u0085w ªº µm ﬁne Ǆ 漢字 😀😀 İstanbul ΣΑΣ don't. l'été: (word) ́lone a­b")
+    words = text.encode().split()
+    encoder.learn(set(words))
+    encoder.learn(set(words) | {b"again,", b"again"})
+    assert list(np.frombuffer(b"".join(encoder.seen[w] for w in words), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
+    encoder.learn(set())
