@@ -119,12 +119,16 @@ def leakage_audit(samples: DataFrame, train: Column, replicates: int = 1000, str
               .unionByName(held.where("y = 0").join(F.broadcast(flavors.select(F.col("flavor").alias("stratum"))),
                                                     F.lit(True))), "strata")
     point = average_precision(strata, ["stratum"], "score", "y")
-    # Poisson(1) counts stand in for resampling, so each row draws on its own.
+    # Poisson(1) counts stand in for resampling, so each row draws on its own: by a hash of its values,
+    # its number among equal rows, and the replicate. Twenty steps exhaust the doubles.
+    equal = strata.groupBy("stratum", "y", "score").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = equal.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     draws = F.when(F.col("stratum") == "ALL", replicates).otherwise(stratum_replicates)
     poisson = sum((F.when(F.col("_u") > sum(math.exp(-1) / math.factorial(i) for i in range(k)), 1).otherwise(0)
-                   for k in range(1, 9)), F.lit(0))
-    resampled = (strata.withColumn("replicate", F.explode(F.sequence(F.lit(1), draws)))
-                 .withColumn("_u", F.rand(seed)).withColumn("_k", poisson).where(F.col("_k") > 0))
+                   for k in range(1, 21)), F.lit(0))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "stratum", "y", "score", "_row", "replicate"), 11) / F.lit(float(1 << 53))
+    resampled = (numbered.withColumn("replicate", F.explode(F.sequence(F.lit(1), draws)))
+                 .withColumn("_u", unit).withColumn("_k", poisson).where(F.col("_k") > 0))
     boot = materialize(average_precision(resampled, ["stratum", "replicate"], "score", "y", F.col("_k"), slices=8),
                        "replicates")
     bounds = linear_percentiles(boot.where(F.col("average_precision").isNotNull()), ["stratum"],

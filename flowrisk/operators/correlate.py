@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowrisk import config as C
 from flowrisk.config import CorrelationConfig
 from flowrisk.operators.ordered import asof_lookup, values_at_ranks, with_position, with_previous
-from flowrisk.session import broadcast_if_small, cut_lineage, materialize
+from flowrisk.session import cut_lineage, materialize
 
 LINK_SCHEMA = "project_id string, _slice long, scheduler_id string, request_id string, url_match boolean"
 
@@ -153,7 +153,7 @@ def correlate_events(audit: DataFrame, links: DataFrame, requests: DataFrame, sc
                      service_map: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     """Audit events with the trigger reference of the latest linked request before them.
 
-    ``service_map`` (service_name, worker) is configuration and is broadcast.
+    ``service_map`` (service_name, worker) is configuration; Spark broadcasts it where it is small.
     Events of other actors pass through with no reference and confidence 0.
     """
     def by_slice(at):
@@ -161,7 +161,7 @@ def correlate_events(audit: DataFrame, links: DataFrame, requests: DataFrame, sc
 
     workers = service_map.groupBy(F.col("worker").alias("actor_id")).agg(F.max("service_name").alias("service_name"))
     named = (audit.drop("trigger_ref", "correlation_confidence")
-             .join(broadcast_if_small(workers), "actor_id", "left").withColumn("_us", F.unix_micros("ts")))
+             .join(workers, "actor_id", "left").withColumn("_us", F.unix_micros("ts")))
     right = (candidate_counts(links, requests, cfg)
              .withColumn("_req", F.unix_micros("request_ts"))
              .withColumn("_late", -F.unix_micros("scheduled_time")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowrisk import config as C
 from flowrisk.functions import expressions as X
-from flowrisk.operators.ordered import asof_lookup, linear_percentiles, values_at_ranks
+from flowrisk.operators.ordered import asof_lookup, linear_percentiles, null_safe_join, values_at_ranks
 from flowrisk.operators.scoring import normalised_signals, weighted_sum
 from flowrisk.operators.world import WINDOW_KEY
 from flowrisk.session import materialize
@@ -128,7 +128,7 @@ def sweep_report(runs: DataFrame, value: str, axes: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.avg(value).alias("mean"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     middle = linear_percentiles(sets, ["axis", "level"], value, {"median": 0.5}).drop("n")
-    return flat.join(middle, ["axis", "level"])
+    return null_safe_join(flat, middle, ["axis", "level"])
 
 
 def _one_axis_at_a_time(rows: DataFrame, axes: list[str]) -> DataFrame:
@@ -213,7 +213,7 @@ def separation_stats(scores: DataFrame, category: str, value: str) -> DataFrame:
     flat = scores.groupBy(category).agg(
         F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    return flat.join(linear_percentiles(scores, [category], value, probs).drop("n"), category)
+    return null_safe_join(flat, linear_percentiles(scores, [category], value, probs).drop("n"), [category])
 
 
 def effect_size(scores: DataFrame, is_attack: Column, value: str) -> DataFrame:

@@ -12,11 +12,15 @@ from flowrisk.schema import LOG_ENTRY, as_canonical
 
 
 def parse_entries(entries: DataFrame, column: str = "entry") -> DataFrame:
-    """Parse each entry once and name its format; malformed text has format ``malformed``."""
+    """Parse each entry once and name its format; text that is no JSON object has format ``malformed``.
+
+    A field of another type than expected is null and costs nothing else of the entry.
+    """
     log = F.from_json(F.col(column), LOG_ENTRY,
                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     scheduler = F.col("log.jsonPayload.@type").startswith(C.SCHEDULER_TYPE_PREFIX)
-    fmt = (F.when(F.col("log._corrupt_record").isNotNull() | F.col("log").isNull(), "malformed")
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(column))).startswith("OBJECT"), F.lit(False))
+    fmt = (F.when(F.col("log").isNull() | (F.col("log._corrupt_record").isNotNull() & ~readable), "malformed")
            .when(scheduler, "scheduler")
            .when(F.col("log.logName").contains(C.REQUEST_LOG_MARKER), "request")
            .when(F.col("log.protoPayload").isNotNull() & F.col("log.timestamp").isNotNull(), "audit")
@@ -52,7 +56,7 @@ def canonicalize_audit(parsed: DataFrame, cfg: WorldConfig = WorldConfig()) -> D
         "window_start": X.floor_window(F.col("ts"), cfg.window_minutes),
         "actor_type": X.actor_type(F.col("actor_id")),
         "action_subtype": F.nullif(F.col("_method"), F.lit("")),
-        "result": F.when(F.coalesce(p + "status.code", F.lit(0)) != 0, "FAIL").otherwise("SUCCESS"),
+        "result": F.when(F.coalesce(F.col(p + "status.code").try_cast("int"), F.lit(0)) != 0, "FAIL").otherwise("SUCCESS"),
         "project_id": F.col("log.resource.labels.project_id"),
         "trigger_ref": trigger,
         "provenance_level": F.when(F.coalesce(trigger, F.lit("")) != "", "WEAK").otherwise("NONE"),
@@ -70,12 +74,12 @@ def canonicalize_scheduler(parsed: DataFrame) -> DataFrame:
         name.alias("job_name"),
         F.coalesce("log.resource.labels.job_id", F.element_at(F.split(name, "/"), -1)).alias("job_id"),
         F.col(j + "url").alias("target_url"),
-        F.substring(F.col("log.jsonPayload.@type"), len(C.SCHEDULER_TYPE_PREFIX) + 1, 100).alias("attempt_type"),
+        F.expr(f"substr(log.jsonPayload.`@type`, {len(C.SCHEDULER_TYPE_PREFIX) + 1})").alias("attempt_type"),
         X.parse_ts(F.col("log.timestamp")).alias("timestamp"),
         F.coalesce("log.insertId", F.lit("")).alias("insert_id"),
         F.coalesce("log.resource.labels.project_id", F.lit("")).alias("project_id"),
         X.parse_ts(F.col(j + "scheduledTime")).alias("scheduled_time"),
-        F.col("log.httpRequest.status").alias("http_status"),
+        F.col("log.httpRequest.status").try_cast("int").alias("http_status"),
         F.col(j + "status").alias("status"))
 
 
@@ -85,7 +89,7 @@ def canonicalize_requests(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("log_format") == "request").select(
         F.coalesce(labels + "service_name", F.lit("")).alias("service_name"),
         F.coalesce(h + "requestUrl", F.lit("")).alias("request_url"),
-        F.coalesce(h + "status", F.lit(0)).alias("status_code"),
+        F.coalesce(F.col(h + "status").try_cast("int"), F.lit(0)).alias("status_code"),
         X.parse_ts(F.col("log.timestamp")).alias("timestamp"),
         F.coalesce("log.insertId", F.lit("")).alias("insert_id"),
         F.coalesce(labels + "project_id", F.lit("")).alias("project_id"),

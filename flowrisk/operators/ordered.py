@@ -16,6 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` so that null meets null; the keys come from the left."""
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _reverse(order: list[str]) -> list[Column]:
     return [F.col(c).desc() for c in order]
 
@@ -48,7 +55,7 @@ def nearest_value(df: DataFrame, keys: list[str], order: list[str], value: Colum
     carried = (cut.where("_is_last").select(*keys, "_slice", "_tail")
                .withColumn("_carry", F.last("_tail", ignorenulls=True).over(across))
                .select(*keys, "_slice", "_carry"))
-    return (cut.join(carried, [*keys, "_slice"], "left")
+    return (null_safe_join(cut, carried, [*keys, "_slice"], "left")
             .withColumn(name, F.coalesce("_near", "_carry"))
             .select(*df.columns, name))
 
@@ -84,7 +91,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dic
         offsets = offsets.withColumn(f"_off_{name}", F.sum(f"_sum_{name}").over(across))
     offsets = offsets.select(*keys, "_slice", *[f"_off_{n}" for n in totals])
     zero = F.lit(0)
-    return (local.join(offsets, [*keys, "_slice"], "left")
+    return (null_safe_join(local, offsets, [*keys, "_slice"], "left")
             .select(*df.columns,
                     *[(F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_off_{n}", zero)).alias(n)
                       for n in totals]))
@@ -126,24 +133,23 @@ def asof_lookup(left: DataFrame, right: DataFrame, keys: list[str], left_on: str
 
 
 def values_at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column],
-                    bins: int = 1024) -> DataFrame:
+                    bins: int = 128) -> DataFrame:
     """Exact order statistics: one row per key with the value at each zero-based rank.
 
     ``ranks`` maps an output name to an expression over ``n``, the row count of
-    the key. Equal values are counted together, then a coarse histogram finds
-    the bin of each rank, and only that bin is sorted. No task holds the whole
-    group.
+    the key; a null key is a key. Equal values are counted together, then a
+    coarse histogram with edges at approximate quantiles of the distinct values
+    finds the bin of each rank, and only that bin is sorted. Bins hold about
+    equally many distinct values whatever the spread, so no task holds the group.
     """
     if not keys:
         whole = values_at_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks, bins)
         return whole.drop("_all")
     counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
                .agg(F.count(F.lit(1)).alias("_c")))
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                      F.sum("_c").alias("n"))
-    width = F.col("_hi") - F.col("_lo")
-    bin_of = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins))).cast("int")
+    at = [i / bins for i in range(1, bins)]
+    span = counted.groupBy(*keys).agg(F.percentile_approx("_v", at, bins * 20).alias("_edges"), F.sum("_c").alias("n"))
+    bin_of = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
     binned = _one_row_join(counted, span, keys).withColumn("_bin", bin_of)
 
     by_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"))
@@ -153,12 +159,11 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str,
     wanted = span.select(*keys, "n", F.explode(F.array(
         *[F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_rank"))
           for name, rank in ranks.items()])).alias("_want")).select(*keys, "n", "_want.*")
-    hit = (by_bin.join(wanted, keys)
+    hit = (null_safe_join(by_bin, wanted, keys)
            .where((F.col("_rank") >= F.col("_before")) &
                   (F.col("_rank") < F.col("_before") + F.col("_bc"))))
     inside = (Window.partitionBy(*keys, "_bin", "_name").orderBy("_v"))
-    picked = (binned.select(*keys, "_bin", "_v", "_c")
-              .join(hit, [*keys, "_bin"])
+    picked = (null_safe_join(binned.select(*keys, "_bin", "_v", "_c"), hit, [*keys, "_bin"])
               .withColumn("_upto", F.col("_before") + F.sum("_c").over(
                   inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
               .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))))
@@ -184,4 +189,4 @@ def linear_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[s
 
 def _one_row_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join a per-key summary; the summary of the whole table is one row and is broadcast."""
-    return left.join(F.broadcast(right) if keys == ["_all"] else right, keys)
+    return left.join(F.broadcast(right), keys) if keys == ["_all"] else null_safe_join(left, right, keys)

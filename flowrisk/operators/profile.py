@@ -24,19 +24,30 @@ def log_type_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("log_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def nesting(entries: DataFrame, column: str) -> int:
+    """Deepest nesting of brackets outside of strings."""
+    brackets = F.regexp_replace(F.regexp_replace(column, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walked = F.aggregate(F.split(brackets, ""), step, lambda acc, c: F.struct(
+        (acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"),
+        F.greatest(acc["most"], acc["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("most")))
+    return entries.agg(F.max(walked["most"])).first()[0] or 0
+
+
 def flatten_json(entries: DataFrame, column: str = "entry", keep: list[str] | None = None,
-                 max_depth: int = 8, array_items: int | None = None) -> DataFrame:
+                 max_depth: int | None = None, array_items: int | None = None) -> DataFrame:
     """Leaf paths ``a.b[].c`` of every entry: (keep..., path, value, is_string).
 
-    Containers are opened level by level with ``variant_explode``; leaves pass
-    through. Containers below ``max_depth`` levels stay whole as JSON text.
+    Containers are opened level by level with ``variant_explode``, down to the
+    deepest level there is, which one pass over the brackets finds; leaves pass
+    through. With ``max_depth`` containers below it stay whole as JSON text.
     ``array_items`` reads only the first items of each array, as a sampling
     inspection does; by default all are read.
     """
     keep = keep or []
     spark = entries.sparkSession
     rows = entries.select(*keep, F.lit("").alias("path"), F.try_parse_json(column).alias("v"), F.lit(True).alias("open"))
-    for _ in range(max_depth):
+    for _ in range(nesting(entries, column) if max_depth is None else max_depth):
         opened = rows.lateralJoin(
             spark.tvf.variant_explode_outer(F.when(F.col("open"), F.col("v")).outer())
             .select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_item")))

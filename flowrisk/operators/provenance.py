@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from flowrisk import config as C
 from flowrisk.functions import expressions as X
 from flowrisk.operators.world import WINDOW_KEY
-from flowrisk.session import broadcast_if_small
 
 JOB_PATH = r"^projects/[^/]+/locations/[^/]+/jobs/[^/]+$"
 CHUNK = 4096
@@ -122,7 +121,7 @@ def zone_match(sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) ->
     read = X.lcs_masks(F.col("_zones"), F.col("_masks"))
     # A first chunk that is not full is the whole sequence and needs one vector only.
     alone = (F.col("_chunk") == 0) & (F.size("_zones") < chunk)
-    tables = (chunks.join(broadcast_if_small(zoned), F.lit(True)).withColumn("_read", read)
+    tables = (chunks.join(zoned, F.lit(True)).withColumn("_read", read)
               .select(*WINDOW_KEY, "pattern_id", "_m", "_ok", "_chunk", F.size("_zones").alias("_n"),
                       F.when(alone, F.array(X.lcs_vector(F.col("_read"), F.col("_m"))))
                       .otherwise(X.lcs_vectors(F.col("_read"), F.col("_m"))).alias("_vectors")))
@@ -143,7 +142,7 @@ def pattern_match(windows: DataFrame, sequences: DataFrame, patterns: DataFrame)
     """
     active = active_patterns(patterns)
     zones = zone_match(sequences, active)
-    pairs = windows.select(*WINDOW_KEY, "event_count").join(broadcast_if_small(active), F.lit(True))
+    pairs = windows.select(*WINDOW_KEY, "event_count").join(active, F.lit(True))
     w = C.PATTERN_WEIGHTS
     scored = (pairs.join(zones, [*WINDOW_KEY, "pattern_id"], "left")
               .withColumn("_score",

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk.functions import expressions as X
-from flowrisk.operators.ordered import running_totals, with_position, with_previous
+from flowrisk.operators.ordered import null_safe_join, running_totals, with_position, with_previous
 from flowrisk.session import materialize
 
 ORDER = ["t", "seq"]
@@ -137,49 +138,92 @@ def last_windows(transitions: DataFrame, n: int) -> DataFrame:
             .withColumn("window_id", F.lit(0)))
 
 
+class _Sliding:
+    """Edge sums of a moving window: sizes in it (w) and before it (b), updated as one row enters or leaves."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.edges = alpha, {}
+        self.shared, self.ww, self.wb, self.shared_log = 0, 0.0, 0.0, 0.0
+
+    def _add(self, w: int, b: int, sign: int) -> None:
+        a = self.alpha
+        log_b = math.log(b + a)
+        self.ww += sign * (w + a) * math.log(w + a)
+        self.wb += sign * (w + a) * log_b
+        if b:
+            self.shared += sign
+            self.shared_log += sign * log_b
+
+    def enter(self, edge: tuple, count: int) -> None:
+        w, b = self.edges.get(edge, (0, count - 1))
+        if w:
+            self._add(w, b, -1)
+        self.edges[edge] = (w + 1, b)
+        self._add(w + 1, b, 1)
+
+    def leave(self, edge: tuple) -> None:
+        w, b = self.edges[edge]
+        self._add(w, b, -1)
+        if w == 1:
+            del self.edges[edge]
+        else:
+            self.edges[edge] = (w - 1, b + 1)
+            self._add(w - 1, b + 1, 1)
+
+    def score(self, n: int, base: int, seen: int, log_seen: float) -> float:
+        """Excess of the window over the ``base`` earlier rows with ``seen`` edges, whose ln(1 + count / alpha) sum is log_seen."""
+        if not base:
+            return 0.0
+        a = self.alpha
+        support = len(self.edges) + seen - self.shared
+        tw, tb = n + a * support, base + a * support
+        rest = seen - self.shared
+        rest_log = log_seen + seen * math.log(a) - self.shared_log
+        return max(0.0, (self.ww - self.wb + a * (rest * math.log(a) - rest_log)) / tw + math.log(tb / tw))
+
+
 def rolling_excess(transitions: DataFrame, window_size: int = 80, alpha: float = 1.0, stride: int = 1,
-                   slice_seconds: int = DAY_SECONDS) -> DataFrame:
+                   slice_seconds: int = DAY_SECONDS, chunk: int = 4096) -> DataFrame:
     """Excess of every ``window_size`` transitions over all earlier ones of the actor.
 
     One row per window end; windows end at positions window_size,
     window_size + stride, ... No window rescans its history. The sum over
     baseline edges that the window lacks comes from a running sum of
     ln(count + alpha) over seen edges, and the baseline count of a window edge
-    is its running count at its first use in the window.
+    is its running count at its first use in the window. An actor's rows are
+    cut into chunks of ``chunk`` positions, each with the window_size - 1 rows
+    before it, and one pass over a chunk moves the window along.
     """
     p = materialize(positions(transitions, slice_seconds), "positions")
     c = materialize(with_position(p, ["actor", *EDGE], ORDER, "_c", day_slice(slice_seconds)), "counted")
     step = F.log((F.col("_c") + alpha) / (F.col("_c") - 1 + alpha))
     h = running_totals(c, ["actor"], ORDER, {
         "_log_seen": step, "_seen": (F.col("_c") == 1).cast("long")}, day_slice(slice_seconds))
-    # Ends of the windows that hold a position: at most window_size / stride of them.
-    first = F.greatest(F.lit(0), F.ceil((F.col("position") - window_size) / F.lit(stride))).cast("long")
-    last = F.floor((F.col("position") - 1) / F.lit(stride)).cast("long")
-    size = p.groupBy("actor").agg(F.max("position").alias("_n"))
-    rows = (h.join(size, "actor").where(F.col("_n") >= window_size)
-            .withColumn("_win", F.explode(F.when(first <= last, F.sequence(first, last))))
-            .where(F.col("_win") * stride + window_size <= F.col("_n")))
-    at_start = F.struct("position", "_log_seen", "_seen")
-    edges = rows.groupBy("actor", "_win", *EDGE).agg(
-        F.count(F.lit(1)).alias("w"), (F.min("_c") - 1).alias("b"), F.min(at_start).alias("_start"),
-        F.max(F.struct("position", "t")).alias("_end"))
-    a = F.lit(alpha)
-    per = edges.groupBy("actor", "_win").agg(
-        F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.sum("w").alias("n"),
-        F.count(F.lit(1)).alias("n_edges"), F.sum((F.col("b") > 0).cast("long")).alias("n_shared"),
-        F.sum((F.col("w") + a) * F.log(F.col("w") + a)).alias("_ww"),
-        F.sum((F.col("w") + a) * F.log(F.col("b") + a)).alias("_wb"),
-        F.sum(F.when(F.col("b") > 0, F.log(F.col("b") + a)).otherwise(0.0)).alias("_shared_log"))
-    base = F.col("_start.position") - 1
-    support = F.col("n_edges") + F.col("_start._seen") - F.col("n_shared")
-    tw, tb = F.col("n") + a * support, base + a * support
-    # Sum over baseline edges outside the window of ln(count + alpha).
-    rest_log = F.col("_start._log_seen") + F.col("_start._seen") * math.log(alpha) - F.col("_shared_log")
-    rest = F.col("_start._seen") - F.col("n_shared")
-    raw = (F.col("_ww") - F.col("_wb") + a * (rest * math.log(alpha) - rest_log)) / tw + F.log(tb / tw)
-    return per.select(
-        "actor", F.col("_end.position").alias("end_position"), F.col("_end.t").alias("window_time"),
-        F.when(base == 0, 0.0).otherwise(F.greatest(F.lit(0.0), raw)).alias("score"))
+    of = lambda at: F.floor((at - 1) / F.lit(chunk)).cast("long")
+    rows = h.withColumn("_chunk", F.explode(F.sequence(of(F.col("position")), of(F.col("position") + window_size - 1))))
+    kind = transitions.schema["actor"].dataType.simpleString()
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("position")
+        at, count, seen, log_seen, t = (part.column(x).to_pylist() for x in ("position", "_c", "_seen", "_log_seen", "t"))
+        edges = list(zip(*(part.column(x).to_pylist() for x in EDGE)))
+        first_own = part.column("_chunk")[0].as_py() * chunk + 1
+        window, ends, times, scores = _Sliding(alpha), [], [], []
+        for i, edge in enumerate(edges):
+            window.enter(edge, count[i])
+            start = i - window_size + 1
+            if start > 0:
+                window.leave(edges[start - 1])
+            if start >= 0 and at[i] >= first_own and (at[i] - window_size) % stride == 0:
+                ends.append(at[i])
+                times.append(t[i])
+                scores.append(window.score(window_size, at[start] - 1, seen[start], log_seen[start]))
+        actor = part.column("actor").take(pa.array([0] * len(ends), pa.int64()))
+        return pa.table({"actor": actor, "end_position": pa.array(ends, pa.int64()), "window_time": pa.array(times, pa.float64()),
+                         "score": pa.array(scores, pa.float64())})
+
+    wanted = rows.select("actor", "_chunk", "position", F.col("t").cast("double").alias("t"), *EDGE, "_c", "_seen", "_log_seen")
+    return wanted.groupBy("actor", "_chunk").applyInArrow(run, f"actor {kind}, end_position long, window_time double, score double")
 
 
 def entropy_rate(transitions: DataFrame, window_size: int = 50) -> DataFrame:
@@ -207,10 +251,11 @@ def pseudonymize(transitions: DataFrame, seed: int, jitter_seconds: float = 30.0
     action types, a small vocabulary, in alphabetical order.
     """
     salt = X.seed_salt(seed)
-    token = F.concat(F.lit("T"), F.lpad(F.row_number().over(Window.orderBy("action")).cast("string"), 3, "0"))
+    token = F.format_string("T%03d", F.row_number().over(Window.orderBy("action")))
     tokens = transitions.select("action").distinct().withColumn("_token", token)
     hashed = lambda c: F.substring(X.hmac_hex(F.col(c), salt), 1, 16).alias(c)
-    unit = F.pmod(F.xxhash64(F.lit(seed), "actor", "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return transitions.join(tokens, "action").select(
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "actor", F.round(F.col("t") * 1000).cast("long")).cast("binary"))
+    unit = F.conv(F.left(digest, F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return null_safe_join(transitions, tokens, ["action"]).select(
         (F.col("t") + (unit * 2 - 1) * jitter_seconds).alias("t"), hashed("actor"), hashed("src"), hashed("dst"),
         F.col("_token").alias("action"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,12 +199,13 @@ def zone_flux(windows: DataFrame, edges: DataFrame, cfg: WorldConfig = WorldConf
                     F.coalesce("bridge_count", F.lit(0)).alias("bridge_count")))
 
 
-def ema_delta(flux: DataFrame, cfg: WorldConfig = WorldConfig(), memory: int = 400) -> DataFrame:
+def ema_delta(flux: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
     """Entropy production minus its exponential moving average over earlier windows.
 
-    Runs on one row per window. With alpha 0.1 a value 400 windows back weighs
-    less than 1e-18, so the bounded frame gives the full recursion in doubles.
+    Runs on one row per window. The frame ends where a value weighs less than
+    1e-18 under the given alpha, so it gives the full recursion in doubles.
     """
+    memory = 1 if cfg.ema_alpha >= 1 else math.ceil(math.log(1e-18) / math.log1p(-cfg.ema_alpha)) + 1
     w = Window.orderBy("window_start").rowsBetween(-memory, -1)
     oldest = F.unix_seconds("window_start") - cfg.ema_days * 86400
     history = F.collect_list(F.struct(F.unix_seconds("window_start").alias("at"),

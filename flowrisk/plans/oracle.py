@@ -486,7 +486,8 @@ ORACLE |= {
     "recalibrated_tiers": sql(*SCENES, RECAL, select="""SELECT CASE WHEN residual >= high THEN 'HIGH' WHEN residual >= medium THEN 'MEDIUM' WHEN residual >= watch THEN 'WATCH'
         ELSE 'NORMAL' END AS recal_tier, residual >= watch AS recal_detected, count(*) AS n FROM rn, lim WHERE u % 10 = 0 GROUP BY ALL"""),
     "embed_in_baseline": sql(EV, select=f"""SELECT {WS}, 'attack-' || actor_id AS actor_id, count(*) AS event_count, count(DISTINCT target_id) AS n_targets
-        FROM ev WHERE user_id % 10 = 0 GROUP BY ws, actor_id"""),
+        FROM ev WHERE user_id % 10 = 0 GROUP BY ws, actor_id UNION ALL
+        SELECT {WS}, actor_id, count(*), count(DISTINCT target_id) FROM ev GROUP BY ws, actor_id"""),
     "separation_stats": """SELECT l_returnflag, count(*) AS count, round(avg(l_extendedprice), 3) AS mean, round(stddev_pop(l_extendedprice), 3) AS std,
         round(min(l_extendedprice), 3) AS min, round(quantile_cont(l_extendedprice, 0.25), 3) AS p25, round(quantile_cont(l_extendedprice, 0.5), 3) AS p50,
         round(quantile_cont(l_extendedprice, 0.75), 3) AS p75, round(quantile_cont(l_extendedprice, 0.9), 3) AS p90, round(max(l_extendedprice), 3) AS max
@@ -560,17 +561,18 @@ ORACLE |= {
     "excess_kl": sql(EV, TR, "lw AS (SELECT actor AS la, min(t) AS t0, max(t) AS t1 FROM tr WHERE p > n - 20 AND n > 20 GROUP BY actor)",
         _excess("SELECT tr.* FROM tr JOIN lw ON la = actor AND t BETWEEN t0 AND t1", "SELECT tr.* FROM tr JOIN lw ON la = actor AND t < t0", "actor"),
         select=f"SELECT actor, CAST(tw AS BIGINT) AS n_window, CAST(tb AS BIGINT) AS n_baseline, {r6('score')} AS excess FROM exs"),
-    "rolling_excess": sql(EV, TR, _roll(10), select=f"SELECT actor, pe AS end_position, {r6('score')} AS score FROM exs"),
+    "rolling_excess": sql(EV, TR, _roll(1), select=f"SELECT actor, pe AS end_position, {r6('score')} AS score FROM exs"),
     "entropy_rate": sql(EV, TR, """hc AS (SELECT actor, (p - 1) // 20 AS half, dst, count(*) AS c FROM tr WHERE p <= 40 AND n >= 40 GROUP BY ALL),
         hh AS (SELECT actor, half, -sum(c / 20 * ln(c / 20)) AS h FROM hc GROUP BY ALL)""",
         select=f"SELECT actor, {r6('(max(h) FILTER (half = 1) - max(h) FILTER (half = 0)) / 20')} AS entropy_rate FROM hh GROUP BY actor"),
     "transitions_per_actor": sql(EV, TR, select="SELECT actor, count(*) AS n_transitions FROM tr GROUP BY actor"),
-    "pseudonymize": sql(EV, TR, "tk AS (SELECT action, 'T' || lpad(CAST(row_number() OVER (ORDER BY action) AS VARCHAR), 3, '0') AS token FROM (SELECT DISTINCT action FROM tr))",
-        select=f"""SELECT {_H('actor')} AS actor, {_H('src')} AS src, {_H('dst')} AS dst, token AS action, count(*) AS n FROM tr JOIN tk USING (action) GROUP BY ALL"""),
-    "alert_budget": sql(EV, TR, _roll(5), BUDGET, select=f"SELECT actor, day, rk AS rank, {r6('score')} AS score FROM bu"),
-    "campaign_detection": sql(EV, TR, _roll(5), BUDGET, select=f"""SELECT actor, flavor, a IS NOT NULL AS detected, round(a.t, 3) AS alert_time,
+    "pseudonymize": sql(EV, TR, "tk AS (SELECT action, format('T{:03d}', row_number() OVER (ORDER BY action)) AS token FROM (SELECT DISTINCT action FROM tr))",
+        select=f"""SELECT {_H('actor')} AS actor, {_H('src')} AS src, {_H('dst')} AS dst, token AS action,
+        round(t + (CAST('0x' || left(md5('7|' || actor || '|' || CAST(round(t * 1000) AS BIGINT)), 8) AS BIGINT) / 4294967296.0 * 2 - 1) * 30.0, 2) AS t FROM tr JOIN tk USING (action)"""),
+    "alert_budget": sql(EV, TR, _roll(1), BUDGET, select=f"SELECT actor, day, rk AS rank, {r6('score')} AS score FROM bu"),
+    "campaign_detection": sql(EV, TR, _roll(1), BUDGET, select=f"""SELECT actor, flavor, a IS NOT NULL AS detected, round(a.t, 3) AS alert_time,
         {r6('a.s')} AS alert_score, a.d AS budget_day FROM det"""),
-    "budget_eval": sql(EV, TR, _roll(5), BUDGET, select=f"""SELECT coalesce(flavor, 'ALL') AS flavor, count(*) AS total, count(a) AS tp, count(*) - count(a) AS fn,
+    "budget_eval": sql(EV, TR, _roll(1), BUDGET, select=f"""SELECT coalesce(flavor, 'ALL') AS flavor, count(*) AS total, count(a) AS tp, count(*) - count(a) AS fn,
         {r6('count(a) / count(*)')} AS detection_rate FROM det GROUP BY ROLLUP (flavor)"""),
     "campaigns_per_flavor": sql(EV, CAMP, select="SELECT flavor, count(*) AS n_campaigns FROM camp GROUP BY flavor"),
     "behavioural_read": sql(EV, TR, CAMP, """up AS (SELECT c.actor, c.flavor, c.te, count(*) FILTER (t >= ts0) AS k, max(p) AS lp, any_value(ts0) AS ts0 FROM camp c

@@ -52,7 +52,7 @@ def canonical_events(spark: SparkSession, sf_dir: str, cfg: WorldConfig = DAY) -
             .withColumn("target_id", target)
             .withColumn("trigger_ref", trigger)
             .select(
-                F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"), "ts",
+                F.format_string("%012d", "event_id").alias("event_id"), "ts",
                 X.floor_window(F.col("ts"), cfg.window_minutes).alias("window_start"),
                 "actor_id", X.actor_type(F.col("actor_id")).alias("actor_type"), "action_type",
                 "target_id", "target_zone", "trigger_ref",
@@ -190,7 +190,7 @@ def scheduler_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("p"), user % 2).alias("project_id"), F.concat(F.lit("j"), user % 7).alias("job_id"),
         F.concat(F.lit("https://s"), user % 3, F.lit("/")).alias("target_url"),
         F.lit("AttemptStarted").alias("attempt_type"), F.col("ts").alias("scheduled_time"),
-        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("insert_id"))
+        F.format_string("%012d", "event_id").alias("insert_id"))
 
 
 def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,13 +198,13 @@ def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_events(spark, sf_dir).where(F.col("event_type") == "click").select(
         F.concat(F.lit("p"), user % 2).alias("project_id"), F.concat(F.lit("s"), user % 3).alias("service_name"),
         F.concat(F.lit("https://s"), user % 3).alias("request_url"), F.col("ts").alias("timestamp"),
-        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("insert_id"),
+        F.format_string("%012d", "event_id").alias("insert_id"),
         (F.col("k") < 80).alias("is_scheduler_invoked"), "k")
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_events(spark, sf_dir).where(F.col("event_type") == "purchase").select(
-        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"), "ts",
+        F.format_string("%012d", "event_id").alias("event_id"), "ts",
         F.concat(F.lit("w"), F.col("user_id") % 4).alias("actor_id"))
 
 

@@ -11,13 +11,13 @@ timestamp string, insertId string, logName string, trace string, spanId string,
 metadata struct<trigger_ref: string>,
 resource struct<type: string, labels: struct<project_id: string, location: string, job_id: string,
   service_name: string, configuration_name: string, revision_name: string>>,
-httpRequest struct<requestUrl: string, status: int, userAgent: string, remoteIp: string, latency: string>,
+httpRequest struct<requestUrl: string, status: string, userAgent: string, remoteIp: string, latency: string>,
 jsonPayload struct<`@type`: string, jobName: string, scheduledTime: string, url: string,
   targetType: string, status: string, debugInfo: string>,
 protoPayload struct<`@type`: string, serviceName: string, methodName: string, resourceName: string,
   authenticationInfo: struct<principalEmail: string,
     serviceAccountDelegationInfo: array<struct<firstPartyPrincipal: struct<principalEmail: string>>>>,
-  status: struct<code: int>>,
+  status: struct<code: string>>,
 _corrupt_record string
 """
 

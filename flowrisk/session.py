@@ -98,7 +98,3 @@ def materialize_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
     with ThreadPoolExecutor(len(frames)) as pool:
         return list(pool.map(lambda item: materialize(item[1], item[0]), frames.items()))
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast a configuration table after counting it; a larger one is left to the optimizer."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowrisk import config as C
-from flowrisk.session import broadcast_if_small
 
 
 def scan_logs(spark: SparkSession, path: str, prefixes: list[str] | None = None,
@@ -73,7 +72,7 @@ def source_of(path, prefixes: list[str] = C.LOG_PREFIXES):
 
 def new_files(files: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Files (source, path) past the high-water mark of their source."""
-    return (files.join(broadcast_if_small(checkpoints.select("source", "last_path")), "source", "left")
+    return (files.join(checkpoints.select("source", "last_path"), "source", "left")
             .where(F.col("last_path").isNull() | (F.col("path") > F.col("last_path")))
             .drop("last_path"))
 

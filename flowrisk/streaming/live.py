@@ -16,7 +16,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flowrisk.config import ClosureConfig, CorrelationConfig, WorldConfig
 from flowrisk.functions import expressions as X
 from flowrisk.operators import normalize, world
-from flowrisk.session import broadcast_if_small
 
 WATERMARK = "2 hours"
 
@@ -72,7 +71,7 @@ def correlate_stream(audit: DataFrame, links: DataFrame, service_map: DataFrame,
     candidate of an event is picked with :func:`nearest_link` per batch.
     """
     workers = service_map.select(F.col("worker").alias("actor_id"), F.col("service_name").alias("_service"))
-    named = audit.join(broadcast_if_small(workers), "actor_id", "left").withWatermark("ts", delay)
+    named = audit.join(workers, "actor_id", "left").withWatermark("ts", delay)
     right = links.withWatermark("request_ts", delay)
     near = ((F.col("_service") == F.col("service_name")) & (F.col("ts") >= F.col("request_ts")) &
             (F.col("ts") < F.col("request_ts") + F.expr(f"interval {cfg.audit_seconds} seconds")))

@@ -99,3 +99,14 @@ def test_write_by_day_keeps_other_days(spark, tmp_path):
     sinks.write_by_day(df.where("v = 2").withColumn("v", F.lit(9)), str(tmp_path / "t"))
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 9]
     assert sinks.read_history(spark, str(tmp_path / "t"), "2024-01-03 00:00:00", 1).count() == 1
+
+
+def test_odd_field_types_cost_only_the_field(spark):
+    entry = {"timestamp": "2024-01-10T10:00:00Z", "insertId": "x", "logName": "l", "protoPayload": {
+        "serviceName": "s", "methodName": "m", "resourceName": "r", "authenticationInfo": {"principalEmail": "a@b"}}}
+    cases = [entry | {"httpRequest": {"status": "abc"}}, entry | {"resource": "text"}, entry]
+    cases[0]["protoPayload"] = entry["protoPayload"] | {"status": {"code": "7"}}
+    texts = [json.dumps(c) for c in cases] + ["{not json", "[1, 2]", "7"]
+    parsed = N.parse_entries(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, entry string"))
+    assert {r.i: r.log_format for r in parsed.select("i", "log_format").collect()} == dict(enumerate(["audit"] * 3 + ["malformed"] * 3))
+    assert sorted(r.result for r in N.canonicalize_audit(parsed).collect()) == ["FAIL", "SUCCESS", "SUCCESS"]

@@ -87,3 +87,18 @@ def test_rank_with_heavy_value(spark):
     for k in "ab":
         s = sorted(v for kk, v in data if kk == k)
         assert got[k] == s[len(s) // 2]
+
+
+def test_ranks_with_null_keys_and_heavy_tails(spark):
+    rows = [(None if i % 2 else "a", float(i)) for i in range(4000)] + [("a", 1e12)]
+    got = {r.k: (r.n, r.mid, r.top) for r in O.values_at_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {
+        "mid": F.col("n") / 2, "top": F.col("n") - 1}).collect()}
+    assert got == {None: (2000, 2001.0, 3999.0), "a": (2001, 2000.0, 1e12)}
+
+
+def test_running_totals_carry_over_slices_of_a_null_key(spark):
+    df = spark.createDataFrame([(None, i) for i in range(40)], "k string, t int")
+    got = O.running_totals(df, ["k"], ["t"], {"s": F.col("t")}, F.floor(F.col("t") / 10)).collect()
+    assert all(r.s == r.t * (r.t - 1) // 2 for r in got)
+    last = O.with_previous(df, ["k"], ["t"], {"p": "t"}, F.floor(F.col("t") / 10)).collect()
+    assert all(r.p == (r.t - 1 if r.t else None) for r in last)

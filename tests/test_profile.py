@@ -59,3 +59,10 @@ def test_cluster_keys_and_overlap(spark):
     places = spark.createDataFrame([("a", "p", "same", True), ("b", "q", "same", True), ("b", "r", "same", True), ("a", "s", "abc", True), ("b", "s", "abc", True)],
                                    "log_type string, path string, value string, is_string boolean")
     assert {(r.field_1, r.field_2, r.shared_values) for r in P.cross_log_overlap(places).collect()} == {("p", "q", 1), ("p", "r", 1)}
+
+
+def test_containers_open_to_any_depth(spark):
+    deep = '{"a":' * 12 + r'"x{[\"{["' + "}" * 12
+    df = spark.createDataFrame([(deep,), ('{"b": [1, 2]}',)], "entry string")
+    assert {r.path for r in P.flatten_json(df).collect()} == {".".join("a" * 12), "b[]"}
+    assert P.nesting(df, "entry") == 12

@@ -138,3 +138,27 @@ def test_leakage_audit_tells_apart(spark):
     out = {r.stratum: r for r in audits.leakage_audit(spark.createDataFrame(rows, cols), F.col("train"), 40, 20).collect()}
     assert out["f"].status == "EXCEEDS_NO_SKILL" and out["ALL"].average_precision > 0.9
     assert out["ALL"].ci_lower <= out["ALL"].average_precision <= out["ALL"].ci_upper + 1e-9
+
+
+def test_rolling_excess_at_every_end_and_over_chunks(spark):
+    rng = random.Random(12)
+    rows = [("a", float(i), f"{i:05d}", f"n{rng.randrange(4)}", f"n{rng.randrange(4)}", f"x{rng.randrange(2)}") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    edges = [r[3:] for r in rows]
+    whole = {r.end_position: r.score for r in J.rolling_excess(df).collect()}
+    small = {r.end_position: r.score for r in J.rolling_excess(df, chunk=50).collect()}
+    assert whole.keys() == small.keys() == set(range(80, 401))
+    for end in range(80, 401):
+        inside, before = edges[end - 80:end], edges[:end - 80]
+        support = set(inside) | set(before)
+        w = {e: inside.count(e) + 1 for e in support}
+        b = {e: before.count(e) + 1 for e in support}
+        tw, tb = sum(w.values()), sum(b.values())
+        want = max(0.0, sum(w[e] / tw * math.log(w[e] / tw / (b[e] / tb)) for e in support)) if before else 0.0
+        assert whole[end] == pytest.approx(want, abs=1e-9) and small[end] == pytest.approx(want, abs=1e-9)
+
+
+def test_every_action_has_its_own_token(spark):
+    df = spark.createDataFrame([("a", float(i), str(i), "p", "q", f"act{i}") for i in range(1200)] + [("a", 1e6, "z", "p", "q", None)], SCHEMA)
+    tokens = [r.action for r in J.pseudonymize(df, 7).collect()]
+    assert len(tokens) == 1201 and len(set(tokens)) == 1201

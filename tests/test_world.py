@@ -83,3 +83,19 @@ def test_novelty_weights(make_events):
     ev = make_events([(i, "a", "OTHER", z, f"t{i}") for i, z in enumerate(zones)])
     score = W.novelty_scores(W.edge_novelty(W.zone_edges(ev))).first().novelty_score
     assert score == 2.0 + 1.5 + 1.0
+
+
+def test_ema_is_the_full_recursion_for_any_alpha(spark):
+    from dataclasses import replace
+
+    n = 1500
+    sigma = [math.sin(i / 7) + i % 5 for i in range(n)]
+    flux = spark.createDataFrame([(1_700_000_000 + 900 * i, s) for i, s in enumerate(sigma)], "at long, sigma_coarse double").select(
+        F.timestamp_seconds("at").alias("window_start"), "sigma_coarse")
+    for alpha in (0.005, 0.1, 0.5):
+        got = [r.delta_f for r in W.ema_delta(flux, replace(WorldConfig(), ema_alpha=alpha)).orderBy("window_start").collect()]
+        ema = sigma[0]
+        assert got[0] == 0.0
+        for i in range(1, n):
+            assert got[i] == pytest.approx(sigma[i] - ema, abs=1e-9)
+            ema = alpha * sigma[i] + (1 - alpha) * ema
