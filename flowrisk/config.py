@@ -91,19 +91,6 @@ LOG_PREFIXES = [
     "run.googleapis.com",
 ]
 
-KNOWN_INITIATORS = [
-    "service-PROJECT_NUMBER@gcp-sa-cloudscheduler.iam.gserviceaccount.com",
-    "service-123456@gcp-sa-cloudscheduler.iam.gserviceaccount.com",
-    "maintenance-sa@PROJECT_ID.iam.gserviceaccount.com",
-    "normal-worker-sa@PROJECT_ID.iam.gserviceaccount.com",
-    "scheduler-sa@PROJECT_ID.iam.gserviceaccount.com",
-]
-
-SERVICE_WORKERS = {
-    "normal-worker": "normal-worker-sa@PROJECT_ID.iam.gserviceaccount.com",
-    "maintainer": "maintenance-sa@PROJECT_ID.iam.gserviceaccount.com",
-}
-
 # (rule id, severity)
 INVARIANT_SEVERITY = {
     "INV_001": 5, "INV_002": 5, "INV_003": 5, "INV_004": 4, "INV_005": 5,
@@ -159,15 +146,8 @@ VALUE_PATTERNS = [
 SIGNALS = ["inv_score", "novelty_score", "sigma_coarse", "bridge_new",
            "delta_f", "closure_gap", "orphaned_priv"]
 
-LEAK_VOCABULARY = [
-    "IDENTITY", "SECRET", "DATA", "COMPUTE", "LOGGING", "EXTERNAL", "ADMIN",
-    "Developer", "DataAnalyst", "CICDServiceAccount", "ETLPipelineServiceAccount",
-    "BackupLogShippingAccount", "OnCallSRE", "NewHire", "RoleChange",
-    "BreakGlassAdmin", "CredentialTheftLateral", "SlowExfiltration",
-    "SmashAndGrab", "LivingOffTheLand", "ServiceAccountHijack",
-    "EXFIL", "ATTACK", "ANOMALY", "is_attack", "attack_type", "archetype",
-    "zone", "label",
-]
+# Words that give a label away in released data; callers pass the names their own data uses.
+LEAK_VOCABULARY = ["attack", "anomaly", "benign", "campaign", "exfil", "is_attack", "label", "malicious", "secret"]
 
 
 # ---------------------------------------------------------------------------
@@ -202,7 +182,7 @@ class WorldConfig:
 
 @dataclass(frozen=True)
 class ClosureConfig:
-    """What opens a watch on a resource and what closes it."""
+    """What opens a watch on a resource and what closes it. The defaults are fixed values as well."""
 
     pairs: tuple = (
         # (pair_id, opening action, closing action, hours, tier)
@@ -242,25 +222,11 @@ class CorrelationConfig:
 
     link_seconds: int = 60
     audit_seconds: int = 120
-    # Matching runs slice by slice; a slice must be longer than link_seconds.
+    # Width of the time slices over which a busy project is spread.
     slice_seconds: int = 3600
 
 
-def resolve_initiators(project_id: str = "", project_number: str = "",
-                       emails: list[str] | None = None) -> list[str]:
-    """Known initiators with project placeholders filled in where given."""
-    out = set()
-    for email in KNOWN_INITIATORS if emails is None else emails:
-        if project_number:
-            email = email.replace("PROJECT_NUMBER", project_number)
-        if project_id:
-            email = email.replace("PROJECT_ID", project_id)
-        out.add(email)
-    return sorted(out)
-
-
-def resolve_service_workers(project_id: str) -> dict[str, str]:
-    """Service to worker account map; empty without a project."""
-    if not project_id:
-        return {}
-    return {svc: sa.replace("PROJECT_ID", project_id) for svc, sa in SERVICE_WORKERS.items()}
+def resolve_accounts(emails: list[str], project_id: str = "", project_number: str = "") -> list[str]:
+    """The caller's account names with PROJECT_ID and PROJECT_NUMBER filled in where given."""
+    filled = {e.replace("PROJECT_NUMBER", project_number or "PROJECT_NUMBER").replace("PROJECT_ID", project_id or "PROJECT_ID") for e in emails}
+    return sorted(filled)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk import config as C
-from flowrisk.operators.ordered import linear_percentiles, running_totals
+from flowrisk.operators.ordered import linear_percentiles, null_safe_join, running_totals, with_quantile_slice
 from flowrisk.operators.trajectory import EDGE
 from flowrisk.session import cut_lineage, materialize
 
@@ -74,15 +74,15 @@ def average_precision(scored: DataFrame, keys: list[str], score: str, label: str
                       weight: Column | None = None, slices: int = 256) -> DataFrame:
     """Average precision and prevalence per key; equal scores form one threshold.
 
-    ``score`` lies in [0, 1]. Scores are cut into slices, so the running counts
+    The distinct scores are cut into slices of equal size, so the running counts
     of a large group do not sit in one task.
     """
     w = F.lit(1.0) if weight is None else weight
     steps = (scored.groupBy(*keys, (-F.col(score)).alias("_s"))
              .agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("p"))
              .where(F.col("n") > 0))
-    run = running_totals(steps, keys, ["_s"], {"_n": F.col("n"), "_p": F.col("p")},
-                         F.floor(F.col("_s") * slices).cast("long"))
+    steps = with_quantile_slice(steps, keys, "_s", "_cut", slices)
+    run = running_totals(steps, keys, ["_s"], {"_n": F.col("n"), "_p": F.col("p")}, F.col("_cut"))
     precision = (F.col("_p") + F.col("p")) / (F.col("_n") + F.col("n"))
     return run.groupBy(*keys).agg(
         F.try_divide(F.sum(precision * F.col("p")), F.sum("p")).alias("average_precision"),
@@ -141,16 +141,15 @@ def leakage_audit(samples: DataFrame, train: Column, replicates: int = 1000, str
             .select("stratum", "n_pos", "average_precision", "prevalence", "ci_lower", "ci_upper", status.alias("status")))
 
 
-def ks_two_sample(values: DataFrame, value: str, in_first: Column, keys: list[str] | None = None,
-                  slice_width: float = 1.0) -> DataFrame:
+def ks_two_sample(values: DataFrame, value: str, in_first: Column, keys: list[str] | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic with the asymptotic p-value."""
     keys = keys or []
     counts = values.groupBy(*keys, F.col(value).alias("_v")).agg(
         F.sum(in_first.cast("long")).alias("a"), F.sum((~in_first).cast("long")).alias("b"))
     sizes = counts.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
-    run = running_totals(counts, keys, ["_v"], {"_a": F.col("a"), "_b": F.col("b")},
-                         F.floor(F.col("_v") / F.lit(slice_width)).cast("long"))
-    both = run.join(sizes, keys) if keys else run.join(F.broadcast(sizes), F.lit(True))
+    counts = with_quantile_slice(counts, keys, "_v", "_cut")
+    run = running_totals(counts, keys, ["_v"], {"_a": F.col("a"), "_b": F.col("b")}, F.col("_cut"))
+    both = null_safe_join(run, sizes, keys) if keys else run.join(F.broadcast(sizes), F.lit(True))
     gap = F.abs((F.col("_a") + F.col("a")) / F.col("n1") - (F.col("_b") + F.col("b")) / F.col("n2"))
     out = both.groupBy(*keys, "n1", "n2").agg(F.max(gap).alias("statistic"))
     x2 = F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")) * F.pow("statistic", F.lit(2))

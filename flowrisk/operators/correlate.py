@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import bisect
+from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk import config as C
 from flowrisk.config import CorrelationConfig
-from flowrisk.operators.ordered import asof_lookup, values_at_ranks, with_position, with_previous
-from flowrisk.session import cut_lineage, materialize
+from flowrisk.operators.ordered import asof_lookup, nearest_value, null_safe_join, values_at_ranks, with_position, with_previous
+from flowrisk.session import materialize
 
-LINK_SCHEMA = "project_id string, _slice long, scheduler_id string, request_id string, url_match boolean"
+LINK_SCHEMA = "project_id string, scheduler_id string, request_id string, url_match boolean"
 
 
 def started_runs(schedulers: DataFrame) -> DataFrame:
@@ -25,83 +26,101 @@ def link_requests(schedulers: DataFrame, requests: DataFrame,
     """Give each scheduler run its request, one to one, in order of scheduled time.
 
     A run takes the nearest unused request at most ``link_seconds`` later,
-    preferring one with the same URL. Each choice depends on earlier ones, yet
-    only through requests near a slice border. So every (project, time slice)
-    is matched in parallel as if nothing were taken from before, and the slices
-    into which an earlier slice reached are matched again with those requests
-    marked used, until no mark changes. The result is that of one pass in time
-    order, whatever the density of the logs.
+    preferring one with the same URL. Choices depend on earlier ones only while
+    runs follow each other within that tolerance, so the runs of a project are
+    cut at wider gaps and the islands are matched in parallel. Each is read once
+    in time order, with no more in memory than the requests within one tolerance.
     """
-    step = cfg.slice_seconds * 1_000_000
-    if cfg.slice_seconds < cfg.link_seconds:
-        raise ValueError("a slice must not be shorter than the link tolerance")
+    tolerance = cfg.link_seconds * 1_000_000
+
+    def by_slice(at):
+        return F.floor(at / F.lit(cfg.slice_seconds * 1_000_000)).cast("long")
+
     url = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "/+$", "")
     runs = started_runs(schedulers).select(
-        "project_id", F.lit("run").alias("kind"), F.unix_micros("scheduled_time").alias("at"),
-        F.col("insert_id").alias("id"), url("target_url").alias("url"))
+        "project_id", F.unix_micros("scheduled_time").alias("at"), F.col("insert_id").alias("id"), url("target_url").alias("url"))
+    before = with_previous(runs, ["project_id"], ["at", "id"], {"_prev": "at"}, by_slice(F.col("at")))
+    fresh = F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= tolerance)
+    runs = materialize(nearest_value(before, ["project_id"], ["at", "id"], F.when(fresh, F.col("at")), "_island",
+                                     by_slice(F.col("at")), include_current=True).drop("_prev"), "runs")
     calls = requests.where("is_scheduler_invoked").select(
-        "project_id", F.lit("call").alias("kind"), F.unix_micros("timestamp").alias("at"),
-        F.col("insert_id").alias("id"), url("request_url").alias("url"))
-    own = F.floor(F.col("at") / F.lit(step)).cast("long")
-    reach = F.when(F.col("at") - own * step <= cfg.link_seconds * 1_000_000, F.array(own - 1, own)) \
-        .otherwise(F.array(own))
-    rows = cut_lineage(runs.withColumn("_slice", own).unionByName(
-        calls.withColumn("_slice", F.explode(reach))))
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        return match_in_order(group, cfg.link_seconds * 1_000_000)
-
-    def solve(part: DataFrame) -> DataFrame:
-        return part.groupBy("project_id", "_slice").applyInPandas(match, LINK_SCHEMA)
-
-    def taken_ahead(links: DataFrame) -> DataFrame:
-        """Requests used by the slice before the one they lie in."""
-        ahead = calls.select("project_id", F.col("id").alias("request_id"), (own - 1).alias("_slice"))
-        return (links.join(ahead, ["project_id", "request_id", "_slice"])
-                .select("project_id", (F.col("_slice") + 1).alias("_slice"), "request_id"))
-
-    links = cut_lineage(solve(rows))
-    used = cut_lineage(taken_ahead(links))
-    stale = used.select("project_id", "_slice").distinct()
-    while not stale.isEmpty():
-        marks = used.select("project_id", "_slice", F.lit("used").alias("kind"), F.lit(0).cast("long").alias("at"),
-                            F.col("request_id").alias("id"), F.lit("").alias("url"))
-        again = solve(rows.unionByName(marks).join(stale, ["project_id", "_slice"], "left_semi"))
-        links = cut_lineage(links.join(stale, ["project_id", "_slice"], "left_anti").unionByName(again))
-        now = cut_lineage(taken_ahead(links))
-        stale = cut_lineage(now.exceptAll(used).unionByName(used.exceptAll(now))
-                            .select("project_id", "_slice").distinct())
-        used = now
+        "project_id", F.unix_micros("timestamp").alias("at"), F.col("insert_id").alias("id"), url("request_url").alias("url"))
+    near = asof_lookup(calls, runs, ["project_id"], "at", "at", ["_island"], "_run", by_slice)
+    near = near.where(F.col("at") - F.col("_run.at") < tolerance).select(
+        *calls.columns, F.col("_run._island").alias("_island"), F.lit(False).alias("is_run"))
+    rows = (runs.withColumn("is_run", F.lit(True)).unionByName(near)
+            .select("project_id", "_island", "is_run", "at", "id", "url")
+            .repartition("project_id", "_island").sortWithinPartitions("project_id", "_island", "at", "is_run", "id"))
+    links = rows.mapInArrow(lambda batches: matched_batches(batches, tolerance), LINK_SCHEMA)
 
     run_side = started_runs(schedulers).select(
         "project_id", F.col("insert_id").alias("scheduler_id"), "job_id", "scheduled_time")
     call_side = requests.select("project_id", F.col("insert_id").alias("request_id"), "service_name",
                                 F.col("timestamp").alias("request_ts"))
-    return (links.drop("_slice").join(run_side, ["project_id", "scheduler_id"])
-            .join(call_side, ["project_id", "request_id"]))
-
-
-def match_in_order(group: pd.DataFrame, tolerance: int) -> pd.DataFrame:
-    """Greedy matching inside one slice; see :func:`link_requests`."""
-    used = set(group.loc[group.kind == "used", "id"])
-    runs = group[group.kind == "run"].sort_values(["at", "id"])
-    calls = group[group.kind == "call"].sort_values(["at", "id"])
-    times, ids, urls = calls["at"].tolist(), calls["id"].tolist(), calls["url"].tolist()
-    out = []
-    for project, piece, at, run_id, url in runs[["project_id", "_slice", "at", "id", "url"]].itertuples(index=False):
-        nearest = None
-        for i in range(bisect.bisect_left(times, at), bisect.bisect_left(times, at + tolerance)):
-            if ids[i] in used:
-                continue
-            if url and urls[i] == url:
-                nearest = (i, True)
-                break
-            if nearest is None:
-                nearest = (i, False)
-        if nearest:
-            used.add(ids[nearest[0]])
-            out.append((project, piece, run_id, ids[nearest[0]], nearest[1]))
-    return pd.DataFrame(out, columns=["project_id", "_slice", "scheduler_id", "request_id", "url_match"])
+    return (null_safe_join(null_safe_join(links, run_side, ["project_id", "scheduler_id"]), call_side, ["project_id", "request_id"]))
+
+
+class Island:
+    """Greedy matching of one island as its rows arrive in time order.
+
+    A run is settled once a row beyond its tolerance arrives. Times of runs only grow, so requests before the
+    run to settle are dropped for good, and taken ones are passed over once.
+    """
+
+    def __init__(self, tolerance: int):
+        self.tolerance, self.runs, self.calls, self.by_url = tolerance, deque(), deque(), {}
+
+    def _first(self, queue: deque, at: int) -> list | None:
+        while queue and (queue[0][0] < at or queue[0][2]):
+            queue.popleft()
+        return queue[0] if queue and queue[0][0] < at + self.tolerance else None
+
+    def settle(self, upto: int | None) -> list[tuple]:
+        """Links of all waiting runs whose tolerance ends at or before ``upto``; of all if None."""
+        out = []
+        while self.runs and (upto is None or self.runs[0][0] + self.tolerance <= upto):
+            at, run, url = self.runs.popleft()
+            same = self._first(self.by_url[url], at) if url and url in self.by_url else None
+            found = same or self._first(self.calls, at)
+            if found:
+                found[2] = True
+                out.append((run, found[1], same is not None))
+        return out
+
+    def add(self, is_run: bool, at: int, row: str, url: str) -> list[tuple]:
+        out = self.settle(at)
+        if is_run:
+            self.runs.append((at, row, url))
+        else:
+            call = [at, row, False]
+            for queue in (self.calls, self.by_url.setdefault(url, deque())):
+                while queue and queue[0][0] <= at - self.tolerance:  # no waiting run reaches back so far
+                    queue.popleft()
+                queue.append(call)
+        return out
+
+
+def matched_batches(batches: Iterator[pa.RecordBatch], tolerance: int) -> Iterator[pa.RecordBatch]:
+    """Links of rows sorted by (project_id, _island, at); see :func:`link_requests`."""
+    key, island, out = None, Island(tolerance), []
+
+    def packed() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * 4
+        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                          ["project_id", "scheduler_id", "request_id", "url_match"])
+
+    for batch in batches:
+        out = []
+        for project, start, is_run, at, row, url in zip(*(c.to_pylist() for c in batch.columns)):
+            if (project, start) != key:
+                if key:
+                    out += [(key[0], *x) for x in island.settle(None)]
+                key, island = (project, start), Island(tolerance)
+            out += [(project, *x) for x in island.add(is_run, at, row, url)]
+        yield packed()
+    out = [(key[0], *x) for x in island.settle(None)] if key else []
+    yield packed()
 
 
 def cadence(schedulers: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:

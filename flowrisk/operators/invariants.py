@@ -104,7 +104,7 @@ def explain(events: DataFrame, flags: DataFrame, activity: DataFrame, edges: Dat
             targets: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
     """One sentence per fired rule, joined in rule order; built only for fired rules.
 
-    Where a rule names a resource it is the one of the earliest matching event.
+    Where a rule names a resource it is the one used first in the window, by time and then by name.
     """
     first = lambda action: F.min(F.when(F.col("action_type") == action, F.struct(
         "ts", "event_id", "target_id")))["target_id"]
@@ -115,7 +115,8 @@ def explain(events: DataFrame, flags: DataFrame, activity: DataFrame, edges: Dat
                                        first("COMPUTE_METADATA_CHANGE").alias("_meta")))
     new = lambda count, name: (mark_new(targets.where(F.col(count) > 0), ["actor_id", "target_id"],
                                         cfg.lookback_seconds, "is_new").where("is_new")
-                               .groupBy(*WINDOW_KEY).agg(F.min("target_id").alias(name)))
+                               .join(targets.select(*WINDOW_KEY, "target_id", "first_ts"), [*WINDOW_KEY, "target_id"])
+                               .groupBy(*WINDOW_KEY).agg(F.min(F.struct("first_ts", "target_id"))["target_id"].alias(name)))
     edge = (edges.where(F.col("is_new") & F.col("target_zone").isin("SECRET", "EXFIL_RISK"))
             .groupBy(*WINDOW_KEY).agg(F.min(F.struct("source_zone", "target_zone")).alias("_edge")))
     spike = impersonation_spike(activity, cfg).select(*WINDOW_KEY, "n_impersonate", "impersonation_baseline")
@@ -125,24 +126,23 @@ def explain(events: DataFrame, flags: DataFrame, activity: DataFrame, edges: Dat
         full = full.join(part, WINDOW_KEY, "left")
     actor = F.col("actor_id")
     text = {
-        "INV_001": F.format_string("IAM policy change by %s outside deploy window", actor),
-        "INV_002": F.format_string("SA key created targeting %s", "_key"),
-        "INV_003": F.format_string("SA key created by novel actor %s", actor),
-        "INV_004": F.format_string("Impersonation by %s targeting %s", actor, "_imp"),
-        "INV_005": F.format_string("Impersonation spike: %d events (baseline=%.1f)", "n_impersonate",
+        "INV_001": F.format_string("%s changed an access policy and no deployment was under way", actor),
+        "INV_002": F.format_string("a service-account key was issued for %s", "_key"),
+        "INV_003": F.format_string("%s, not seen before, issued a service-account key", actor),
+        "INV_004": F.format_string("%s acted as %s", actor, "_imp"),
+        "INV_005": F.format_string("%d impersonations where %.1f are usual", "n_impersonate",
                                    F.coalesce("impersonation_baseline", F.lit(0.0))),
-        "INV_006": F.format_string("New actor %s accessing secret %s", actor, "_secret"),
-        "INV_007": F.lit("Secret access co-occurs with IAM policy change in same window"),
-        "INV_008": F.format_string("New actor %s decrypting %s", actor, "_crypt"),
-        "INV_009": F.format_string("Compute metadata change on %s", "_meta"),
-        "INV_010": F.format_string("New edge %s->%s for actor %s", F.col("_edge.source_zone"),
-                                   F.col("_edge.target_zone"), actor),
+        "INV_006": F.format_string("%s read secret %s for the first time", actor, "_secret"),
+        "INV_007": F.lit("a secret was read and an access policy changed in one window"),
+        "INV_008": F.format_string("%s decrypted with %s for the first time", actor, "_crypt"),
+        "INV_009": F.format_string("instance metadata of %s was changed", "_meta"),
+        "INV_010": F.format_string("%s went from %s to %s for the first time", actor, F.col("_edge.source_zone"),
+                                   F.col("_edge.target_zone")),
         "INV_011": F.format_string(
-            "SA %s normally acts via delegation chain (%d/%d=%.0f%% historical) "
-            "but %d events in this window lack delegation", actor, "past_chained", "past_events",
-            100 * F.col("past_chained") / F.nullif("past_events", F.lit(0)),
-            F.col("event_count") - F.col("n_chained")),
+            "%s acted %d times without delegation, which it had %d times in %d before (%.0f%%)", actor,
+            F.col("event_count") - F.col("n_chained"), "past_chained", "past_events",
+            100 * F.col("past_chained") / F.nullif("past_events", F.lit(0))),
     }
     said = F.concat_ws("; ", *[F.when(F.col(r), text[r]) for r in sorted(text)])
-    return full.select(*WINDOW_KEY, F.when(said == "", "no invariants fired").otherwise(said)
+    return full.select(*WINDOW_KEY, F.when(said == "", "no rule fired").otherwise(said)
                        .alias("explanation"))

@@ -171,6 +171,15 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str,
             .agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks]))
 
 
+def with_quantile_slice(df: DataFrame, keys: list[str], value: str, name: str, slices: int = 256) -> DataFrame:
+    """Add a slice number of ``value`` within its key, with about equally many rows in each slice."""
+    one = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    edges = rows.groupBy(*one).agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], slices * 20).alias("_edges"))
+    cut = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    return _one_row_join(rows, edges, one).select(*df.columns, cut.alias(name))
+
+
 def linear_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation between neighbouring ranks."""
     ranks = {}

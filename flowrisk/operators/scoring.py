@@ -64,12 +64,12 @@ def fusion_scores(activity: DataFrame, invariants: DataFrame, novelty: DataFrame
 def with_explanation(scores: DataFrame, sentences: DataFrame) -> DataFrame:
     """Add the rule sentences followed by the state of the actor's watches."""
     watched = F.when(F.col("total_watches") > 0, F.format_string(
-        "watches: %d/%d closed", "closed_watches", "total_watches"))
+        "%d of %d open ends closed", "closed_watches", "total_watches"))
     orphaned = F.when((F.col("total_watches") > 0) & (F.col("orphaned_privilege") > 0),
-                      F.format_string("orphaned_privilege=%.2f", "orphaned_privilege"))
+                      F.format_string("%.2f left behind", "orphaned_privilege"))
     return (scores.join(sentences, WINDOW_KEY, "left")
             .withColumn("explanation", F.concat_ws(
-                "; ", F.coalesce("explanation", F.lit("no invariants fired")), watched, orphaned)))
+                "; ", F.coalesce("explanation", F.lit("no rule fired")), watched, orphaned)))
 
 
 def risk_energy(scores: DataFrame) -> DataFrame:
@@ -88,6 +88,6 @@ def policy_suggestions(energy: DataFrame) -> DataFrame:
             .select(F.sha2(F.concat_ws("|", F.unix_seconds("window_start"), "actor_id"), 256)
                     .alias("suggestion_id"),
                     *WINDOW_KEY, "risk_energy", "alert_level", action.alias("suggested_action"),
-                    F.format_string("fusion=%.3f residual=%.3f closure=%.2f orphaned=%.1f",
+                    F.format_string("score %.3f, %.3f after discounts; %.2f of open ends closed, %.1f left behind",
                                     "fusion_raw", "residual_risk", "closure_ratio", "orphaned_privilege")
                     .alias("explanation")))

@@ -492,6 +492,10 @@ ORACLE |= {
         round(min(l_extendedprice), 3) AS min, round(quantile_cont(l_extendedprice, 0.25), 3) AS p25, round(quantile_cont(l_extendedprice, 0.5), 3) AS p50,
         round(quantile_cont(l_extendedprice, 0.75), 3) AS p75, round(quantile_cont(l_extendedprice, 0.9), 3) AS p90, round(max(l_extendedprice), 3) AS max
         FROM lineitem GROUP BY l_returnflag""",
+    "separation_odd_values": """SELECT category, count(*) AS count, round(min(v), 2) AS min, round(quantile_cont(v, 0.25), 2) AS p25,
+        round(quantile_cont(v, 0.5), 2) AS p50, round(quantile_cont(v, 0.75), 2) AS p75, round(quantile_cont(v, 0.9), 2) AS p90, round(max(v), 2) AS max
+        FROM (SELECT nullif(l_returnflag, 'N') AS category, CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN 1e12 ELSE CAST(l_extendedprice AS DOUBLE) END AS v
+        FROM lineitem) GROUP BY category""",
     "effect_size": """SELECT round(am, 3) AS attack_mean, round(bm, 3) AS benign_mean, round((am - bm) / sqrt((sa * sa + sb * sb) / 2), 6) AS cohens_d,
         round(am / bm, 6) AS separation_ratio FROM (SELECT avg(l_extendedprice) FILTER (l_returnflag = 'R') AS am, avg(l_extendedprice) FILTER (l_returnflag <> 'R') AS bm,
         stddev_pop(l_extendedprice) FILTER (l_returnflag = 'R') AS sa, stddev_pop(l_extendedprice) FILTER (l_returnflag <> 'R') AS sb FROM lineitem)""",

@@ -49,16 +49,20 @@ def all_pairs(events: DataFrame, seeded: DataFrame, cfg: ClosureConfig = Closure
 
 
 def fusion(model: WorldModel, known: DataFrame, pairs: DataFrame,
-           closure_cfg: ClosureConfig = ClosureConfig(), point_in_time: bool = True) -> DataFrame:
-    """Signals and fused score of every (window, actor)."""
+           closure_cfg: ClosureConfig = ClosureConfig(), point_in_time: bool = True, explain: bool = False) -> DataFrame:
+    """Signals and fused score of every (window, actor), with sentences for the fired rules if wanted."""
     cfg, keys = model.cfg, model.activity.select(*world.WINDOW_KEY)
     flux, closed, fired = materialize_all({
         "flux": world.zone_flux(keys, model.edges, cfg),
         "closed": closure.close_times(model.events, model.watches, keys, pairs, closure_cfg),
         "invariants": invariants.check_invariants(model.activity, model.targets, model.edges, known, cfg)})
-    return scoring.fusion_scores(
+    fused = scoring.fusion_scores(
         model.activity, fired, world.novelty_scores(model.edges), flux, world.ema_delta(flux, cfg),
         closure.closure_signals(closed, keys, cfg, point_in_time))
+    if explain:
+        fused = scoring.with_explanation(fused, invariants.explain(
+            model.events, fired, model.activity, model.edges, model.targets, cfg))
+    return fused
 
 
 def residual(model: WorldModel, fused: DataFrame, known: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -72,12 +76,13 @@ def residual(model: WorldModel, fused: DataFrame, known: DataFrame, patterns: Da
 
 def score_events(events: DataFrame, known: DataFrame, patterns: DataFrame, pairs: DataFrame,
                  cfg: WorldConfig = WorldConfig(), closure_cfg: ClosureConfig = ClosureConfig(),
-                 point_in_time: bool = True, explain: bool = False) -> DataFrame:
-    """The whole pipeline: canonical events in, one risk row per (window, actor) out."""
+                 point_in_time: bool = True, explain: bool = False, mine: bool = False) -> DataFrame:
+    """The whole pipeline: canonical events in, one risk row per (window, actor) out.
+
+    ``mine`` adds the pairs of opening and closing actions that the events themselves show.
+    """
+    if mine:
+        pairs, = materialize_all({"pairs": all_pairs(events, pairs, closure_cfg)})
     model = build_world(events, pairs, cfg, closure_cfg)
-    fused = fusion(model, known, pairs, closure_cfg, point_in_time)
-    if explain:
-        flags = invariants.check_invariants(model.activity, model.targets, model.edges, known, cfg)
-        fused = scoring.with_explanation(fused, invariants.explain(
-            events, flags, model.activity, model.edges, model.targets, cfg))
+    fused = fusion(model, known, pairs, closure_cfg, point_in_time, explain)
     return residual(model, fused, known, patterns)

@@ -123,7 +123,7 @@ def test_ks_statistic(spark):
     a, b = [rng.gauss(0, 1) for _ in range(80)], [rng.gauss(0.8, 1) for _ in range(60)]
     want = max(abs(sum(x <= v for x in a) / 80 - sum(x <= v for x in b) / 60) for v in a + b)
     df = spark.createDataFrame([(v, True) for v in a] + [(v, False) for v in b], "v double, first boolean")
-    r = audits.ks_two_sample(df, "v", F.col("first"), slice_width=0.25).first()
+    r = audits.ks_two_sample(df, "v", F.col("first")).first()
     assert r.statistic == pytest.approx(want) and 0 < r.p_value < 0.01
 
 
