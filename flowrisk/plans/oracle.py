@@ -663,3 +663,15 @@ ORACLE |= {
         select="""SELECT a.log_type AS log_type_1, a.path AS field_1, b.log_type AS log_type_2, b.path AS field_2, count(*) AS shared_values
         FROM pl a JOIN pl b ON a.value = b.value AND a.log_type < b.log_type GROUP BY ALL"""),
 }
+
+ORACLE |= {
+    "stream_dedup": sql(EV, select="SELECT event_id, actor_id FROM ev"),
+    "stream_actor_windows": sql(EV, ACT, select=f"""SELECT {WS}, actor_id, event_count, n_targets, action_types,
+        {r6('burst')} AS burst_per_min, {r6('h')} AS breadth_entropy FROM act JOIN ent USING (ws, actor_id)"""),
+    "stream_edges": ORACLE["zone_edges"],
+    "stream_sessions": sql(EV, """gaps AS (SELECT event_type, us, us - lag(us) OVER (PARTITION BY event_type ORDER BY us) AS gap FROM ev),
+        runs AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > 600000000) OVER (PARTITION BY event_type ORDER BY us) AS run FROM gaps)""",
+        select="""SELECT event_type AS log_type, min(us) AS cluster_start, max(us) AS cluster_end, count(*) AS n_entries FROM runs
+        GROUP BY event_type, run HAVING count(*) >= 2"""),
+    "ingest_twice": sql(RAW, select="SELECT count(*) AS first_run, CAST(0 AS BIGINT) AS second_run, count(*) AS stored, count(*) AS ids FROM aud"),
+}

@@ -6,6 +6,8 @@ are UTC text, arrays are comma-joined, so that results compare by value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ from flowrisk.operators import (
 from flowrisk.plans import pipeline
 from flowrisk.plans import tables as T
 from flowrisk.sources import raw_logs
-from flowrisk.session import materialize, tune
+from flowrisk.session import materialize, shared_folder, tune
+from flowrisk.streaming import live
 
 DAY = T.DAY
 REGISTRY: dict = {}
@@ -972,3 +975,70 @@ def cluster_keys(spark, sf):
 @query
 def cross_log_overlap(spark, sf):
     return profile.cross_log_overlap(_leaves(spark, sf))
+
+
+# --- streams ---------------------------------------------------------------------------------------
+
+def _streamed(spark, events: DataFrame, form) -> DataFrame:
+    """What ``form`` emits for the events as a stream of three batches in time order.
+
+    A last row far in the future moves the watermark past all others; it is taken out again.
+    """
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    third = events.agg(F.min("ts"), F.max("ts")).first()
+    edges = [third[0] + (third[1] - third[0]) * k / 3 for k in (1, 2)] if third[0] else []
+    piece = sum(((F.col("ts") >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+    for k in range(3):
+        events.where(piece == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    later = events.limit(1).withColumn("ts", F.col("ts") + F.expr("interval 4000 days")).withColumn("actor_id", F.lit("~"))
+    later.withColumn("event_id", F.lit("~")).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    (form(source).writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+     .start(f"{folder}/out", format="parquet", outputMode="append").awaitTermination())
+    return spark.read.schema(form(events).schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_dedup(spark, sf):
+    """Every event arrives twice."""
+    ev = _events(spark, sf).select("event_id", "ts", "actor_id")
+    return _streamed(spark, ev.unionByName(ev), live.dedup_stream).where("actor_id <> '~'").select("event_id", "actor_id")
+
+
+@query
+def stream_actor_windows(spark, sf):
+    ev = _events(spark, sf).select("event_id", "ts", "actor_id", "target_id", "action_type")
+    out = _streamed(spark, ev, lambda e: live.actor_window_stream(e.withWatermark("ts", live.WATERMARK), DAY)).where("actor_id <> '~'")
+    return out.select(*key(), "event_count", "n_targets", joined("action_types").alias("action_types"),
+                      r6("burst_per_min").alias("burst_per_min"), r6("breadth_entropy").alias("breadth_entropy"))
+
+
+@query
+def stream_edges(spark, sf):
+    ev = _events(spark, sf).select("event_id", "ts", "actor_id", "target_id", "target_zone")
+    out = _streamed(spark, ev, lambda e: live.edge_stream(e.withWatermark("ts", live.WATERMARK), DAY)).where("actor_id <> '~'")
+    return out.select(*key(), "source_zone", "target_zone", "target_id", "edge_count", F.unix_micros("first_seen").alias("first_seen"))
+
+
+@query
+def stream_sessions(spark, sf):
+    ev = _events(spark, sf).select("event_id", "ts", "actor_id", F.col("event_type").alias("log_type"))
+    out = _streamed(spark, ev, lambda e: live.session_clusters(e.where("actor_id <> '~'").unionByName(
+        e.where("actor_id = '~'").withColumn("log_type", F.lit("~"))), "10 minutes"))
+    return out.where("log_type <> '~'").select("log_type", F.unix_micros("cluster_start").alias("cluster_start"),
+                                               F.unix_micros("cluster_end").alias("cluster_end"), "n_entries")
+
+
+@query
+def ingest_twice(spark, sf):
+    """The raw entries as files, read once from the start and once from the marks: rows added and stored."""
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    T.raw_entries(spark, sf).select("entry").coalesce(1).write.text(f"{folder}/logs/cloudaudit.googleapis.com/activity")
+    spark.read.text(f"{folder}/logs").write.text(f"{folder}/logs/cloudaudit.googleapis.com/activity/again")
+    marks, first = {}, []
+    for _ in range(2):
+        marks, n = raw_logs.ingest_new(spark, f"{folder}/logs", f"{folder}/events", marks, pattern="*.txt")
+        first.append(n)
+    stored = spark.read.parquet(f"{folder}/events")
+    return stored.agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("event_id").alias("ids")).select(
+        F.lit(first[0]).cast("long").alias("first_run"), F.lit(first[1]).cast("long").alias("second_run"), "stored", "ids")

@@ -2,34 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowrisk import config as C
 
+PATTERN = "*.{json,jsonl}"
+
 
 def scan_logs(spark: SparkSession, path: str, prefixes: list[str] | None = None,
-              whole_files: bool = False) -> DataFrame:
+              whole_files: bool = False, marks: dict[str, str] | None = None, pattern: str = PATTERN) -> DataFrame:
     """Log entries below ``path``: (source_file, entry), one JSON object each.
 
     Lines are read one by one, so large files split over tasks. A line may hold
     an object or an array of objects, and the brackets and commas of an array
     with one object per line are taken off. ``whole_files`` reads each file as
-    one text instead, for arrays whose objects span lines.
+    one text instead, for arrays whose objects span lines. ``marks`` holds the
+    last path read of each source; files up to it are not opened.
     """
-    reader = (spark.read.option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*.{json,jsonl}"))
-    raw = reader.text(path, wholetext=whole_files).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("value"))
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    raw = reader.text(path, wholetext=whole_files)
+    if marks:
+        raw = raw.where(past_marks(F.col("_metadata.file_path"), marks))
+    raw = raw.select(F.col("_metadata.file_path").alias("source_file"), F.col("value"))
     return split_entries(select_prefixes(raw, prefixes))
 
 
-def stream_logs(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+def past_marks(path: Column, marks: dict[str, str]) -> Column:
+    """Whether a file lies past the mark of its source. Only literals, so that the file listing is pruned."""
+    out = F.lit(True)
+    for source, last in marks.items():
+        out = out & (~path.contains(source) | (path > last))
+    return out
+
+
+def latest_files(spark: SparkSession, path: str, sources: list[str], pattern: str = PATTERN) -> dict[str, str]:
+    """The last path of each source, from the listing alone."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+             .load(path).select(F.col("_metadata.file_path").alias("path")))
+    last = files.agg(*[F.max(F.when(F.col("path").contains(s), F.col("path"))) for s in sources]).first()
+    return {s: p for s, p in zip(sources, last) if p is not None}
+
+
+def ingest_new(spark: SparkSession, path: str, events_path: str, marks: dict[str, str] | None = None,
+               prefixes: list[str] = C.LOG_PREFIXES, pattern: str = PATTERN) -> tuple[dict[str, str], int]:
+    """Read what lies past ``marks``, store the events that are not stored yet by day, and return the new marks and their number.
+
+    Stored ids are compared only within the days that the new events touch. A run that fails before it returns
+    leaves the marks as they were; the next one finds the stored events and adds the rest.
+    """
+    from flowrisk.operators import normalize
+    from flowrisk.session import materialize
+
+    marks = dict(marks or {})
+    reached = marks | latest_files(spark, path, prefixes, pattern)  # files that arrive later are left for the next run
+    entries = scan_logs(spark, path, prefixes, marks=marks, pattern=pattern)
+    for source, last in reached.items():
+        entries = entries.where(~F.col("source_file").contains(source) | (F.col("source_file") <= last))
+    parsed = normalize.parse_entries(entries).where("log_format = 'audit'")
+    found = normalize.canonicalize_audit(parsed).withColumn("day", F.to_date("ts"))
+    fresh = normalize.dedup_events(found, ["ts"])
+    target = spark._jvm.org.apache.hadoop.fs.Path(events_path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        stored = spark.read.parquet(events_path).select("event_id", "day")
+        fresh = fresh.join(stored, ["event_id", "day"], "left_anti")
+    fresh = materialize(fresh, "ingest")
+    fresh.write.mode("append").partitionBy("day").parquet(events_path)
+    return reached, fresh.count()
+
+
+def stream_logs(spark: SparkSession, path: str, max_files: int = 1000, prefixes: list[str] | None = None) -> DataFrame:
     """The same scan as a stream; its checkpoint remembers which files are done."""
     raw = (spark.readStream.option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.{json,jsonl}").option("maxFilesPerTrigger", max_files)
+           .option("pathGlobFilter", PATTERN).option("maxFilesPerTrigger", max_files)
            .text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("value")))
-    return split_entries(raw)
+    return split_entries(select_prefixes(raw, prefixes))
 
 
 def select_prefixes(files: DataFrame, prefixes: list[str] | None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowrisk.config import ClosureConfig, CorrelationConfig, WorldConfig
 from flowrisk.functions import expressions as X
-from flowrisk.operators import normalize, world
+from flowrisk.operators import normalize
 
 WATERMARK = "2 hours"
 
@@ -54,6 +54,39 @@ def actor_window_stream(events: DataFrame, cfg: WorldConfig = WorldConfig()) ->
         .alias("breadth_entropy"))
 
 
+def edge_stream(events: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
+    """Zone transitions of closed windows, as :func:`world.zone_edges` gives them.
+
+    Three chained aggregations: the events of a slice are put in order and turned into its transitions, its first
+    and its last event; the slices of a window are stitched together; equal transitions are added up. State
+    holds the events of open slices only. ``events`` carries a watermark on ``ts``.
+    """
+    slice_, span = f"{cfg.slice_minutes} minutes", f"{cfg.window_minutes} minutes"
+    if cfg.window_minutes < cfg.slice_minutes:
+        slice_ = span
+    hop = lambda a, b: F.struct(a["target_zone"].alias("source_zone"), b["target_zone"].alias("target_zone"),
+                                b["target_id"].alias("target_id"), b["ts"].alias("at"))
+    hops = lambda rows: F.transform(F.sequence(F.lit(1), F.size(rows) - 1, F.lit(1)),
+                                    lambda i: hop(F.get(rows, i - 1), F.get(rows, i)))
+    row = F.struct("ts", "event_id", "target_zone", "target_id")
+    slices = (events.groupBy(F.window("ts", slice_).alias("s"), "actor_id")
+              .agg(F.array_sort(F.collect_list(row)).alias("rows")))
+    none = F.array().cast("array<struct<source_zone:string,target_zone:string,target_id:string,at:timestamp>>")
+    inner = F.when(F.size("rows") > 1, hops(F.col("rows"))).otherwise(none)
+    part = F.struct(F.get("rows", F.lit(0)).alias("first"), F.element_at("rows", -1).alias("last"), inner.alias("hops"))
+    windows = (slices.select("s", "actor_id", part.alias("part"))
+               .groupBy(F.window(F.window_time("s"), span).alias("w"), "actor_id")
+               .agg(F.array_sort(F.collect_list("part")).alias("parts")))
+    seams = F.when(F.size("parts") > 1, F.transform(
+        F.sequence(F.lit(1), F.size("parts") - 1, F.lit(1)),
+        lambda i: hop(F.get("parts", i - 1)["last"], F.get("parts", i)["first"]))).otherwise(none)
+    every = windows.select("w", "actor_id", F.explode(F.concat(seams, F.flatten(F.transform("parts", lambda p: p["hops"])))).alias("e"))
+    edges = every.select("w", "actor_id", "e.*")
+    return (edges.groupBy(F.window(F.window_time("w"), span).alias("v"), "actor_id", "source_zone", "target_zone", "target_id")
+            .agg(F.count(F.lit(1)).alias("edge_count"), F.min("at").alias("first_seen"))
+            .select(F.col("v.start").alias("window_start"), "actor_id", "source_zone", "target_zone", "target_id", "edge_count", "first_seen"))
+
+
 def session_clusters(timed: DataFrame, gap: str = "30 seconds", delay: str = WATERMARK) -> DataFrame:
     """Bursts of at least two entries per log type."""
     return (timed.withWatermark("ts", delay)
@@ -202,8 +235,3 @@ def score_batches(stream: DataFrame, events_path: str, risk_path: str, score, cf
         write_by_day(risk, risk_path)
 
     return stream.writeStream.foreachBatch(run)
-
-
-def edges_of_batch(batch: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
-    """Transitions of the windows in a batch of events whose windows have closed."""
-    return world.zone_edges(batch, cfg)
