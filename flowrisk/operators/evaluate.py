@@ -121,6 +121,13 @@ def signal_activation(scores: DataFrame, keys: list[str]) -> DataFrame:
         on(F.col("trigger_chain_resolved")).alias("trigger_resolved"))
 
 
+def signal_reliability(activations: DataFrame, signals: list[str]) -> DataFrame:
+    """Per signal the share of runs in which it is ever active, and its mean activation; one row per run in."""
+    cells = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s in signals])
+    return (activations.select(F.explode(cells).alias("c")).groupBy("c.signal")
+            .agg(F.avg((F.col("c.v") > 0).cast("double")).alias("reliability"), F.avg("c.v").alias("mean_activation")))
+
+
 def sweep_report(runs: DataFrame, value: str, axes: list[str]) -> DataFrame:
     """Mean, spread, range and median of a run metric overall and along each axis alone."""
     sets = _one_axis_at_a_time(runs.select(value, *axes), axes)
@@ -229,6 +236,17 @@ def effect_size(scores: DataFrame, is_attack: Column, value: str) -> DataFrame:
         .when(F.col("attack_mean") > 0, F.lit(float("inf"))).otherwise(1.0).alias("separation_ratio"))
 
 
+def against_benign(stats: DataFrame, category: str, benign: str = "benign") -> DataFrame:
+    """Add Cohen's d and the ratio of means of each category of :func:`separation_stats` against the benign one."""
+    base = stats.where(F.col(category) == benign).select(F.col("mean").alias("_m"), F.col("std").alias("_s"))  # one row
+    pooled = F.sqrt((F.pow("std", F.lit(2)) + F.pow("_s", F.lit(2))) / 2)
+    other = F.coalesce(F.col(category) != benign, F.lit(True))
+    return (stats.join(F.broadcast(base), F.lit(True), "left")
+            .withColumn("cohens_d", F.when(other, F.when(pooled > 0, (F.col("mean") - F.col("_m")) / pooled).otherwise(0.0)))
+            .withColumn("separation_ratio", F.when(other & (F.col("_m") > 0), F.col("mean") / F.col("_m")))
+            .drop("_m", "_s"))
+
+
 # --- alert budget -----------------------------------------------------------------
 
 def alert_budget(alerts: DataFrame, per_day: int, day_seconds: float = 86400.0) -> DataFrame:
@@ -268,6 +286,19 @@ def campaigns_per_flavor(campaigns: DataFrame) -> DataFrame:
     return campaigns.groupBy("flavor").agg(F.count(F.lit(1)).alias("n_campaigns"))
 
 
+def middle_windows(positioned: DataFrame, marked: DataFrame, width: int = 80, least: int = 160) -> DataFrame:
+    """The benign counterpart of labelled intervals: the ``width`` transitions up to the middle of each long trajectory.
+
+    Actors in ``marked`` are left out, as are those with fewer than ``least`` transitions.
+    """
+    size = positioned.groupBy("actor").agg(F.max("position").alias("_n")).where(F.col("_n") >= least)
+    middle = F.floor(F.col("_n") / 2)
+    inside = (F.col("position") > middle - width) & (F.col("position") <= middle)
+    return (positioned.join(size.join(marked.select("actor").distinct(), "actor", "left_anti"), "actor").where(inside)
+            .groupBy("actor").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
+            .select("actor", F.lit("benign|").alias("window_id"), F.lit("benign").alias("flavor"), "t_start", "t_end"))
+
+
 def instance_windows(positioned: DataFrame, campaigns: DataFrame, least: int = 5,
                      fallback: int = 80) -> DataFrame:
     """Time range to score for each labelled interval.

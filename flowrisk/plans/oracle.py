@@ -581,11 +581,14 @@ ORACLE |= {
     "campaigns_per_flavor": sql(EV, CAMP, select="SELECT flavor, count(*) AS n_campaigns FROM camp GROUP BY flavor"),
     "behavioural_read": sql(EV, TR, CAMP, """up AS (SELECT c.actor, c.flavor, c.te, count(*) FILTER (t >= ts0) AS k, max(p) AS lp, any_value(ts0) AS ts0 FROM camp c
         JOIN tr ON tr.actor = c.actor AND t <= te GROUP BY ALL),
-        iw AS (SELECT up.actor AS la, flavor, te AS t1, CASE WHEN k < 5 THEN tr.t ELSE ts0 END AS t0 FROM up JOIN tr ON tr.actor = up.actor AND tr.p = greatest(1, lp - 79))""",
+        iw AS (SELECT up.actor AS la, flavor, te AS t1, CASE WHEN k < 5 THEN tr.t ELSE ts0 END AS t0 FROM up JOIN tr ON tr.actor = up.actor AND tr.p = greatest(1, lp - 79)
+          UNION ALL SELECT actor, 'benign', max(t), min(t) FROM tr WHERE n >= 40 AND p > n // 2 - 20 AND p <= n // 2 AND actor NOT IN (SELECT actor FROM camp) GROUP BY actor)""",
         _excess("SELECT tr.*, flavor FROM tr JOIN iw ON la = actor AND t BETWEEN t0 AND t1", "SELECT tr.*, flavor FROM tr JOIN iw ON la = actor AND t < t0", "actor, flavor"),
         select="SELECT flavor, count(*) AS count, " + ", ".join(f"{r6(e)} AS {n}" for n, e in (("mean", "avg(score)"), ("std", "stddev_pop(score)"), ("min", "min(score)"),
         ("p25", "quantile_cont(score, 0.25)"), ("p50", "quantile_cont(score, 0.5)"), ("p75", "quantile_cont(score, 0.75)"), ("p90", "quantile_cont(score, 0.9)"),
-        ("max", "max(score)"))) + " FROM exs GROUP BY flavor"),
+        ("max", "max(score)"))) + f""", {r6('CASE WHEN flavor <> $$benign$$ THEN (avg(score) - bm) / sqrt((stddev_pop(score) * stddev_pop(score) + bs * bs) / 2) END')} AS cohens_d,
+        {r6('CASE WHEN flavor <> $$benign$$ THEN avg(score) / bm END')} AS separation_ratio FROM exs,
+        (SELECT avg(score) AS bm, stddev_pop(score) AS bs FROM exs WHERE flavor = 'benign') GROUP BY flavor, bm, bs"""),
     "benign_spans": sql(EV, TR, CAMP, SPANS, select="SELECT actor, span, round(a, 3) AS t_start, round(b, 3) AS t_end FROM ok"),
     "span_features": sql(EV, TR, CAMP, SPANS, select="""SELECT actor, flavor, round(a, 3) AS t_start, CAST(n AS DOUBLE) AS n_events, CAST(coalesce(r, 0) AS DOUBLE) AS n_resources,
         CAST(e AS DOUBLE) AS n_edges, CAST(na AS DOUBLE) AS n_actions, CASE WHEN n > 0 THEN round(e / n, 6) ELSE 0.0 END AS edge_diversity,
@@ -675,3 +678,8 @@ ORACLE |= {
         GROUP BY event_type, run HAVING count(*) >= 2"""),
     "ingest_twice": sql(RAW, select="SELECT count(*) AS first_run, CAST(0 AS BIGINT) AS second_run, count(*) AS stored, count(*) AS ids FROM aud"),
 }
+_ACTIVE = (("inv_score", "inv_score > 0"), ("novelty_score", "novelty > 0"), ("bridge_new", "bridges > 0"), ("closure_gap", "ratio < 1"),
+           ("orphaned_priv", "orphaned > 0"), ("trigger_resolved", "resolved"))
+ORACLE["signal_reliability"] = sql(*SCENES, "sa AS (SELECT scenario, s, avg(CASE WHEN f THEN 1.0 ELSE 0 END) AS v FROM (" + " UNION ALL ".join(
+    f"SELECT scenario, '{s}' AS s, {e} AS f FROM rn" for s, e in _ACTIVE) + ") GROUP BY ALL)",
+    select=f"SELECT s AS signal, {r6('avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END)')} AS reliability, {r6('avg(v)')} AS mean_activation FROM sa GROUP BY s")

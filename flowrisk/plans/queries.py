@@ -606,6 +606,14 @@ def signal_activation(spark, sf):
     return g.select("scenario", *[r6(c).alias(c) for c in g.columns if c != "scenario"])
 
 
+@query
+def signal_reliability(spark, sf):
+    """Scenarios stand for runs."""
+    g = evaluate.signal_activation(_risk(spark, sf).withColumn("scenario", scenario()), ["scenario"])
+    out = evaluate.signal_reliability(g, [c for c in g.columns if c != "scenario"])
+    return out.select("signal", r6("reliability").alias("reliability"), r6("mean_activation").alias("mean_activation"))
+
+
 def _signal_max(spark, sf):
     return evaluate.signal_max(_risk(spark, sf), ["actor_id"])
 
@@ -812,13 +820,15 @@ def campaigns_per_flavor(spark, sf):
 
 @query
 def behavioural_read(spark, sf):
-    """Excess of labelled intervals, by flavor."""
-    tr = _transitions(spark, sf)
-    spans = evaluate.instance_windows(materialize(trajectory.positions(tr), "positions"), T.campaigns(spark, sf))
-    spans = materialize(spans, "spans")
+    """Excess of labelled intervals by flavor, and of the middle of unlabelled trajectories."""
+    tr, marked = _transitions(spark, sf), T.campaigns(spark, sf)
+    placed = materialize(trajectory.positions(tr), "positions")
+    spans = materialize(evaluate.instance_windows(placed, marked).unionByName(
+        evaluate.middle_windows(placed, marked, 20, 40)), "spans")
     scored = trajectory.excess_kl(tr, spans.drop("flavor")).withColumn("flavor", F.substring_index("window_id", "|", 1))
-    s = evaluate.separation_stats(scored, "flavor", "excess")
-    return s.select("flavor", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "p90", "max")])
+    s = evaluate.against_benign(evaluate.separation_stats(scored, "flavor", "excess"), "flavor")
+    return s.select("flavor", "count", *[r6(c).alias(c) for c in (
+        "mean", "std", "min", "p25", "p50", "p75", "p90", "max", "cohens_d", "separation_ratio")])
 
 
 # --- audits ------------------------------------------------------------------------------------
