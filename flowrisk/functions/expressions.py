@@ -164,7 +164,7 @@ def half_even_rank(count: Column, p: float) -> Column:
 # pattern start: after reading the sequence, the zero bits among the low j bits
 # of the vector for start i number LCS(sequence, pattern[i .. i + j)).
 
-MAX_PATTERN = 60  # so that bit sums stay inside a long
+WORD_BITS = 60  # so that bit sums stay inside a long; longer patterns use rows of numbers
 
 
 def symbol_masks(pattern: Column) -> Column:
@@ -222,6 +222,46 @@ def lcs_join(chunks: Column, length: Column) -> Column:
     return F.get(best, length)
 
 
+def last_positions(pattern: Column) -> Column:
+    """Map of each pattern symbol to its last position at or before each position; 0 where there is none."""
+    places = F.sequence(F.lit(1), F.size(pattern))
+    at_or_before = lambda c, j: F.array_max(F.filter(F.sequence(F.lit(1), j), lambda k: F.element_at(pattern, k) == c))
+    return F.map_from_entries(F.transform(F.array_distinct(pattern), lambda c: F.struct(
+        c.alias("symbol"), F.transform(places, lambda j: F.coalesce(at_or_before(c, j), F.lit(0))).alias("last"))))
+
+
+def lcs_row(lasts: Column, length: Column, start: Column | None = None) -> Column:
+    """LCS of a sequence, given as :func:`last_positions` of its symbols, with each pattern[start .. j)."""
+    from_ = F.lit(0) if start is None else start
+    zero = F.transform(F.sequence(F.lit(0), length), lambda _: F.lit(0))
+
+    def step(row, last):
+        def cell(v, j):
+            at = F.get(last, j - 1)
+            return F.when((j > from_) & (at > from_), F.greatest(v, F.get(row, at - 1) + 1)).otherwise(v)
+        return F.transform(row, cell)
+
+    return F.aggregate(lasts, zero, step)
+
+
+def lcs_rows(lasts: Column, length: Column) -> Column:
+    """Rows for every pattern start."""
+    return F.transform(F.sequence(F.lit(0), length - 1), lambda i: lcs_row(lasts, length, i))
+
+
+def lcs_rows_join(chunks: Column, length: Column) -> Column:
+    """LCS of a long sequence from the ordered rows of its chunks."""
+    zero = F.transform(F.sequence(F.lit(0), length), lambda _: F.lit(0))
+
+    def reach(best, rows, j):
+        return F.array_max(F.transform(F.sequence(F.lit(0), j), lambda i: F.get(best, i) + F.when(
+            i < j, F.get(F.get(rows, i), j)).otherwise(0)))
+
+    best = F.aggregate(chunks, zero, lambda row, rows: F.transform(
+        F.sequence(F.lit(0), length), lambda j: reach(row, rows, j)))
+    return F.get(best, length)
+
+
 # --- keyed hashing ----------------------------------------------------------
 
 def seed_salt(seed: int) -> str:

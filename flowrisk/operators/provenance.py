@@ -110,29 +110,32 @@ def zone_match(sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) ->
     is put together exactly from the segment tables of its chunks.
     """
     length = F.size("expected_zones")
-    zoned = (patterns.where(F.coalesce(length, F.lit(0)) > 0)
-             .select("pattern_id", length.alias("_m"), F.assert_true(
-                 length <= X.MAX_PATTERN, F.lit("a pattern may hold at most 60 zones")).alias("_ok"),
-                 X.symbol_masks(F.col("expected_zones")).alias("_masks")))
+    zoned = patterns.where(F.coalesce(length, F.lit(0)) > 0).select("pattern_id", length.alias("_m"), "expected_zones")
     chunks = (sequences.withColumn("_chunk", F.expr(f"(position - 1) div {chunk}"))
               .groupBy(*WINDOW_KEY, "_chunk")
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target_zone"))),
                                lambda r: r["target_zone"]).alias("_zones")))
-    read = X.lcs_masks(F.col("_zones"), F.col("_masks"))
+    m = F.col("_m")
     # A first chunk that is not full is the whole sequence and needs one vector only.
     alone = (F.col("_chunk") == 0) & (F.size("_zones") < chunk)
-    tables = (chunks.join(zoned, F.lit(True)).withColumn("_read", read)
-              .select(*WINDOW_KEY, "pattern_id", "_m", "_ok", "_chunk", F.size("_zones").alias("_n"),
-                      F.when(alone, F.array(X.lcs_vector(F.col("_read"), F.col("_m"))))
-                      .otherwise(X.lcs_vectors(F.col("_read"), F.col("_m"))).alias("_vectors")))
-    whole = (tables.where(F.col("_ok").isNull()).groupBy(*WINDOW_KEY, "pattern_id", "_m")
-             .agg(F.sum("_n").alias("_n"),
-                  F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_vectors"))),
-                              lambda r: r["_vectors"]).alias("_chunks")))
-    m = F.col("_m")
-    lcs = F.when(F.size("_chunks") == 1, X.lcs_of_vector(F.get(F.get("_chunks", F.lit(0)), F.lit(0)), m)) \
-        .otherwise(X.lcs_join(F.col("_chunks"), m))
-    return whole.select(*WINDOW_KEY, "pattern_id", (lcs / F.greatest(F.col("_n"), m)).alias("zone_score"))
+
+    def scores(part: DataFrame, symbols, one, several, value, joined) -> DataFrame:
+        """LCS ratios with the patterns of ``part``, kept as bit vectors or as rows of numbers."""
+        read = X.lcs_masks(F.col("_zones"), F.col("_table"))
+        tables = (chunks.join(part.select("pattern_id", "_m", symbols(F.col("expected_zones")).alias("_table")), F.lit(True))
+                  .withColumn("_read", read)
+                  .select(*WINDOW_KEY, "pattern_id", "_m", "_chunk", F.size("_zones").alias("_n"),
+                          F.when(alone, F.array(one(F.col("_read"), m))).otherwise(several(F.col("_read"), m)).alias("_vectors")))
+        whole = (tables.groupBy(*WINDOW_KEY, "pattern_id", "_m")
+                 .agg(F.sum("_n").alias("_n"),
+                      F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_vectors"))),
+                                  lambda r: r["_vectors"]).alias("_chunks")))
+        lcs = F.when(F.size("_chunks") == 1, value(F.get(F.get("_chunks", F.lit(0)), F.lit(0)), m)).otherwise(joined(F.col("_chunks"), m))
+        return whole.select(*WINDOW_KEY, "pattern_id", (lcs / F.greatest(F.col("_n"), m)).alias("zone_score"))
+
+    short = scores(zoned.where(m <= X.WORD_BITS), X.symbol_masks, X.lcs_vector, X.lcs_vectors, X.lcs_of_vector, X.lcs_join)
+    long = scores(zoned.where(m > X.WORD_BITS), X.last_positions, X.lcs_row, X.lcs_rows, lambda row, n: F.get(row, n), X.lcs_rows_join)
+    return short.unionByName(long)
 
 
 def pattern_match(windows: DataFrame, sequences: DataFrame, patterns: DataFrame) -> DataFrame:

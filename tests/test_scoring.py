@@ -74,6 +74,17 @@ def test_known_actor_and_deploy(make_events, spark):
     assert flags.first().fired_invariants == ["INV_002"]
 
 
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_patterns_of_any_length(spark, chunk):
+    rng = random.Random(5)
+    pats = [[rng.choice("ABCDE") for _ in range(n)] for n in (60, 61, 100)]
+    seq = [rng.choice("ABCDEF") for _ in range(40)]
+    sdf = spark.createDataFrame([(T0, "a", i + 1, z) for i, z in enumerate(seq)], "window_start timestamp, actor_id string, position long, target_zone string")
+    pdf = spark.createDataFrame([(f"p{i}", p) for i, p in enumerate(pats)], "pattern_id string, expected_zones array<string>")
+    got = {r.pattern_id: r.zone_score for r in provenance.zone_match(sdf, pdf, chunk).collect()}
+    assert got == pytest.approx({f"p{i}": _lcs(seq, p) / max(len(seq), len(p)) for i, p in enumerate(pats)})
+
+
 @pytest.mark.parametrize("actor,expected,score", [
     ("a@x", [], 1.0), ("a@x", ["a@x"], 1.0), ("a@x", ["a@y", "a@x"], 0.8), ("a@x", ["", "b@x"], 0.0), ("a", ["a@z"], 0.8)])
 def test_actor_match(spark, actor, expected, score):
