@@ -78,7 +78,8 @@ def standard_rules() -> list[Rule]:
     return [
         Rule("symbol_ratio", F.col("n_symbols") * 10 > n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
-        Rule("duplicate_lines", F.col("n_dup_lines") * 10 > F.size("__lines") * 3),
+        Rule("duplicate_lines", F.col("n_dup_lines") * 2 > F.size("__lines")),
+        Rule("stutter", F.size(F.filter("__words", lambda w, i: w == F.get("__words", i - 1))) * 10 > 3 * n),
         Rule("upper_case", F.regexp_count("__text", F.lit(r"\p{Lu}")) * 10 > 4 * F.col("word_chars")),
         Rule("letters", F.regexp_count("__text", F.lit(r"\p{L}")) * 10 < 6 * F.col("word_chars")),
         Rule("end_marks", F.size(F.filter("__words", lambda w: w.rlike(r"!!$"))) * 10 > 3 * n),

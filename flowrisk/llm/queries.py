@@ -82,7 +82,8 @@ counted AS (
          n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR n_dup_lines * 10 > len(l) * 3 OR len(regexp_extract_all(t, '\p{Lu}')) * 10 > 4 * word_chars
+            OR n_dup_lines * 2 > len(l) OR len(list_filter(range(2, n_words + 1), lambda i: w[i] = w[i - 1])) * 10 > 3 * n_words
+            OR len(regexp_extract_all(t, '\p{Lu}')) * 10 > 4 * word_chars
             OR len(regexp_extract_all(t, '\p{L}')) * 10 < 6 * word_chars
             OR len(list_filter(w, lambda x: regexp_matches(x, '!!$'))) * 10 > 3 * n_words
             OR len(list_filter(w, lambda x: x = '|')) * 10 > n_words) AS kept
