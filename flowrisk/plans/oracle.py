@@ -683,3 +683,28 @@ _ACTIVE = (("inv_score", "inv_score > 0"), ("novelty_score", "novelty > 0"), ("b
 ORACLE["signal_reliability"] = sql(*SCENES, "sa AS (SELECT scenario, s, avg(CASE WHEN f THEN 1.0 ELSE 0 END) AS v FROM (" + " UNION ALL ".join(
     f"SELECT scenario, '{s}' AS s, {e} AS f FROM rn" for s, e in _ACTIVE) + ") GROUP BY ALL)",
     select=f"SELECT s AS signal, {r6('avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END)')} AS reliability, {r6('avg(v)')} AS mean_activation FROM sa GROUP BY s")
+_SENTENCES = ", ".join(f"CASE WHEN {flag} THEN {text} END" for flag, text in (
+    ("i1", "actor_id || ' changed an access policy and no deployment was under way'"), ("i2", "'a service-account key was issued for ' || key"),
+    ("i3", "actor_id || ', not seen before, issued a service-account key'"), ("i4", "actor_id || ' acted as ' || imp"),
+    ("i5", "printf('%d impersonations where %.1f are usual', n_imp, coalesce(base, 0.0))"), ("i6", "actor_id || ' read secret ' || sec || ' for the first time'"),
+    ("i7", "'a secret was read and an access policy changed in one window'"), ("i8", "actor_id || ' decrypted with ' || crypt || ' for the first time'"),
+    ("i9", "'instance metadata of ' || meta || ' was changed'"), ("i10", "actor_id || ' went from ' || hop[1] || ' to ' || hop[2] || ' for the first time'"),
+    ("i11", "printf('%s acted %d times without delegation, which it had %d times in %d before (%.0f%%)', actor_id, event_count - n_chained, past_chained::BIGINT, "
+            "past_events::BIGINT, 100.0 * past_chained / past_events)")))
+ORACLE |= {
+    "risk_explanations": sql(EV, EDGES, ACT, INV, """
+named AS (SELECT ws, actor_id, arg_min(target_id, (us, event_id)) FILTER (action_type = 'IAM_CREATE_KEY') AS key,
+  arg_min(target_id, (us, event_id)) FILTER (action_type = 'IAM_IMPERSONATE') AS imp,
+  arg_min(target_id, (us, event_id)) FILTER (action_type = 'COMPUTE_METADATA_CHANGE') AS meta FROM ev GROUP BY ALL),
+seen AS (SELECT ws, actor_id, target_id, min(us) AS f FROM ev GROUP BY ALL),
+newly AS (SELECT ws, actor_id, arg_min(target_id, (f, target_id)) FILTER (action_type = 'SECRET_ACCESS') AS sec,
+  arg_min(target_id, (f, target_id)) FILTER (action_type = 'KMS_DECRYPT') AS crypt FROM fresh JOIN seen USING (ws, actor_id, target_id) WHERE is_new GROUP BY ALL),
+hops2 AS (SELECT ws, actor_id, min((source_zone, target_zone)) AS hop FROM edges WHERE is_new AND target_zone IN ('SECRET', 'EXFIL_RISK') GROUP BY ALL)""",
+        select=f"""SELECT {WS}, actor_id, CASE WHEN said = '' THEN 'no rule fired' ELSE said END AS explanation FROM (
+        SELECT ws, actor_id, concat_ws('; ', {_SENTENCES}) AS said FROM flags JOIN act USING (ws, actor_id) JOIN named USING (ws, actor_id)
+        LEFT JOIN newly USING (ws, actor_id) LEFT JOIN hops2 USING (ws, actor_id) LEFT JOIN (SELECT ws, actor_id, base FROM r5) USING (ws, actor_id)
+        LEFT JOIN (SELECT ws, actor_id, past_chained, past_events FROM r11) USING (ws, actor_id))"""),
+    "sink_by_day": sql(EV, ACT, select=f"SELECT {WS}, actor_id, event_count, n_targets FROM act JOIN ent USING (ws, actor_id)"),
+    "scan_prefixes": sql(RAW, select="""SELECT CASE event_type WHEN 'signup' THEN 'cloudscheduler.googleapis.com' ELSE 'run.googleapis.com' END AS source, count(*) AS n
+        FROM raw WHERE event_type IN ('signup', 'click') GROUP BY ALL"""),
+}

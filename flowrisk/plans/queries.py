@@ -19,7 +19,7 @@ from flowrisk.operators import (
 )
 from flowrisk.plans import pipeline
 from flowrisk.plans import tables as T
-from flowrisk.sources import raw_logs
+from flowrisk.sources import raw_logs, sinks
 from flowrisk.session import materialize, shared_folder, tune
 from flowrisk.streaming import live
 
@@ -210,6 +210,16 @@ def invariants_(spark, sf):
                                          joined("fired_invariants").alias("fired_invariants"))
 
 
+@query
+def risk_explanations(spark, sf):
+    """The sentences of the fired rules of every window."""
+    ev, edges = _events(spark, sf), _edges(spark, sf)
+    targets = materialize(world.target_activity(ev), "targets")
+    activity = materialize(world.window_activity(targets), "activity")
+    flags = invariants.check_invariants(activity, targets, edges, T.known_initiators(spark, sf), DAY)
+    return invariants.explain(ev, flags, activity, edges, targets, DAY).select(*key(), "explanation")
+
+
 # --- closure ---------------------------------------------------------------------
 
 @query
@@ -1052,3 +1062,25 @@ def ingest_twice(spark, sf):
     stored = spark.read.parquet(f"{folder}/events")
     return stored.agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("event_id").alias("ids")).select(
         F.lit(first[0]).cast("long").alias("first_run"), F.lit(first[1]).cast("long").alias("second_run"), "stored", "ids")
+
+
+@query
+def sink_by_day(spark, sf):
+    """Windows written by day, the odd days twice: what is stored in the end."""
+    w = materialize(world.actor_windows(world.window_activity(world.target_activity(_events(spark, sf)))), "windows")
+    folder = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    sinks.write_by_day(w, folder, files_per_day=2)
+    sinks.write_by_day(w.where(F.dayofmonth("window_start") % 2 == 1), folder)
+    return spark.read.schema(w.schema).parquet(folder).select(*key(), "event_count", "n_targets")
+
+
+@query
+def scan_prefixes(spark, sf):
+    """Entries in a folder tree by log, of which two are read."""
+    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    logs = {"cloudscheduler.googleapis.com/executions": "signup", "run.googleapis.com/requests": "click", "cloudaudit.googleapis.com/activity": "view"}
+    for path, kind in logs.items():
+        T.raw_entries(spark, sf).where(F.col("event_type") == kind).select("entry").write.text(f"{folder}/2024/{path}")
+    found = raw_logs.scan_logs(spark, folder, list(logs)[:2], pattern="*.txt")
+    source = raw_logs.source_of(F.col("source_file"), C.LOG_PREFIXES)
+    return found.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n"))
