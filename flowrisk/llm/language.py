@@ -2,46 +2,52 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16     # hashed features
 TEXTS_PER_LANGUAGE = 250
 WORDS_PER_TEXT = 200  # of a training text, from a drawn place
 LEXICON = 400         # words per language
 EPOCHS = 40
-CHUNK = 400_000       # words whose lattice a task holds at once
+CHUNK = 800_000       # words whose lattice a task holds at once
 CACHE_WORDS = 300_000
 
 
-def features(word: bytes, lexicon: dict[bytes, int]) -> list[int]:
-    """Hashed features of a word in lower case: affixes, n-grams, lexicons, shape."""
-    text = word.decode().lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789")
-    if not any(c.isalpha() for c in text):
-        return [0]
-    marked = f"<{text}>" if len(text) < 40 else f"<{text[:20]}>{text[-20:]}"
-    names = [f"p{n}{text[:n]}" for n in (1, 2, 3)] + [f"s{n}{text[-n:]}" for n in (1, 2, 3, 4)]
-    names += {"g" + marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1)}
-    found = [1 + zlib.crc32(x.encode()) % (BUCKETS - 1) for x in names]
-    in_lexicon = lexicon.get(text.encode())
-    return found if in_lexicon is None else [*found, BUCKETS + in_lexicon]
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
+NO_LETTER = "\0"       # stands for all words without a letter
 
 
-def lexicons(texts: list[tuple[bytes, ...]], labels: list[int], n_labels: int, size: int = LEXICON) -> dict[bytes, int]:
+def stripped(word: bytes) -> str:
+    """The word in lower case without marks and digits at its ends; NO_LETTER if nothing is a letter."""
+    text = word.decode().lower().strip(MARKS)
+    return text if text.isalpha() or any(map(str.isalpha, text)) else NO_LETTER
+
+
+def features(text: str) -> set[str]:
+    """Affixes and trigrams of a stripped word, and the word itself for the lexicons."""
+    if text == NO_LETTER:
+        return {text}
+    marked = f"<{text}>" if len(text) < 40 else f"<{text[:20]}>{text[-20:]}>"
+    found = {marked[i:i + 3] for i in range(len(marked) - 2)}
+    found.update((marked[:2], marked[-2:], marked[:4], marked[-4:], marked[-5:], "=" + text))
+    return found
+
+
+def lexicons(texts: list[list[bytes]], labels: list[int], n_labels: int, size: int = LEXICON) -> dict[str, int]:
     """The ``size`` most frequent words of each label that hardly occur under another."""
     of = [Counter() for _ in range(n_labels)]
     for words, label in zip(texts, labels):
-        of[label].update(w.decode().lower().strip(".,;:!?").encode() for w in words)
+        of[label].update(map(stripped, words))
     every, out = sum(of, Counter()), {}
     for label, counts in enumerate(of):
-        own = [(w, n) for w, n in counts.items() if n >= 3 and n >= 0.9 * every[w]]
+        own = [(w, n) for w, n in counts.items() if w != NO_LETTER and n >= 3 and n >= 0.9 * every[w]]
         out.update((w, label) for w, _ in sorted(own, key=lambda x: (-x[1], x[0]))[:size])
     return out
 
@@ -79,8 +85,10 @@ def lattice(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, len
 
 @dataclass
 class Model:
+    """Weights of the features that the training texts show; a word of a lexicon has the feature of its language."""
+
     labels: list
-    lexicon: dict[bytes, int]
+    rows: dict[str, int]     # row of each feature
     weights: np.ndarray      # (features, labels)
     transition: np.ndarray
     start: np.ndarray
@@ -90,32 +98,45 @@ class Emissions:
     """Label weights of words, and whether they have a letter; words that were seen are looked up."""
 
     def __init__(self, model: Model):
-        self.model, self.index = model, {}
-        self.rows = np.zeros((1024, len(model.labels) + 1))
+        self.model, self.index, self.by_text = model, {}, {}
+        self.rows = np.zeros((0, len(model.labels) + 1))
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        for w in {w for words in texts for w in words}.difference(self.index):
-            if len(self.index) == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            found = features(w, self.model.lexicon)
-            self.rows[len(self.index), :-1] = self.model.weights[found].sum(axis=0)
-            self.rows[len(self.index), -1] = found != [0]
-            self.index[w] = len(self.index)
-        return self.rows[np.array([self.index[w] for words in texts for w in words], "int64")]
-
-
-def train(texts: list[tuple[list[bytes], list[int]]], n_labels: int, lexicon: dict[bytes, int], epochs: int = EPOCHS,
-          rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, transitions and start weights that fit labelled word sequences, by AdaGrad on the likelihood."""
+        new = list(set().union(*texts).difference(self.index)) if texts else []
+        shown = [stripped(w) for w in new]
+        unknown = [t for t in dict.fromkeys(shown) if t not in self.by_text]
+        if unknown:
+            row_of = self.model.rows.get
+            found = [[r for r in map(row_of, features(t)) if r is not None] for t in unknown]
+            sizes = np.fromiter(map(len, found), "int64", len(found))
+            block = np.zeros((len(found), len(self.model.labels) + 1))
+            some = np.flatnonzero(sizes)
+            if len(some):
+                flat = np.fromiter(chain.from_iterable(found), "int64", int(sizes.sum()))
+                block[some, :-1] = np.add.reduceat(self.model.weights[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
+            block[:, -1] = [t != NO_LETTER for t in unknown]
+            self.by_text.update(zip(unknown, range(len(self.rows), len(self.rows) + len(unknown))))
+            self.rows = np.concatenate([self.rows, block])
+        self.index.update((w, self.by_text[t]) for w, t in zip(new, shown))
+        return self.rows[np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), "int64")]
+
+
+def train(texts: list[tuple[list[bytes], list[int]]], n_labels: int, lexicon: dict[str, int], epochs: int = EPOCHS,
+          rate: float = 0.3, decay: float = 1e-4) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows, weights, transitions and start weights that fit labelled word sequences, by AdaGrad on the likelihood."""
     texts = sorted((t for t in texts if t[0]), key=lambda t: -len(t[0]))
     lengths = np.array([len(w) for w, _ in texts], "int64")
-    index: dict[bytes, int] = {}
-    word_at = np.array([index.setdefault(w, len(index)) for ws, _ in texts for w in ws], "int64")
+    index: dict[str, int] = {}
+    word_at = np.array([index.setdefault(stripped(w), len(index)) for ws, _ in texts for w in ws], "int64")
     gold = np.array([y for _, ys in texts for y in ys], "int64")
-    each = [features(w, lexicon) for w in index]
+    rows: dict[str, int] = {}
+    # The whole word counts only through the lexicon that holds it.
+    named = lambda x: f"={lexicon[x[1:]]}" if x[1:] in lexicon else None
+    each = [[rows.setdefault(name, len(rows)) for x in sorted(features(t)) if (name := named(x) if x[0] == "=" and len(x) > 1 else x)]
+            for t in index]
     flat, sizes = np.concatenate(each), np.array([len(x) for x in each])
     of_word = np.repeat(np.arange(len(each)), sizes)
-    n_features = BUCKETS + n_labels
+    n_features = len(rows)
     weights, transition, start = np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
     first = np.cumsum(lengths) - lengths
     inner = np.ones(len(gold), bool)
@@ -134,7 +155,9 @@ def train(texts: list[tuple[list[bytes], list[int]]], n_labels: int, lexicon: di
             g = g / len(texts) - decay * x
             s += g * g
             x += rate * g / np.sqrt(s)
-    return weights, transition, start
+    rows = {name: at for name, at in rows.items() if name[0] != "=" or len(name) == 1} | {
+        f"={word}": rows[f"={label}"] for word, label in lexicon.items() if f"={label}" in rows}
+    return rows, weights, transition, start
 
 
 def fit(sample: list[tuple[str, str]], seed: int = 4) -> Model:
@@ -156,8 +179,8 @@ def fit(sample: list[tuple[str, str]], seed: int = 4) -> Model:
         x, y = (int(rng.integers(0, len(t[0]) + 1)) for t in (a, b))
         texts[k] = (a[0][:x] + b[0][y:], a[1][:x] + b[1][y:])
     if not any(w for w, _ in texts):
-        return Model(labels, lexicon, np.zeros((BUCKETS + len(labels), len(labels))), np.zeros((len(labels),) * 2), np.zeros(len(labels)))
-    return Model(labels, lexicon, *train(texts, len(labels), lexicon))
+        return Model(labels, {}, np.zeros((0, len(labels))), np.zeros((len(labels),) * 2), np.zeros(len(labels)))
+    return Model(labels, *train(texts, len(labels), lexicon))
 
 
 def held_out(id_: Column) -> Column:
