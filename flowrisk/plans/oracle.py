@@ -708,3 +708,4 @@ hops2 AS (SELECT ws, actor_id, min((source_zone, target_zone)) AS hop FROM edges
     "scan_prefixes": sql(RAW, select="""SELECT CASE event_type WHEN 'signup' THEN 'cloudscheduler.googleapis.com' ELSE 'run.googleapis.com' END AS source, count(*) AS n
         FROM raw WHERE event_type IN ('signup', 'click') GROUP BY ALL"""),
 }
+ORACLE["stream_correlate"] = f"SELECT event_id, actor_id, trigger_ref FROM ({ORACLE['correlate_audit']})"

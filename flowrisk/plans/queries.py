@@ -999,23 +999,32 @@ def cross_log_overlap(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------------------
 
-def _streamed(spark, events: DataFrame, form) -> DataFrame:
-    """What ``form`` emits for the events as a stream of three batches in time order.
+def _arriving(spark, rows: DataFrame, mark: dict[str, Column], time: str = "ts") -> DataFrame:
+    """The rows as a stream of three batches in time order.
 
-    A last row far in the future moves the watermark past all others; it is taken out again.
+    A last row far in the future, with the values of ``mark``, moves the watermark past all others.
     """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    third = events.agg(F.min("ts"), F.max("ts")).first()
-    edges = [third[0] + (third[1] - third[0]) * k / 3 for k in (1, 2)] if third[0] else []
-    piece = sum(((F.col("ts") >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+    lo, hi = rows.agg(F.min(time), F.max(time)).first()
+    edges = [lo + (hi - lo) * k / 3 for k in (1, 2)] if lo else []
+    piece = sum(((F.col(time) >= F.lit(e)).cast("int") for e in edges), F.lit(0))
     for k in range(3):
-        events.where(piece == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    later = events.limit(1).withColumn("ts", F.col("ts") + F.expr("interval 4000 days")).withColumn("actor_id", F.lit("~"))
-    later.withColumn("event_id", F.lit("~")).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    (form(source).writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        rows.where(piece == k).coalesce(1).write.mode("append").parquet(folder)
+    rows.limit(1).withColumns({time: F.col(time) + F.expr("interval 4000 days")} | mark).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _emitted(spark, out: DataFrame) -> DataFrame:
+    """All that a stream emits until its input is used up."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    (out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
      .start(f"{folder}/out", format="parquet", outputMode="append").awaitTermination())
-    return spark.read.schema(form(events).schema).parquet(f"{folder}/out")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def _streamed(spark, events: DataFrame, form) -> DataFrame:
+    last = {"actor_id": F.lit("~"), "event_id": F.lit("~")}
+    return _emitted(spark, form(_arriving(spark, events, last)))
 
 
 @query
@@ -1049,6 +1058,15 @@ def stream_sessions(spark, sf):
                                                F.unix_micros("cluster_end").alias("cluster_end"), "n_entries")
 
 
+@query
+def stream_correlate(spark, sf):
+    links = T.request_links(spark, sf).select("service_name", "request_ts", "job_id", "scheduled_time")
+    audit = _arriving(spark, T.audit_events(spark, sf), {"actor_id": F.lit("~"), "event_id": F.lit("~")})
+    out = _emitted(spark, live.correlate_stream(
+        audit, _arriving(spark, links, {"service_name": F.lit("~")}, "request_ts"), T.service_map(spark), WIDE))
+    return out.where("actor_id <> '~'").select("event_id", "actor_id", "trigger_ref")
+
+
 @query
 def ingest_twice(spark, sf):
     """The raw entries as files, read once from the start and once from the marks: rows added and stored."""

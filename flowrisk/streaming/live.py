@@ -98,27 +98,22 @@ def session_clusters(timed: DataFrame, gap: str = "30 seconds", delay: str = WAT
 
 def correlate_stream(audit: DataFrame, links: DataFrame, service_map: DataFrame,
                      cfg: CorrelationConfig = CorrelationConfig(), delay: str = WATERMARK) -> DataFrame:
-    """Candidate (audit event, linked request) matches within the tolerance; late pairs expire.
+    """One row per audit event with the trigger reference of the nearest linked request within the tolerance, or null.
 
-    Unmatched events come out with nulls once the watermark passes. The nearest
-    candidate of an event is picked with :func:`nearest_link` per batch.
+    All matches of an event are gathered until the watermark has passed it, in whichever batches they come; then
+    the latest request wins, and among equals the earliest scheduled one, as in the batch form.
     """
     workers = service_map.select(F.col("worker").alias("actor_id"), F.col("service_name").alias("_service"))
     named = audit.join(workers, "actor_id", "left").withWatermark("ts", delay)
     right = links.withWatermark("request_ts", delay)
     near = ((F.col("_service") == F.col("service_name")) & (F.col("ts") >= F.col("request_ts")) &
             (F.col("ts") < F.col("request_ts") + F.expr(f"interval {cfg.audit_seconds} seconds")))
-    return named.join(right, near, "left_outer")
-
-
-def nearest_link(candidates: DataFrame) -> DataFrame:
-    """One row per event: its closest candidate link."""
-    best = F.max_by(F.struct("job_id", "scheduled_time", "request_ts"), F.struct(
+    best = F.max_by(F.struct("job_id", "scheduled_time"), F.struct(
         "request_ts", (-F.unix_micros("scheduled_time")).alias("late")))
-    return (candidates.groupBy("event_id", "actor_id", "ts").agg(best.alias("l"))
-            .select("event_id", "actor_id", "ts", F.when(F.col("l.job_id").isNotNull(), F.concat_ws(
-                ":", F.lit("sched"), F.col("l.job_id"), F.unix_seconds("l.scheduled_time").cast("string")))
-                .alias("trigger_ref")))
+    found = (named.join(right, near, "left_outer")
+             .groupBy(F.window("ts", "1 minute"), "event_id", "actor_id", F.unix_micros("ts").alias("us")).agg(best.alias("l")))
+    ref = F.concat_ws(":", F.lit("sched"), F.col("l.job_id"), F.unix_seconds("l.scheduled_time").cast("string"))
+    return found.select("event_id", "actor_id", F.timestamp_micros("us").alias("ts"), F.when(F.col("l.job_id").isNotNull(), ref).alias("trigger_ref"))
 
 
 # --- open/close tracker ---------------------------------------------------------------
@@ -208,30 +203,22 @@ def track_watches(events: DataFrame, cfg: ClosureConfig = ClosureConfig(), delay
 
 # --- scoring per batch ------------------------------------------------------------------
 
-def score_batches(stream: DataFrame, events_path: str, risk_path: str, score, cfg: WorldConfig = WorldConfig(),
-                  history_days: int | None = None):
+def score_batches(stream: DataFrame, events_path: str, risk_path: str, score):
     """Writer that keeps the risk table up to date with a stream of canonical events.
 
-    Each batch is stored under its own number, so a repeated batch replaces
-    itself. Then the days it touches are scored again from stored history and
-    overwritten. ``score`` maps canonical events to risk rows;
-    ``history_days`` limits how far back it reads (by default everything, which
-    watches on resources need to be exact).
+    Each batch is stored under its own number, so a repeated batch replaces itself, and an event that comes in two
+    batches counts once. The first day a batch touches and all later ones are scored again, as averages, novelty and
+    watches look back, and overwritten by day. ``score`` maps canonical events to risk rows.
     """
     from flowrisk.sources.sinks import write_by_day
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-        span = spark.read.parquet(f"{events_path}/batch={batch_id}").agg(
-            F.min("window_start"), F.max("window_start")).first()
-        if span[0] is None:
+        first = spark.read.parquet(f"{events_path}/batch={batch_id}").agg(F.min("window_start")).first()[0]
+        if first is None:
             return
-        history = spark.read.parquet(events_path).drop("batch")
-        if history_days is not None:
-            history = history.where(F.col("ts") >= F.lit(span[0]) - F.expr(f"interval {history_days} days"))
-        first, last = F.to_date(F.lit(span[0])), F.to_date(F.lit(span[1]))
-        risk = score(history).where(F.to_date("window_start").between(first, last))
-        write_by_day(risk, risk_path)
+        history = normalize.dedup_events(spark.read.parquet(events_path), ["batch"]).drop("batch")
+        write_by_day(score(history).where(F.to_date("window_start") >= F.to_date(F.lit(first))), risk_path)
 
     return stream.writeStream.foreachBatch(run)
