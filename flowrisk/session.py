@@ -8,7 +8,6 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings the library relies on. All are runtime settings, so they can be
 # applied to a session somebody else made.
@@ -97,4 +96,3 @@ def materialize_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
     shared_folder(next(iter(frames.values())).sparkSession)
     with ThreadPoolExecutor(len(frames)) as pool:
         return list(pool.map(lambda item: materialize(item[1], item[0]), frames.items()))
-
