@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import groups_for, number_copies, uniform, words_of
+from flowrisk.llm.common import number_copies, uniform, words_of
 from flowrisk.session import materialize
 
 WEIGHTS = (5, 2, 1)
