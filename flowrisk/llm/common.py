@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Words everywhere in this package: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,12 @@ def byte_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends at most ARROW_ROWS texts at once to a Python worker; the default of 10,000 is for narrow rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

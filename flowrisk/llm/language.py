@@ -12,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowrisk.llm.common import in_small_batches
+
 TEXTS_PER_LANGUAGE = 250
 WORDS_PER_TEXT = 200  # of a training text, from a drawn place
 LEXICON = 400         # words per language
 EPOCHS = 40
-CHUNK = 800_000       # words whose lattice a task holds at once
-CACHE_WORDS = 300_000
+CHUNK = 300_000       # words whose lattice a task holds at once
+CACHE_WORDS = 150_000
+SLICE = 500           # texts whose words a task holds as bytes at once
 
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
@@ -101,7 +104,8 @@ class Emissions:
         self.model, self.index, self.by_text = model, {}, {}
         self.rows = np.zeros((0, len(model.labels) + 1))
 
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+    def indexes(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The rows of the words of each text."""
         new = list(set().union(*texts).difference(self.index)) if texts else []
         shown = [stripped(w) for w in new]
         unknown = [t for t in dict.fromkeys(shown) if t not in self.by_text]
@@ -118,7 +122,7 @@ class Emissions:
             self.by_text.update(zip(unknown, range(len(self.rows), len(self.rows) + len(unknown))))
             self.rows = np.concatenate([self.rows, block])
         self.index.update((w, self.by_text[t]) for w, t in zip(new, shown))
-        return self.rows[np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), "int64")]
+        return [np.fromiter(map(self.index.__getitem__, words), "int32", len(words)) for words in texts]
 
 
 def train(texts: list[tuple[list[bytes], list[int]]], n_labels: int, lexicon: dict[str, int], epochs: int = EPOCHS,
@@ -206,19 +210,19 @@ def training_sample(docs: DataFrame, per_language: int, id_col: str, text_col: s
     return out
 
 
-def mean_marginals(words: list[list[bytes]], model: Model, emissions: Emissions) -> np.ndarray:
-    """Mean label marginals of the words with a letter, text by text; zero where there is none."""
+def mean_marginals(texts: list[np.ndarray], model: Model, emissions: Emissions) -> np.ndarray:
+    """Mean label marginals of the words with a letter, by text (as rows of ``emissions``); zero where there is none."""
     n_labels = len(model.labels)
-    out, order = np.zeros((len(words), n_labels)), sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
+    out, order = np.zeros((len(texts), n_labels)), sorted((i for i, t in enumerate(texts) if len(t)), key=lambda i: -len(texts[i]))
     at = 0
     while at < len(order):
         size, to = 0, at
-        while to < len(order) and (to == at or size + len(words[order[to]]) <= CHUNK):
-            size += len(words[order[to]])
+        while to < len(order) and (to == at or size + len(texts[order[to]]) <= CHUNK):
+            size += len(texts[order[to]])
             to += 1
-        part = [words[i] for i in order[at:to]]
-        lengths = np.array([len(w) for w in part], "int64")
-        rows = emissions.of(part)
+        part = [texts[i] for i in order[at:to]]
+        lengths = np.array([len(t) for t in part], "int64")
+        rows = emissions.rows[np.concatenate(part)]
         gamma, _, _ = lattice(rows[:, :n_labels], model.transition, model.start, lengths, moves=False)
         lettered, first = rows[:, n_labels:], np.cumsum(lengths) - lengths
         out[order[at:to]] = np.add.reduceat(gamma * lettered, first, axis=0) / np.maximum(np.add.reduceat(lettered, first, axis=0), 1)
@@ -238,10 +242,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         emissions = Emissions(model)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            words = [(t or "").encode().split() if model.labels else [] for t in texts]
             if len(emissions.index) > CACHE_WORDS:
                 emissions = Emissions(model)
-            marginals = mean_marginals(words, model, emissions)
+            rows = []
+            for i in range(0, len(texts), SLICE):
+                rows += emissions.indexes([(t or "").encode().split() if model.labels else [] for t in texts[i:i + SLICE]])
+            marginals = mean_marginals(rows, model, emissions)
             lang, score = [], []
             for text, mean in zip(texts, marginals):
                 known = bool(model.labels) and text is not None and any(map(str.isalpha, text)) and mean.any()
@@ -252,7 +258,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     at = docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def language(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import groups_for
+from flowrisk.llm.common import groups_for, in_small_batches
 from flowrisk.llm.token_counts import byte_alphabet
 
 END_ID = 2
@@ -132,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"__id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    return in_small_batches(rows).mapInArrow(run, f"__id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 def pack(pieces: DataFrame, groups: int, capacity: int = 4096) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import byte_words
+from flowrisk.llm.common import byte_words, in_small_batches
 from flowrisk.llm.components import components
 from flowrisk.session import materialize
 
@@ -42,7 +42,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["__id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, f"__id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return in_small_batches(rows).mapInArrow(run, f"__id {kind}, fp long")
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -43,11 +43,12 @@ def test_lattice_equals_all_paths():
 def test_words_of_code_switched_text():
     sample = [("the cat and the dog went over there with that thing", "en"), ("der Hund und die Katze sind nicht schön gewesen", "de")] * 20
     model = fit(sample)
-    words = b"the dog and the thing und die Katze nicht".split()
-    gamma, _, _ = lattice(Emissions(model).of([words])[:, :2], model.transition, model.start, np.array([9]))
+    emissions, words = Emissions(model), b"the dog and the thing und die Katze nicht".split()
+    at = emissions.indexes([words])[0]
+    gamma, _, _ = lattice(emissions.rows[at][:, :2], model.transition, model.start, np.array([9]))
     assert [model.labels[k] for k in gamma.argmax(axis=1)] == ["en"] * 5 + ["de"] * 4
     assert (model.transition.diagonal() > model.transition[[0, 1], [1, 0]]).all()
-    mean = mean_marginals([words, [], [b"123"]], model, Emissions(model))
+    mean = mean_marginals(emissions.indexes([words, [], [b"123"]]), model, emissions)
     assert mean[0].min() > 0.3 and not mean[1:].any() and features(stripped(b"12!")) == {NO_LETTER}
 
 
