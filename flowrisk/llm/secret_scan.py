@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from flowrisk.llm.common import WORD
 from flowrisk.session import materialize
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{14,}+={0,2}"
+UNJOINED = r"(?<![A-Za-z0-9+/_-])"
+CANDIDATE = UNJOINED + r"[A-Za-z0-9+/_-]{14,}={0,2}"
 BEFORE, AFTER = 32, 8          # characters of context
+# The same candidates, with the text around them as groups; a text's first characters have less before them.
+SURROUNDED = (CANDIDATE.replace(UNJOINED, UNJOINED + r"(?=[A-Za-z0-9+/_-]{14})" + rf"(?<=([\s\S]{{{BEFORE}}}|^[\s\S]{{0,{BEFORE - 1}}}))", 1)
+              + rf"(?=([\s\S]{{0,{AFTER}}}))")
 SAMPLE_TEXTS = 6_000
 DICTIONARY_WORDS = 150
 TREES, DEPTH, CUT = 15, 6, 0.5
@@ -27,17 +31,18 @@ SAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|docs?/)"
 
 
 def candidates(text: Column) -> Column:
-    """Candidates of a text in order: value, start (characters before it), before and after."""
-    def each(pieces: Column) -> Column:
-        def one(found: Column) -> Column:
-            at = F.aggregate(
-                found, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("i")),
-                lambda acc, value: _next(acc, value, pieces))["starts"]
-            return F.transform(F.array(at), lambda starts: F.transform(found, lambda value, i: F.struct(
-                value.alias("value"), F.get(starts, i).alias("start"),
-                F.right(F.get(pieces, i), F.lit(BEFORE)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(AFTER)).alias("after"))))[0]
-        return F.transform(F.array(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))), one)[0]
-    return F.transform(F.array(F.split(text, CANDIDATE, -1)), each)[0]
+    """Candidates of a text in order: value, start (characters before it), and the text before and after, other candidates included."""
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    before, after = (F.regexp_extract_all(text, F.lit(SURROUNDED), F.lit(group)) for group in (1, 2))
+
+    def each(parts: Column) -> Column:
+        at = F.aggregate(
+            parts["found"], F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("i")),
+            lambda acc, value: _next(acc, value, parts["pieces"]))["starts"]
+        return F.transform(F.array(at), lambda starts: F.transform(parts["found"], lambda value, i: F.struct(
+            value.alias("value"), F.get(starts, i).alias("start"), F.get(parts["before"], i).alias("before"), F.get(parts["after"], i).alias("after"))))[0]
+    parts = F.struct(F.split(text, CANDIDATE, -1).alias("pieces"), found.alias("found"), before.alias("before"), after.alias("after"))
+    return F.when(text.isNotNull(), F.transform(F.array(parts), each)[0])
 
 
 def _next(acc: Column, value: Column, pieces: Column) -> Column:

@@ -1,7 +1,9 @@
 import re
 import zlib
 
-from flowrisk.llm.secret_scan import CANDIDATE, MASK, fit, redact, secrets, seed_findings, train
+from pyspark.sql import functions as F
+
+from flowrisk.llm.secret_scan import CANDIDATE, MASK, candidates, fit, redact, secrets, seed_findings, train
 
 FORMS = [r"(?<![A-Za-z0-9+/_-])(AKIA[0-9A-Z]{16})(?![A-Za-z0-9+/_-])", r'token = "([0-9a-f]{40})"', r"password=([0-9a-f]{18})(?![A-Za-z0-9+/_-])"]
 
@@ -49,3 +51,16 @@ def test_odd_rows(docs_of, odd_rows):
     assert (out[1].n_candidates, out[1].spans, out[1].redacted_crc32) == (0, "", None)
     assert out[2].redacted_crc32 == 0 and out[3].n_secrets == 0
     assert len(secrets(docs_of(odd_rows)).collect()) == len(odd_rows) and secrets(docs_of([])).collect() == []
+
+
+def test_long_key_names_are_neighbours_of_their_values(docs_of):
+    """A name of 14 or more characters is a candidate itself, and still stands before its value."""
+    h = "9c1185a5c5e9fc54612808977ee8f548b2258d31"
+    texts = [f"AWS_SECRET_ACCESS_KEY={h}", f"x\nclient_secret_token: '{h}' y", f"release_artifact_digest: {h}", f"é😀 database_password = {h[:18]}"]
+    found = {r.doc_id: r.c for r in docs_of(list(enumerate(texts))).select("doc_id", candidates(F.col("text")).alias("c")).collect()}
+    for i, text in enumerate(texts):
+        for c in found[i]:
+            end = c.start + len(c.value)
+            assert text[c.start:end] == c.value and c.before == text[max(0, c.start - 32):c.start] and c.after == text[end:end + 8]
+    masked = {r.doc_id: r.text for r in redact(docs_of(list(enumerate(texts))), fit(docs_of(list(enumerate(texts))))).collect()}
+    assert masked == {0: f"AWS_SECRET_ACCESS_KEY={MASK}", 1: f"x\nclient_secret_token: '{MASK}' y", 2: texts[2], 3: f"é😀 database_password = {MASK}"}
