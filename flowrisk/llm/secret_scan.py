@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 from flowrisk.llm.common import WORD
 from flowrisk.session import materialize
 
+# Two forms: the value assigned to a secret-like name, of four characters or more, and any long run of key characters.
+# A look-behind has a fixed width, hence one for every width of a name and way to assign: up to four blanks on either side.
+NAMES = ("pwd", "pass|auth", "token", "passwd|secret|apikey|bearer", "api[_-]key", "password|passcode", "accesskey|secretkey",
+         "passphrase|privatekey|credential|access[_-]key|secret[_-]key", "credentials|private[_-]key")
+ENDS = ("", r"[\"']", *(r"[\x20\t]" * n for n in range(1, 5)))
+STARTS = [r"[\x20\t]" * n + quote for n in range(5) for quote in ("", r"[\"']")]
+AFTER_NAME = r"(?<=[:=\x20\t\"'])(?![:=\x20\t\"'])(?:" + "|".join(
+    rf"(?<=[:=]{start})(?:" + "|".join(rf"(?<=(?i:{name}){end}[:=]{start})" for end in ENDS for name in NAMES) + ")" for start in STARTS) + ")"
+VALUE = r"[^\x00-\x20\x7F\"';]{3,}[^\x00-\x20\x7F\"';,.)\]}>]"
 UNJOINED = r"(?<![A-Za-z0-9+/_-])"
-CANDIDATE = UNJOINED + r"[A-Za-z0-9+/_-]{14,}={0,2}"
+RUN = r"[A-Za-z0-9+/_-]{14,}={0,2}"
+CANDIDATE = f"(?:{AFTER_NAME}{VALUE}|{UNJOINED}{RUN})"
+# Texts without it have candidates of the second form only, which are found faster.
+ASSIGNMENT = rf"[:=](?<=(?i:{'|'.join(NAMES)})[\"']?[\x20\t]{{0,4}}[:=])"
 BEFORE, AFTER = 32, 8          # characters of context
-# The same candidates, with the text around them as groups; a text's first characters have less before them.
-SURROUNDED = (CANDIDATE.replace(UNJOINED, UNJOINED + r"(?=[A-Za-z0-9+/_-]{14})" + rf"(?<=([\s\S]{{{BEFORE}}}|^[\s\S]{{0,{BEFORE - 1}}}))", 1)
-              + rf"(?=([\s\S]{{0,{AFTER}}}))")
 SAMPLE_TEXTS = 6_000
 DICTIONARY_WORDS = 150
 TREES, DEPTH, CUT = 15, 6, 0.5
@@ -30,24 +39,40 @@ DIGEST = r"(?i)(commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|revision|etag
 SAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|docs?/)"
 
 
+def found(text: Column) -> Column:
+    each = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(ASSIGNMENT), each(CANDIDATE)).otherwise(each(UNJOINED + RUN))
+
+
+def pieces_of(text: Column) -> Column:
+    """The text around the candidates."""
+    return F.when(text.rlike(ASSIGNMENT), F.split(text, CANDIDATE, -1)).otherwise(F.split(text, UNJOINED + RUN, -1))
+
+
 def candidates(text: Column) -> Column:
     """Candidates of a text in order: value, start (characters before it), and the text before and after, other candidates included."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    before, after = (F.regexp_extract_all(text, F.lit(SURROUNDED), F.lit(group)) for group in (1, 2))
-
-    def each(parts: Column) -> Column:
-        at = F.aggregate(
-            parts["found"], F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("i")),
-            lambda acc, value: _next(acc, value, parts["pieces"]))["starts"]
-        return F.transform(F.array(at), lambda starts: F.transform(parts["found"], lambda value, i: F.struct(
-            value.alias("value"), F.get(starts, i).alias("start"), F.get(parts["before"], i).alias("before"), F.get(parts["after"], i).alias("after"))))[0]
-    parts = F.struct(F.split(text, CANDIDATE, -1).alias("pieces"), found.alias("found"), before.alias("before"), after.alias("after"))
-    return F.when(text.isNotNull(), F.transform(F.array(parts), each)[0])
+    def each(pieces: Column) -> Column:
+        def one(values: Column) -> Column:
+            first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr("cast(array() as array<struct<start:int,before:string>>)").alias("seen"), F.lit(0).alias("i"))
+            folded = F.aggregate(values, first, lambda acc, value: _next(acc, value, pieces))["seen"]
+            return F.transform(F.array(folded), lambda seen: F.transform(values, lambda value, i: F.struct(
+                value.alias("value"), F.get(seen, i)["start"].alias("start"), F.get(seen, i)["before"].alias("before"), _after(values, pieces, i).alias("after"))))[0]
+        return F.transform(F.array(found(text)), one)[0]
+    return F.transform(F.array(pieces_of(text)), each)[0]
 
 
 def _next(acc: Column, value: Column, pieces: Column) -> Column:
-    start = acc["at"] + F.char_length(F.get(pieces, acc["i"]))
-    return F.struct((start + F.char_length(value)).alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts"), (acc["i"] + 1).alias("i"))
+    piece = F.get(pieces, acc["i"])
+    start = acc["at"] + F.char_length(piece)
+    before = F.right(F.concat(acc["tail"], F.right(piece, F.lit(BEFORE))), F.lit(BEFORE))
+    return F.struct((start + F.char_length(value)).alias("at"), F.right(F.concat(before, value), F.lit(BEFORE)).alias("tail"),
+                    F.concat(acc["seen"], F.array(F.struct(start.alias("start"), before.alias("before")))).alias("seen"), (acc["i"] + 1).alias("i"))
+
+
+def _after(values: Column, pieces: Column, i: Column) -> Column:
+    """A value has four characters or more, so two of them fill AFTER."""
+    next_ = (F.left(F.get(x, i + k), F.lit(AFTER)) for k in (1, 2) for x in (pieces, values))
+    return F.left(F.concat_ws("", *next_), F.lit(AFTER))
 
 
 def share(value: Column, pattern: str) -> Column:
@@ -87,7 +112,9 @@ def weak_label(c: Column) -> Column:
     value = c["value"]
     random = value.rlike("[0-9].*[0-9].*[0-9]") & value.rlike("[A-Za-z]")
     issued = value.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$") | (value.rlike(ISSUER) & (F.char_length(value) >= 24) & random)
-    return (F.when(issued, 1.0).when(c["before"].rlike(DIGEST), 0.0).when(c["before"].rlike(KEYWORD) & c["before"].rlike(ASSIGNED) & random, 1.0)
+    # Of the short form: letters with digits or other marks than those of words.
+    mixed = value.rlike("[A-Za-z]") & value.rlike("[0-9!@#$%^&*+~?]") & ~value.rlike("[(){}<>]|://")
+    return (F.when(issued, 1.0).when(c["before"].rlike(DIGEST), 0.0).when(c["before"].rlike(KEYWORD) & c["before"].rlike(ASSIGNED) & (random | mixed), 1.0)
             .when(~value.rlike("[0-9]") | ~value.rlike("[A-Za-z]"), 0.0))
 
 
@@ -97,6 +124,9 @@ def seed_findings(spark) -> DataFrame:
     h, up = F.col("h"), F.upper(F.translate("h", "0123456789abcdef", "QK2ZTR7MWXV4LPJ9"))
     mixed = F.base64(F.unhex("h"))
     kinds = [(F.concat(F.lit("AKIA"), F.left(up, F.lit(16))), "with key ", " in", 1.0), (h, "token = \"", "\"", 1.0), (F.left(h, F.lit(18)), "password=", " ", 1.0),
+             (F.concat(F.translate(F.left(h, F.lit(5)), "0123456789", "ghijkmnpqr"), F.lit("-"), F.right(up, F.lit(4))), "password=", " ", 1.0),
+             (F.concat(F.initcap(F.translate(F.left(h, F.lit(6)), "3456789", "rstuvwx")), F.lit("&"), F.right(h, F.lit(1))), "pwd: ", "\n", 1.0),
+             (F.translate(F.left(h, F.lit(7)), "0123456789", "ghijkmnpqr"), "password: ", " ", 0.0), (F.lit("required"), "token: ", ",", 0.0), (F.lit("None"), "secret=", ")", 0.0),
              (mixed, "api_key: '", "'", 1.0), (F.concat(F.lit("ghp_"), F.translate(mixed, "+/=", "abc")), "export ", "\n", 1.0),
              (h, "fixed in commit ", " and", 0.0), (F.left(h, F.lit(32)), "md5: ", "\n", 0.0), (F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5"), "uuid=", " ", 0.0),
              (F.translate("h", "abcdef", "123456"), "order ", ", ", 0.0), (F.concat(F.lit("usr/local/lib/node"), F.left(h, F.lit(2)), F.lit("/share")), "see /", " for", 0.0),
@@ -175,7 +205,7 @@ def redacted(text: Column, findings: Column) -> Column:
     def rebuilt(pieces: Column) -> Column:
         return F.array_join(F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(
             F.when(F.get(findings, i)["secret"], F.lit(MASK)).otherwise(F.get(findings, i)["value"]), F.lit("")))), "")
-    return F.when(F.exists(findings, lambda f: f["secret"]), F.transform(F.array(F.split(text, CANDIDATE, -1)), rebuilt)[0]).otherwise(text)
+    return F.when(F.exists(findings, lambda f: f["secret"]), F.transform(F.array(pieces_of(text)), rebuilt)[0]).otherwise(text)
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source") -> DataFrame:

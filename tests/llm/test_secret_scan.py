@@ -64,3 +64,16 @@ def test_long_key_names_are_neighbours_of_their_values(docs_of):
             assert text[c.start:end] == c.value and c.before == text[max(0, c.start - 32):c.start] and c.after == text[end:end + 8]
     masked = {r.doc_id: r.text for r in redact(docs_of(list(enumerate(texts))), fit(docs_of(list(enumerate(texts))))).collect()}
     assert masked == {0: f"AWS_SECRET_ACCESS_KEY={MASK}", 1: f"x\nclient_secret_token: '{MASK}' y", 2: texts[2], 3: f"é😀 database_password = {MASK}"}
+
+
+def test_short_and_printable_values_after_secret_names(spark, docs_of):
+    """Values under 14 characters, and whole values with any printable characters."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    rows = [(1, "set password=hunter2-x9 now", "hunter2-x9"), (2, "pwd: Tr0ub4dor&3\nnext", "Tr0ub4dor&3"), (3, f"auth_token = {jwt}", jwt),
+            (4, "Server=db;Password=p@ss:w0rd$1!x;Port=1", "p@ss:w0rd$1!x"), (5, '{"api_key": "k9.Xz%41"}', "k9.Xz%41"), (6, "MY_DATABASE_PASSWORD=ab1!", "ab1!")]
+    docs = docs_of([r[:2] for r in rows] + [(7, "password: required, token: string"), (8, "note: hunter2-x9 and key Tr0ub4dor&3")])
+    out = {r.doc_id: r for r in secrets(docs).collect()}
+    masked = {r.doc_id: r.text for r in redact(docs, fit(docs)).collect()}
+    for i, text, value in rows:
+        assert out[i].spans == f"{text.index(value)}:{len(value)}" and masked[i] == text.replace(value, MASK)
+    assert out[7].n_secrets == out[8].n_secrets == 0
