@@ -21,6 +21,7 @@ EPOCHS = 40
 CHUNK = 300_000       # words whose lattice a task holds at once
 CACHE_WORDS = 150_000
 SLICE = 500           # texts whose words a task holds as bytes at once
+LONG, PIECE = 40, 20  # characters of a word that is split, and of its pieces
 
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
@@ -33,11 +34,27 @@ def stripped(word: bytes) -> str:
     return text if text.isalpha() or any(map(str.isalpha, text)) else NO_LETTER
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text. One of LONG or more characters, as in text without spaces, is split into pieces that share
+    two characters with the next, so that every trigram counts."""
+    words = (text or "").encode().split()
+    if max(map(len, words), default=0) < LONG:
+        return words
+    out = []
+    for word in words:
+        shown = stripped(word) if len(word) >= LONG else ""
+        if len(shown) < LONG:
+            out.append(word)
+        else:
+            out += [shown[i:i + PIECE + 2].encode() for i in range(0, len(shown) - 2, PIECE)]
+    return out
+
+
 def features(text: str) -> set[str]:
     """Affixes and trigrams of a stripped word, and the word itself for the lexicons."""
     if text == NO_LETTER:
         return {text}
-    marked = f"<{text}>" if len(text) < 40 else f"<{text[:20]}>{text[-20:]}>"
+    marked = f"<{text}>"
     found = {marked[i:i + 3] for i in range(len(marked) - 2)}
     found.update((marked[:2], marked[-2:], marked[:4], marked[-4:], marked[-5:], "=" + text))
     return found
@@ -171,7 +188,7 @@ def fit(sample: list[tuple[str, str]], seed: int = 4) -> Model:
     number = {lang: k for k, lang in enumerate(labels)}
     windows, of = [], []
     for text, lang in sample:
-        words = (text or "").encode().split()
+        words = words_of(text)
         at = int(rng.integers(0, max(1, len(words) - WORDS_PER_TEXT + 1)))
         windows.append(words[at:at + WORDS_PER_TEXT])
         of.append(number[lang])
@@ -246,7 +263,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 emissions = Emissions(model)
             rows = []
             for i in range(0, len(texts), SLICE):
-                rows += emissions.indexes([(t or "").encode().split() if model.labels else [] for t in texts[i:i + SLICE]])
+                rows += emissions.indexes([words_of(t) if model.labels else [] for t in texts[i:i + SLICE]])
             marginals = mean_marginals(rows, model, emissions)
             lang, score = [], []
             for text, mean in zip(texts, marginals):

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from flowrisk.llm.language import NO_LETTER, Emissions, features, fit, identify, language, lattice, mean_marginals, stripped
+from flowrisk.llm.language import NO_LETTER, Emissions, features, fit, identify, language, lattice, mean_marginals, stripped, words_of
 
 
 def held(doc_id):
@@ -74,3 +74,16 @@ def test_identify_keeps_columns(docs_of):
     model = fit([("the cat", "en"), ("der Hund", "de")] * 10)
     docs = docs_of([(1, "the cat"), (None, None)])
     assert identify(docs, model).columns == [*docs.columns, "lang_pred", "score"]
+
+
+def test_every_character_of_unspaced_text_counts(docs_of):
+    """Japanese inside ends of another script: the whole run decides, not its first and last characters."""
+    ja, zh = "これはとてもながいぶんしょうです", "我们今天在学校里学习中文的语法"
+    model = fit([(ja * 8, "ja"), (zh * 8, "zh")] * 10)
+    text = zh * 2 + ja * 40 + zh * 2
+    out = identify(docs_of([(1, text), (2, "\u00a0".join(["これは", "とても"] * 30))]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in out} == {1: "ja", 2: "ja"}
+    pieces = [p.decode() for p in words_of("ab " + text + " cd")]
+    assert pieces[0] == "ab" and pieces[-1] == "cd" and max(map(len, pieces)) <= 22
+    whole = pieces[1] + "".join(p[2:] for p in pieces[2:-1])
+    assert whole == text and words_of("-" * 50 + "word") == [b"-" * 50 + b"word"]
