@@ -14,7 +14,8 @@ from flowrisk.llm.common import table
 from flowrisk.llm.queries import VOCABULARY
 from flowrisk.session import materialize
 
-LEAST_SCORE = 0.5  # of the language, for a text to stay
+LEAST_SCORE = 0.5  # of the language, for a text to stay in any case
+LEAST_SURE = 0.5   # mean over words of the likeliest language's probability, for a text in several languages to stay
 
 
 def _keys() -> dict[str, Column]:
@@ -27,11 +28,14 @@ def _narrow(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts whose language is told with a score of LEAST_SCORE or more."""
+    """Keep texts whose words are in a known language each with LEAST_SURE in the mean, be it one language or several.
+
+    A score of LEAST_SCORE implies as much; ``und`` goes.
+    """
     model = language.fit(language.training_sample(docs, language.TEXTS_PER_LANGUAGE, "doc_id", "text", "lang"))
-    told = language.identify(docs.select("*", F.lit(0).alias("__row")), model)
-    told = told.toDF(*docs.columns, "__row", "__lang", "__score")
-    return told.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    told = language.identify(docs.select("*", F.lit(0).alias("__row")), model, sure_col="__sure")
+    told = told.toDF(*docs.columns, "__row", "__lang", "__score", "__sure")
+    return told.where((F.col("__lang") != "und") & ((F.col("__score") >= LEAST_SCORE) | (F.col("__sure") >= LEAST_SURE))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,7 +229,13 @@ def training_sample(docs: DataFrame, per_language: int, id_col: str, text_col: s
 
 def mean_marginals(texts: list[np.ndarray], model: Model, emissions: Emissions) -> np.ndarray:
     """Mean label marginals of the words with a letter, by text (as rows of ``emissions``); zero where there is none."""
+    return marginals_and_certainty(texts, model, emissions)[0]
+
+
+def marginals_and_certainty(texts: list[np.ndarray], model: Model, emissions: Emissions) -> tuple[np.ndarray, np.ndarray]:
+    """The mean label marginals of each text, and the mean over the same words of each one's largest marginal."""
     n_labels = len(model.labels)
+    sure = np.zeros(len(texts))
     out, order = np.zeros((len(texts), n_labels)), sorted((i for i, t in enumerate(texts) if len(t)), key=lambda i: -len(texts[i]))
     at = 0
     while at < len(order):
@@ -242,18 +248,22 @@ def mean_marginals(texts: list[np.ndarray], model: Model, emissions: Emissions)
         rows = emissions.rows[np.concatenate(part)]
         gamma, _, _ = lattice(rows[:, :n_labels], model.transition, model.start, lengths, moves=False)
         lettered, first = rows[:, n_labels:], np.cumsum(lengths) - lengths
-        out[order[at:to]] = np.add.reduceat(gamma * lettered, first, axis=0) / np.maximum(np.add.reduceat(lettered, first, axis=0), 1)
+        count = np.maximum(np.add.reduceat(lettered, first, axis=0), 1)
+        out[order[at:to]] = np.add.reduceat(gamma * lettered, first, axis=0) / count
+        if n_labels:
+            sure[order[at:to]] = np.add.reduceat(gamma.max(axis=1) * lettered[:, 0], first) / count[:, 0]
         at = to
-    return out
+    return out, sure
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", sure_col: str | None = None) -> DataFrame:
     """Language of every whole text under a fitted model: id, lang_pred, score, and all other columns of ``docs``.
 
     lang_pred is the label with the largest mean marginal over words with a letter, score that mean. A null
-    text, or one without a letter, is ``und`` with score 0, as is any text under a model without labels.
+    text, or one without a letter, is ``und`` with score 0, as is any text under a model without labels. ``sure_col``
+    names one more column, the mean over these words of the largest marginal of each: high for text that switches languages clearly.
     """
-    names = ["lang_pred", "score"]
+    names = ["lang_pred", "score", *([sure_col] if sure_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(model)
@@ -264,17 +274,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             rows = []
             for i in range(0, len(texts), SLICE):
                 rows += emissions.indexes([words_of(t) if model.labels else [] for t in texts[i:i + SLICE]])
-            marginals = mean_marginals(rows, model, emissions)
-            lang, score = [], []
-            for text, mean in zip(texts, marginals):
+            marginals, certainty = marginals_and_certainty(rows, model, emissions)
+            lang, score, sure = [], [], []
+            for text, mean, certain in zip(texts, marginals, certainty):
                 known = bool(model.labels) and text is not None and any(map(str.isalpha, text)) and mean.any()
                 best = int(mean.argmax()) if known else 0
                 lang.append(model.labels[best] if known else "und")
                 score.append(min(1.0, float(mean[best])) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
+                sure.append(min(1.0, float(certain)) if known else 0.0)
+            added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added[:len(names)]], [*batch.schema.names, *names])
 
     at = docs.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double" + (f", `{sure_col}` double" if sure_col else "")
     return in_small_batches(docs).mapInArrow(run, schema)
 
 

@@ -95,3 +95,14 @@ def test_odd_rows(docs_of, odd_rows, spark):
     mixed = P.mix_sources(spark, docs_of([(8, "repeated row")] * 4 + [(8, "other text")] + [(None, None)]), SF).collect()
     assert Counter(r.text for r in mixed) == {"repeated row": 4, "other text": 1}
     assert Counter(r.text for r in P.drop_near_duplicates(spark, docs_of([(8, "repeated row")] * 4 + [(None, None)]), SF).collect()) == {"repeated row": 1, None: 1}
+
+
+def test_clean_texts_in_several_languages_stay(docs_of, spark):
+    """Planted documents that mix two or three languages in similar parts; those without a letter go."""
+    of = {"en": "the cat and the dog went over there with that thing", "de": "der Hund und die Katze sind nicht schön gewesen",
+          "fr": "le chat est avec une autre chose dans la maison", "es": "el perro está con los otros para siempre aquí"}
+    rows = [(i, t, "s", lang) for i, (lang, t) in enumerate(list(of.items()) * 20)]
+    mixed = [(1000, " ".join(of[k] for k in ("en", "de"))), (1001, " ".join(of[k] for k in ("en", "de", "fr"))),
+             (1002, " ".join(of[k] for k in ("fr", "es", "de") * 3)), (1003, " ".join(of.values())), (1004, "!!! 123 ---")]
+    kept = {r.doc_id for r in P.identify_language(spark, docs_of(rows + [(*r, "s", None) for r in mixed]), SF).collect()}
+    assert {1000, 1001, 1002, 1003} <= kept and 1004 not in kept and len(kept) == len(rows) + 4
