@@ -4,229 +4,160 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import byte_words
+from flowrisk.llm.common import byte_words, in_small_batches
 from flowrisk.session import materialize
 
 ADD = 0.1            # added to every count at the root
 DISCOUNT = 0.5       # taken off every kept count below the root
-WORD_SHARE = 5e-7    # words at least this frequent are known to every task: 1 / WORD_SHARE at most
-CONTEXT_SHARE = 1e-5  # words at least this frequent are contexts
-PAIR_SHARE = 2e-6    # contexts with their next word that are kept in the tree: 1 / PAIR_SHARE a level at most
+LEAST = 2.0          # times that words, contexts and entries of the tree occur at least, whatever the input
+# Further cuts by share of the training tokens for words, contexts and entries; none.
+WORD_SHARE = CONTEXT_SHARE = PAIR_SHARE = 0.0
 DEPTH = 3
-FLUSH = 300_000      # distinct words a task holds at once
+CACHE_WORDS = 300_000
+END = 1              # stands for the end of a text; a word's number is a hash of 64 bits
+REST = 100           # added to the level in replies that tell the share left to the shorter context
 
 
-@dataclass
-class Level:
-    """Contexts of one length. ``keys``: context * width + next word, sorted; ``counts`` beside it."""
+def number_of(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
 
-    keys: np.ndarray
-    counts: np.ndarray
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))  # 1 / count of the context
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))   # share left to the shorter context
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, at, -1)
+def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Numbers of sequences: that of all but the last word, and the last word."""
+    x = context.view("uint64") * np.uint64(0x9E3779B97F4A7C15) + word.view("uint64")
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view("int64")
 
 
-@dataclass
-class Tree:
-    """Root probabilities of the frequent words (the last is the end), and the levels below.
-
-    The context of length d + 1 that ends before a word is the entry of level d that ends there: a context of
-    length d and the word after it. A token is an index of ``root``, or -1 for a word that tasks don't know.
-    """
-
-    root: np.ndarray
-    root_counts: np.ndarray
-    contexts: int
-    levels: list[Level]
-
-    @property
-    def width(self) -> int:
-        return len(self.root)
-
-    def walk(self, tokens: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length up to ``depth``: the context before each token, and the level's entry with it (-1: none)."""
-        def before(values: np.ndarray) -> np.ndarray:
-            out = np.empty_like(values)
-            out[1:] = values[:-1]
-            out[first] = -1
-            return out
-
-        context = before(tokens)
-        context = np.where(context < self.contexts, context, -1)
-        for d in range(depth):
-            entry = np.full(len(tokens), -1)
-            if d < len(self.levels):
-                valid = np.flatnonzero((context >= 0) & (tokens >= 0))
-                entry[valid] = self.levels[d].find(context[valid] * self.width + tokens[valid])
-            yield context, entry
-            context = before(entry)
-
-    def probabilities(self, tokens: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-        """Probability of each token after its longest kept context; of an unknown one, its factor to the root's."""
-        p = np.where(tokens >= 0, self.root[tokens], 1.0)
-        for d, (context, entry) in enumerate(self.walk(tokens, first, depth)):
-            level = self.levels[d]
-            if not len(level.kept):
-                continue
-            on = np.flatnonzero(context >= 0)
-            on = on[level.kept[context[on]]]
-            c, e = context[on], entry[on]
-            seen = np.where(e >= 0, level.counts[e] - DISCOUNT, 0.0)
-            p[on] = seen * level.scale[c] + level.rest[c] * p[on]
-        return p
-
-    def add_level(self, keys: np.ndarray, counts: np.ndarray, gain: float) -> None:
-        """Put in the counts of the next length, and keep the contexts whose next words differ from the shorter one's.
-
-        The test is a log-likelihood ratio over the entries: it has to reach ``gain`` nats for each of them.
-        """
-        order = np.argsort(keys)
-        level = Level(keys[order], counts[order].astype("float64"))
-        depth = len(self.levels)
-        above = self.root_counts if not depth else self.levels[-1].counts
-        context, word = level.keys // self.width, level.keys % self.width
-        # The words of every entry, oldest first.
-        words, node = [word], context
-        for upper in reversed(self.levels):
-            words.append(upper.keys[node] % self.width)
-            node = upper.keys[node] // self.width
-        words.append(node)
-        text = np.stack(words[::-1], axis=1).reshape(-1)
-        first = np.arange(len(word)) * (depth + 2)
-        self.levels.append(level)
-        shorter = self.probabilities(text, first, depth)[depth + 1::depth + 2]
-        total = np.maximum(above, 1.0)
-        seen = np.bincount(context, level.counts - DISCOUNT, len(above))
-        level.rest, level.scale = 1.0 - seen / total, 1.0 / total
-        longer = (level.counts - DISCOUNT) * level.scale[context] + level.rest[context] * shorter
-        ratio = level.counts * np.log(longer / np.maximum(shorter, 1e-300))
-        gained = np.bincount(context, ratio, len(above))
-        types = np.bincount(context, minlength=len(above))
-        # Words without an entry get a smaller share than before.
-        left = total - np.bincount(context, level.counts, len(above))
-        gained = gained + np.where(left > 0, left * np.log(np.maximum(level.rest, 1e-300)), 0.0)
-        level.kept = (types > 0) & (gained >= gain * types)
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all texts, as UTF-8. A task adds up before it sends, at most FLUSH words at a time."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-
-        found: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(byte_words(text))
-                if len(found) > FLUSH:
-                    yield out(found)
-                    found = Counter()
-        yield out(found)
-
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def encoded(rows: DataFrame, words: list[bytes]) -> DataFrame:
-    """Texts as numbers of ``words`` (then one end), and the other words of each text as rows of their own.
-
-    Columns rid (of the text), __id, held, ids (little-endian 32-bit, -1: another word), or else word and tf.
-    """
+def chunks(rows: DataFrame) -> DataFrame:
+    """One row per batch of texts: chunk, its ids, held flags and lengths, its distinct words with training counts, and all tokens as places there."""
     kind = rows.schema["__id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(words)}
-        end, at = len(known), TaskContext.get().partitionId() << 40
+        at, numbers = TaskContext.get().partitionId() << 40, {}
         for batch in batches:
-            ids, rid, word, tf = [], [], [], []
-            for n, text in enumerate(batch.column(2).to_pylist()):
-                tokens = byte_words(text)
-                mapped = [known.get(w, -1) for w in tokens]
-                ids.append(np.array([*mapped, end], "<i4").tobytes())
-                if -1 in mapped:
-                    for w, k in Counter(w for w in tokens if w not in known).items():
-                        rid.append(at + n)
-                        word.append(w)
-                        tf.append(k)
-            n, rare = batch.num_rows, len(rid)
-            none = lambda kind: pa.nulls(rare, kind)
+            if len(numbers) > CACHE_WORDS:
+                numbers = {}
+            held, place, tokens, lengths, tf = batch.column(1).to_pylist(), {None: 0}, [], [], Counter()
+            for text, out in zip(batch.column(2).to_pylist(), held):
+                words = [*byte_words(text), None]
+                mapped = [place.setdefault(w, len(place)) for w in words]
+                tokens.append(np.array(mapped, "<i4"))
+                lengths.append(len(mapped))
+                if not out:
+                    tf.update(mapped)
+            for w in place:
+                if w is not None and w not in numbers:
+                    numbers[w] = number_of(w)
+            words = [END if w is None else numbers[w] for w in place]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(at, at + n)), batch.column(0), batch.column(1), pa.array(ids, pa.binary()),
-                pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
-            if rare:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rid, pa.int64()), none(batch.column(0).type), none(pa.bool_()), none(pa.binary()),
-                    pa.array(word, pa.binary()), pa.array(tf, pa.int64())], names)
-            at += n
-
-    names = ["rid", "__id", "held", "ids", "word", "tf"]
-    return rows.select("__id", "held", "__text").mapInArrow(
-        run, f"rid long, __id {kind.simpleString()}, held boolean, ids binary, word binary, tf long")
-
+                pa.array([at]), pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)), pa.array([held], pa.list_(pa.bool_())),
+                pa.array([lengths], pa.list_(pa.int64())), pa.array([words], pa.list_(pa.int64())),
+                pa.array([[tf[i] for i in range(len(words))]], pa.list_(pa.int64())), pa.array([np.concatenate(tokens).tobytes()], pa.binary())],
+                ["chunk", "ids", "held", "lengths", "words", "tf", "tokens"])
+            at += 1
 
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of a binary column, and where each text starts."""
-    tokens = np.frombuffer(b"".join(column.to_pylist()), "<i4").astype("int64")
-    lengths = np.asarray(pc.binary_length(column), "int64") // 4
-    return tokens, np.cumsum(lengths) - lengths
+    return in_small_batches(rows).mapInArrow(
+        run, f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, lengths array<long>, words array<long>, tf array<long>, tokens binary")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+class Chunk:
+    """The tokens of a chunk with what the tree knows of them.
 
+    ``walk`` yields for each length of context: whether it can have entries with the token, the entry's number, the context's, and the
+    probability by all shorter ones.
+    """
 
-def entry_counts(ids: DataFrame, tree: Tree) -> DataFrame:
-    """(key, n): how often each word follows each context of the tree's next length, over all given texts."""
-    depth = len(tree.levels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            met = [np.zeros(0, "int64")]
-            for part in slices(batch):
-                tokens, first = tokens_of(part.column(0))
-                *_, (context, _) = tree.walk(tokens, first, depth + 1)
-                valid = (context >= 0) & (tokens >= 0)
-                met.append(context[valid] * tree.width + tokens[valid])
-            keys, n = np.unique(np.concatenate(met), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    return ids.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def known_scores(ids: DataFrame, tree: Tree) -> DataFrame:
-    """Per text: tokens, frequent tokens, and log10 sums at the root and in the tree; other words count by their factor."""
-    depth = len(tree.levels)
-    kind = ids.schema["__id"].dataType.simpleString()
-    names = ["rid", "__id", "held", "n_tokens", "n_known", "base", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in slices(batch)):
-            tokens, first = tokens_of(part.column(3))
-            add = lambda x: np.add.reduceat(x, first)
-            base = np.log10(np.where(tokens >= 0, tree.root[tokens], 1.0))
-            seen = (tokens >= 0) & (tree.root_counts[tokens] > 0)
-            lengths = np.diff(np.append(first, len(tokens)))
-            yield pa.RecordBatch.from_arrays([
-                *part.columns[:3], pa.array(lengths), pa.array(add(seen.astype("int64"))), pa.array(add(base)),
-                pa.array(add(np.log10(tree.probabilities(tokens, first, depth))))], names)
-
-    return ids.select("rid", "__id", "held", "ids").mapInArrow(
-        run, f"rid long, __id {kind}, held boolean, n_tokens long, n_known long, base double, score double")
+    def __init__(self, row: pa.Table, replies: pa.Table, below: float, least: tuple[float, float]):
+        self.lengths = row.column("lengths").combine_chunks().flatten().to_numpy()
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.held = np.array(row.column("held")[0].as_py(), bool)
+        words = row.column("words").combine_chunks().flatten().to_numpy().astype("int64")
+        self.tokens = words[np.frombuffer(row.column("tokens")[0].as_py(), "<i4")]
+        level, key, value = (replies.column(x).to_numpy() for x in ("level", "key", "value"))
+        self.of = {}
+        for x in np.unique(level):
+            on = np.flatnonzero(level == x)
+            on = on[np.argsort(key[on])]
+            self.of[int(x)] = key[on], value[on]
+        self.count = np.nan_to_num(self.find(0, self.tokens))
+        self.below, (self.least_word, self.least_context) = below, least
+        self.root = (self.count + ADD) / below
+
+    def find(self, level: int, wanted: np.ndarray) -> np.ndarray:
+        """What was replied at a level; NaN where nothing was."""
+        keys, values = self.of.get(level, (np.zeros(0, "int64"), None))
+        if not len(keys):
+            return np.full(len(wanted), np.nan)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], np.nan)
+
+    def before(self, values: np.ndarray, none) -> np.ndarray:
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = none
+        return out
+
+    def walk(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        common = (self.tokens == END) | (self.count >= self.least_word)
+        total = self.before(np.where(self.count >= self.least_context, self.count, np.nan), np.nan)
+        context, p = self.before(self.tokens, 0), self.root
+        for d in range(1, depth + 1):
+            there = ~np.isnan(total)
+            key = extended(context, self.tokens)
+            yield there & common, key, context, p
+            n = np.where(there & common, self.find(d, key), np.nan)
+            rest = np.where(there, self.find(REST + d, context), np.nan)
+            p = np.where(np.isnan(rest), p, np.nan_to_num(n - DISCOUNT) / total + rest * p)
+            context, total = self.before(key, 0), self.before(n, np.nan)
+        yield there, key, context, p
+
+
+def requests(row: pa.Table, replies: pa.Table, depth: int, below: float, least: tuple[float, float]) -> pa.Table:
+    """The distinct entries of length ``depth`` that a chunk asks for, with their training counts."""
+    chunk = Chunk(row, replies, below, least)
+    valid, key, context, p = next(x for d, x in enumerate(chunk.walk(depth), 1) if d == depth)
+    on = np.flatnonzero(valid)
+    trained = np.repeat(~chunk.held, chunk.lengths)[on]
+    keys, at, back = np.unique(key[on], return_index=True, return_inverse=True)
+    tf = np.bincount(back, trained, len(keys)).astype("int64")
+    return pa.table({"chunk": np.full(len(keys), row.column("chunk")[0].as_py(), "int64"), "key": keys, "tf": tf,
+                     "context": context[on][at], "shorter": p[on][at]})
+
+
+def text_scores(row: pa.Table, replies: pa.Table, depth: int, below: float, least: tuple[float, float]) -> pa.Table:
+    """Per text: tokens, known tokens, and log10 sums at the root and in the tree."""
+    chunk = Chunk(row, replies, below, least)
+    *_, (_, _, _, p) = chunk.walk(depth)
+    add = lambda x: np.add.reduceat(x, chunk.first)
+    return pa.table({"__id": row.column("ids").combine_chunks().flatten(), "held": chunk.held, "n_tokens": chunk.lengths,
+                     "n_known": add((chunk.count > 0).astype("int64")), "base": add(np.log10(chunk.root)), "score": add(np.log10(p))})
+
+
+def kept_contexts(entries: DataFrame, totals: DataFrame, gain: float) -> DataFrame:
+    """(key, rest) of the contexts whose next words differ from the shorter one's.
+
+    The test is a log-likelihood ratio over the entries: it has to reach ``gain`` nats for each of them. Words without an entry get a smaller
+    share than before.
+    """
+    sums = entries.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("seen"), F.sum("n").alias("with_entry"))
+    sums = sums.join(totals.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+    sums = sums.withColumn("rest", 1 - F.col("seen") / F.col("total"))
+    longer = (F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.col("shorter")
+    tested = entries.join(sums, "context").groupBy("context").agg(
+        F.sum(F.col("n") * F.log(longer / F.col("shorter"))).alias("ratio"), F.count("*").alias("types"), F.max("rest").alias("rest"),
+        F.max(F.col("total") - F.col("with_entry")).alias("left"))
+    gained = F.col("ratio") + F.when(F.col("left") > 0, F.col("left") * F.log("rest")).otherwise(0.0)
+    return tested.where(gained >= gain * F.col("types")).select(F.col("context").alias("key"), "rest")
 
 
 def held_out(id_: Column) -> Column:
@@ -240,39 +171,41 @@ def score(docs: DataFrame, depth: int = DEPTH, gain: float = 3.0, id_col: str =
     Columns: id, held_out, n_tokens, n_known, train_tokens, base_score (root alone: unigrams with ADD), score.
     Tokens are words with A-Z in lower case, then one end; null and blank texts are an end alone. Texts whose
     id is held out are scored and not learned from. A context of up to ``depth`` words is in the tree
-    if it is frequent and its next words differ from those after its shorter suffix by a likelihood-ratio
+    if it occurs LEAST times, as its entries do, and its next words differ from those after its shorter suffix by a likelihood-ratio
     test; the longest one before a word gives its distribution, smoothed with the shorter ones down to the root.
 
-    Words and pairs are counted over all training texts. Tasks hold what has a fixed share of the
-    training tokens at least, hence at most 1 / share entries whatever the input. All other words are joined
-    to their counts by word, as no such word is frequent; their probability at the root enters both scores.
+    The tree is tables that grow with the corpus, keyed by hashes of 64 bits. A chunk of texts asks for each of its
+    distinct words and entries once, level by level, and gets back what occurs often enough; an entry is asked for only if its
+    context is in the tree. Tasks hold one chunk and its replies.
     """
     rows = docs.select(F.col(id_col).alias("__id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("__text"))
-    train = rows.where(~F.col("held"))
-    vocabulary = materialize(word_counts(train.select("__text")), "suffix-words")
-    texts = train.count()
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, distinct = total + texts, distinct + (texts > 0)
-    frequent = vocabulary.where(F.col("c") >= max(2.0, WORD_SHARE * total)).orderBy(F.col("c").desc(), "word").toPandas()
+    coded = materialize(chunks(rows), "suffix-chunks")
+    asked = coded.select("chunk", F.explode(F.arrays_zip("words", "tf")).alias("w")).select("chunk", F.col("w.words").alias("key"), F.col("w.tf").alias("tf"))
+    counts = materialize(asked.groupBy("key").agg(F.sum("tf").alias("n")).where("n > 0"), "suffix-words")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = total + ADD * (distinct + 1)
-    counts = np.append(frequent["c"].to_numpy("float64"), texts)
-    words = [bytes(w) for w in frequent["word"]]
-    contexts = int(np.searchsorted(-counts[:-1], -max(2.0, CONTEXT_SHARE * total), side="right"))
-    tree = Tree((counts + ADD) / below, counts, contexts, [])
-
-    coded = materialize(encoded(rows, words), "suffix-ids")
-    ids, rare = coded.where("ids is not null"), coded.where("word is not null").select("rid", "word", "tf")
-    for _ in range(depth):
-        found = entry_counts(ids.where(~F.col("held")), tree).where(F.col("n") >= max(2.0, PAIR_SHARE * total)).toPandas()
-        tree.add_level(found["key"].to_numpy("int64"), found["n"].to_numpy("int64"), gain)
-        if found.empty:
-            break
-
-    c = F.coalesce("c", F.lit(0))
-    other = rare.join(vocabulary, "word", "left").groupBy("rid").agg(
-        F.sum(F.col("tf") * F.log10((c + ADD) / below)).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"))
-    out = known_scores(ids, tree).join(other, "rid", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(F.col("__id").alias(id_col), F.col("held").alias("held_out"), "n_tokens",
-                      (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-                      (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    least = tuple(max(LEAST, share * total) for share in (WORD_SHARE, CONTEXT_SHARE))
+
+    def replied(asked: DataFrame, known: DataFrame, value: str, level: int) -> DataFrame:
+        found = asked.select("chunk", "key").join(known.select("key", value), "key")
+        return materialize(found.select("chunk", "key", F.lit(level).alias("level"), F.col(value).cast("double").alias("value")), f"suffix-replies-{level}")
+
+    def by_chunk(run, schema: str, depth: int) -> DataFrame:
+        right = replies[0]
+        for other in replies[1:]:
+            right = right.unionByName(other)
+        run = partial(run, depth=depth, below=below, least=least)
+        return coded.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda row, told: run(row, told), schema)
+
+    replies = [replied(asked, counts, "n", 0)]
+    for d in range(1, depth + 1):
+        wanted = materialize(by_chunk(requests, "chunk long, key long, tf long, context long, shorter double", d), f"suffix-asked-{d}")
+        entries = wanted.groupBy("key").agg(F.sum("tf").alias("n"), F.min("context").alias("context"), F.min("shorter").alias("shorter"))
+        entries = materialize(entries.where(F.col("n") >= max(LEAST, PAIR_SHARE * total)), f"suffix-entries-{d}")
+        replies += [replied(asked, kept_contexts(entries, counts, gain), "rest", REST + d), replied(wanted, entries, "n", d)]
+        asked, counts = wanted, entries
+
+    kind = rows.schema["__id"].dataType.simpleString()
+    out = by_chunk(text_scores, f"__id {kind}, held boolean, n_tokens long, n_known long, base double, score double", depth)
+    return out.select(F.col("__id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+                      F.col("base").alias("base_score"), "score")

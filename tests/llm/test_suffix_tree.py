@@ -96,3 +96,13 @@ def test_odd_rows(docs_of, odd_rows):
     assert score(docs_of([])).collect() == []
     only_held = [(i, "kept out") for i in range(200) if held(i)]
     assert {r.base_score for r in score(docs_of(only_held)).collect()} == {0.0}
+
+
+def test_rare_contexts_stay_in_a_large_corpus(docs_of):
+    """Over a million tokens, pairs that occur three times are contexts and entries as in a small corpus."""
+    free = [i for i in range(200) if not held(i)]
+    rows = [(i, "aa bb cc dd " * 20_000) for i in free[:16]] + [(i, "xq yq zq") for i in free[16:19]]
+    out = {r.doc_id: r for r in score(docs_of(rows)).collect()}
+    assert out[free[0]].train_tokens > 1_200_000
+    model = check(list(out.values()), rows)
+    assert {(b"xq",), (b"yq",)} <= set(model.nodes) and all(out[i].score > out[i].base_score + 5 for i in free[16:19])
