@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk.llm.common import in_small_batches
@@ -209,8 +209,22 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def windows_of(drawn: DataFrame) -> DataFrame:
+    """(__text, __lang, draw) with a window of WORDS_PER_TEXT words, from a place that ``draw`` gives, in place of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, draw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                words = words_of(text)
+                at = int(draw * 1e6 % 1 * max(1, len(words) - WORDS_PER_TEXT + 1))
+                texts.append(b" ".join(words[at:at + WORDS_PER_TEXT]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], batch.schema.names)
+
+    return in_small_batches(drawn).mapInArrow(run, drawn.schema)
+
+
 def training_sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """Up to ``per_language`` training texts of each language, those with the smallest hashes."""
+    """A window of up to ``per_language`` training texts of each language, those with the smallest hashes."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
     rows = rows.where(~held_out(F.col("__id")) & F.col("__lang").isNotNull())
     sizes = rows.groupBy("__lang").count().collect()  # one row per language
@@ -218,13 +232,10 @@ def training_sample(docs: DataFrame, per_language: int, id_col: str, text_col: s
     for r in sizes:
         share = F.when(F.col("__lang") == r["__lang"], min(1.0, 2.0 * per_language / r["count"] + 20.0 / r["count"])).otherwise(share)
     drawn = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("__id", "__text"), 11) / float(1 << 53)).where(F.col("draw") < share)
-    some = drawn.orderBy("draw").limit(2 * (per_language + 20) * max(1, len(sizes))).select("__text", "__lang").collect()
-    out, seen = [], Counter()
-    for r in some:
-        if seen[r["__lang"]] < per_language:
-            seen[r["__lang"]] += 1
-            out.append((r["__text"], r["__lang"]))
-    return out
+    # A drawn row has at most some 2 * per_language + 20 others of its language beside it; only windows of their texts travel.
+    least = F.row_number().over(Window.partitionBy("__lang").orderBy("draw"))
+    some = windows_of(drawn.select("__text", "__lang", "draw")).withColumn("__at", least).where(F.col("__at") <= per_language)
+    return [(r["__text"], r["__lang"]) for r in some.orderBy("draw").collect()]
 
 
 def mean_marginals(texts: list[np.ndarray], model: Model, emissions: Emissions) -> np.ndarray:

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from flowrisk.llm.language import NO_LETTER, Emissions, features, fit, identify, language, lattice, mean_marginals, stripped, words_of
+from flowrisk.llm.language import NO_LETTER, Emissions, features, fit, identify, language, lattice, mean_marginals, stripped, training_sample, words_of
 
 
 def held(doc_id):
@@ -87,3 +87,11 @@ def test_every_character_of_unspaced_text_counts(docs_of):
     assert pieces[0] == "ab" and pieces[-1] == "cd" and max(map(len, pieces)) <= 22
     whole = pieces[1] + "".join(p[2:] for p in pieces[2:-1])
     assert whole == text and words_of("-" * 50 + "word") == [b"-" * 50 + b"word"]
+
+
+def test_sample_brings_windows_only(docs_of):
+    free = [i for i in range(60) if not held(i)]
+    rows = [(i, f"word{i} " * 30_000, "s", "en") for i in free[:20]] + [(i, "kurz und gut", "s", "de") for i in free[20:24]] + [(free[25], "漢" * 90_000, "s", "zh")]
+    got = training_sample(docs_of(rows), 5, "doc_id", "text", "lang")
+    assert sorted(lang for _, lang in got) == ["de"] * 4 + ["en"] * 5 + ["zh"]
+    assert all(len(words_of(t)) == (3 if lang == "de" else 200) for t, lang in got) and max(len(t) for t, _ in got) < 5_000
