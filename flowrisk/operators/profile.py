@@ -24,30 +24,14 @@ def log_type_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("log_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nesting(entries: DataFrame, column: str) -> int:
-    """Deepest nesting of brackets outside of strings."""
-    brackets = F.regexp_replace(F.regexp_replace(column, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    step = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    walked = F.aggregate(F.split(brackets, ""), step, lambda acc, c: F.struct(
-        (acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"),
-        F.greatest(acc["most"], acc["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("most")))
-    return entries.agg(F.max(walked["most"])).first()[0] or 0
+LEVELS = 8  # containers opened in one pass
 
 
-def flatten_json(entries: DataFrame, column: str = "entry", keep: list[str] | None = None,
-                 max_depth: int | None = None, array_items: int | None = None) -> DataFrame:
-    """Leaf paths ``a.b[].c`` of every entry: (keep..., path, value, is_string).
-
-    Containers are opened level by level with ``variant_explode``, down to the
-    deepest level there is, which one pass over the brackets finds; leaves pass
-    through. With ``max_depth`` containers below it stay whole as JSON text.
-    ``array_items`` reads only the first items of each array, as a sampling
-    inspection does; by default all are read.
-    """
-    keep = keep or []
-    spark = entries.sparkSession
-    rows = entries.select(*keep, F.lit("").alias("path"), F.try_parse_json(column).alias("v"), F.lit(True).alias("open"))
-    for _ in range(nesting(entries, column) if max_depth is None else max_depth):
+def _opened(rows: DataFrame, keep: list[str], levels: int, array_items: int | None) -> DataFrame:
+    """(keep..., path, v): what stands ``levels`` below the values ``v``, or higher where there is nothing to open."""
+    spark = rows.sparkSession
+    rows = rows.select(*keep, "path", "v", F.lit(True).alias("open"))
+    for _ in range(levels):
         opened = rows.lateralJoin(
             spark.tvf.variant_explode_outer(F.when(F.col("open"), F.col("v")).outer())
             .select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_item")))
@@ -58,14 +42,43 @@ def flatten_json(entries: DataFrame, column: str = "entry", keep: list[str] | No
                 .when(F.col("path") == "", F.col("_key")).otherwise(F.concat_ws(".", "path", "_key")))
         rows = opened.select(*keep, path.alias("path"), F.when(inside, F.col("_item")).otherwise(F.col("v")).alias("v"),
                              inside.alias("open"))
-    kind = F.schema_of_variant("v")
-    # An empty container has no leaves.
-    whole = F.to_json("v")
-    return (rows.where(F.col("v").isNotNull() & ~whole.isin("{}", "[]"))
-            .select(*keep, "path",
-                    F.when(F.is_variant_null("v"), F.lit(None)).otherwise(
-                        F.coalesce(F.try_variant_get("v", "$", "string"), whole)).alias("value"),
-                    (kind == "STRING").alias("is_string")))
+    return rows
+
+
+def flatten_json(entries: DataFrame, column: str = "entry", keep: list[str] | None = None,
+                 max_depth: int | None = None, array_items: int | None = None) -> DataFrame:
+    """Leaf paths ``a.b[].c`` of every entry: (keep..., path, value, is_string).
+
+    The entries are read once. A pass opens LEVELS levels of containers with ``variant_explode`` and writes what it
+    finds; containers that are left go through another pass, until there is none. With ``max_depth``
+    containers below it stay whole as JSON text. ``array_items`` reads only the first items of each array, as a
+    sampling inspection does; by default all are read. Broken JSON, and empty containers, have no leaves.
+    """
+    keep = keep or []
+    rows = entries.select(*keep, F.lit("").alias("path"), F.try_parse_json(column).alias("v"))
+    done, parts = 0, []
+    while True:
+        levels = LEVELS if max_depth is None else min(LEVELS, max_depth - done)
+        done += levels
+        found = _opened(rows, keep, levels, array_items).where(F.col("v").isNotNull())
+        kind = F.schema_of_variant("v")
+        container = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
+        text = F.when(container, F.to_json("v")).when(~F.is_variant_null("v"), F.try_variant_get("v", "$", "string"))
+        leaves = (found.select(*keep, "path", text.alias("value"), (kind == "STRING").alias("is_string"), container.alias("open"))
+                  .where(~F.col("open") | ~F.col("value").isin("{}", "[]")))
+        if done == max_depth:
+            parts.append(leaves.drop("open"))
+            break
+        leaves = materialize(leaves, "leaves")
+        parts.append(leaves.where(~F.col("open")).drop("open"))
+        left = leaves.where("open")
+        if left.isEmpty():
+            break
+        rows = left.select(*keep, "path", F.try_parse_json("value").alias("v"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def semantic_types(leaves: DataFrame) -> DataFrame:

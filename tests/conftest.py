@@ -1,14 +1,13 @@
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
 
-ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+HERE = Path(__file__).resolve().parent
+sys.path[:0] = [str(HERE.parent), str(HERE)]
 
-SF = "/root/testdata/sf0.001"
-T0 = datetime(2024, 1, 10, 10, 0, 0)
+from shared import T0  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -37,7 +36,3 @@ def make_events(spark):
                                          "trigger_ref string, provenance_level string, is_deploy boolean")
         return as_canonical(df.withColumn("window_start", X.floor_window(F.col("ts"), minutes)))
     return build
-
-
-def rows(df, *order):
-    return [tuple(r) for r in df.orderBy(*order).collect()] if order else [tuple(r) for r in df.collect()]

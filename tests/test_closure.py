@@ -5,7 +5,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import T0
+from shared import T0
 from pyspark.sql import functions as F
 
 from flowrisk.config import ClosureConfig, WorldConfig

@@ -3,7 +3,7 @@ from datetime import timedelta
 
 import pandas as pd
 import pytest
-from conftest import T0
+from shared import T0
 
 from flowrisk.config import CorrelationConfig
 from flowrisk.operators import correlate as K

@@ -1,4 +1,4 @@
-from conftest import SF
+from shared import SF
 
 import __spark_entry__ as entry_module
 

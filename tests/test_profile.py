@@ -61,8 +61,24 @@ def test_cluster_keys_and_overlap(spark):
     assert {(r.field_1, r.field_2, r.shared_values) for r in P.cross_log_overlap(places).collect()} == {("p", "q", 1), ("p", "r", 1)}
 
 
+def nested(depth, inner):
+    return '{"a":' * depth + inner + "}" * depth
+
+
 def test_containers_open_to_any_depth(spark):
-    deep = '{"a":' * 12 + r'"x{[\"{["' + "}" * 12
-    df = spark.createDataFrame([(deep,), ('{"b": [1, 2]}',)], "entry string")
-    assert {r.path for r in P.flatten_json(df).collect()} == {".".join("a" * 12), "b[]"}
-    assert P.nesting(df, "entry") == 12
+    long = "x" * 500_000 + r'\\\"{[' * 100_000
+    entries = [nested(12, r'"x{[\"{["'), '{"b": [1, 2]}', nested(100, "7"), json.dumps({"s": [long]}), '{"broken": [1, 2', nested(8, "{}"), nested(8, "[]"),
+               nested(9, "null"), "", None, '"top"', "[]"]
+    df = spark.createDataFrame(list(enumerate(entries)), "id int, entry string")
+    got = {}
+    for r in P.flatten_json(df, keep=["id"]).collect():
+        got.setdefault(r.id, []).append((r.path, r.value, r.is_string))
+    assert got == {0: [(".".join("a" * 12), 'x{["{[', True)], 1: [("b[]", "1", False), ("b[]", "2", False)], 2: [(".".join("a" * 100), "7", False)],
+                   3: [("s[]", long, True)], 7: [(".".join("a" * 9), None, False)], 10: [("", "top", True)]}
+
+
+def test_broken_and_long_entries_through_the_profile(spark):
+    entries = [json.dumps({"trace": "at line\n" * 20_000, "n": i % 2}) for i in range(6)] + ["{"]
+    df = spark.createDataFrame([(e,) for e in entries], "entry string")
+    out = {r.path: r for r in P.profile_fields(P.flatten_json(df), df.agg(F.count("*"))).collect()}
+    assert (out["trace"]["count"], out["trace"].cardinality, out["n"].cardinality) == (6, 1, 2)

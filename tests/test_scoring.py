@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from conftest import T0, rows
+from shared import T0, rows
 from pyspark.sql import functions as F
 
 from flowrisk import config as C

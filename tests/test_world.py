@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import T0, rows
+from shared import T0, rows
 from pyspark.sql import functions as F
 
 from flowrisk.config import WorldConfig
