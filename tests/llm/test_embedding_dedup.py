@@ -1,6 +1,6 @@
 import numpy as np
 from pyspark.sql import functions as F
-from test_simhash import groups
+from brute import groups
 
 from flowrisk.llm.embedding_dedup import hadamard, near_duplicates
 

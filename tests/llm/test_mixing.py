@@ -1,21 +1,8 @@
 from collections import Counter, defaultdict
 
-from flowrisk.llm.mixing import mix
-
+from brute import wanted
 
-def wanted(size_of):
-    """Targets by repeated sharing."""
-    names = sorted(size_of, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    full, total = set(), sum(size_of.values())
-    while True:
-        left = total - sum(3 * size_of[s] for s in full)
-        free = sum(weight[s] for s in names if s not in full)
-        share = {s: 3.0 * size_of[s] if s in full else left * weight[s] / free for s in names}
-        over = {s for s in names if s not in full and share[s] > 3 * size_of[s]}
-        if not over:
-            return share
-        full |= over
+from flowrisk.llm.mixing import mix
 
 
 def check(out, rows):

@@ -1,34 +1,13 @@
-import zlib
-from collections import defaultdict
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from brute import whole
+
 from flowrisk.llm.packing import Encoder, FirstFit, pack_documents, sequences, write_sequences
 from flowrisk.llm.queries import VOCABULARY
 
 
-def whole(out, rows):
-    tokenizer = Tokenizer.from_file(VOCABULARY)
-    ids = defaultdict(list)
-    for doc_id, text in rows:
-        ids[doc_id].append(np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4"))
-    pieces, bins = defaultdict(list), defaultdict(list)
-    for p in out:
-        pieces[p.doc_id].append(p)
-        bins[p.sequence_id].append(p)
-    assert pieces.keys() == ids.keys()
-    for doc_id, texts in ids.items():
-        want = sorted((s, len(t[s:s + 4096]), zlib.crc32(t[s:s + 4096].tobytes()), len(t)) for t in texts for s in range(0, len(t), 4096))
-        assert sorted((p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces[doc_id]) == want
-    for parts in bins.values():
-        at = 0
-        for p in sorted(parts, key=lambda p: p.offset):
-            assert p.offset == at
-            at += p.length
-        assert at <= 4096
-
-
 def test_pack_whole_table(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     packed = pack_documents(docs, VOCABULARY)

@@ -1,10 +1,7 @@
 from collections import Counter, defaultdict
 
 import pytest
-from test_mixing import wanted
-from test_packing import whole
-from test_secret_scan import truth
-from test_simhash import fingerprint, groups
+from brute import fingerprint, groups, truth, wanted, whole
 
 import corpus_pipeline as P
 from flowrisk.llm.language import language

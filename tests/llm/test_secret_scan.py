@@ -3,15 +3,9 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from flowrisk.llm.secret_scan import CANDIDATE, MASK, candidates, fit, redact, secrets, seed_findings, train
-
-FORMS = [r"(?<![A-Za-z0-9+/_-])(AKIA[0-9A-Z]{16})(?![A-Za-z0-9+/_-])", r'token = "([0-9a-f]{40})"', r"password=([0-9a-f]{18})(?![A-Za-z0-9+/_-])"]
-
-
-def truth(text):
-    """(start, value) of the forms of secret that the tables hold."""
-    return [(m.start(1), m.group(1)) for form in FORMS for m in re.finditer(form, text)]
+from brute import truth
 
+from flowrisk.llm.secret_scan import CANDIDATE, MASK, candidates, fit, redact, secrets, seed_findings, train
 
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -3,38 +3,13 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+
+from brute import fingerprint, groups
 
 from flowrisk.llm.components import components
 from flowrisk.llm.simhash import Ring, link, near_duplicates
 
 
-def fingerprint(text):
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    shingles = [b" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
-    hashes = [xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def groups(values, linked):
-    """Smallest reachable value of each, by search over all pairs."""
-    left, of = set(values), {}
-    while left:
-        todo = [min(left)]
-        left.discard(todo[0])
-        found = list(todo)
-        while todo:
-            x = todo.pop()
-            near = [y for y in left if linked(x, y)]
-            left.difference_update(near)
-            todo += near
-            found += near
-        of.update(dict.fromkeys(found, min(found)))
-    return of
-
-
 def check(out, rows):
     fps = [fingerprint(t) for _, t in rows]
     of = groups(set(fps), lambda a, b: (a ^ b).bit_count() <= 4)
