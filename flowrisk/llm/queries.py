@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrisk.llm import decontamination, embedding_dedup, simhash, suffix_tree
+from flowrisk.llm import decontamination, embedding_dedup, simhash, spelling, suffix_tree
 from flowrisk.llm.common import table
 from flowrisk.llm.language import language
 from flowrisk.llm.mixing import mix
@@ -58,13 +58,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digests(found)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op4_language, op5_mixing, op6_secret_scan,
-                                  op7_quality_rules, op8_suffix_tree, op9_sharding, op10_embedding_dedup, op12_decontamination)}
+                                  op7_quality_rules, op8_suffix_tree, op9_sharding, op10_embedding_dedup, op11_spelling, op12_decontamination)}
 ORACLE: dict[str, str] = {}
 
 ORACLE["op7_quality_rules"] = r"""
