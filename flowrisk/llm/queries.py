@@ -10,6 +10,7 @@ from flowrisk.llm.common import table
 from flowrisk.llm.language import language
 from flowrisk.llm.mixing import mix
 from flowrisk.llm.packing import pack_documents
+from flowrisk.llm.prefix_trie import conversation_trie
 from flowrisk.llm.quality import quality
 from flowrisk.llm.secret_scan import secrets
 from flowrisk.llm.sharding import shard_rows
@@ -67,8 +68,13 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(found)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op4_language, op5_mixing, op6_secret_scan,
-                                  op7_quality_rules, op8_suffix_tree, op9_sharding, op10_embedding_dedup, op11_spelling, op12_decontamination)}
+                                  op7_quality_rules, op8_suffix_tree, op9_sharding, op10_embedding_dedup, op11_spelling, op12_decontamination,
+                                  op13_conversation_trie)}
 ORACLE: dict[str, str] = {}
 
 ORACLE["op7_quality_rules"] = r"""
