@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 2_000
+SLICE_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +40,26 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = ARROW_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``rows`` rows and ``size`` bytes of text, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = max(at + 1, min(at + rows, most, batch.num_rows))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """One object per key and worker process, for all tasks that the process runs: for caches that may be lost at any time."""
+    kept = sys.modules.setdefault("flowrisk_worker_cache", ModuleType("flowrisk_worker_cache")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

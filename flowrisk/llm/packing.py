@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +12,51 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import groups_for, in_small_batches
+from flowrisk.llm.common import groups_for, kept_in_worker, text_slices
 from flowrisk.llm.token_counts import byte_alphabet
 
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 GROUP_DOCS = 8_192
-CHUNK_DOCS = 256
 # Lower-case Latin letters, composed, then plain marks: two pre-tokens that no normaliser changes. Or any other word.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:]*)(?= |$)|([^ ]+)")
 
 
+class Table:
+    """Runs of 32-bit numbers, one behind the other in an array that grows."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.size = np.zeros(1 << 12, "int64"), np.zeros(1 << 12, "int64")
+        self.n = 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> int:
+        """Append runs; the number of the first of them."""
+        first, n, used = self.n, self.n + len(sizes), self.used + len(flat)
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat[:self.used], np.zeros(used + len(self.flat), "<u4")])
+        if n > len(self.size):
+            more = np.zeros(n + len(self.size), "int64")
+            self.start, self.size = np.concatenate([self.start[:first], more]), np.concatenate([self.size[:first], more])
+        self.flat[self.used:used] = flat
+        self.start[first:n], self.size[first:n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = n, used
+        return first
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        """The numbers of many runs, one run behind the other."""
+        sizes = self.size[runs]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.start[runs] - (ends - sizes), sizes)
+        return self.flat[shift + np.arange(len(shift))]
+
+
 class Encoder:
-    """Token ids of words as little-endian 32-bit bytes; words that were seen are looked up.
+    """Token ids of words; words that were seen are looked up.
 
     A pre-token never spans white space, so the ids of a text are those of its words. Plain words go to the
     tokenizer's own model many at a time, without normaliser and pre-tokenizer, which leave them as they are;
-    a piece with a word end closes each. All other words are encoded in full.
+    a piece with a word end closes each. The marks behind them are pieces of their own. All other words are encoded in full.
     """
 
     def __init__(self, path: str):
@@ -41,29 +69,77 @@ class Encoder:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.shown = {b: c for c, b in byte_alphabet().items()}
-        self.seen: dict[bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        self.table = Table()                   # ids of cores, marks and whole words; run 0 is empty
+        self.table.add(np.zeros(0, "<u4"), np.zeros(1, "int64"))
+        self.cores: dict[str, int] = {}
+        self.marks: dict[str, int] = {"": 0}
+        self.place: dict[bytes, int] = {}      # words, and the runs of their two parts
+        self.parts = np.zeros((1 << 12, 2), "int64")
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(words, add_special_tokens=False)]
+    def __getitem__(self, word: bytes) -> bytes:
+        return self.ids(np.array([self.place[word]])).tobytes()
 
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
+    @property
+    def seen(self) -> Encoder:
+        """Ids as bytes, by word."""
+        return self
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        return self.table.of(self.parts[places].ravel())
+
+    def sizes(self, places: np.ndarray) -> np.ndarray:
+        return self.table.size[self.parts[places]].sum(axis=1)
+
+    def _whole(self, words: list[str]) -> dict[str, int]:
+        ids = [np.array(e.ids, "<u4") for e in self.full.encode_batch_fast(words, add_special_tokens=False)]
+        first = self.table.add(np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(x) for x in ids], "int64"))
+        return dict(zip(words, range(first, first + len(words))))
+
+    def _plain(self, words: list[str]) -> dict[str, int]:
         if not words:
             return {}
         text = " ".join(words).encode().decode("latin-1").translate(self.shown | {32: " "})
         ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
-        packed = ids.tobytes()
-        return {w: packed[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+        first = self.table.add(ids, np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0))
+        return dict(zip(words, range(first, first + len(words))))
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.seen))
+    def learn(self, words: Iterable[bytes]) -> None:
+        new = [w for w in words if w not in self.place]
         parts = PLAIN.findall(b" ".join(new).decode())
-        plain = self._plain(list(dict.fromkeys(core for core, _, _ in parts if core)))
-        others = [w for _, _, w in parts if w] + list({m for _, m, _ in parts if m not in self.marks})
-        whole = dict(zip(others, self._whole(others)))
-        self.marks.update((m, whole[m]) for _, m, _ in parts if m not in self.marks)
-        self.seen.update((raw, plain[core] + self.marks[m] if core else whole[w]) for raw, (core, m, w) in zip(new, parts))
+        self.cores |= self._plain([c for c in dict.fromkeys(core for core, _, _ in parts) if c and c not in self.cores])
+        self.marks |= self._whole([m for m in {m for _, m, _ in parts} if m not in self.marks])
+        whole = self._whole([w for _, _, w in parts if w])
+        first = len(self.place)
+        self.place |= zip(new, range(first, first + len(new)))
+        if len(self.place) > len(self.parts):
+            self.parts = np.concatenate([self.parts[:first], np.zeros((len(self.place) + first, 2), "int64")])
+        self.parts[first:first + len(new)] = np.array([(self.cores[core], self.marks[m]) if core else (whole[w], 0) for core, m, w in parts], "int64").reshape(-1, 2)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of the words, of which new ones are learned."""
+        if len(self.place) > CACHE_WORDS:
+            self.forget()
+        self.learn(words)
+        return np.fromiter(map(self.place.__getitem__, words), "int64", len(words))
+
+
+def words_of_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words of a column of texts, and for every text the places of its words there, as one array with the number of words of each text.
+
+    Special tokens are found with their case, in all other texts A-Z are lower-cased, as the tokenizer does.
+    """
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    lower = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(data.to_pybytes().lower() if data else b""), offset=texts.offset)
+    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, lower))
+    words = split.flatten()
+    real = pc.not_equal(words, "")
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real).dictionary_encode(), np.diff(before[np.concatenate([[0], ends])])
 
 
 class FirstFit:
@@ -102,28 +178,27 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
     """Tokenise every text, append END_ID, and cut it into pieces of at most ``capacity`` ids.
 
     One row per piece: id, start, length, ids_crc32, doc_tokens, salt. A null text is an empty one
-    and yields the single END_ID. A task remembers the ids of about CACHE_WORDS words.
+    and yields the single END_ID. A worker process remembers the ids of about CACHE_WORDS words from task to task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, at = Encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes(), 0
-        for batch in (b.slice(i, CHUNK_DOCS) for b in batches for i in range(0, b.num_rows, CHUNK_DOCS)):
-            raw = [(text or "").encode() for text in batch.column(1).to_pylist()]
-            # Special tokens are found with their case, all else is lower-cased by the tokenizer.
-            words = [(r if b"<|" in r else r.lower()).split() for r in raw]
-            encoder.learn(set().union(*words))
+        encoder, end, at = kept_in_worker(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path)), np.array([END_ID], "<u4").tobytes(), 0
+        for batch in text_slices(batches, 1):
+            words, lengths = words_of_texts(batch.column(1))
+            places = encoder.places(words.dictionary.cast(pa.binary()).to_pylist())[words.indices.to_numpy()]
+            ids = memoryview(encoder.ids(places).tobytes())
+            sizes = np.concatenate([[0], np.cumsum(encoder.sizes(places))])
+            bounds = sizes[np.concatenate([[0], np.cumsum(lengths)])].tolist()
             order, start, length, crc, total = [], [], [], [], []
-            for n, own in enumerate(words):
-                ids = b"".join([*map(encoder.seen.__getitem__, own), end])
-                size = len(ids) // 4
+            for n, (first, last) in enumerate(zip(bounds, bounds[1:])):
+                size = last - first + 1
                 for s in range(0, size, capacity):
-                    part = ids[4 * s:4 * (s + capacity)]
+                    stop = min(s + capacity, size)
+                    part = zlib.crc32(ids[4 * (first + s):4 * min(first + stop, last)])
                     order.append(n)
                     start.append(s)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    length.append(stop - s)
+                    crc.append(zlib.crc32(end, part) if stop == size else part)
                     total.append(size)
-            if len(encoder.seen) > CACHE_WORDS:
-                encoder.seen.clear()
             salt = np.arange(at, at + len(order), dtype="int64")
             at += len(order)
             numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total, salt)]
@@ -132,7 +207,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return in_small_batches(rows).mapInArrow(run, f"__id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    return rows.mapInArrow(run, f"__id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 def pack(pieces: DataFrame, groups: int, capacity: int = 4096) -> DataFrame:
