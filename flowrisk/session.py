@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings the library relies on. All are runtime settings, so they can be
 # applied to a session somebody else made.
@@ -70,6 +71,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Where the frames that materialize() returned are stored.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table as the program ends; the session may have ended before."""
     context = spark.sparkContext
@@ -88,7 +93,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, with aggregates over all rows that are taken as they are written, without another scan."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return out, seen.get
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete intermediate tables that nothing reads any more, instead of at the end of the program.
+
+    For the frames that ``materialize`` returned, once all that is derived from them is written.
+    """
+    for table in tables:
+        if (path := _PATHS.pop(table, None)) is not None:
+            _remove(table.sparkSession, path)
 
 
 def materialize_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
