@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import in_small_batches
+from flowrisk.llm.common import text_slices
 
 TEXTS_PER_LANGUAGE = 250
 WORDS_PER_TEXT = 200  # of a training text, from a drawn place
@@ -212,7 +212,7 @@ def held_out(id_: Column) -> Column:
 def windows_of(drawn: DataFrame) -> DataFrame:
     """(__text, __lang, draw) with a window of WORDS_PER_TEXT words, from a place that ``draw`` gives, in place of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             texts = []
             for text, draw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 words = words_of(text)
@@ -220,7 +220,7 @@ def windows_of(drawn: DataFrame) -> DataFrame:
                 texts.append(b" ".join(words[at:at + WORDS_PER_TEXT]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], batch.schema.names)
 
-    return in_small_batches(drawn).mapInArrow(run, drawn.schema)
+    return drawn.mapInArrow(run, drawn.schema)
 
 
 def training_sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
@@ -278,7 +278,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(model)
-        for batch in batches:
+        for batch in text_slices(batches, at):
             texts = batch.column(at).to_pylist()
             if len(emissions.index) > CACHE_WORDS:
                 emissions = Emissions(model)
@@ -298,7 +298,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     at = docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double" + (f", `{sure_col}` double" if sure_col else "")
-    return in_small_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def language(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",

@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import groups_for, kept_in_worker, text_slices
+from flowrisk.llm.common import groups_for, text_slices
 from flowrisk.llm.token_counts import byte_alphabet
 
 END_ID = 2
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 GROUP_DOCS = 8_192
 # Lower-case Latin letters, composed, then plain marks: two pre-tokens that no normaliser changes. Or any other word.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:]*)(?= |$)|([^ ]+)")
@@ -178,10 +178,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
     """Tokenise every text, append END_ID, and cut it into pieces of at most ``capacity`` ids.
 
     One row per piece: id, start, length, ids_crc32, doc_tokens, salt. A null text is an empty one
-    and yields the single END_ID. A worker process remembers the ids of about CACHE_WORDS words from task to task.
+    and yields the single END_ID. A task remembers the ids of about CACHE_WORDS words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, at = kept_in_worker(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path)), np.array([END_ID], "<u4").tobytes(), 0
+        encoder, end, at = Encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes(), 0
         for batch in text_slices(batches, 1):
             words, lengths = words_of_texts(batch.column(1))
             places = encoder.places(words.dictionary.cast(pa.binary()).to_pylist())[words.indices.to_numpy()]

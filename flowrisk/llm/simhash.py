@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import byte_words, in_small_batches
+from flowrisk.llm.common import byte_words, text_slices
 from flowrisk.llm.components import components
 from flowrisk.session import materialize
 
@@ -37,13 +37,13 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every whole text; null and blank texts have fingerprint 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             found = [fingerprint(byte_words(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["__id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return in_small_batches(rows).mapInArrow(run, f"__id {kind}, fp long")
+    return rows.mapInArrow(run, f"__id {kind}, fp long")
 
 
 def distance(a: Column, b: Column) -> Column:

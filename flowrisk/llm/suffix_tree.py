@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import byte_words, in_small_batches
+from flowrisk.llm.common import byte_words, text_slices
 from flowrisk.session import materialize
 
 ADD = 0.1            # added to every count at the root
@@ -44,7 +44,7 @@ def chunks(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, numbers = TaskContext.get().partitionId() << 40, {}
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             if len(numbers) > CACHE_WORDS:
                 numbers = {}
             held, place, tokens, lengths, tf = batch.column(1).to_pylist(), {None: 0}, [], [], Counter()
@@ -66,7 +66,7 @@ def chunks(rows: DataFrame) -> DataFrame:
                 ["chunk", "ids", "held", "lengths", "words", "tf", "tokens"])
             at += 1
 
-    return in_small_batches(rows).mapInArrow(
+    return rows.mapInArrow(
         run, f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, lengths array<long>, words array<long>, tf array<long>, tokens binary")
 
 
