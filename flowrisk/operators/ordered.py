@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowrisk.session import materialize, measured
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` so that null meets null; the keys come from the left."""
@@ -132,41 +134,68 @@ def asof_lookup(left: DataFrame, right: DataFrame, keys: list[str], left_on: str
     return found.where(F.col("_left").isNotNull()).select("_left.*", name)
 
 
+def _sign_and_exponent(v: Column) -> Column:
+    """The leading bits of a number: never smaller for a larger one, not a number last."""
+    size = lambda x: F.floor(F.log2(x)).cast("int") + 1100
+    return (F.when(F.isnan(v), 3001).when(v == float("inf"), 3000).when(v == float("-inf"), -3000)
+            .when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(0))
+
+
+def _next_digit(v: Column, lo: Column, hi: Column, steps: int) -> Column:
+    """The place of a number in equal steps from ``lo`` to ``hi``."""
+    span = hi - lo
+    return F.when((span > 0) & (span < float("inf")), F.least(F.lit(steps - 1), F.floor((v - lo) / span * steps).cast("int"))).otherwise(0)
+
+
 def values_at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column],
-                    bins: int = 128) -> DataFrame:
+                    bins: int = 4096, largest: int = 100_000) -> DataFrame:
     """Exact order statistics: one row per key with the value at each zero-based rank.
 
     ``ranks`` maps an output name to an expression over ``n``, the row count of
-    the key; a null key is a key. Equal values are counted together, then a
-    coarse histogram with edges at approximate quantiles of the distinct values
-    finds the bin of each rank, and only that bin is sorted. Bins hold about
-    equally many distinct values whatever the spread, so no task holds the group.
+    the key; a null key is a key. Equal values are counted together. A selection by digits follows: the first pass counts
+    values by sign and exponent, each further one splits the bins that hold a rank into ``bins`` steps between their smallest and
+    largest value. Only those bins go on; one with a single value is done, and those with no more than ``largest`` different
+    values are sorted. No task holds a group, whatever the spread of its values.
     """
     if not keys:
-        whole = values_at_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks, bins)
+        whole = values_at_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks, bins, largest)
         return whole.drop("_all")
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-    at = [i / bins for i in range(1, bins)]
-    span = counted.groupBy(*keys).agg(F.percentile_approx("_v", at, bins * 20).alias("_edges"), F.sum("_c").alias("n"))
-    bin_of = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    binned = _one_row_join(counted, span, keys).withColumn("_bin", bin_of)
-
-    by_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"))
-    before = (Window.partitionBy(*keys).orderBy("_bin")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    by_bin = by_bin.withColumn("_before", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-    wanted = span.select(*keys, "n", F.explode(F.array(
-        *[F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_rank"))
-          for name, rank in ranks.items()])).alias("_want")).select(*keys, "n", "_want.*")
-    hit = (null_safe_join(by_bin, wanted, keys)
-           .where((F.col("_rank") >= F.col("_before")) &
-                  (F.col("_rank") < F.col("_before") + F.col("_bc"))))
-    inside = (Window.partitionBy(*keys, "_bin", "_name").orderBy("_v"))
-    picked = (null_safe_join(binned.select(*keys, "_bin", "_v", "_c"), hit, [*keys, "_bin"])
-              .withColumn("_upto", F.col("_before") + F.sum("_c").over(
-                  inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))))
+    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    rows = materialize(counted, "values").withColumn("_d", F.col("_v").cast("double"))
+    path: list[str] = []
+    wanted, done = None, []
+    while True:
+        digit = _next_digit(F.col("_d"), F.col("_lo").cast("double"), F.col("_hi").cast("double"), bins) if path else _sign_and_exponent(F.col("_d"))
+        name = f"_b{len(path)}"
+        rows = rows.withColumn(name, digit).select(*keys, *path, name, "_v", "_c", "_d")
+        counts = rows.groupBy(*keys, *path, name).agg(F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_kinds"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        within = Window.partitionBy(*keys, *path)
+        before = within.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+        if wanted is None:
+            named = F.array(*[F.struct(F.lit(to).alias("_name"), rank.cast("long").alias("_rank")) for to, rank in ranks.items()])
+            found = counts.withColumn("n", F.sum("_bc").over(within)).select("*", F.explode(named).alias("_want")).select("*", "_want.*").drop("_want")
+        else:
+            found = null_safe_join(counts, wanted, [*keys, *path])
+        path = [*path, name]
+        hit = found.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bc")))
+        hit = hit.select(*keys, *path, "n", "_name", (F.col("_rank") - F.col("_before")).alias("_rank"), "_lo", "_hi", "_kinds")
+        # One row per key and rank; written, so that the passes do not grow into one plan.
+        hit, state = measured(hit, "ranks", most=F.coalesce(F.max(F.when(F.col("_lo") != F.col("_hi"), F.col("_kinds"))), F.lit(0)))
+        done.append(hit.where(F.col("_lo") == F.col("_hi")).select(*keys, "n", "_name", F.col("_lo").alias("_v")))
+        if not state["most"]:
+            break
+        left = hit.where(F.col("_lo") != F.col("_hi"))
+        wanted = left.select(*keys, *path, "n", "_name", "_rank")
+        rows = null_safe_join(rows, left.select(*keys, *path, "_lo", "_hi").distinct(), [*keys, *path])
+        if state["most"] <= largest:
+            inside = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            last = null_safe_join(rows.withColumn("_upto", F.sum("_c").over(inside)), wanted, [*keys, *path])
+            done.append(last.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))).select(*keys, "n", "_name", "_v"))
+            break
+    picked = done[0]
+    for part in done[1:]:
+        picked = picked.unionByName(part)
     return (picked.groupBy(*keys, "n")
             .agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks]))
 

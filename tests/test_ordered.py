@@ -96,6 +96,23 @@ def test_ranks_with_null_keys_and_heavy_tails(spark):
     assert got == {None: (2000, 2001.0, 3999.0), "a": (2001, 2000.0, 1e12)}
 
 
+def test_ranks_of_any_numbers(spark):
+    """Every order of magnitude, both signs, zero, infinities, not a number, long numbers; with coarse and fine digits."""
+    import random
+    rng = random.Random(3)
+    values = [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1070, 1020) for _ in range(300)] + [0.0, float("inf"), float("-inf"), 1e308, -1e308] * 3
+    values += [1.0 + k * 2.0 ** -52 for k in range(200)] * 2
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    places = {f"r{i}": i for i in (0, 3, 17, 150, 300, 444, 555, len(values) - 4, len(values) - 1)}
+    for bins, largest in ((4096, 1000), (64, 10), (64, 0)):
+        got = O.values_at_ranks(df, [], "v", {n: F.lit(i) for n, i in places.items()}, bins, largest).first()
+        assert {n: got[n] for n in places} == {n: sorted(values)[i] for n, i in places.items()}
+    whole = spark.range(2**62, 2**62 + 500).select(F.col("id").alias("v"))
+    assert O.values_at_ranks(whole, [], "v", {"m": F.expr("n div 3")}).first().m == 2**62 + 166
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert str(O.values_at_ranks(odd, [], "v", {"m": F.lit(2)}).first().m) == "nan"
+
+
 def test_running_totals_carry_over_slices_of_a_null_key(spark):
     df = spark.createDataFrame([(None, i) for i in range(40)], "k string, t int")
     got = O.running_totals(df, ["k"], ["t"], {"s": F.col("t")}, F.floor(F.col("t") / 10)).collect()
