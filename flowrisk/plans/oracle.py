@@ -243,6 +243,8 @@ ORACLE: dict[str, str] = {
     "closure_watches": sql(EV, CLOSE, select="""SELECT resource_id, rt AS resource_type, oid AS opening_event_id, o AS opening_ts,
         actor_id AS opening_actor_id, ect AS expected_close_type, h AS window_hours, CAST(sens AS DOUBLE) AS sensitivity FROM wt"""),
     "closure_closed": sql(EV, CLOSE, select="SELECT resource_id, c[1] AS closing_ts, c[2] AS closing_event_id FROM ex"),
+    "stream_watches": sql(EV, CLOSE, select="""SELECT resource_id, oid AS opening_event_id, least(ex_us, expiry, settled) AS closed_at,
+        CASE least(ex_us, expiry, settled) WHEN ex_us THEN 'CLOSED' WHEN expiry THEN 'EXPIRED' WHEN settled THEN 'SETTLED' ELSE 'OPEN' END AS closed_by FROM cl"""),
     "closure_settled": sql(EV, CLOSE, select="""SELECT resource_id, strftime(make_timestamp(settled), '%Y-%m-%d %H:%M:%S') AS settled_ts FROM st"""),
     "closure_signals": sql(EV, CLOSE, _signals(True), select=f"""SELECT {WS}, actor_id, total AS total_watches, closed AS closed_watches,
         {r6('ratio')} AS closure_ratio, {r6('orphaned')} AS orphaned_privilege FROM cs"""),

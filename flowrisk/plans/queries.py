@@ -999,8 +999,8 @@ def cross_log_overlap(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------------------
 
-def _arriving(spark, rows: DataFrame, mark: dict[str, Column], time: str = "ts") -> DataFrame:
-    """The rows as a stream of three batches in time order.
+def _arriving(spark, rows: DataFrame, mark: dict[str, Column], time: str = "ts", most_files: int = 8) -> DataFrame:
+    """The rows as a stream of three batches in time order, each of as many files as the smallest can fill.
 
     A last row far in the future, with the values of ``mark``, moves the watermark past all others.
     """
@@ -1008,10 +1008,12 @@ def _arriving(spark, rows: DataFrame, mark: dict[str, Column], time: str = "ts")
     lo, hi = rows.agg(F.min(time), F.max(time)).first()
     edges = [lo + (hi - lo) * k / 3 for k in (1, 2)] if lo else []
     piece = sum(((F.col(time) >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+    sizes = [r["count"] for r in rows.groupBy(piece.alias("piece")).count().collect()]
+    files = max(1, min(most_files, min(sizes, default=0) // 1000)) if len(sizes) == 3 else 1
     for k in range(3):
-        rows.where(piece == k).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(piece == k).repartition(files).write.mode("append").parquet(folder)
     rows.limit(1).withColumns({time: F.col(time) + F.expr("interval 4000 days")} | mark).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _emitted(spark, out: DataFrame) -> DataFrame:
@@ -1049,6 +1051,21 @@ def stream_edges(spark, sf):
     return out.select(*key(), "source_zone", "target_zone", "target_id", "edge_count", F.unix_micros("first_seen").alias("first_seen"))
 
 
+@query
+def stream_watches(spark, sf):
+    """Every watch with the way it closes first and when: messages and windows of one stream are the input of the next."""
+    ev = _events(spark, sf).select("event_id", "ts", "actor_id", "action_type", "target_zone", "target_id")
+    last = {"event_id": F.lit("~"), "actor_id": F.lit("~"), "target_id": F.lit("~"), "action_type": F.lit("~"), "target_zone": F.lit("~")}
+    messages = _emitted(spark, live.track_watches(_arriving(spark, ev, last), pairs=closure.seed_pairs(spark)))
+    windows = ev.select("actor_id", X.floor_window(F.col("ts"), DAY.window_minutes).alias("window_start")).distinct()
+    closings = _emitted(spark, live.settle_watches(
+        _arriving(spark, messages.select("actor_id", "resource_id", "status", "at"), {"actor_id": F.lit("~"), "resource_id": F.lit("~"), "status": F.lit("OPENED")}, "at"),
+        _arriving(spark, windows, {"actor_id": F.lit("~")}, "window_start"), "30 days"))
+    opened = messages.where("status = 'OPENED'").select("resource_id", "opening_event_id")
+    return opened.join(closings.withColumnRenamed("status", "closed_by"), "resource_id", "left").select(
+        "resource_id", "opening_event_id", F.coalesce("closed_by", F.lit("OPEN")).alias("closed_by"), F.unix_micros("at").alias("closed_at"))
+
+
 @query
 def stream_sessions(spark, sf):
     ev = _events(spark, sf).select("event_id", "ts", "actor_id", F.col("event_type").alias("log_type"))
@@ -1071,7 +1088,7 @@ def stream_correlate(spark, sf):
 def ingest_twice(spark, sf):
     """The raw entries as files, read once from the start and once from the marks: rows added and stored."""
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    T.raw_entries(spark, sf).select("entry").coalesce(1).write.text(f"{folder}/logs/cloudaudit.googleapis.com/activity")
+    T.raw_entries(spark, sf).select("entry").write.text(f"{folder}/logs/cloudaudit.googleapis.com/activity")
     spark.read.text(f"{folder}/logs").write.text(f"{folder}/logs/cloudaudit.googleapis.com/activity/again")
     marks, first = {}, []
     for _ in range(2):

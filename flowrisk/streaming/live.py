@@ -6,16 +6,16 @@ watermark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowrisk.config import ClosureConfig, CorrelationConfig, WorldConfig
+from flowrisk.config import CorrelationConfig, WorldConfig
 from flowrisk.functions import expressions as X
 from flowrisk.operators import normalize
+from flowrisk.streaming.watches import settle_watches, track_watches
+
+__all__ = ["actor_window_stream", "canonical_stream", "correlate_stream", "dedup_stream", "edge_stream", "score_batches", "session_clusters",
+           "settle_watches", "track_watches"]
 
 WATERMARK = "2 hours"
 
@@ -116,91 +116,6 @@ def correlate_stream(audit: DataFrame, links: DataFrame, service_map: DataFrame,
     return found.select("event_id", "actor_id", F.timestamp_micros("us").alias("ts"), F.when(F.col("l.job_id").isNotNull(), ref).alias("trigger_ref"))
 
 
-# --- open/close tracker ---------------------------------------------------------------
-
-WATCH_EVENT = ("resource_id string, status string, at timestamp, opening_ts timestamp, opening_actor_id string, "
-               "resource_type string")
-WATCH_STATE = ("opened double, actor string, kind string, expected string, hours double, quiet double, "
-               "active double, closed boolean")
-
-
-def track_watches(events: DataFrame, cfg: ClosureConfig = ClosureConfig(), delay: str = WATERMARK) -> DataFrame:
-    """Openings and closings per resource as they happen.
-
-    State per resource is one small row. A watch opens at the first opening
-    event, and closes at the expected action, at its time to live, or when the
-    resource has been quiet for its settlement time. Events count in time order
-    within a batch and in order of arrival across batches.
-    """
-    closing = {p[1]: (p[2], float(p[3])) for p in cfg.pairs}
-    opening = set(cfg.opening_types) | set(closing)
-
-    def describe(action: str) -> tuple:
-        kind = cfg.resource_types.get(action, "UNKNOWN")
-        quiet = 0.0 if kind in cfg.never_settle else float(cfg.settlement_hours.get(kind, cfg.default_settlement_hours))
-        if action in closing:
-            return (kind, *closing[action], quiet)
-        if action in cfg.temporal_ttl:
-            return kind, "TEMPORAL_EXPIRY", float(cfg.temporal_ttl[action]), quiet
-        return kind, "SETTLEMENT", float(cfg.settlement_hours.get(kind, cfg.default_window_hours)), quiet
-
-    def due(s: tuple) -> tuple[float, str] | None:
-        """Earliest time at which the watch closes by itself."""
-        opened, _, _, expected, hours, quiet, active, _ = s
-        ends = []
-        if expected == "TEMPORAL_EXPIRY":
-            ends.append((opened + hours * 3600, "EXPIRED"))
-        if quiet:
-            ends.append((active + quiet * 3600, "SETTLED"))
-        return min(ends) if ends else None
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, s = [], (state.get if state.exists else None)
-
-        def emit(status: str, at: float) -> None:
-            out.append((key[0], status, pd.Timestamp(at, unit="s"), pd.Timestamp(s[0], unit="s"), s[1], s[2]))
-
-        rows = []
-        for b in batches:
-            rows.extend(b[["t", "event_id", "actor_id", "action_type", "target_zone"]].itertuples(index=False))
-        for t, _, actor, action, zone in sorted(rows):
-            if s is None:
-                if action in opening or zone in cfg.failsafe_zones:
-                    kind, expected, hours, quiet = describe(action)
-                    s = (t, actor, kind, expected, hours, quiet, t, False)
-                    emit("OPENED", t)
-                continue
-            if s[7]:
-                continue
-            end = due(s)
-            if end and end[0] <= t:
-                emit(end[1], end[0])
-                s = (*s[:7], True)
-            elif action == s[3]:
-                emit("CLOSED", t)
-                s = (*s[:6], t, True)
-            else:
-                s = (*s[:6], max(s[6], t), False)
-        if state.hasTimedOut and s is not None and not s[7]:
-            end = due(s)
-            if end and end[0] * 1000 <= state.getCurrentWatermarkMs():
-                emit(end[1], end[0])
-                s = (*s[:7], True)
-        if s is not None:
-            state.update(s)
-            end = None if s[7] else due(s)
-            if end:
-                state.setTimeoutTimestamp(max(int(end[0] * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["resource_id", "status", "at", "opening_ts", "opening_actor_id",
-                                         "resource_type"])
-
-    stream = (events.withWatermark("ts", delay)
-              .select(F.col("target_id").alias("resource_id"), "ts", (F.unix_micros("ts") / F.lit(1e6)).alias("t"),
-                      "event_id", "actor_id", "action_type", "target_zone"))
-    return stream.groupBy("resource_id").applyInPandasWithState(
-        update, WATCH_EVENT, WATCH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # --- scoring per batch ------------------------------------------------------------------
 
 def score_batches(stream: DataFrame, events_path: str, risk_path: str, score):

@@ -126,3 +126,44 @@ def test_scoring_per_batch_equals_one_batch(spark, log_dir, tmp_path):
     want = {(r.window_start, r.actor_id): r.residual_risk for r in score(batch).collect()}
     got = {(r.window_start, r.actor_id): r.residual_risk for r in spark.read.parquet(str(tmp_path / "risk")).collect()}
     assert got == pytest.approx(want)
+
+
+def test_watches_equal_the_batch_form_in_any_order_of_arrival(spark, make_events, tmp_path):
+    """Events arrive up to an hour and a half late, over many batches; one pair was discovered."""
+    import random
+    rng = random.Random(11)
+    kinds = [("IAM_CREATE_KEY", "IDENTITY"), ("IAM_DELETE_KEY", "IDENTITY"), ("IAM_IMPERSONATE", "IDENTITY"), ("IAM_SET_POLICY", "CONTROL"), ("GCS_READ", "DATA"),
+             ("COMPUTE_METADATA_CHANGE", "CONTROL"), ("BQ_JOB_SUBMIT", "DATA"), ("GCS_READ", "DATA"), ("GCS_READ", "DATA")]
+    rows = []
+    for i in range(700):
+        action, zone = rng.choice(kinds)
+        rows.append((rng.randrange(0, 6 * 24 * 60), rng.choice("abc"), action, zone, f"r{rng.randrange(60)}"))
+    ev = make_events(rows)
+    pairs = closure.seed_pairs(spark).unionByName(spark.createDataFrame([("disc", "IAM_SET_POLICY", "BQ_JOB_SUBMIT", 9, 2)], closure.seed_pairs(spark).schema))
+    keys = ev.select("window_start", "actor_id").distinct()
+    want = {}
+    for r in closure.close_times(ev, closure.watches(ev, pairs), keys, pairs).collect():
+        ends = [(t, k, s) for k, (t, s) in enumerate(((r.closing_ts, "CLOSED"), (r.expiry_ts, "EXPIRED"), (r.settled_ts, "SETTLED"))) if t is not None]
+        want[r.resource_id] = (r.opening_event_id, *((min(ends)[2], min(ends)[0]) if ends else (None, None)))
+    assert {w[1] for w in want.values()} >= {"CLOSED", "EXPIRED", "SETTLED"}
+
+    order = sorted(ev.collect(), key=lambda r: r.ts + timedelta(minutes=rng.uniform(0, 90)))
+    folder, cut = tmp_path / "in", -(-len(order) // 7)
+    late = [order[i:i + cut] for i in range(0, len(order), cut)] + [[order[0].__class__(*order[0])]]
+    for i, part in enumerate(late):
+        df = spark.createDataFrame(part, ev.schema)
+        if i == len(late) - 1:
+            df = df.withColumns({"ts": F.col("ts") + F.expr("interval 900 days"), "target_id": F.lit("~"), "actor_id": F.lit("~")})
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    messages = _run(live.track_watches(stream, pairs=pairs), tmp_path, "messages")
+    ends = messages.groupBy("resource_id").agg(F.count_if(F.col("status").isin("CLOSED", "EXPIRED")).alias("n"), F.max("at").alias("last"),
+                                               F.max(F.when(F.col("status").isin("CLOSED", "EXPIRED"), F.col("at"))).alias("end")).collect()
+    assert all(r.n <= 1 and (r.end is None or r.end == r.last) for r in ends)  # nothing comes after the end
+    messages.select("actor_id", "resource_id", "status", "at").unionByName(
+        spark.sql("select '~' actor_id, '~' resource_id, 'OPENED' status, timestamp'2030-01-01' at")).write.parquet(str(tmp_path / "m"))
+    keys.unionByName(spark.sql("select timestamp'2030-01-01' window_start, '~' actor_id")).write.parquet(str(tmp_path / "w"))
+    read = lambda n: spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n))
+    closings = {r.resource_id: (r.status, r.at) for r in _run(live.settle_watches(read("m"), read("w")), tmp_path, "closings").collect()}
+    opened = {r.resource_id: r.opening_event_id for r in messages.where("status = 'OPENED'").collect()}
+    assert {k: (v, *closings.get(k, (None, None))) for k, v in opened.items()} == want
