@@ -16,7 +16,7 @@ from flowrisk.session import materialize
 
 WIDTH = 32                  # characters of a turn's id
 LAYER_TURNS = 1 << 16       # turns of a conversation in one row; the trie is built layer by layer
-CONTAINER_TURNS = 4096      # containers with more turns in several suffixes burst
+CONTAINER_TURNS = 1024      # containers with more turns in several suffixes burst
 ENDS_PER_PART = 10          # bits of the ids that are joined in one string
 NODE = "depth long, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, e1 long, e2 long"
 FIELDS = [f.split()[0] for f in NODE.split(", ")]
