@@ -17,9 +17,9 @@ from flowrisk.session import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # digits, ASCII letters (in lower case before) and all beyond ASCII
 WINDOW = 10
-PLACE_BITS = 20                 # a shard has less than 2 ** PLACE_BITS words and ends
+PLACE_BITS = 19                 # a shard has less than 2 ** PLACE_BITS words and ends
 SHARD_WORDS = (1 << PLACE_BITS) - 1
-PIECE_WORDS = 1 << 17           # longer documents are cut into pieces that overlap by a window less one word
+PIECE_WORDS = 1 << 16           # longer documents are cut into pieces that overlap by a window less one word
 SAMPLE = 8                      # every such position of a shard is kept to locate occurrences
 BLOCK_WINDOWS = 20_000          # windows that are looked up together
 LOCATED = 1 << 18               # occurrences that are located together
@@ -184,7 +184,7 @@ class Searcher:
 
 
 def index_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One FM-index per shard of about a million words, in the order the texts are read.
+    """One FM-index per shard of about half a million words, in the order the texts are read.
 
     A document of more than PIECE_WORDS words is several pieces, which overlap so that every ``window`` words stand in one of them.
     Columns: rids (a number per input row), ids, starts (place of the piece in its document), sizes, totals (words of the document), and the
