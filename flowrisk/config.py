@@ -224,9 +224,3 @@ class CorrelationConfig:
     audit_seconds: int = 120
     # Width of the time slices over which a busy project is spread.
     slice_seconds: int = 3600
-
-
-def resolve_accounts(emails: list[str], project_id: str = "", project_number: str = "") -> list[str]:
-    """The caller's account names with PROJECT_ID and PROJECT_NUMBER filled in where given."""
-    filled = {e.replace("PROJECT_NUMBER", project_number or "PROJECT_NUMBER").replace("PROJECT_ID", project_id or "PROJECT_ID") for e in emails}
-    return sorted(filled)

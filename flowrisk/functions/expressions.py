@@ -71,6 +71,11 @@ def is_exfil_risk(resource: Column, action: Column) -> Column:
     return action.isin(C.EXFIL_ACTIONS) & (path_hit | bucket_hit)
 
 
+def resolved_account(name: Column, project_id: str, project_number: str) -> Column:
+    """An account name with PROJECT_ID and PROJECT_NUMBER filled in."""
+    return F.replace(F.replace(name, F.lit("PROJECT_NUMBER"), F.lit(project_number)), F.lit("PROJECT_ID"), F.lit(project_id))
+
+
 def actor_type(actor: Column) -> Column:
     return (F.when(actor.endswith(C.SERVICE_ACCOUNT_SUFFIX), "SERVICE_ACCOUNT")
             .when(actor == "unknown", "UNKNOWN").otherwise("HUMAN"))

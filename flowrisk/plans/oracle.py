@@ -337,6 +337,14 @@ ORACLE |= {
         CASE WHEN user_id % 3 = 0 THEN 'projects/p/locations/l/jobs/' || (user_id % 7) END AS trigger_ref,
         CASE WHEN user_id % 3 = 0 THEN 'WEAK' ELSE 'NONE' END AS provenance_level, CASE WHEN user_id % 4 = 0 THEN 'd1' ELSE '' END AS delegation_chain,
         'projects/p/logs/cloudaudit.googleapis.com%2Factivity:' || insert_id AS raw_ref, 'sandbox' AS env, false AS is_deploy FROM aud"""),
+    "stream_canonical": sql(RAW, select="""SELECT eid AS event_id, us AS ts, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+        actor AS actor_id, method AS action_subtype, target_id, CASE WHEN user_id % 3 = 0 THEN 'projects/p/locations/l/jobs/' || (user_id % 7) END AS trigger_ref FROM aud"""),
+    "known_accounts": sql(EV, """k AS (SELECT DISTINCT 'u' || user_id || '@p.iam.gserviceaccount.com' AS actor_id FROM events WHERE user_id % 6 = 0
+        UNION SELECT 'service-1@gcp-sa-cloudscheduler.iam.gserviceaccount.com')""",
+        select="SELECT k.actor_id, count(ev.event_id) AS n_events FROM k LEFT JOIN ev ON ev.actor_id = k.actor_id GROUP BY k.actor_id"),
+    "pattern_registry": sql("""n AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS rate_max FROM events GROUP BY user_id)""",
+        select="""SELECT 'p' || user_id AS pattern_id, rate_max, CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS origin FROM n
+        WHERE (user_id % 2 = 0 OR user_id % 3 = 0) AND NOT (user_id % 10 = 0) AND user_id <> 12"""),
     "event_content_id": sql(RAW, select="SELECT insert_id, eid AS event_id FROM aud"),
     "map_actions": sql(RAW, select="""SELECT eid AS event_id, action_type, CASE WHEN leaves THEN 'EXFIL_RISK_DEST' ELSE
         CASE ri WHEN 0 THEN 'SERVICE_ACCOUNT' WHEN 1 THEN 'SERVICE_ACCOUNT' WHEN 2 THEN 'SECRET' WHEN 3 THEN 'KMS_KEY' WHEN 4 THEN 'GCS_BUCKET'

@@ -418,6 +418,28 @@ def canonicalize_audit(spark, sf):
         joined("delegation_chain").alias("delegation_chain"), "raw_ref", "env", "is_deploy")
 
 
+@query
+def known_accounts(spark, sf):
+    """Events of accounts that a project's list names, by account: names carry the project's id and number."""
+    users = T.table(spark, sf, "events").where("user_id % 6 = 0").select("user_id").distinct()
+    names = users.select(F.concat(F.lit("u"), "user_id", F.lit("@PROJECT_ID.iam.gserviceaccount.com")).alias("name")).unionByName(
+        spark.createDataFrame([("service-PROJECT_NUMBER@gcp-sa-cloudscheduler.iam.gserviceaccount.com",)], "name string"))
+    known = names.select(X.resolved_account(F.col("name"), "p", "1").alias("actor_id")).distinct()
+    n = _events(spark, sf).groupBy("actor_id").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(n, "actor_id", "left").select("actor_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_events"))
+
+
+@query
+def pattern_registry(spark, sf):
+    """Patterns of every second user; those of every third are added, one is switched off: which are active, and from where."""
+    n = T.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("rate_max"))
+    named = n.withColumn("pattern_id", F.concat(F.lit("p"), "user_id"))
+    first = named.where("user_id % 2 = 0").select("pattern_id", "rate_max", F.lit("first").alias("origin"), (F.col("user_id") % 10 != 0).alias("active"))
+    new = named.where("user_id % 3 = 0").select("pattern_id", "rate_max", F.lit("second").alias("origin"))
+    held = provenance.deactivate_pattern(provenance.register_pattern(first, new), "p12")
+    return provenance.active_patterns(held).select("pattern_id", "rate_max", "origin")
+
+
 @query
 def event_content_id(spark, sf):
     return _audit(spark, sf).select(F.substring_index("raw_ref", ":", -1).alias("insert_id"), "event_id")
@@ -1051,6 +1073,16 @@ def stream_edges(spark, sf):
     return out.select(*key(), "source_zone", "target_zone", "target_id", "edge_count", F.unix_micros("first_seen").alias("first_seen"))
 
 
+@query
+def stream_canonical(spark, sf):
+    """Raw entries as they arrive, to canonical events."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    T.raw_entries(spark, sf).select("entry").write.parquet(folder)
+    entries = spark.readStream.schema("entry string").option("maxFilesPerTrigger", 2).parquet(folder)
+    return _emitted(spark, live.canonical_stream(entries)).select(
+        "event_id", F.unix_micros("ts").alias("ts"), text("window_start").alias("window_start"), "actor_id", "action_subtype", "target_id", "trigger_ref")
+
+
 @query
 def stream_watches(spark, sf):
     """Every watch with the way it closes first and when: messages and windows of one stream are the input of the next."""
