@@ -8,7 +8,7 @@ import uuid
 import weakref
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Settings the library relies on. All are runtime settings, so they can be
 # applied to a session somebody else made.
@@ -101,10 +101,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
-    """``materialize``, with aggregates over all rows that are taken as they are written, without another scan."""
-    seen = Observation()
-    out = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
-    return out, seen.get
+    """``materialize``, with aggregates over all rows, which are taken from the written columns they need.
+
+    Not by an Observation: a session that has had one can no longer apply fitted ML models (they hold on to the session, which then cannot be serialised).
+    """
+    out = materialize(df, name)
+    return out, out.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
 
 
 def discard(*tables: DataFrame) -> None:
