@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk import config as C
@@ -89,6 +91,121 @@ def average_precision(scored: DataFrame, keys: list[str], score: str, label: str
         (F.sum("p") / F.sum("n")).alias("prevalence"))
 
 
+PRIME = (1 << 31) - 1
+EQUAL_ROWS = 64       # equal rows that draw together
+PART_ROWS = 4_096     # distinct scores of a task
+DRAW_ROWS = 256       # rows whose draws are held together
+
+
+def poisson_steps(rows: int) -> list[float]:
+    """Cumulative probabilities of Poisson(rows), until they add nothing."""
+    p = total = math.exp(-rows)
+    steps = [total]
+    while total + (p := p * rows / len(steps)) > total or len(steps) < rows:
+        total += p
+        steps.append(total)
+    return steps
+
+
+def bootstrap_intervals(scored: DataFrame, keys: list[str], score: str, label: str, replicates: int = 1000,
+                        bounds: tuple[float, float] = (0.025, 0.975), seed: int = 42) -> DataFrame:
+    """Bootstrap interval of the average precision per key: (keys..., ci_lower, ci_upper).
+
+    Poisson counts stand in for resampling: n equal rows (key, score to nine decimals, label) are drawn Poisson(n) times in a replicate, EQUAL_ROWS
+    of them at a time, by inversion of one uniform number. That number is a quadratic polynomial of the replicate modulo a prime, whose three
+    coefficients are digits of an MD5 of the rows' values, so any engine draws the same. A replicate without a positive row has no average precision.
+
+    Rows are never multiplied by replicates: distinct scores are sorted over the cluster, a task holds some PART_ROWS of them, and the draws of
+    all replicates are vectors. A first pass sums them per task, a second one adds the sums of the tasks before.
+    """
+    rows = scored.select(*keys, F.round(score, 9).alias("_s"), F.col(label).cast("long").alias("_y"))
+    equal = rows.groupBy(*keys, "_s", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    # Blocks of equal rows, numbered without a long array in a row.
+    chunks = F.ceil(F.col("_n") / EQUAL_ROWS) - 1
+    high = equal.withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(chunks / 4096))))
+    each = high.withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(4095).cast("long"), chunks - F.col("_hi") * 4096))))
+    number = F.col("_hi") * 4096 + F.col("_lo")
+    name = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.round(F.col("_s") * 1e9).cast("long").cast("string"),
+                             F.col("_y").cast("string"), number.cast("string")).cast("binary"))
+    digits = [F.conv(F.substring(name, 8 * i + 1, 8), 16, 10).cast("long") % PRIME for i in range(3)]
+    drawn = each.select(*keys, "_s", "_y", F.least(F.lit(EQUAL_ROWS).cast("long"), F.col("_n") - number * EQUAL_ROWS).alias("_m"),
+                        *[d.alias(f"_d{i}") for i, d in enumerate(digits)])
+    drawn = materialize(drawn, "bootstrap-rows")
+    parts = -(-max(1, drawn.count()) // PART_ROWS)
+    # Equal scores of a key stay in one part; no numeric key column is needed, only an order.
+    placed = drawn.repartitionByRange(parts, *keys, F.col("_s").desc()).withColumn("_part", F.spark_partition_id())
+    placed = materialize(placed, "bootstrap-parts")
+    steps = [poisson_steps(m) for m in range(1, EQUAL_ROWS + 1)]
+    kinds = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys)
+
+    def draws(part: pd.DataFrame) -> np.ndarray:
+        """How often each row comes in each replicate."""
+        r = np.arange(1, replicates + 1, dtype="int64")
+        a, b, c = (part[f"_d{i}"].to_numpy()[:, None] for i in range(3))
+        u = ((a * (r * r) % PRIME + b * r + c) % PRIME) / PRIME
+        out = np.empty(u.shape, "int64")
+        m = part["_m"].to_numpy()
+        for size in np.unique(m):
+            out[m == size] = np.searchsorted(steps[size - 1], u[m == size], side="right")
+        return out
+
+    def blocks(part: pd.DataFrame):
+        """(weights, weights of positive rows) summed per score, best score first, some scores at a time."""
+        part = part.sort_values("_s", ascending=False, kind="stable")
+        score = part["_s"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        at = 0
+        while at < len(starts):
+            to = at + 1
+            while to < len(starts) and (starts[to + 1] if to + 1 < len(starts) else len(part)) - starts[at] <= DRAW_ROWS:
+                to += 1
+            stop = starts[to] if to < len(starts) else len(part)
+            n = np.zeros((to - at, replicates), "int64")
+            p = np.zeros_like(n)
+            # One score may have many rows.
+            for lo in range(starts[at], stop, DRAW_ROWS):
+                some = part.iloc[lo:min(stop, lo + DRAW_ROWS)]
+                k, place = draws(some), np.searchsorted(starts[at:to], np.arange(lo, min(stop, lo + DRAW_ROWS)), "right") - 1
+                np.add.at(n, place, k)
+                np.add.at(p, place, k * some["_y"].to_numpy()[:, None])
+            yield n, p
+            at = to
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in part.groupby(keys, dropna=False, sort=False):
+            n, p = (sum(x) for x in zip(*((n.sum(axis=0), p.sum(axis=0)) for n, p in blocks(own))))
+            frame = pd.DataFrame({"replicate": np.arange(replicates), "n": n, "p": p, "_part": own["_part"].iloc[0]})
+            out.append(frame.assign(**{k: [own[k].iloc[0]] * replicates for k in keys}))
+        return pd.concat(out)
+
+    def precisions(key, part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in part.groupby(keys, dropna=False, sort=False):
+            first = before
+            for k in keys:
+                v = own[k].iloc[0]
+                first = first[first[k].isna() if pd.isna(v) else first[k] == v]
+            first = first.sort_values("replicate")
+            n0, p0, total = first["n"].to_numpy(), first["p"].to_numpy(), np.zeros(replicates)
+            for n, p in blocks(own):
+                upto_n, upto_p = n0 + n.cumsum(axis=0), p0 + p.cumsum(axis=0)
+                total += np.where(p > 0, upto_p / np.maximum(upto_n, 1) * p, 0.0).sum(axis=0)
+                n0, p0 = upto_n[-1], upto_p[-1]
+            frame = pd.DataFrame({"replicate": np.arange(replicates), "s": total})
+            out.append(frame.assign(**{k: [own[k].iloc[0]] * replicates for k in keys}))
+        return pd.concat(out)
+
+    totals = materialize(placed.groupBy("_part").applyInPandas(sums, f"{kinds}, _part int, replicate long, n long, p long"), "bootstrap-sums")
+    ahead = Window.partitionBy(*keys, "replicate").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_part", "replicate", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("n", "p")])
+    found = placed.groupBy("_part").cogroup(before.groupBy("_part")).applyInPandas(precisions, f"{kinds}, replicate long, s double")
+    positives = totals.groupBy(*keys, "replicate").agg(F.sum("p").alias("p"))
+    each = null_safe_join(found.groupBy(*keys, "replicate").agg(F.sum("s").alias("s")), positives, [*keys, "replicate"])
+    values = materialize(each.where("p > 0").select(*keys, (F.col("s") / F.col("p")).alias("average_precision")), "replicates")
+    return linear_percentiles(values, keys, "average_precision", {"ci_lower": bounds[0], "ci_upper": bounds[1]}).drop("n")
+
+
 def leakage_audit(samples: DataFrame, train: Column, replicates: int = 1000, stratum_replicates: int = 500,
                   min_positives: int = 10, margin: float = 0.05, seed: int = 42) -> DataFrame:
     """Can a shallow classifier tell labelled spans from benign ones?
@@ -119,20 +236,8 @@ def leakage_audit(samples: DataFrame, train: Column, replicates: int = 1000, str
               .unionByName(held.where("y = 0").join(F.broadcast(flavors.select(F.col("flavor").alias("stratum"))),
                                                     F.lit(True))), "strata")
     point = average_precision(strata, ["stratum"], "score", "y")
-    # Poisson(1) counts stand in for resampling, so each row draws on its own: by a hash of its values,
-    # its number among equal rows, and the replicate. Twenty steps exhaust the doubles.
-    equal = strata.groupBy("stratum", "y", "score").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = equal.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    draws = F.when(F.col("stratum") == "ALL", replicates).otherwise(stratum_replicates)
-    poisson = sum((F.when(F.col("_u") > sum(math.exp(-1) / math.factorial(i) for i in range(k)), 1).otherwise(0)
-                   for k in range(1, 21)), F.lit(0))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "stratum", "y", "score", "_row", "replicate"), 11) / F.lit(float(1 << 53))
-    resampled = (numbered.withColumn("replicate", F.explode(F.sequence(F.lit(1), draws)))
-                 .withColumn("_u", unit).withColumn("_k", poisson).where(F.col("_k") > 0))
-    boot = materialize(average_precision(resampled, ["stratum", "replicate"], "score", "y", F.col("_k"), slices=8),
-                       "replicates")
-    bounds = linear_percentiles(boot.where(F.col("average_precision").isNotNull()), ["stratum"],
-                                "average_precision", {"ci_lower": 0.025, "ci_upper": 0.975}).drop("n")
+    bounds = bootstrap_intervals(strata.where("stratum = 'ALL'"), ["stratum"], "score", "y", replicates, seed=seed).unionByName(
+        bootstrap_intervals(strata.where("stratum <> 'ALL'"), ["stratum"], "score", "y", stratum_replicates, seed=seed))
     n_pos = strata.groupBy("stratum").agg(F.sum("y").alias("n_pos"))
     chance = F.col("ci_upper") <= F.col("prevalence") + margin
     status = (F.when((F.col("stratum") != "ALL") & (F.col("n_pos") < min_positives), "INCONCLUSIVE")

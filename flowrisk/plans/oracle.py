@@ -337,6 +337,20 @@ ORACLE |= {
         CASE WHEN user_id % 3 = 0 THEN 'projects/p/locations/l/jobs/' || (user_id % 7) END AS trigger_ref,
         CASE WHEN user_id % 3 = 0 THEN 'WEAK' ELSE 'NONE' END AS provenance_level, CASE WHEN user_id % 4 = 0 THEN 'd1' ELSE '' END AS delegation_chain,
         'projects/p/logs/cloudaudit.googleapis.com%2Factivity:' || insert_id AS raw_ref, 'sandbox' AS env, false AS is_deploy FROM aud"""),
+    "bootstrap_intervals": sql("""
+eq AS (SELECT o_orderstatus AS k, CAST(floor(CAST(o_totalprice AS DOUBLE) / 1000) AS BIGINT) AS v, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS y, count(*) AS n
+  FROM orders GROUP BY ALL),
+ch AS (SELECT k, v, y, c, least(64, n - 64 * c) AS m, md5('42|' || k || '|' || (v * 1000000000) || '|' || y || '|' || c) AS h
+  FROM (SELECT *, unnest(range(0, CAST(ceil(n / 64.0) AS BIGINT))) AS c FROM eq)),
+th AS (SELECT CAST(m AS BIGINT) AS m, CAST(0 AS BIGINT) AS i, exp(-CAST(m AS DOUBLE)) AS p, exp(-CAST(m AS DOUBLE)) AS c FROM range(1, 65) AS r(m)
+  UNION ALL SELECT m, i + 1, p * m / (i + 1), c + p * m / (i + 1) FROM th WHERE c + p * m / (i + 1) > c OR i + 1 < m),
+cdf AS (SELECT m, list(c ORDER BY i) AS steps FROM th GROUP BY m),
+u AS (SELECT k, v, y, m, r, CAST((('0x' || substr(h, 1, 8))::BIGINT % 2147483647 * (r * r) % 2147483647 + ('0x' || substr(h, 9, 8))::BIGINT % 2147483647 * r
+  + ('0x' || substr(h, 17, 8))::BIGINT % 2147483647) % 2147483647 AS DOUBLE) / 2147483647 AS u FROM ch, range(1, 201) AS q(r)),
+dr AS (SELECT k, v, r, sum(w) AS n, sum(w * y) AS p FROM (SELECT u.*, len(list_filter(steps, lambda s: s <= u.u)) AS w FROM u JOIN cdf USING (m)) GROUP BY ALL),
+cu AS (SELECT k, r, p, sum(n) OVER o AS un, sum(p) OVER o AS up FROM dr WINDOW o AS (PARTITION BY k, r ORDER BY v DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT k, r, sum(CASE WHEN p > 0 THEN up / un * p ELSE 0 END) / sum(p) AS ap FROM cu GROUP BY k, r HAVING sum(p) > 0)""",
+        select=f"SELECT k AS o_orderstatus, {r6('quantile_cont(ap, 0.025)')} AS ci_lower, {r6('quantile_cont(ap, 0.975)')} AS ci_upper FROM ap GROUP BY k").replace("WITH ", "WITH RECURSIVE ", 1),
     "stream_canonical": sql(RAW, select="""SELECT eid AS event_id, us AS ts, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
         actor AS actor_id, method AS action_subtype, target_id, CASE WHEN user_id % 3 = 0 THEN 'projects/p/locations/l/jobs/' || (user_id % 7) END AS trigger_ref FROM aud"""),
     "known_accounts": sql(EV, """k AS (SELECT DISTINCT 'u' || user_id || '@p.iam.gserviceaccount.com' AS actor_id FROM events WHERE user_id % 6 = 0

@@ -903,6 +903,14 @@ def leakage_audit(spark, sf):
     return audits.leakage_audit(s, F.pmod(F.xxhash64("actor"), F.lit(10)) < 6)
 
 
+@query
+def bootstrap_intervals(spark, sf):
+    """Interval of the average precision with which an order's value tells urgent ones, per status; values in thousands, so many are equal."""
+    o = T.table(spark, sf, "orders").select("o_orderstatus", F.floor(F.col("o_totalprice").cast("double") / 1000).cast("double").alias("v"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y"))
+    b = audits.bootstrap_intervals(o, ["o_orderstatus"], "v", "y", replicates=200)
+    return b.select("o_orderstatus", r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"))
+
+
 @query
 def ks_two_sample(spark, sf):
     o = T.table(spark, sf, "orders")

@@ -162,3 +162,53 @@ def test_every_action_has_its_own_token(spark):
     df = spark.createDataFrame([("a", float(i), str(i), "p", "q", f"act{i}") for i in range(1200)] + [("a", 1e6, "z", "p", "q", None)], SCHEMA)
     tokens = [r.action for r in J.pseudonymize(df, 7).collect()]
     assert len(tokens) == 1201 and len(set(tokens)) == 1201
+
+
+def test_bootstrap_against_plain_resampling(spark):
+    """The same draws, row by row; parts, blocks and a heavy score change nothing."""
+    import hashlib
+
+    import numpy as np
+    rng = np.random.default_rng(9)
+    rows = [("a" if i % 3 else None, float(rng.integers(0, 40)) / 8, int(rng.random() < 0.3)) for i in range(900)] + [("a", 1.0, 1)] * 150
+    reps, prime = 30, (1 << 31) - 1
+    want = {}
+    for key in ("a", None):
+        counts, found = {}, []
+        for k, s, y in rows:
+            if k == key:
+                counts[s, y] = counts.get((s, y), 0) + 1
+        for r in range(1, reps + 1):
+            drawn = {}
+            for (s, y), n in counts.items():
+                for c in range(-(-n // 64)):
+                    m = min(64, n - 64 * c)
+                    h = hashlib.md5(f"42|{key or ''}|{round(s * 1e9)}|{y}|{c}".encode()).hexdigest()
+                    d = [int(h[8 * i:8 * i + 8], 16) % prime for i in range(3)]
+                    u = (d[0] * r * r + d[1] * r + d[2]) % prime / prime
+                    drawn.setdefault(s, [0, 0])
+                    k = sum(x <= u for x in audits.poisson_steps(m))
+                    drawn[s][0] += k
+                    drawn[s][1] += k * y
+            n = p = ap = 0
+            for s in sorted(drawn, reverse=True):
+                n, p = n + drawn[s][0], p + drawn[s][1]
+                ap += p / n * drawn[s][1] if n else 0
+            found.append(ap / p)
+        want[key] = tuple(np.percentile(found, [2.5, 97.5]))
+    df = spark.createDataFrame(rows, "k string, s double, y int")
+    got = {r.k: (r.ci_lower, r.ci_upper) for r in audits.bootstrap_intervals(df, ["k"], "s", "y", reps).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    before = audits.PART_ROWS, audits.DRAW_ROWS
+    try:
+        audits.PART_ROWS, audits.DRAW_ROWS = 7, 3
+        again = {r.k: (r.ci_lower, r.ci_upper) for r in audits.bootstrap_intervals(df, ["k"], "s", "y", reps).collect()}
+    finally:
+        audits.PART_ROWS, audits.DRAW_ROWS = before
+    assert again == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_poisson_steps_sum_to_one():
+    for rows in (1, 7, 64):
+        steps = audits.poisson_steps(rows)
+        assert steps == sorted(steps) and steps[-1] == pytest.approx(1, abs=1e-12)
