@@ -239,6 +239,8 @@ def search(index: DataFrame, phrases: DataFrame, window: int = WINDOW) -> DataFr
     phrases = materialize(phrases, "benchmark-windows")
     n = groups_for(phrases.count(), BLOCK_WINDOWS)
     blocks = phrases.groupBy(F.pmod(F.xxhash64("words"), F.lit(n)).alias("block")).agg(F.collect_list("words").alias("words"), F.collect_list("items").alias("items"))
+    # A task for each pair of an index partition and a block, and no more.
+    blocks = materialize(blocks.coalesce(n), "benchmark-blocks")
 
     def look(row: dict) -> pa.RecordBatch:
         phrase_words, items = row["words"].values, row["items"].values
