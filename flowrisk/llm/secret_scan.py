@@ -27,6 +27,7 @@ CANDIDATE = f"(?:{AFTER_NAME}{VALUE}|{UNJOINED}{RUN})"
 # Texts without it have candidates of the second form only, which are found faster.
 ASSIGNMENT = rf"[:=](?<=(?i:{'|'.join(NAMES)})[\"']?[\x20\t]{{0,4}}[:=])"
 BEFORE, AFTER = 32, 8          # characters of context
+BLOCK = 256
 SAMPLE_TEXTS = 6_000
 DICTIONARY_WORDS = 150
 TREES, DEPTH, CUT = 15, 6, 0.5
@@ -53,20 +54,42 @@ def candidates(text: Column) -> Column:
     """Candidates of a text in order: value, start (characters before it), and the text before and after, other candidates included."""
     def each(pieces: Column) -> Column:
         def one(values: Column) -> Column:
-            first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr("cast(array() as array<struct<start:int,before:string>>)").alias("seen"), F.lit(0).alias("i"))
-            folded = F.aggregate(values, first, lambda acc, value: _next(acc, value, pieces))["seen"]
-            return F.transform(F.array(folded), lambda seen: F.transform(values, lambda value, i: F.struct(
-                value.alias("value"), F.get(seen, i)["start"].alias("start"), F.get(seen, i)["before"].alias("before"), _after(values, pieces, i).alias("after"))))[0]
+            return F.transform(F.array(_ends(values, pieces)), lambda ends: F.transform(values, lambda value, i: F.struct(
+                value.alias("value"), (F.get(ends, i) + F.char_length(F.get(pieces, i))).alias("start"), _before(values, pieces, i).alias("before"),
+                _after(values, pieces, i).alias("after"))))[0]
         return F.transform(F.array(found(text)), one)[0]
     return F.transform(F.array(pieces_of(text)), each)[0]
 
 
-def _next(acc: Column, value: Column, pieces: Column) -> Column:
-    piece = F.get(pieces, acc["i"])
-    start = acc["at"] + F.char_length(piece)
-    before = F.right(F.concat(acc["tail"], F.right(piece, F.lit(BEFORE))), F.lit(BEFORE))
-    return F.struct((start + F.char_length(value)).alias("at"), F.right(F.concat(before, value), F.lit(BEFORE)).alias("tail"),
-                    F.concat(acc["seen"], F.array(F.struct(start.alias("start"), before.alias("before")))).alias("seen"), (acc["i"] + 1).alias("i"))
+def _ends(values: Column, pieces: Column) -> Column:
+    """Characters up to the end of the candidate before each one.
+
+    A running sum in blocks of BLOCK: an array that grows by one is copied each time, so none grows longer than a block, or than there are blocks.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def running(steps: Column, start: Column) -> Column:
+        return F.aggregate(steps, F.struct(start.alias("at"), none.alias("seen")), lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))["seen"]
+
+    def of(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, n: acc + n))
+        return F.transform(F.array(running(sums, F.lit(0))), lambda starts: F.flatten(F.transform(blocks, lambda block, b: running(block, F.get(starts, b)))))[0]
+
+    def cut(steps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, BLOCK))
+        return F.transform(F.array(blocks), of)[0]
+
+    lengths = F.transform(values, lambda value, i: F.char_length(F.get(pieces, i)) + F.char_length(value))
+    return F.when(F.size(values) > 0, F.transform(F.array(lengths), cut)[0]).otherwise(none)
+
+
+def _before(values: Column, pieces: Column, i: Column) -> Column:
+    """A value has four characters or more, so some few fill BEFORE, if the text between does not."""
+    piece = F.get(pieces, i)
+    parts = [x for k in range(-(-BEFORE // 4), 0, -1) for x in (F.get(pieces, i - k), F.get(values, i - k))]
+    near = F.concat_ws("", *(F.right(x, F.lit(BEFORE)) for x in parts), F.right(piece, F.lit(BEFORE)))
+    return F.right(F.when(F.char_length(piece) >= BEFORE, piece).otherwise(near), F.lit(BEFORE))
 
 
 def _after(values: Column, pieces: Column, i: Column) -> Column:

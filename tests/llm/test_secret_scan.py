@@ -71,3 +71,33 @@ def test_short_and_printable_values_after_secret_names(spark, docs_of):
     for i, text, value in rows:
         assert out[i].spans == f"{text.index(value)}:{len(value)}" and masked[i] == text.replace(value, MASK)
     assert out[7].n_secrets == out[8].n_secrets == 0
+
+
+def test_many_candidates_in_one_text(spark):
+    """Places and surroundings of 60,000 candidates, in time that grows with their number."""
+    text = " ".join(f"k{i:013d} é x" if i % 7 else f"token=v{i};" for i in range(60_000))
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(candidates(F.col("t")).alias("c")).collect()
+    want = [(m.group(), m.start()) for m in re.finditer(CANDIDATE, text)]
+    assert [(c["value"], c["start"]) for c in got[0].c] == want and len(want) > 59_000
+    assert all(c["before"] == text[max(0, s - 32):s] and c["after"] == text[s + len(v):s + len(v) + 8] for c, (v, s) in zip(got[0].c, want))
+    assert got[1].c == [] and not got[2].c
+
+
+def test_the_column_expression_is_the_fitted_forest(spark, monkeypatch):
+    """Probabilities of the expression against those the fitted model gives itself."""
+    from pyspark.ml.functions import vector_to_array
+
+    from flowrisk.llm import secret_scan as S
+    kept = {}
+
+    class Kept(S.RandomForestClassifier):
+        def fit(self, rows):
+            kept["rows"], kept["model"] = rows, super().fit(rows)
+            return kept["model"]
+
+    monkeypatch.setattr(S, "RandomForestClassifier", Kept)
+    forest = S.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    own = kept["model"].transform(kept["rows"]).select(vector_to_array("probability")[1].alias("p"), vector_to_array("features").alias("f"))
+    features = F.struct(*(F.col("f")[i].alias(n) for i, n in enumerate(forest.names)))
+    n, worst, kinds = own.select(F.count("*"), F.max(F.abs(F.col("p") - forest.probability(features))), F.count_distinct("p")).first()
+    assert n > 50 and worst < 1e-9 and kinds > 1
