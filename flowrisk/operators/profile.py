@@ -24,7 +24,7 @@ def log_type_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("log_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-LEVELS = 8  # containers opened in one pass
+LEVELS = 4  # containers opened in one pass
 
 
 def _opened(rows: DataFrame, keep: list[str], levels: int, array_items: int | None) -> DataFrame:
@@ -100,7 +100,7 @@ def profile_fields(leaves: DataFrame, total_entries: DataFrame, samples: int = 5
     smallest values, which makes the report repeatable. ``cardinality_cap``
     reports no more than that many distinct values.
     """
-    counts = value_counts(leaves)
+    counts = materialize(value_counts(leaves), "value-counts")
     per_type = (counts.where(F.col("value_type").isNotNull()).groupBy("path", "value_type").agg(F.sum("c").alias("c"))
                 .groupBy("path").agg(F.min(F.struct((-F.col("c")).alias("n"), "value_type")).alias("t"))
                 .select("path", F.col("t.value_type").alias("dominant_type")))
