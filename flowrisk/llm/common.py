@@ -16,6 +16,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 2_000
 SLICE_BYTES = 16 << 20
+COPIES = 4_096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +58,13 @@ def number_copies(df: DataFrame, name: str) -> DataFrame:
     """Number equal rows from 0, so that a repeated row can be dealt out like different ones.
 
     Equal rows are counted before the shuffle, hence a row that fills a third of the
-    table costs one record per task.
+    table costs one record per task. They are numbered in runs of COPIES, dealt out over the tasks, so that no array holds them all.
     """
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
-    return counted.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+    many = counted.where(F.col("__n") > COPIES).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES)))).repartition("__run")
+    runs = counted.where(F.col("__n") <= COPIES).withColumn("__run", F.lit(0).cast("long")).unionByName(many)
+    first = F.col("__run") * COPIES
+    return runs.withColumn(name, F.explode(F.sequence(first, F.least(first + COPIES, F.col("__n")) - 1))).drop("__n", "__run")
 
 
 def groups_for(rows: int, per_group: int) -> int:

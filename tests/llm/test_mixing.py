@@ -50,3 +50,11 @@ def test_odd_rows(docs_of, odd_rows):
     check(mix(docs_of([(*r, "en") for r in rows], extra=True)).collect(), rows)
     check(mix(docs_of([(1, None), (2, "")])).collect(), [(1, None, "s1"), (2, "", "s1")])
     assert mix(docs_of([])).collect() == []
+
+
+def test_many_equal_rows_are_numbered(spark, monkeypatch):
+    from flowrisk.llm import common
+    monkeypatch.setattr(common, "COPIES", 7)
+    rows = [(1, "a")] * 40 + [(2, "b")] * 7 + [(3, None)] * 8 + [(None, None)]
+    out = common.number_copies(spark.createDataFrame(rows, "i int, t string"), "copy").collect()
+    assert sorted((str(r.i), r["copy"]) for r in out) == sorted((str(i), k) for i, n in ((1, 40), (2, 7), (3, 8), (None, 1)) for k in range(n))

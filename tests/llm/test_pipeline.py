@@ -94,6 +94,22 @@ def test_odd_rows(docs_of, odd_rows, spark):
     assert Counter(r.text for r in P.drop_near_duplicates(spark, docs_of([(8, "repeated row")] * 4 + [(None, None)]), SF).collect()) == {"repeated row": 1, None: 1}
 
 
+def test_columns_that_clash(docs_of, spark):
+    """Columns with names that the stages use themselves come through as they were."""
+    from pyspark.sql import functions as F
+    rows = [(i, f"the cat and the dog number {i} went over there with that thing password=Hunter2x{i}", "s1", "en") for i in range(40)] + [(99, None), (98, "")]
+    names = ["__k1", "__k2", "__key", "__row", "__lang", "__score", "__sure", "__copies", "__copy", "__findings", "__candidates", "component_id", "taken", "other_3"]
+    docs = docs_of(rows, extra=True).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    plain = docs_of(rows)
+    for name, stage in P.STAGES[:-1]:
+        docs, plain = (materialize(stage(spark, d, SF), f"clash-{name}") for d in (docs, plain))
+        assert docs.columns[:5] == plain.columns and set(names) < set(docs.columns)
+        assert sorted(map(str, docs.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in names) and docs.count() > 0
+    assert docs.where("size <> 'x'").count() == 0
+    assert len(P.pack_sequences(spark, docs, SF).collect()) == docs.count()
+
+
 def test_clean_texts_in_several_languages_stay(docs_of, spark):
     """Planted documents that mix two or three languages in similar parts; those without a letter go."""
     of = {"en": "the cat and the dog went over there with that thing", "de": "der Hund und die Katze sind nicht schön gewesen",
