@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,25 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = ARRO
             at = stop
 
 
+def mapped_bytes(texts: pa.Array, change: Callable[[bytes], bytes]) -> pa.StringArray:
+    """A column of texts, null as empty, after ``change`` of all their bytes, which keeps their number."""
+    texts = texts.cast(pa.string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, "<i4")[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, "<i4")
+    raw = change(data.slice(at[0], at[-1] - at[0]).to_pybytes()) if data else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).astype("<i4")), pa.py_buffer(raw))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII white space of a column of texts without nulls, and how many each text has."""
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten()
+    real = pc.not_equal(words, "")
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), np.diff(before[np.concatenate([[0], ends])])
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

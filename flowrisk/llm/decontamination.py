@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import groups_for, lower_ascii
+from flowrisk.llm.common import groups_for, lower_ascii, mapped_bytes, split_words, text_slices
 from flowrisk.session import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # digits, ASCII letters (in lower case before) and all beyond ASCII
@@ -20,6 +20,7 @@ WINDOW = 10
 PLACE_BITS = 19                 # a shard has less than 2 ** PLACE_BITS words and ends
 SHARD_WORDS = (1 << PLACE_BITS) - 1
 PIECE_WORDS = 1 << 16           # longer documents are cut into pieces that overlap by a window less one word
+SLICE_DOCS = 512
 SAMPLE = 8                      # every such position of a shard is kept to locate occurrences
 BLOCK_WINDOWS = 20_000          # windows that are looked up together
 LOCATED = 1 << 18               # occurrences that are located together
@@ -29,15 +30,7 @@ PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97
 
 def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a column of texts, and how many each text has; null has none."""
-    texts = texts.fill_null("")
-    _, offsets, data = texts.buffers()
-    blank = pa.py_buffer(data.to_pybytes().translate(PLAIN) if data else b"")
-    split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), offsets, blank, offset=texts.offset))
-    words = split.flatten()
-    real = pc.not_equal(words, "")
-    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
-    return words.filter(real), np.diff(before[np.concatenate([[0], ends])])
+    return split_words(mapped_bytes(texts, lambda raw: raw.translate(PLAIN)))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -203,7 +196,7 @@ def index_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, parts, held = TaskContext.get().partitionId() << 40, [], 0
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+        for batch in text_slices(batches, 1, SLICE_DOCS):
             words, lengths = words_in(batch.column(1))
             at = 0
             for id_, length in zip(batch.column(0).to_pylist(), lengths.tolist()):

@@ -12,11 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import groups_for, text_slices
+from flowrisk.llm.common import groups_for, mapped_bytes, split_words, text_slices
 from flowrisk.llm.token_counts import byte_alphabet
 
 END_ID = 2
 CACHE_WORDS = 400_000
+SLICE_DOCS = 512
 GROUP_DOCS = 8_192
 # Lower-case Latin letters, composed, then plain marks: two pre-tokens that no normaliser changes. Or any other word.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:]*)(?= |$)|([^ ]+)")
@@ -131,15 +132,9 @@ def words_of_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
     Special tokens are found with their case, in all other texts A-Z are lower-cased, as the tokenizer does.
     """
-    texts = texts.fill_null("")
-    _, offsets, data = texts.buffers()
-    lower = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(data.to_pybytes().lower() if data else b""), offset=texts.offset)
-    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, lower))
-    words = split.flatten()
-    real = pc.not_equal(words, "")
-    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
-    return words.filter(real).dictionary_encode(), np.diff(before[np.concatenate([[0], ends])])
+    lower = mapped_bytes(texts, bytes.lower)
+    words, lengths = split_words(pc.if_else(pc.match_substring(lower, "<|"), texts, lower))
+    return words.dictionary_encode(), lengths
 
 
 class FirstFit:
@@ -182,7 +177,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, at = Encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes(), 0
-        for batch in text_slices(batches, 1):
+        for batch in text_slices(batches, 1, SLICE_DOCS):
             words, lengths = words_of_texts(batch.column(1))
             places = encoder.places(words.dictionary.cast(pa.binary()).to_pylist())[words.indices.to_numpy()]
             ids = memoryview(encoder.ids(places).tobytes())
