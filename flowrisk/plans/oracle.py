@@ -677,6 +677,8 @@ ORACLE |= {
     "semantic_types": sql(LEAF, select="SELECT path, vt AS value_type, count(*) AS n FROM leaf WHERE vt IS NOT NULL GROUP BY ALL"),
     "profile_fields": sql(LEAF, select=f"""SELECT path, c AS count, card AS cardinality, vt AS dominant_type, {r6('c / n')} AS presence_rate, samples
         FROM prof LEFT JOIN dt USING (path) JOIN smp USING (path)"""),
+    "merged_profile": sql(LEAF, select=f"""SELECT path, c AS count, card AS n_values, vt AS dominant_type, {r6('c / n')} AS presence_rate, samples, true AS within_error
+        FROM prof LEFT JOIN dt USING (path) JOIN smp USING (path)"""),
     "timestamp_fields": sql(LEAF, select="SELECT path FROM dt WHERE vt = 'iso_timestamp' AND path IN ('timestamp', 'createTime')"),
     "actor_target_fields": sql(LEAF, select="""SELECT path, card AS cardinality, CASE vt WHEN 'email' THEN 'actor' ELSE 'target' END AS kind
         FROM prof JOIN dt USING (path) WHERE vt IN ('email', 'uri')"""),

@@ -82,3 +82,18 @@ def test_broken_and_long_entries_through_the_profile(spark):
     df = spark.createDataFrame([(e,) for e in entries], "entry string")
     out = {r.path: r for r in P.profile_fields(P.flatten_json(df), df.agg(F.count("*"))).collect()}
     assert (out["trace"]["count"], out["trace"].cardinality, out["n"].cardinality) == (6, 1, 2)
+
+
+def test_merged_profiles_equal_one_profile(spark):
+    entries = [json.dumps({"id": i, "who": f"u{i % 900}@x.co", "kind": "a" if i % 3 else "b", "odd": None if i % 2 else f"v{i % 7}"}) for i in range(6000)]
+    df = spark.createDataFrame(list(enumerate(entries)), "id int, entry string")
+    leaves = P.flatten_json(df, keep=["id"])
+    total = df.agg(F.count("*"))
+    exact = {r.path: r for r in P.profile_fields(leaves, total).collect()}
+    parts = [P.profile_sketch(leaves.where(F.col("id") % 4 == k)) for k in range(4)]
+    merged = {r.path: r for r in P.read_profile(P.merge_profiles(P.merge_profiles(*parts[:2]), *parts[2:]), total).collect()}
+    assert merged.keys() == exact.keys()
+    for path, r in exact.items():
+        m = merged[path]
+        assert (m["count"], m.dominant_type, m.samples, m.presence_rate) == (r["count"], r.dominant_type, r.samples, r.presence_rate)
+        assert abs(m.cardinality - r.cardinality) <= 4 * 1.04 / 64 * r.cardinality
