@@ -131,7 +131,7 @@ def profile_sketch(leaves: DataFrame, samples: int = 5, bits: int = SKETCH_BITS)
     new files are merged (``merge_profiles``) with what is kept of the old ones, which are not read again.
     """
     typed = semantic_types(leaves).withColumn("value", F.coalesce("value", F.lit("")))
-    flat = typed.groupBy("path").agg(F.count(F.lit(1)).alias("count"), F.hll_sketch_agg("value", bits).alias("values"))
+    flat = typed.groupBy("path").agg(F.count(F.lit(1)).alias("count"), F.hll_sketch_agg(F.concat(F.lit("="), "value"), bits).alias("values"))
     kinds = (typed.where(F.col("value_type").isNotNull()).groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("c"))
              .groupBy("path").agg(F.collect_list(F.struct("value_type", "c")).alias("types")))
     order = F.row_number().over(Window.partitionBy("path").orderBy("value"))
