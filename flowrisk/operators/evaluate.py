@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,23 @@ def reweight(weights: dict[str, float], zeroed: list[str], mode: str) -> dict[st
     return {s: 0.0 if s in zeroed else w * factor for s, w in weights.items()}
 
 
+def ablated_sum(weights: dict[str, float], zeroed: list[str], mode: str) -> Column:
+    """Fusion under the weights of :func:`reweight`.
+
+    The signals that stay are summed first and scaled once: scaled weights are rounded each, and a score that
+    lies exactly on a tier's bound would fall under it.
+    """
+    kept = math.fsum(w for s, w in weights.items() if s not in zeroed)
+    if kept == 0:
+        return weighted_sum(reweight(weights, zeroed, mode))
+    total = {"zero": 1.0, "redistribute": math.fsum(weights.values())}[mode]
+    rest = weighted_sum({s: 0.0 if s in zeroed else w for s, w in weights.items()})
+    return rest * F.lit(total) / F.lit(kept)
+
+
 def ablate(scores: DataFrame, zeroed: list[str], mode: str) -> DataFrame:
     """Fusion under changed weights, with its difference and both tiers."""
-    return (scores.withColumn("ablated", weighted_sum(reweight(C.FUSION_WEIGHTS, zeroed, mode)))
+    return (scores.withColumn("ablated", ablated_sum(C.FUSION_WEIGHTS, zeroed, mode))
             .withColumn("delta", F.col("ablated") - F.col("fusion_raw"))
             .withColumn("old_tier", X.tier(F.col("fusion_raw"), C.FUSION_TIERS))
             .withColumn("new_tier", X.tier(F.col("ablated"), C.FUSION_TIERS)))
@@ -59,8 +75,8 @@ def role_stats(scores: DataFrame, zeroed: list[str], reference_role: str = "work
                role: Column | None = None) -> DataFrame:
     """Ablation effect per role, and each role's mean against the reference role's."""
     role = X.role_of(F.col("actor_id")) if role is None else role
-    z = weighted_sum(reweight(C.FUSION_WEIGHTS, zeroed, "zero"))
-    d = weighted_sum(reweight(C.FUSION_WEIGHTS, zeroed, "redistribute"))
+    z = ablated_sum(C.FUSION_WEIGHTS, zeroed, "zero")
+    d = ablated_sum(C.FUSION_WEIGHTS, zeroed, "redistribute")
     t = lambda c: X.tier(F.col(c), C.FUSION_TIERS)
     rows = scores.select("*", role.alias("role"), z.alias("zero"), d.alias("redist"))
     share = lambda c: F.avg(c.cast("double")) * 100.0

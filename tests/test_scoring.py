@@ -126,6 +126,23 @@ def test_weights_sum_and_reweight():
         assert w["closure_gap"] == 0 and sum(w.values()) == pytest.approx(1.0)
 
 
+def test_ablated_score_on_a_bound_keeps_its_tier(spark):
+    """0.68 of 0.85 is exactly HIGH; seven of the eight signals stay."""
+    row = dict.fromkeys(["inv_score", "inv_count", "novelty_score", "bridge_new", "delta_f", "orphaned_privilege", "burst_per_min", "breadth_entropy"], 0.0) | {
+        "actor_id": "u1", "inv_score": 5.0, "novelty_score": 10.0, "sigma_coarse": 100.0, "bridge_new": 5.0, "inv_count": 4.0 / 13 * 10, "closure_ratio": 1.0, "fusion_raw": 0.68}
+    rows = []
+    for n in range(0, 11):
+        for d in (0.0, 1.0, 2.5, 5.0):
+            for v in range(0, 21):
+                rows.append(row | {"inv_count": float(n), "delta_f": d, "novelty_score": v / 2})
+    got = evaluate.ablate(spark.createDataFrame(rows), ["closure_gap", "orphaned_priv"], "zero").collect()
+    both = evaluate.ablate(spark.createDataFrame(rows), ["closure_gap", "orphaned_priv"], "redistribute").collect()
+    for r, s in zip(got, both):
+        want = (.17 * 1.0 + .13 * (r.inv_count / 10) + .30 * (r.novelty_score / 10) + .04 * (1 / (1 + math.exp(-97.0))) + .13 * 1.0 + .08 * (r.delta_f / 5)) / .85
+        assert r.ablated == want == s.ablated
+    assert [r.new_tier for r in got] == ["HIGH" if r.ablated >= .8 else "MEDIUM" if r.ablated >= .5 else "WATCH" for r in got]
+
+
 def test_sigmoid_and_clip(spark):
     r = spark.range(1).select(X.sigmoid(F.lit(3.0)), X.sigmoid(F.lit(-1e6)), X.clip_unit(F.lit(7.0), 5.0),
                               X.clip_unit(F.lit(-1.0), 5.0), X.clip_unit(F.lit(1.0), 0)).first()
