@@ -140,6 +140,25 @@ def clip_unit(value: Column, bound: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(value / F.lit(bound), F.lit(1.0)))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text of a number with up to three digits after the point, rounded as C, Python and SQL round it.
+
+    The double itself is rounded, and a tie goes to the even digit. Spark's own format rounds the shortest decimal form
+    half up: 1.25 to 1.3, and 1.15, which is less than that as a double, to 1.2.
+    """
+    unit, x = 10 ** digits, F.abs(value)
+    scaled = x * float(unit)
+    # What rounding took from the product: every difference on the way is of two numbers within a factor of two, so it is exact.
+    missing = -scaled
+    for power in (512, 256, 128, 64, 32, 16, 8, 4, 2, 1):
+        if unit & power:
+            missing = missing + x * float(power)
+    whole = F.floor(scaled)
+    over = scaled - whole
+    up = (over > 0.5) | ((over == 0.5) & ((missing > 0) | ((missing == 0) & (whole % 2 == 1))))
+    return F.format_string(f"%.{digits}f", F.signum(value) * (whole + up.cast("int")) / float(unit))
+
+
 def sigmoid(value: Column, steepness: float = C.SIGMOID_STEEPNESS,
             midpoint: float = C.SIGMOID_MIDPOINT) -> Column:
     power = F.least(F.lit(500.0), F.greatest(F.lit(-500.0), (value - midpoint) * (-steepness)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowrisk import config as C
 from flowrisk.config import WorldConfig
+from flowrisk.functions import expressions as X
 from flowrisk.operators.world import WINDOW_KEY, mark_new
 
 
@@ -130,8 +131,8 @@ def explain(events: DataFrame, flags: DataFrame, activity: DataFrame, edges: Dat
         "INV_002": F.format_string("a service-account key was issued for %s", "_key"),
         "INV_003": F.format_string("%s, not seen before, issued a service-account key", actor),
         "INV_004": F.format_string("%s acted as %s", actor, "_imp"),
-        "INV_005": F.format_string("%d impersonations where %.1f are usual", "n_impersonate",
-                                   F.coalesce("impersonation_baseline", F.lit(0.0))),
+        "INV_005": F.format_string("%d impersonations where %s are usual", "n_impersonate",
+                                   X.fixed(F.coalesce("impersonation_baseline", F.lit(0.0)), 1)),
         "INV_006": F.format_string("%s read secret %s for the first time", actor, "_secret"),
         "INV_007": F.lit("a secret was read and an access policy changed in one window"),
         "INV_008": F.format_string("%s decrypted with %s for the first time", actor, "_crypt"),
@@ -139,9 +140,9 @@ def explain(events: DataFrame, flags: DataFrame, activity: DataFrame, edges: Dat
         "INV_010": F.format_string("%s went from %s to %s for the first time", actor, F.col("_edge.source_zone"),
                                    F.col("_edge.target_zone")),
         "INV_011": F.format_string(
-            "%s acted %d times without delegation, which it had %d times in %d before (%.0f%%)", actor,
+            "%s acted %d times without delegation, which it had %d times in %d before (%s%%)", actor,
             F.col("event_count") - F.col("n_chained"), "past_chained", "past_events",
-            100 * F.col("past_chained") / F.nullif("past_events", F.lit(0))),
+            X.fixed(100 * F.col("past_chained") / F.nullif("past_events", F.lit(0)), 0)),
     }
     said = F.concat_ws("; ", *[F.when(F.col(r), text[r]) for r in sorted(text)])
     return full.select(*WINDOW_KEY, F.when(said == "", "no rule fired").otherwise(said)

@@ -143,6 +143,13 @@ def test_ablated_score_on_a_bound_keeps_its_tier(spark):
     assert [r.new_tier for r in got] == ["HIGH" if r.ablated >= .8 else "MEDIUM" if r.ablated >= .5 else "WATCH" for r in got]
 
 
+def test_numbers_in_sentences_round_as_sql_does(spark):
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.5, 0.95, 1.0, 1.15, 1.25, 1.35, 1.45, 1.75, 1.95, 2.5, 82.5, 92.5, 99.95, 87.49999999999999, 1e-9, 0.0005, 0.125, 1.005, 123456789.125, -1.25, 1 / 3]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(*[X.fixed(F.col("v"), d).alias(str(d)) for d in range(4)]).collect()
+    assert [[r[str(d)].lstrip("-") for d in range(4)] for r in got] == [[f"{abs(v):.{d}f}" for d in range(4)] for v in values]
+
+
 def test_sigmoid_and_clip(spark):
     r = spark.range(1).select(X.sigmoid(F.lit(3.0)), X.sigmoid(F.lit(-1e6)), X.clip_unit(F.lit(7.0), 5.0),
                               X.clip_unit(F.lit(-1.0), 5.0), X.clip_unit(F.lit(1.0), 0)).first()
