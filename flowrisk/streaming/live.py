@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowrisk.config import CorrelationConfig, WorldConfig
 from flowrisk.functions import expressions as X
 from flowrisk.operators import normalize
+from flowrisk.streaming.nearest import NearestRequest
 from flowrisk.streaming.watches import settle_watches, track_watches
 
 __all__ = ["actor_window_stream", "canonical_stream", "correlate_stream", "dedup_stream", "edge_stream", "score_batches", "session_clusters",
@@ -100,20 +101,25 @@ def correlate_stream(audit: DataFrame, links: DataFrame, service_map: DataFrame,
                      cfg: CorrelationConfig = CorrelationConfig(), delay: str = WATERMARK) -> DataFrame:
     """One row per audit event with the trigger reference of the nearest linked request within the tolerance, or null.
 
-    All matches of an event are gathered until the watermark has passed it, in whichever batches they come; then
-    the latest request wins, and among equals the earliest scheduled one, as in the batch form.
+    The latest request wins, and among equals the earliest scheduled one, as in the batch form. Time is cut into slices
+    as long as the tolerance; requests go to the workers of their service, into their own slice and the next one, where
+    they are merged with the events in time order, so that events and requests are never paired.
     """
-    workers = service_map.select(F.col("worker").alias("actor_id"), F.col("service_name").alias("_service"))
-    named = audit.join(workers, "actor_id", "left").withWatermark("ts", delay)
-    right = links.withWatermark("request_ts", delay)
-    near = ((F.col("_service") == F.col("service_name")) & (F.col("ts") >= F.col("request_ts")) &
-            (F.col("ts") < F.col("request_ts") + F.expr(f"interval {cfg.audit_seconds} seconds")))
-    best = F.max_by(F.struct("job_id", "scheduled_time"), F.struct(
-        "request_ts", (-F.unix_micros("scheduled_time")).alias("late")))
-    found = (named.join(right, near, "left_outer")
-             .groupBy(F.window("ts", "1 minute"), "event_id", "actor_id", F.unix_micros("ts").alias("us")).agg(best.alias("l")))
-    ref = F.concat_ws(":", F.lit("sched"), F.col("l.job_id"), F.unix_seconds("l.scheduled_time").cast("string"))
-    return found.select("event_id", "actor_id", F.timestamp_micros("us").alias("ts"), F.when(F.col("l.job_id").isNotNull(), ref).alias("trigger_ref"))
+    workers = service_map.select(F.col("worker").alias("actor_id"), "service_name").distinct()
+    width = cfg.audit_seconds * 1_000_000
+    slice_ = F.expr(f"unix_micros(ts) div {width}")
+    ref = F.concat_ws(":", F.lit("sched"), "job_id", F.unix_seconds("scheduled_time").cast("string"))
+    late = F.coalesce(-F.unix_micros("scheduled_time"), F.lit(-(1 << 63)).cast("long"))
+    # The watermark comes first, so that requests of services without a worker move it too.
+    right = (links.select("service_name", F.col("request_ts").alias("ts"), late.alias("late"), F.when(F.col("job_id").isNotNull(), ref).alias("ref"))
+             .withWatermark("ts", delay).join(F.broadcast(workers), "service_name")
+             .select("actor_id", "ts", "late", F.lit(None).cast("string").alias("event_id"), "ref", F.lit(False).alias("is_event"))
+             .withColumn("slice", F.explode(F.array(slice_, slice_ + 1))))
+    left = (audit.select("actor_id", "ts", F.lit(0).cast("long").alias("late"), "event_id", F.lit(None).cast("string").alias("ref"), F.lit(True).alias("is_event"))
+            .withWatermark("ts", delay).withColumn("slice", slice_))
+    rows = left.unionByName(right).where(F.col("ts").isNotNull()).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("actor_id", "slice").transformWithStateInPandas(
+        NearestRequest(width), "event_id string, actor_id string, ts timestamp, trigger_ref string", "append", "EventTime")
 
 
 # --- scoring per batch ------------------------------------------------------------------

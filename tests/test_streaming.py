@@ -6,6 +6,7 @@ import pytest
 from shared import T0
 from pyspark.sql import functions as F
 
+from flowrisk.config import CorrelationConfig
 from flowrisk.operators import closure
 from flowrisk.operators import world as W
 from flowrisk.plans import pipeline, tables
@@ -113,6 +114,31 @@ def test_live_correlation_picks_nearest(spark, tmp_path):
     assert got["e1"].startswith("sched:j2:") and got["e2"] is None
 
 
+def test_live_correlation_never_pairs_events_with_requests(spark, tmp_path):
+    """Three thousand events within the tolerance of three thousand requests, across slices, late requests and equal times; the batch form says which is nearest."""
+    import random
+    rng = random.Random(3)
+    at = lambda: T0 + timedelta(seconds=rng.randrange(0, 4000))
+    links = [(rng.choice(["s1", "s2", "s3", "none"]), at(), f"j{i}", T0 - timedelta(seconds=i)) for i in range(3000)]
+    audit = [(f"e{i}", rng.choice(["w1", "w2", "nobody"]), at()) for i in range(3000)]
+    smap = [("s1", "w1"), ("s2", "w2"), ("s3", "w1")]
+    want = {}
+    for e, w, t in audit:
+        near = [(r, -s.timestamp(), j) for name, r, j, s in links if (name, w) in smap and timedelta(0) <= t - r < timedelta(seconds=600)]
+        want[e] = (lambda b: f"sched:{b[2]}:{int(-b[1])}")(max(near)) if near else None
+    links.append(("none", T0 + timedelta(days=9), "j", T0))
+    audit.append(("last", "nobody", T0 + timedelta(days=9)))
+    for name, data, schema in (("l", links, "service_name string, request_ts timestamp, job_id string, scheduled_time timestamp"), ("a", audit, "event_id string, actor_id string, ts timestamp")):
+        spark.createDataFrame(data[:-1], schema).coalesce(1).write.parquet(str(tmp_path / name))
+        spark.createDataFrame(data[-1:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda n: spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n))
+    pairs = live.correlate_stream(read("a"), read("l"), spark.createDataFrame(smap, "service_name string, worker string"), CorrelationConfig(audit_seconds=600))
+    kinds = pairs._jdf.queryExecution().analyzed().toString()
+    got = {r.event_id: r.trigger_ref for r in _run(pairs, tmp_path, "nearest").where("event_id <> 'last'").collect()}
+    assert got == want and sum(v is not None for v in want.values()) > 1000
+    assert "LeftOuter" not in kinds
+
+
 def test_scoring_per_batch_equals_one_batch(spark, log_dir, tmp_path):
     known = spark.createDataFrame([("w",)], "actor_id string")
 
