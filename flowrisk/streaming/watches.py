@@ -62,39 +62,38 @@ def _times(us: list[int]) -> pd.Series:
 class InTimeOrder(StatefulProcessor):
     """Keeps rows in state until the watermark has passed them, then hands them on in order.
 
-    ``waiting`` maps (time in microseconds, rank, id) to the row's values. A timer stands at the earliest time at which there is something to do.
+    ``waiting`` lists (time in microseconds, rank, id) and the row's values, so that a batch is one call to the state and not one per row.
+    Of rows with equal time, rank and id the last one counts. A timer stands at the earliest time at which there is something to do.
     """
 
     value = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, rank int, id string", self.value)
+        self.waiting = handle.getListState("waiting", f"us long, rank int, id string, {self.value}")
 
     def wake(self, us: int) -> None:
         self.handle.registerTimer(us // 1000 + 1)
 
     def keep(self, rows: Iterator[pd.DataFrame], row) -> None:
-        first = None
-        for batch in rows:
-            for values in batch.itertuples(index=False):
-                key, value = row(values)
-                self.waiting.updateValue(key, value)
-                first = key[0] if first is None else min(first, key[0])
-        if first is not None:
-            self.wake(first)
+        fresh = [row(values) for batch in rows for values in batch.itertuples(index=False)]
+        if fresh:
+            self.waiting.appendList([(*key, *value) for key, value in fresh])
+            self.wake(min(key[0] for key, _ in fresh))
 
     def passed(self, watermark_ms: int) -> tuple[list[tuple], int | None]:
         """Rows up to the watermark in order, taken out of the state, and the time of the first one that stays."""
-        ready, later = [], None
-        for key, value in self.waiting.iterator():
-            if key[0] <= watermark_ms * 1000:
-                ready.append((tuple(key), tuple(value)))
+        ready, stay = {}, []
+        for row in self.waiting.get():
+            if row[0] <= watermark_ms * 1000:
+                ready[tuple(row[:3])] = tuple(row[3:])
             else:
-                later = key[0] if later is None else min(later, key[0])
-        for key, _ in ready:
-            self.waiting.removeKey(key)
-        return sorted(ready), later
+                stay.append(tuple(row))
+        if ready and stay:
+            self.waiting.put(stay)
+        elif ready:
+            self.waiting.clear()
+        return sorted(ready.items(), key=lambda r: r[0]), min((row[0] for row in stay), default=None)
 
     def close(self) -> None:
         pass
