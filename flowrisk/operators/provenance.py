@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowrisk import config as C
 from flowrisk.functions import expressions as X
 from flowrisk.operators.world import WINDOW_KEY
+from flowrisk.session import materialize
 
 JOB_PATH = r"^projects/[^/]+/locations/[^/]+/jobs/[^/]+$"
 CHUNK = 4096
@@ -115,23 +116,25 @@ def zone_match(sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) ->
               .groupBy(*WINDOW_KEY, "_chunk")
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target_zone"))),
                                lambda r: r["target_zone"]).alias("_zones")))
+    chunks = materialize(chunks, "chunks")
     m = F.col("_m")
-    # A first chunk that is not full is the whole sequence and needs one vector only.
+    # A first chunk that is not full is the whole sequence: one vector gives its score, and it is not grouped again.
     alone = (F.col("_chunk") == 0) & (F.size("_zones") < chunk)
 
     def scores(part: DataFrame, symbols, one, several, value, joined) -> DataFrame:
         """LCS ratios with the patterns of ``part``, kept as bit vectors or as rows of numbers."""
         read = X.lcs_masks(F.col("_zones"), F.col("_table"))
         tables = (chunks.join(part.select("pattern_id", "_m", symbols(F.col("expected_zones")).alias("_table")), F.lit(True))
-                  .withColumn("_read", read)
-                  .select(*WINDOW_KEY, "pattern_id", "_m", "_chunk", F.size("_zones").alias("_n"),
-                          F.when(alone, F.array(one(F.col("_read"), m))).otherwise(several(F.col("_read"), m)).alias("_vectors")))
-        whole = (tables.groupBy(*WINDOW_KEY, "pattern_id", "_m")
+                  .withColumn("_read", read).withColumn("_n", F.size("_zones")))
+        ratio = lambda lcs: (lcs / F.greatest(F.col("_n"), m)).alias("zone_score")
+        single = tables.where(alone).select(*WINDOW_KEY, "pattern_id", ratio(value(one(F.col("_read"), m), m)))
+        whole = (tables.where(~alone).select(*WINDOW_KEY, "pattern_id", "_m", "_chunk", "_n", several(F.col("_read"), m).alias("_vectors"))
+                 .groupBy(*WINDOW_KEY, "pattern_id", "_m")
                  .agg(F.sum("_n").alias("_n"),
                       F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_vectors"))),
                                   lambda r: r["_vectors"]).alias("_chunks")))
         lcs = F.when(F.size("_chunks") == 1, value(F.get(F.get("_chunks", F.lit(0)), F.lit(0)), m)).otherwise(joined(F.col("_chunks"), m))
-        return whole.select(*WINDOW_KEY, "pattern_id", (lcs / F.greatest(F.col("_n"), m)).alias("zone_score"))
+        return single.unionByName(whole.select(*WINDOW_KEY, "pattern_id", ratio(lcs)))
 
     short = scores(zoned.where(m <= X.WORD_BITS), X.symbol_masks, X.lcs_vector, X.lcs_vectors, X.lcs_of_vector, X.lcs_join)
     long = scores(zoned.where(m > X.WORD_BITS), X.last_positions, X.lcs_row, X.lcs_rows, lambda row, n: F.get(row, n), X.lcs_rows_join)
