@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.config import ClosureConfig, WorldConfig
 from flowrisk.functions import expressions as X
-from flowrisk.operators.ordered import asof_lookup, nearest_value, values_at_ranks
+from flowrisk.operators.ordered import CROWDED, asof_lookup, nearest_value, values_at_ranks
 from flowrisk.operators.world import WINDOW_KEY
 from flowrisk.session import materialize
 
@@ -119,7 +119,7 @@ def settlements(events: DataFrame, opened: DataFrame, windows: DataFrame,
             .where(F.col("_until").isNull() | (F.col("_until") > F.col("_settled_at"))))
     at = (windows.select("actor_id", F.unix_micros("window_start").alias("_window")).distinct())
     day = lambda micros: F.floor(micros / F.lit(86_400_000_000)).cast("long")
-    found = asof_lookup(gaps, at, ["actor_id"], "_settled_at", "_window", [], "_w", day, forward=True)
+    found = asof_lookup(materialize(gaps, "gaps"), at, ["actor_id"], "_settled_at", "_window", [], "_w", day, forward=True, most=CROWDED)
     reached = F.col("_w.at")
     return (found.where(reached.isNotNull() & (F.col("_until").isNull() | (reached < F.col("_until"))))
             .groupBy("resource_id").agg(F.timestamp_micros(F.min(reached)).alias("settled_ts")))

@@ -25,6 +25,33 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+#: So many rows of one key may be one task's; larger keys are cut into slices.
+CROWDED = 100_000
+
+
+def crowded_keys(df: DataFrame, keys: list[str], most: int = CROWDED) -> DataFrame:
+    """Keys with more than ``most`` rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys)
+
+
+def slice_crowded(df: DataFrame, keys: list[str], slice_by: Column | None, step, crowded: DataFrame | None = None,
+                  most: int = CROWDED) -> DataFrame:
+    """``step(rows, slice_by)``, in which only crowded keys are cut into slices.
+
+    Where most keys have a few rows in a slice, the rows that carry state from slice to slice are as many as the rows themselves.
+    ``crowded`` gives the keys if they are known. They are written first, are at most rows / ``most`` in number and so are broadcast;
+    ``df`` is read again and should be cheap.
+    """
+    if slice_by is None:
+        return step(df, None)
+    crowded = materialize(crowded_keys(df, keys, most) if crowded is None else crowded.select(*keys), "crowded")
+    if crowded.isEmpty():
+        return step(df, None)
+    marked = null_safe_join(df, F.broadcast(crowded.withColumn("_crowded", F.lit(True))), keys, "left")
+    few, many = (marked.where(c).drop("_crowded") for c in (F.col("_crowded").isNull(), F.col("_crowded").isNotNull()))
+    return step(few, None).unionByName(step(many, slice_by))
+
+
 def _reverse(order: list[str]) -> list[Column]:
     return [F.col(c).desc() for c in order]
 
@@ -108,14 +135,15 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], name: str =
 
 def asof_lookup(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str,
                 values: list[str], name: str, slice_by=None, forward: bool = False,
-                strict: bool = False, tie_order: list[str] | None = None) -> DataFrame:
+                strict: bool = False, tie_order: list[str] | None = None, most: int | None = None) -> DataFrame:
     """As-of join: add struct ``name`` with the closest right row at or before ``left_on``.
 
     ``forward`` looks at or after instead, ``strict`` leaves equal positions
     out. Both sides go into one ordered stream, so the cost is one sort per
     (key, slice) and never a product of the two sides. ``slice_by`` maps the
     ordering column to a slice number. Among right rows at one position the
-    one sorting last by ``tie_order`` wins.
+    one sorting last by ``tie_order`` wins. With ``most`` only keys with more rows
+    are cut into slices (see :func:`slice_crowded`).
     """
     tie_order = tie_order or []
     payload = F.struct(F.col(right_on).alias("at"), *[F.col(v) for v in values])
@@ -129,8 +157,9 @@ def asof_lookup(left: DataFrame, right: DataFrame, keys: list[str], left_on: str
                            packed.alias("_left"))
     stream = r.unionByName(left_row, allowMissingColumns=True)
     order = ["_at", "_side"] + [f"_tie{i}" for i in range(len(tie_order))]
-    found = nearest_value(stream, keys, order, F.col("_value"), name,
-                          None if slice_by is None else slice_by(F.col("_at")), forward)
+    cut = None if slice_by is None else slice_by(F.col("_at"))
+    step = lambda rows, piece: nearest_value(rows, keys, order, F.col("_value"), name, piece, forward)
+    found = step(stream, cut) if most is None else slice_crowded(stream, keys, cut, step, most=most)
     return found.where(F.col("_left").isNotNull()).select("_left.*", name)
 
 

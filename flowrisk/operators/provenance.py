@@ -90,19 +90,34 @@ def actor_match(actor: Column, expected: Column) -> Column:
     return F.when(F.coalesce(F.size(expected), F.lit(0)) <= 0, 1.0).otherwise(F.coalesce(first, F.lit(0.0)))
 
 
-def time_match(window_start: Column, expected: str) -> Column:
+def time_match(window_start: Column, expected: str | Column) -> Column:
     """Weekday (Monday is 0) in the list and hour in [start, end)."""
-    day = F.coalesce(F.array_contains(F.col(f"{expected}.days_of_week"), F.weekday(window_start)), F.lit(True))
+    expected = F.col(expected) if isinstance(expected, str) else expected
+    day = F.coalesce(F.array_contains(expected["days_of_week"], F.weekday(window_start)), F.lit(True))
     hour = F.hour(window_start)
-    inside = ((hour >= F.coalesce(F.col(f"{expected}.hour_start"), F.lit(0))) &
-              (hour < F.coalesce(F.col(f"{expected}.hour_end"), F.lit(24))))
-    return F.when(F.col(expected).isNull(), 1.0).when(day & inside, 1.0).otherwise(0.0)
+    inside = ((hour >= F.coalesce(expected["hour_start"], F.lit(0))) &
+              (hour < F.coalesce(expected["hour_end"], F.lit(24))))
+    return F.when(expected.isNull(), 1.0).when(day & inside, 1.0).otherwise(0.0)
 
 
 def rate_match(count: Column, low: Column, high: Column) -> Column:
     return F.when((low <= 0) & (high <= 0), 1.0).when(count.between(low, high), 1.0).otherwise(0.0)
 
 
+def zone_chunks(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Zones of each (window, actor) in arrays of ``chunk`` positions, written once."""
+    chunks = (sequences.withColumn("_chunk", F.expr(f"(position - 1) div {chunk}"))
+              .groupBy(*WINDOW_KEY, "_chunk")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target_zone"))),
+                               lambda r: r["target_zone"]).alias("_zones")))
+    return materialize(chunks, "chunks")
+
+
+def _alone(chunk: int) -> Column:
+    """A first chunk that is not full is the whole sequence: one vector gives its score, and it is not grouped again."""
+    return (F.col("_chunk") == 0) & (F.size("_zones") < chunk)
+
+
 def zone_match(sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """LCS ratio of each (window, actor) zone sequence against each pattern with zones.
 
@@ -110,16 +125,14 @@ def zone_match(sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) ->
     fixed length, so no array outgrows ``chunk``; a sequence of several chunks
     is put together exactly from the segment tables of its chunks.
     """
+    return _chunk_scores(zone_chunks(sequences, chunk), patterns, chunk)
+
+
+def _chunk_scores(chunks: DataFrame, patterns: DataFrame, chunk: int) -> DataFrame:
     length = F.size("expected_zones")
     zoned = patterns.where(F.coalesce(length, F.lit(0)) > 0).select("pattern_id", length.alias("_m"), "expected_zones")
-    chunks = (sequences.withColumn("_chunk", F.expr(f"(position - 1) div {chunk}"))
-              .groupBy(*WINDOW_KEY, "_chunk")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target_zone"))),
-                               lambda r: r["target_zone"]).alias("_zones")))
-    chunks = materialize(chunks, "chunks")
     m = F.col("_m")
-    # A first chunk that is not full is the whole sequence: one vector gives its score, and it is not grouped again.
-    alone = (F.col("_chunk") == 0) & (F.size("_zones") < chunk)
+    alone = _alone(chunk)
 
     def scores(part: DataFrame, symbols, one, several, value, joined) -> DataFrame:
         """LCS ratios with the patterns of ``part``, kept as bit vectors or as rows of numbers."""
@@ -141,25 +154,50 @@ def zone_match(sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) ->
     return short.unionByName(long)
 
 
-def pattern_match(windows: DataFrame, sequences: DataFrame, patterns: DataFrame) -> DataFrame:
+def _expected(active: DataFrame) -> DataFrame:
+    """One row with all patterns, which are few, and the tables that read a zone sequence."""
+    zones, m = F.col("expected_zones"), F.coalesce(F.greatest(F.size("expected_zones"), F.lit(0)), F.lit(0))
+    row = F.struct("pattern_id", "registered_ts", "expected_actors", "expected_window", "rate_min", "rate_max", m.alias("m"),
+                   F.when(m.between(1, X.WORD_BITS), X.symbol_masks(zones)).alias("masks"),
+                   F.when(m > X.WORD_BITS, X.last_positions(zones)).alias("lasts"))
+    return active.agg(F.collect_list(row).alias("_patterns")).where(F.size("_patterns") > 0)
+
+
+def _ratio(zones: Column, p: Column) -> Column:
+    """LCS ratio of a whole zone sequence with one of the patterns; null without zones on either side."""
+    m = p["m"]
+    short = X.lcs_of_vector(X.lcs_vector(X.lcs_masks(zones, p["masks"]), m), m)
+    long = F.get(X.lcs_row(X.lcs_masks(zones, p["lasts"]), m), m)
+    return F.when(zones.isNotNull() & (m > 0), F.when(m <= X.WORD_BITS, short).otherwise(long) / F.greatest(F.size(zones), m))
+
+
+def pattern_match(windows: DataFrame, sequences: DataFrame, patterns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Best sanctioned pattern per (window, actor): score and id, null where nothing matches.
 
-    ``windows`` needs ``event_count``. On equal scores the newest pattern wins.
+    ``windows`` needs ``event_count``. On equal scores the newest pattern wins. A window meets all patterns in one row;
+    only sequences of several chunks are put together first.
     """
     active = active_patterns(patterns)
-    zones = zone_match(sequences, active)
-    pairs = windows.select(*WINDOW_KEY, "event_count").join(active, F.lit(True))
+    chunks = zone_chunks(sequences, chunk)
+    joined = _chunk_scores(chunks.where(~_alone(chunk)), active, chunk).groupBy(*WINDOW_KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct("pattern_id", "zone_score"))).alias("_ratios"))
+    pairs = (windows.select(*WINDOW_KEY, "event_count")
+             .join(chunks.where(_alone(chunk)).select(*WINDOW_KEY, "_zones"), WINDOW_KEY, "left")
+             .join(joined, WINDOW_KEY, "left")
+             .join(F.broadcast(_expected(active)), F.lit(True)))
     w = C.PATTERN_WEIGHTS
-    scored = (pairs.join(zones, [*WINDOW_KEY, "pattern_id"], "left")
-              .withColumn("_score",
-                          w["actor"] * actor_match(F.col("actor_id"), F.col("expected_actors")) +
-                          w["zone"] * F.coalesce("zone_score", F.lit(1.0)) +
-                          w["time"] * time_match(F.col("window_start"), "expected_window") +
-                          w["rate"] * rate_match(F.col("event_count"), F.col("rate_min"), F.col("rate_max"))))
-    best = F.max(F.struct(F.col("_score"), F.col("registered_ts"), F.col("pattern_id")))
-    return (scored.groupBy(*WINDOW_KEY).agg(best.alias("b"))
-            .select(*WINDOW_KEY, F.col("b._score").alias("pattern_match_score"),
-                    F.when(F.col("b._score") > 0, F.col("b.pattern_id")).alias("matched_pattern_id")))
+
+    def score(p: Column) -> Column:
+        zone = F.coalesce(_ratio(F.col("_zones"), p), F.try_element_at("_ratios", p["pattern_id"]), F.lit(1.0))
+        return (w["actor"] * actor_match(F.col("actor_id"), p["expected_actors"]) + w["zone"] * zone +
+                w["time"] * time_match(F.col("window_start"), p["expected_window"]) +
+                w["rate"] * rate_match(F.col("event_count"), p["rate_min"], p["rate_max"]))
+
+    best = F.array_max(F.transform("_patterns", lambda p: F.struct(
+        score(p).alias("_score"), p["registered_ts"].alias("registered_ts"), p["pattern_id"].alias("pattern_id"))))
+    return pairs.select(*WINDOW_KEY, best.alias("b")).select(
+        *WINDOW_KEY, F.col("b._score").alias("pattern_match_score"),
+        F.when(F.col("b._score") > 0, F.col("b.pattern_id")).alias("matched_pattern_id"))
 
 
 def pattern_usage(matches: DataFrame) -> DataFrame:

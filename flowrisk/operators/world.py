@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowrisk import config as C
 from flowrisk.config import WorldConfig
 from flowrisk.functions import expressions as X
-from flowrisk.operators.ordered import with_position, with_previous
+from flowrisk.operators.ordered import CROWDED, slice_crowded, with_position, with_previous
 
 WINDOW_KEY = ["window_start", "actor_id"]
 EVENT_ORDER = ["ts", "event_id"]
@@ -86,17 +86,23 @@ def window_targets(targets: DataFrame) -> DataFrame:
     return targets.select(*WINDOW_KEY, "target_id", "hits")
 
 
-def zone_sequences(events: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
+def crowded_windows(activity: DataFrame, most: int = CROWDED) -> DataFrame:
+    """(window, actor) with so many events that they have to be cut into slices."""
+    return activity.where(F.col("event_count") > most).select(*WINDOW_KEY)
+
+
+def zone_sequences(events: DataFrame, cfg: WorldConfig = WorldConfig(), crowded: DataFrame | None = None) -> DataFrame:
     """Zones of each (window, actor) in event order, one row per position."""
-    return with_position(events.select(*WINDOW_KEY, "ts", "event_id", "target_zone"),
-                         WINDOW_KEY, EVENT_ORDER, "position", _slice(cfg))
+    return slice_crowded(
+        events.select(*WINDOW_KEY, "ts", "event_id", "target_zone"), WINDOW_KEY, _slice(cfg),
+        lambda rows, piece: with_position(rows, WINDOW_KEY, EVENT_ORDER, "position", piece), crowded)
 
 
-def zone_edges(events: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
+def zone_edges(events: DataFrame, cfg: WorldConfig = WorldConfig(), crowded: DataFrame | None = None) -> DataFrame:
     """Transitions between consecutive events of one actor inside one window."""
-    moved = with_previous(
-        events.select(*WINDOW_KEY, "ts", "event_id", "target_zone", "target_id"),
-        WINDOW_KEY, EVENT_ORDER, {"source_zone": "target_zone"}, _slice(cfg))
+    moved = slice_crowded(
+        events.select(*WINDOW_KEY, "ts", "event_id", "target_zone", "target_id"), WINDOW_KEY, _slice(cfg),
+        lambda rows, piece: with_previous(rows, WINDOW_KEY, EVENT_ORDER, {"source_zone": "target_zone"}, piece), crowded)
     return (moved.where(F.col("source_zone").isNotNull())
             .groupBy(*WINDOW_KEY, "source_zone", "target_zone", "target_id")
             .agg(F.count(F.lit(1)).alias("edge_count"), F.min("ts").alias("first_seen")))

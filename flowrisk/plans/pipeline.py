@@ -11,7 +11,7 @@ from flowrisk import config as C
 from flowrisk.config import ClosureConfig, WorldConfig
 from flowrisk.functions import expressions as X
 from flowrisk.operators import closure, invariants, provenance, scoring, world
-from flowrisk.session import materialize_all
+from flowrisk.session import materialize, materialize_all
 
 
 @dataclass(frozen=True)
@@ -24,22 +24,30 @@ class WorldModel:
     edges: DataFrame
     watches: DataFrame
     provenance: DataFrame
+    crowded: DataFrame
     cfg: WorldConfig
 
 
+#: What the signals read of the events.
+EVENT_COLUMNS = [*world.WINDOW_KEY, "ts", "event_id", "action_type", "target_id", "target_zone", "trigger_ref",
+                 "provenance_level", "delegation_chain", "is_deploy"]
+
+
 def build_world(events: DataFrame, pairs: DataFrame, cfg: WorldConfig = WorldConfig(),
                 closure_cfg: ClosureConfig = ClosureConfig()) -> WorldModel:
     """Reduce the events to the tables that later steps share.
 
     Each is written once, so the events are not scanned again for every signal.
     """
-    targets, transitions, opened, dominant = materialize_all({
-        "targets": world.target_activity(events), "transitions": world.zone_edges(events, cfg),
-        "watches": closure.watches(events, pairs, closure_cfg),
+    events = materialize(events.select(*EVENT_COLUMNS), "events")
+    targets, opened, dominant = materialize_all({
+        "targets": world.target_activity(events), "watches": closure.watches(events, pairs, closure_cfg),
         "provenance": provenance.dominant_provenance(events)})
-    activity, edges = materialize_all({
-        "activity": world.window_activity(targets), "edges": world.edge_novelty(transitions, cfg)})
-    return WorldModel(events, targets, activity, edges, opened, dominant, cfg)
+    activity = materialize(world.window_activity(targets), "activity")
+    crowded = materialize(world.crowded_windows(activity), "crowded")
+    transitions = materialize(world.zone_edges(events, cfg, crowded), "transitions")
+    edges = materialize(world.edge_novelty(transitions, cfg), "edges")
+    return WorldModel(events, targets, activity, edges, opened, dominant, crowded, cfg)
 
 
 def all_pairs(events: DataFrame, seeded: DataFrame, cfg: ClosureConfig = ClosureConfig()) -> DataFrame:
@@ -67,7 +75,7 @@ def fusion(model: WorldModel, known: DataFrame, pairs: DataFrame,
 
 def residual(model: WorldModel, fused: DataFrame, known: DataFrame, patterns: DataFrame) -> DataFrame:
     """Fused scores after the provenance discount, with tiers."""
-    matches = provenance.pattern_match(model.activity, world.zone_sequences(model.events, model.cfg), patterns)
+    matches = provenance.pattern_match(model.activity, world.zone_sequences(model.events, model.cfg, model.crowded), patterns)
     chains = provenance.trigger_chains(model.provenance, model.events, known)
     fused, matches, chains = materialize_all({"fused": fused, "matches": matches, "chains": chains})
     return (provenance.residual_risk(fused, matches, model.provenance, chains)

@@ -119,3 +119,28 @@ def test_running_totals_carry_over_slices_of_a_null_key(spark):
     assert all(r.s == r.t * (r.t - 1) // 2 for r in got)
     last = O.with_previous(df, ["k"], ["t"], {"p": "t"}, F.floor(F.col("t") / 10)).collect()
     assert all(r.p == (r.t - 1 if r.t else None) for r in last)
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_only_crowded_keys_are_sliced(spark):
+    """Keys of few rows need no rows that carry state from slice to slice; the crowded one does."""
+    data = _data(4)
+    df = spark.createDataFrame(data, "k string, t int, i int, v string")
+    step = lambda rows, piece: O.with_position(rows, ["k"], ["t", "i"], "position", piece)
+    want = {i: at for seq in _by_key(data).values() for at, (_, i, _v) in enumerate(seq, 1)}
+    for most, cut in ((1000, False), (100, True)):
+        placed = O.slice_crowded(df, ["k"], _slice(), step, most=most)
+        assert {r.i: r.position for r in placed.collect()} == want and (_joins(placed) > 0) == cut
+    assert [r.k for r in O.crowded_keys(df, ["k"], 100).collect()] == ["hot"]
+
+
+def test_asof_lookup_slices_crowded_keys_only(spark):
+    df = spark.createDataFrame([("hot" if i % 3 else None, (i * 37) % 500, i) for i in range(300)], "k string, at int, id int")
+    cut = lambda c: F.floor(c / 20).cast("long")
+    want = {r.id: r.f["at"] for r in O.asof_lookup(df, df, ["k"], "at", "at", [], "f", None, strict=True).collect() if r.f}
+    for most in (50, 150, 1000):
+        got = O.asof_lookup(df, df, ["k"], "at", "at", [], "f", cut, strict=True, most=most)
+        assert {r.id: r.f["at"] for r in got.collect() if r.f} == want

@@ -189,3 +189,25 @@ def test_newest_pattern_wins_ties(spark):
     both = base.unionByName(base.withColumn("pattern_id", F.lit("pat-0"))
                             .withColumn("registered_ts", F.to_timestamp(F.lit("2025-01-01"))))
     assert provenance.pattern_match(w, s, both).first().matched_pattern_id == "pat-0"
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_pattern_match_groups_no_pairs(spark, chunk):
+    """Short, long and empty patterns against a window in one chunk, in several, and without a sequence; windows and patterns are not multiplied."""
+    w = spark.createDataFrame([(T0, a, 5) for a in "abc"], "window_start timestamp, actor_id string, event_count long")
+    seqs = {"a": ["DATA", "SECRET"], "b": ["DATA", "SECRET", "DATA", "COMPUTE", "SECRET"]}
+    s = spark.createDataFrame([(T0, a, i + 1, z) for a, q in seqs.items() for i, z in enumerate(q)],
+                              "window_start timestamp, actor_id string, position long, target_zone string")
+    pats = {"p1": ["SECRET", "COMPUTE"], "p2": ["DATA", "SECRET"] * 40, "p3": []}
+    p = tables.patterns(spark).where("pattern_id = 'pat-a'").drop("pattern_id", "expected_zones", "registered_ts", "expected_actors").join(
+        spark.createDataFrame([(k, z, ["a"] if k == "p3" else [], T0) for k, z in pats.items()],
+                              "pattern_id string, expected_zones array<string>, expected_actors array<string>, registered_ts timestamp"))
+    got = provenance.pattern_match(w, s, p, chunk)
+    best = {r.actor_id: (r.pattern_match_score, r.matched_pattern_id) for r in got.collect()}
+    for actor in "abc":
+        score = {k: 0.3 * (actor == "a" or k != "p3") + 0.35 * (
+            _lcs(seqs[actor], z) / max(len(seqs[actor]), len(z)) if z and actor in seqs else 1.0) + 0.35 for k, z in pats.items()}
+        top = max(score, key=lambda k: (round(score[k], 9), k))
+        assert best[actor] == (pytest.approx(score[top]), top)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(struct" not in plan
