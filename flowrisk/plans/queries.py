@@ -6,6 +6,7 @@ are UTC text, arrays are comma-joined, so that results compare by value.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -1094,12 +1095,17 @@ def stream_edges(spark, sf):
     return out.select(*key(), "source_zone", "target_zone", "target_id", "edge_count", F.unix_micros("first_seen").alias("first_seen"))
 
 
+ENTRIES_PER_FILE = 20_000
+
+
 @query
 def stream_canonical(spark, sf):
     """Raw entries as they arrive, to canonical events."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    T.raw_entries(spark, sf).select("entry").write.parquet(folder)
-    entries = spark.readStream.schema("entry string").option("maxFilesPerTrigger", 2).parquet(folder)
+    # A file is one task's to read, and a batch costs a few seconds whatever it reads: many files, in three batches.
+    T.raw_entries(spark, sf).select("entry").write.option("maxRecordsPerFile", ENTRIES_PER_FILE).parquet(folder)
+    files = len(spark.read.schema("entry string").parquet(folder).inputFiles())
+    entries = spark.readStream.schema("entry string").option("maxFilesPerTrigger", max(1, math.ceil(files / 3))).parquet(folder)
     return _emitted(spark, live.canonical_stream(entries)).select(
         "event_id", F.unix_micros("ts").alias("ts"), text("window_start").alias("window_start"), "actor_id", "action_subtype", "target_id", "trigger_ref")
 

@@ -193,3 +193,16 @@ def test_watches_equal_the_batch_form_in_any_order_of_arrival(spark, make_events
     closings = {r.resource_id: (r.status, r.at) for r in _run(live.settle_watches(read("m"), read("w")), tmp_path, "closings").collect()}
     opened = {r.resource_id: r.opening_event_id for r in messages.where("status = 'OPENED'").collect()}
     assert {k: (v, *closings.get(k, (None, None))) for k, v in opened.items()} == want
+
+
+def test_raw_entries_arrive_as_many_files_in_three_batches(spark, tmp_path, monkeypatch):
+    """A file is one task's, so large tables need many; batches stay three."""
+    from shared import SF
+
+    from flowrisk.plans import queries
+    monkeypatch.setattr(queries, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(queries, "ENTRIES_PER_FILE", 100)
+    n = queries.REGISTRY["stream_canonical"](spark, SF).select("event_id").distinct().count()
+    assert n == queries._audit(spark, SF).select("event_id").distinct().count()
+    assert len(list(tmp_path.glob("stream-*/part-*.parquet"))) >= 10
+    assert len([p for p in tmp_path.glob("stream-*/state/commits/*") if p.name.isdigit()]) == 3
