@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk.functions import expressions as X
-from flowrisk.operators.ordered import null_safe_join, running_totals, with_position, with_previous
+from flowrisk.operators.ordered import null_safe_join, running_totals, slice_crowded, with_position, with_previous
 from flowrisk.session import materialize
 
 ORDER = ["t", "seq"]
@@ -30,14 +30,16 @@ def from_state_visits(visits: DataFrame, slice_seconds: int = DAY_SECONDS) -> Da
 
     The action and time are those of the arrival.
     """
-    moved = with_previous(visits, ["actor"], ORDER, {"src": "state"}, day_slice(slice_seconds))
+    moved = slice_crowded(visits, ["actor"], day_slice(slice_seconds),
+                          lambda rows, piece: with_previous(rows, ["actor"], ORDER, {"src": "state"}, piece))
     return moved.where(F.col("src").isNotNull()).select(
         "actor", "t", "seq", "src", F.col("state").alias("dst"), "action")
 
 
 def positions(transitions: DataFrame, slice_seconds: int = DAY_SECONDS) -> DataFrame:
     """Number the transitions of each actor from 1 in time order."""
-    return with_position(transitions, ["actor"], ORDER, "position", day_slice(slice_seconds))
+    return slice_crowded(transitions, ["actor"], day_slice(slice_seconds),
+                         lambda rows, piece: with_position(rows, ["actor"], ORDER, "position", piece))
 
 
 def between(transitions: DataFrame, t_from, t_to) -> DataFrame:

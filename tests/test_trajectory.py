@@ -212,3 +212,14 @@ def test_poisson_steps_sum_to_one():
     for rows in (1, 7, 64):
         steps = audits.poisson_steps(rows)
         assert steps == sorted(steps) and steps[-1] == pytest.approx(1, abs=1e-12)
+
+
+def test_few_rows_an_actor_are_not_sliced(spark):
+    """A lookup of the state before each slice would be as large as the table; actors of few rows need none."""
+    visits = spark.createDataFrame([(f"a{i % 3}" if i % 4 else None, i * 90000.0, i, f"s{i % 5}", "x") for i in range(40)],
+                                   "actor string, t double, seq long, state string, action string")
+    moved = J.from_state_visits(visits)
+    placed = J.positions(moved)
+    for df in (moved, placed):
+        assert "Join " not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert moved.count() == 40 - 4 and placed.groupBy("actor").max("position").count() == 4
