@@ -214,11 +214,12 @@ def _overdue(grid: DataFrame, keys: DataFrame, step: int) -> DataFrame:
                                                        F.floor(F.col("_to") / per_span)))))
     at_key = keys.withColumn("_span", F.floor(F.col("at") / per_span))
     x = (F.col("at") * F.lit(float(step)) - F.col("_centre")) / (F.col("window_hours") * F.lit(float(HOUR)))
-    series = sum((F.col(f"_m{k}") / (F.pow(x, F.lit(k)) * k) for k in range(2, MOMENTS + 1)),
-                 F.col("_m1") / x)
-    logs = (F.col("_n") * F.log(x) - series) / F.lit(math.log(2))
+    series = F.lit(0.0)
+    for k in range(MOMENTS, 0, -1):
+        series = (series + F.col(f"_m{k}") / F.lit(float(k))) / F.col("_x")
+    logs = (F.col("_n") * F.log("_x") - series) / F.lit(math.log(2))
     return (at_key.join(spans, ["actor_id", "_span"])
-            .where((F.col("at") >= F.col("_from")) & (F.col("at") <= F.col("_to")))
+            .where((F.col("at") >= F.col("_from")) & (F.col("at") <= F.col("_to"))).withColumn("_x", x)
             .groupBy(*WINDOW_KEY)
             .agg(F.sum(F.col("sensitivity") * (F.col("_n") + logs)).alias("orphaned_privilege")))
 

@@ -137,7 +137,7 @@ def _chunk_scores(chunks: DataFrame, patterns: DataFrame, chunk: int) -> DataFra
     def scores(part: DataFrame, symbols, one, several, value, joined) -> DataFrame:
         """LCS ratios with the patterns of ``part``, kept as bit vectors or as rows of numbers."""
         read = X.lcs_masks(F.col("_zones"), F.col("_table"))
-        tables = (chunks.join(part.select("pattern_id", "_m", symbols(F.col("expected_zones")).alias("_table")), F.lit(True))
+        tables = (chunks.join(F.broadcast(part.select("pattern_id", "_m", symbols(F.col("expected_zones")).alias("_table"))), F.lit(True))
                   .withColumn("_read", read).withColumn("_n", F.size("_zones")))
         ratio = lambda lcs: (lcs / F.greatest(F.col("_n"), m)).alias("zone_score")
         single = tables.where(alone).select(*WINDOW_KEY, "pattern_id", ratio(value(one(F.col("_read"), m), m)))

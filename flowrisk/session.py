@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     # the crowded side and repeats the small one.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sides whose shuffled parts are all this small are hashed, not sorted by their text keys.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Keyed state with timers needs it; state larger than memory stays on disk.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

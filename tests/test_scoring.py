@@ -211,3 +211,18 @@ def test_pattern_match_groups_no_pairs(spark, chunk):
         assert best[actor] == (pytest.approx(score[top]), top)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "max(struct" not in plan
+
+
+def test_patterns_are_not_paired_chunk_file_by_chunk_file(spark):
+    """Patterns are sent to the chunks: a Cartesian product reads all chunks once per partition of the patterns."""
+    at = [(T0, "a", i + 1, z) for i, z in enumerate(["DATA", "SECRET", "DATA"])]
+    sequences = spark.createDataFrame(at, "window_start timestamp, actor_id string, position long, target_zone string")
+    patterns = spark.createDataFrame([("p", ["DATA", "SECRET"])], "pattern_id string, expected_zones array<string>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = provenance.zone_match(sequences, patterns)
+        assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
+        assert [(r.pattern_id, r.zone_score) for r in out.collect()] == [("p", pytest.approx(2 / 3))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
