@@ -64,14 +64,15 @@ def flatten_json(entries: DataFrame, column: str = "entry", keep: list[str] | No
         kind = F.schema_of_variant("v")
         container = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
         text = F.when(container, F.to_json("v")).when(~F.is_variant_null("v"), F.try_variant_get("v", "$", "string"))
-        leaves = (found.select(*keep, "path", text.alias("value"), (kind == "STRING").alias("is_string"), container.alias("open"))
-                  .where(~F.col("open") | ~F.col("value").isin("{}", "[]")))
+        leaves = found.select(*keep, "path", text.alias("value"), (kind == "STRING").alias("is_string"), container.alias("open"))
+        # What is empty is told from the written text: a filter before the write would read kind and text of every value twice.
+        full = ~F.col("value").isin("{}", "[]")
         if done == max_depth:
-            parts.append(leaves.drop("open"))
+            parts.append(leaves.where(~F.col("open") | full).drop("open"))
             break
         leaves = materialize(leaves, "leaves")
         parts.append(leaves.where(~F.col("open")).drop("open"))
-        left = leaves.where("open")
+        left = leaves.where(F.col("open") & full)
         if left.isEmpty():
             break
         rows = left.select(*keep, "path", F.try_parse_json("value").alias("v"))
@@ -86,6 +87,14 @@ def semantic_types(leaves: DataFrame) -> DataFrame:
     return leaves.withColumn("value_type", F.when(F.col("is_string"), X.value_type(F.col("value"))))
 
 
+def type_counts(leaves: DataFrame, name: str = "n") -> DataFrame:
+    """Occurrences of each semantic type per path.
+
+    Values without a type are left out after counting: a filter before it would try all patterns a second time.
+    """
+    return semantic_types(leaves).groupBy("path", "value_type").agg(F.count("value_type").alias(name)).where(F.col(name) > 0)
+
+
 def value_counts(leaves: DataFrame) -> DataFrame:
     """Occurrences per (path, value): the shared first step of the statistics."""
     return (semantic_types(leaves).withColumn("value", F.coalesce("value", F.lit("")))
@@ -130,10 +139,9 @@ def profile_sketch(leaves: DataFrame, samples: int = 5, bits: int = SKETCH_BITS)
     ``values`` is an HLL sketch of the distinct values, ``types`` has the occurrences of each semantic type and ``samples`` the smallest values. Profiles of
     new files are merged (``merge_profiles``) with what is kept of the old ones, which are not read again.
     """
-    typed = semantic_types(leaves).withColumn("value", F.coalesce("value", F.lit("")))
+    typed = leaves.withColumn("value", F.coalesce("value", F.lit("")))
     flat = typed.groupBy("path").agg(F.count(F.lit(1)).alias("count"), F.hll_sketch_agg(F.concat(F.lit("="), "value"), bits).alias("values"))
-    kinds = (typed.where(F.col("value_type").isNotNull()).groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("path").agg(F.collect_list(F.struct("value_type", "c")).alias("types")))
+    kinds = type_counts(leaves, "c").groupBy("path").agg(F.collect_list(F.struct("value_type", "c")).alias("types"))
     order = F.row_number().over(Window.partitionBy("path").orderBy("value"))
     smallest = (typed.select("path", "value").distinct().withColumn("_r", order).where(F.col("_r") <= samples)
                 .groupBy("path").agg(F.array_sort(F.collect_list("value")).alias("samples")))
@@ -209,9 +217,22 @@ def cluster_sizes(clustered: DataFrame) -> DataFrame:
 
 def cluster_shared(leaves: DataFrame, clustered: DataFrame) -> DataFrame:
     """Paths with one single value within a burst; ``leaves`` and ``clustered`` share ``id``."""
+    return _constant(leaves.join(clustered.select("id", "cluster_start"), "id"), clustered)
+
+
+def cluster_shared_entries(entries: DataFrame, clustered: DataFrame, column: str = "entry") -> DataFrame:
+    """:func:`cluster_shared` of the leaves of ``entries``.
+
+    An entry is given its burst before it is opened, so that one row an entry is shuffled and not one a leaf; entries without one are not opened.
+    """
+    clustered = materialize(clustered, "clustered")
+    marked = entries.join(clustered.select("id", "cluster_start"), "id")
+    return _constant(flatten_json(marked, column, keep=["cluster_start"]), clustered)
+
+
+def _constant(leaves: DataFrame, clustered: DataFrame) -> DataFrame:
     sizes = cluster_sizes(clustered)
-    rows = (leaves.where(F.col("value").isNotNull()).join(clustered.select("id", "cluster_start"), "id"))
-    one = (rows.groupBy("cluster_start", "path").agg(F.min("value").alias("value"), F.max("value").alias("_hi"))
+    one = (leaves.where(F.col("value").isNotNull()).groupBy("cluster_start", "path").agg(F.min("value").alias("value"), F.max("value").alias("_hi"))
            .where(F.col("value") == F.col("_hi")).drop("_hi"))
     return one.join(sizes.select("cluster_start"), "cluster_start", "left_semi")
 

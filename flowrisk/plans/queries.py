@@ -949,8 +949,8 @@ def _entries(spark, sf):
     return profile.with_log_type(T.mixed_entries(spark, sf))
 
 
-def _leaves(spark, sf):
-    return profile.flatten_json(_entries(spark, sf), keep=["id", "log_type"])
+def _leaves(spark, sf, keep: list[str]):
+    return profile.flatten_json(_entries(spark, sf), keep=keep)
 
 
 def _profile(spark, sf):
@@ -966,13 +966,12 @@ def log_type_counts(spark, sf):
 
 @query
 def flatten_json(spark, sf):
-    return _leaves(spark, sf)
+    return _leaves(spark, sf, ["id", "log_type"])
 
 
 @query
 def semantic_types(spark, sf):
-    return (profile.semantic_types(_leaves(spark, sf)).where(F.col("value_type").isNotNull())
-            .groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("n")))
+    return profile.type_counts(_leaves(spark, sf, []))
 
 
 @query
@@ -984,7 +983,7 @@ def profile_fields(spark, sf):
 @query
 def merged_profile(spark, sf):
     """Profiles of two halves of the entries, merged without reading them again; is the number of values within four standard errors?"""
-    leaves, entries = _leaves(spark, sf), _entries(spark, sf)
+    leaves, entries = _leaves(spark, sf, ["id"]), _entries(spark, sf)
     half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
     parts = [materialize(profile.profile_sketch(leaves.where(h)), "half") for h in (half, ~half)]
     told = profile.read_profile(profile.merge_profiles(*parts), entries.agg(F.count(F.lit(1))))
@@ -1023,7 +1022,7 @@ def temporal_clusters(spark, sf):
 
 
 def _shared(spark, sf):
-    return profile.cluster_shared(_leaves(spark, sf), profile.temporal_clusters(_timed(spark, sf), 60.0))
+    return profile.cluster_shared_entries(T.mixed_entries(spark, sf), profile.temporal_clusters(_timed(spark, sf), 60.0))
 
 
 @query
@@ -1038,7 +1037,7 @@ def cluster_keys(spark, sf):
 
 @query
 def cross_log_overlap(spark, sf):
-    return profile.cross_log_overlap(_leaves(spark, sf))
+    return profile.cross_log_overlap(_leaves(spark, sf, ["log_type"]))
 
 
 # --- streams ---------------------------------------------------------------------------------------

@@ -97,3 +97,24 @@ def test_merged_profiles_equal_one_profile(spark):
         m = merged[path]
         assert (m["count"], m.dominant_type, m.samples, m.presence_rate) == (r["count"], r.dominant_type, r.samples, r.presence_rate)
         assert abs(m.cardinality - r.cardinality) <= 4 * 1.04 / 64 * r.cardinality
+
+
+def test_entries_get_their_burst_before_they_are_opened(spark, monkeypatch):
+    """The same shared paths as from leaves, while entries outside of the clustered ids are never opened."""
+    rows = [(f"e{i}", json.dumps({"a": {"b": "same" if i < 3 else "other", "c": i}, "d": []})) for i in range(5)]
+    entries = spark.createDataFrame([*rows, ("o1", '{"a": {"b": "order"}}'), ("o2", "{")], "id string, entry string")
+    clustered = (spark.createDataFrame([(f"e{i}", 10 * i if i < 3 else 1000 + 10 * i) for i in range(5)], "id string, s long")
+                 .select("id", F.timestamp_seconds("s").alias("ts"), F.timestamp_seconds(F.when(F.col("s") < 500, 0).otherwise(1000)).alias("cluster_start")))
+    want = {tuple(r) for r in P.cluster_shared(P.flatten_json(entries, keep=["id"]), clustered).collect()}
+    opened, flatten = [], P.flatten_json
+    monkeypatch.setattr(P, "flatten_json", lambda e, *a, **k: opened.append(e.count()) or flatten(e, *a, **k))
+    got = {tuple(r) for r in P.cluster_shared_entries(entries, clustered).collect()}
+    assert got == want and len(got) == 2 and opened == [5]
+
+
+def test_patterns_are_tried_once_per_value(spark):
+    leaves = P.flatten_json(spark.createDataFrame([('{"m": "a@example.com", "n": 1, "s": "plain"}',)] * 3, "entry string"))
+    out = P.type_counts(leaves)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(" RLIKE " not in line for line in plan.splitlines() if "Filter" in line)
+    assert {r.path: (r.value_type, r.n) for r in out.collect()}["m"] == ("email", 3)
