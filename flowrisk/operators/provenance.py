@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowrisk import config as C
 from flowrisk.functions import expressions as X
-from flowrisk.operators.world import WINDOW_KEY
+from flowrisk.operators.world import WINDOW_KEY, best_provenance
 from flowrisk.session import materialize
 
 JOB_PATH = r"^projects/[^/]+/locations/[^/]+/jobs/[^/]+$"
@@ -27,11 +27,7 @@ def enrich_provenance(events: DataFrame, known: DataFrame) -> DataFrame:
 
 def dominant_provenance(events: DataFrame) -> DataFrame:
     """Strongest provenance level per (window, actor) with its trigger reference, earliest first."""
-    rank = (F.when(F.col("provenance_level") == "STRONG", -3)
-            .when(F.col("provenance_level") == "WEAK", -2).otherwise(-1))
-    best = F.min(F.struct(rank.alias("r"), F.col("ts"), F.col("event_id"), F.col("provenance_level"),
-                          F.col("trigger_ref")))
-    return (events.groupBy(*WINDOW_KEY).agg(best.alias("b"))
+    return (events.groupBy(*WINDOW_KEY).agg(best_provenance().alias("b"))
             .select(*WINDOW_KEY, F.col("b.provenance_level").alias("provenance_level"),
                     F.col("b.trigger_ref").alias("trigger_ref")))
 
@@ -185,6 +181,21 @@ def pattern_match(windows: DataFrame, sequences: DataFrame, patterns: DataFrame,
              .join(chunks.where(_alone(chunk)).select(*WINDOW_KEY, "_zones"), WINDOW_KEY, "left")
              .join(joined, WINDOW_KEY, "left")
              .join(F.broadcast(_expected(active)), F.lit(True)))
+    return _with_best(pairs).select(*WINDOW_KEY, *MATCH)
+
+
+def row_match(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """:func:`pattern_match` of ``world.window_rows``, which keep their columns; a row has its sequence, so nothing is joined but the patterns."""
+    pairs = (rows.withColumn("_zones", F.transform("acts", lambda a: a["target_zone"])).withColumn("event_count", F.size("acts"))
+             .withColumn("_ratios", F.lit(None).cast("map<string,double>"))
+             .join(F.broadcast(_expected(active_patterns(patterns))), F.lit(True), "left"))
+    return _with_best(pairs).select(*rows.columns, *MATCH)
+
+
+MATCH = ["pattern_match_score", "matched_pattern_id"]
+
+
+def _with_best(pairs: DataFrame) -> DataFrame:
     w = C.PATTERN_WEIGHTS
 
     def score(p: Column) -> Column:
@@ -195,9 +206,8 @@ def pattern_match(windows: DataFrame, sequences: DataFrame, patterns: DataFrame,
 
     best = F.array_max(F.transform("_patterns", lambda p: F.struct(
         score(p).alias("_score"), p["registered_ts"].alias("registered_ts"), p["pattern_id"].alias("pattern_id"))))
-    return pairs.select(*WINDOW_KEY, best.alias("b")).select(
-        *WINDOW_KEY, F.col("b._score").alias("pattern_match_score"),
-        F.when(F.col("b._score") > 0, F.col("b.pattern_id")).alias("matched_pattern_id"))
+    return pairs.withColumn("b", best).withColumns({
+        "pattern_match_score": F.col("b._score"), "matched_pattern_id": F.when(F.col("b._score") > 0, F.col("b.pattern_id"))})
 
 
 def pattern_usage(matches: DataFrame) -> DataFrame:
@@ -211,6 +221,12 @@ def pattern_usage(matches: DataFrame) -> DataFrame:
 def residual_risk(scores: DataFrame, matches: DataFrame, provenance: DataFrame,
                   chains: DataFrame) -> DataFrame:
     """Fusion score less the discount for explained activity."""
+    explained = matches.join(provenance, WINDOW_KEY, "full")
+    return discounted(scores, explained, chains)
+
+
+def discounted(scores: DataFrame, explained: DataFrame, chains: DataFrame) -> DataFrame:
+    """:func:`residual_risk` where matches and provenance are one row per (window, actor)."""
     multiplier = F.lit(0.0)
     for level, value in C.PROVENANCE_MULTIPLIERS.items():
         multiplier = F.when(F.col("provenance_level") == level, value).otherwise(multiplier)
@@ -218,7 +234,7 @@ def residual_risk(scores: DataFrame, matches: DataFrame, provenance: DataFrame,
     effective = F.when((F.col("provenance_level") == "WEAK") & resolved,
                        C.WEAK_RESOLVED_MULTIPLIER).otherwise(multiplier)
     return (scores.drop("provenance_level")
-            .join(matches, WINDOW_KEY, "left").join(provenance, WINDOW_KEY, "left")
+            .join(explained, WINDOW_KEY, "left")
             .join(chains.select("trigger_ref", "resolved"), "trigger_ref", "left")
             .withColumn("trigger_chain_resolved", resolved)
             .withColumn("residual_risk", F.col("fusion_raw") * (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk import config as C
@@ -108,15 +108,50 @@ def zone_edges(events: DataFrame, cfg: WorldConfig = WorldConfig(), crowded: Dat
             .agg(F.count(F.lit(1)).alias("edge_count"), F.min("ts").alias("first_seen")))
 
 
+def window_rows(events: DataFrame) -> DataFrame:
+    """One row per (window, actor): dominant provenance and ``acts``, the zone and target of each event in order.
+
+    For windows whose events fit a row; the others go through :func:`zone_sequences` and :func:`zone_edges`.
+    """
+    act = F.struct("ts", "event_id", "target_zone", "target_id")
+    rows = events.groupBy(*WINDOW_KEY).agg(best_provenance().alias("b"), F.sort_array(F.collect_list(act)).alias("a"))
+    return rows.select(*WINDOW_KEY, F.col("b.provenance_level").alias("provenance_level"), F.col("b.trigger_ref").alias("trigger_ref"),
+                       F.transform("a", lambda e: F.struct(e["target_zone"].alias("target_zone"), e["target_id"].alias("target_id"))).alias("acts"))
+
+
+def row_edges(rows: DataFrame) -> DataFrame:
+    """Transitions of :func:`window_rows`, as :func:`zone_edges` counts them, without the time."""
+    acts = F.col("acts")
+    moved = F.transform(acts, lambda e, i: F.struct(F.get(acts, i - 1)["target_zone"].alias("source_zone"), e["target_zone"].alias("target_zone"),
+                                                    e["target_id"].alias("target_id")))
+    return (rows.where(F.size(acts) > 1).select(*WINDOW_KEY, F.explode(moved).alias("m")).select(*WINDOW_KEY, "m.*").where(F.col("source_zone").isNotNull())
+            .groupBy(*WINDOW_KEY, "source_zone", "target_zone", "target_id").agg(F.count(F.lit(1)).alias("edge_count")))
+
+
+def edge_totals(transitions: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
+    """:func:`edge_novelty` with one row per (window, actor, transition): its events in ``edge_count``, its rows in ``n_targets``.
+
+    Rows are unique, so the flag needs no join; those with a null in the key have none, as there.
+    """
+    keys = ["actor_id", "source_zone", "target_zone"]
+    totals = (transitions.dropna(subset=["window_start", *keys]).groupBy("window_start", *keys)
+              .agg(F.sum("edge_count").alias("edge_count"), F.count(F.lit(1)).alias("n_targets")))
+    return totals.withColumn("is_new", _unseen(keys, cfg.lookback_seconds))
+
+
+def _unseen(keys: list[str], seconds: int) -> Column:
+    before = F.lag("window_start").over(Window.partitionBy(*keys).orderBy("window_start"))
+    gap = F.unix_seconds("window_start") - F.unix_seconds(before)
+    return F.coalesce(gap > seconds, F.lit(True))
+
+
 def mark_new(df: DataFrame, keys: list[str], seconds: int, name: str) -> DataFrame:
     """Distinct (window, key) rows with a flag: key not seen in the lookback before the window.
 
     The closest earlier window decides, so no self-join is needed.
     """
     seen = df.select("window_start", *keys).distinct()
-    before = F.lag("window_start").over(Window.partitionBy(*keys).orderBy("window_start"))
-    gap = F.unix_seconds("window_start") - F.unix_seconds(before)
-    return seen.withColumn(name, F.coalesce(gap > seconds, F.lit(True)))
+    return seen.withColumn(name, _unseen(keys, seconds))
 
 
 def edge_novelty(edges: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
@@ -127,10 +162,12 @@ def edge_novelty(edges: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFram
 
 
 def novelty_scores(edges: DataFrame) -> DataFrame:
-    """Zone-weighted number of new edges per (window, actor)."""
+    """Zone-weighted number of new edges per (window, actor); rows of :func:`edge_totals` stand for one edge per target."""
     weight = F.lit(1.0)
     for zone, w in C.ZONE_WEIGHTS.items():
         weight = F.when(F.col("target_zone") == zone, w).otherwise(weight)
+    if "n_targets" in edges.columns:
+        weight = weight * F.col("n_targets")
     return (edges.where("is_new").groupBy(*WINDOW_KEY).agg(F.sum(weight).alias("novelty_score")))
 
 
@@ -226,6 +263,13 @@ def ema_delta(flux: DataFrame, cfg: WorldConfig = WorldConfig()) -> DataFrame:
                     .otherwise(F.col("sigma_coarse") - ema).alias("delta_f")))
 
 
+def best_provenance() -> Column:
+    """Level and trigger reference of the strongest provenance of a group, earliest first."""
+    rank = (F.when(F.col("provenance_level") == "STRONG", -3)
+            .when(F.col("provenance_level") == "WEAK", -2).otherwise(-1))
+    return F.min(F.struct(rank.alias("r"), F.col("ts"), F.col("event_id"), F.col("provenance_level"), F.col("trigger_ref")))
+
+
 def _provenance_rank():
     out = F.lit(0)
     for level, rank in C.PROVENANCE_RANK.items():

@@ -11,6 +11,7 @@ from flowrisk import config as C
 from flowrisk.config import ClosureConfig, WorldConfig
 from flowrisk.functions import expressions as X
 from flowrisk.operators import closure, invariants, provenance, scoring, world
+from flowrisk.operators.ordered import null_safe_join
 from flowrisk.session import materialize, materialize_all
 
 
@@ -23,7 +24,8 @@ class WorldModel:
     activity: DataFrame
     edges: DataFrame
     watches: DataFrame
-    provenance: DataFrame
+    rows: DataFrame
+    busy: DataFrame | None
     crowded: DataFrame
     cfg: WorldConfig
 
@@ -34,20 +36,36 @@ EVENT_COLUMNS = [*world.WINDOW_KEY, "ts", "event_id", "action_type", "target_id"
 
 
 def build_world(events: DataFrame, pairs: DataFrame, cfg: WorldConfig = WorldConfig(),
-                closure_cfg: ClosureConfig = ClosureConfig()) -> WorldModel:
+                closure_cfg: ClosureConfig = ClosureConfig(), most: int = provenance.CHUNK) -> WorldModel:
     """Reduce the events to the tables that later steps share.
 
-    Each is written once, so the events are not scanned again for every signal.
+    Each is written once, so the events are not scanned again for every signal. A (window, actor) of at most ``most``
+    events is one row that holds its sequence, so provenance, transitions and patterns share one shuffle of the events.
     """
     events = materialize(events.select(*EVENT_COLUMNS), "events")
-    targets, opened, dominant = materialize_all({
-        "targets": world.target_activity(events), "watches": closure.watches(events, pairs, closure_cfg),
-        "provenance": provenance.dominant_provenance(events)})
+    targets, opened = materialize_all({
+        "targets": world.target_activity(events), "watches": closure.watches(events, pairs, closure_cfg)})
     activity = materialize(world.window_activity(targets), "activity")
     crowded = materialize(world.crowded_windows(activity), "crowded")
-    transitions = materialize(world.zone_edges(events, cfg, crowded), "transitions")
-    edges = materialize(world.edge_novelty(transitions, cfg), "edges")
-    return WorldModel(events, targets, activity, edges, opened, dominant, crowded, cfg)
+    calm, busy = split_busy(events, activity, most)
+    rows = materialize(world.window_rows(calm), "rows")
+    transitions = world.row_edges(rows)
+    if busy is not None:
+        transitions = transitions.unionByName(world.zone_edges(busy, cfg, crowded).drop("first_seen"))
+    edges = materialize(world.edge_totals(transitions, cfg), "edges")
+    return WorldModel(events, targets, activity, edges, opened, rows, busy, crowded, cfg)
+
+
+def split_busy(events: DataFrame, activity: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Events of windows with at most ``most`` events, which may become a row, and of the others, if there are any.
+
+    The others are at most events / ``most`` windows and so are broadcast.
+    """
+    many = materialize(world.crowded_windows(activity, most), "busy")
+    if many.isEmpty():
+        return events, None
+    marked = null_safe_join(events, F.broadcast(many.withColumn("_busy", F.lit(True))), world.WINDOW_KEY, "left")
+    return tuple(marked.where(c).drop("_busy") for c in (F.col("_busy").isNull(), F.col("_busy").isNotNull()))
 
 
 def all_pairs(events: DataFrame, seeded: DataFrame, cfg: ClosureConfig = ClosureConfig()) -> DataFrame:
@@ -60,10 +78,13 @@ def fusion(model: WorldModel, known: DataFrame, pairs: DataFrame,
            closure_cfg: ClosureConfig = ClosureConfig(), point_in_time: bool = True, explain: bool = False) -> DataFrame:
     """Signals and fused score of every (window, actor), with sentences for the fired rules if wanted."""
     cfg, keys = model.cfg, model.activity.select(*world.WINDOW_KEY)
-    flux, closed, fired = materialize_all({
-        "flux": world.zone_flux(keys, model.edges, cfg),
-        "closed": closure.close_times(model.events, model.watches, keys, pairs, closure_cfg),
-        "invariants": invariants.check_invariants(model.activity, model.targets, model.edges, known, cfg)})
+    fired = invariants.check_invariants(model.activity, model.targets, model.edges, known, cfg)
+    wanted = {"flux": world.zone_flux(keys, model.edges, cfg),
+              "closed": closure.close_times(model.events, model.watches, keys, pairs, closure_cfg)}
+    if explain:  # read twice
+        wanted["invariants"] = fired
+    flux, closed, *written = materialize_all(wanted)
+    fired = written[0] if explain else fired
     fused = scoring.fusion_scores(
         model.activity, fired, world.novelty_scores(model.edges), flux, world.ema_delta(flux, cfg),
         closure.closure_signals(closed, keys, cfg, point_in_time))
@@ -75,10 +96,15 @@ def fusion(model: WorldModel, known: DataFrame, pairs: DataFrame,
 
 def residual(model: WorldModel, fused: DataFrame, known: DataFrame, patterns: DataFrame) -> DataFrame:
     """Fused scores after the provenance discount, with tiers."""
-    matches = provenance.pattern_match(model.activity, world.zone_sequences(model.events, model.cfg, model.crowded), patterns)
-    chains = provenance.trigger_chains(model.provenance, model.events, known)
-    fused, matches, chains = materialize_all({"fused": fused, "matches": matches, "chains": chains})
-    return (provenance.residual_risk(fused, matches, model.provenance, chains)
+    explained, refs = provenance.row_match(model.rows, patterns).drop("acts"), model.rows.select("trigger_ref")
+    if model.busy is not None:
+        own = materialize(provenance.dominant_provenance(model.busy), "provenance")
+        matches = provenance.pattern_match(model.activity.join(own, world.WINDOW_KEY, "left_semi"),
+                                           world.zone_sequences(model.busy, model.cfg, model.crowded), patterns)
+        explained = explained.unionByName(own.join(matches, world.WINDOW_KEY, "left"))
+        refs = refs.unionByName(own.select("trigger_ref"))
+    chains = provenance.trigger_chains(refs, model.events, known)
+    return (provenance.discounted(fused, explained, chains)
             .withColumn("tier", X.tier(F.col("residual_risk"), C.RESIDUAL_TIERS)))
 
 

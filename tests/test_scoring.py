@@ -1,5 +1,6 @@
 import math
 import random
+from datetime import timedelta
 
 import pytest
 from shared import T0, rows
@@ -226,3 +227,27 @@ def test_patterns_are_not_paired_chunk_file_by_chunk_file(spark):
         assert [(r.pattern_id, r.zone_score) for r in out.collect()] == [("p", pytest.approx(2 / 3))]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("most", [0, 3, 4096])
+def test_rows_of_calm_windows_and_busy_ones_agree(spark, most):
+    """Edges, provenance and matches do not depend on which windows become a row; totals of edges give novelty and flux of the single ones."""
+    events = tables.canonical_events(spark, "/root/testdata/sf0.001", tables.DAY)
+    busy = [(T0 + timedelta(minutes=i), f"b{i:03d}", "bu" if i % 3 else None, z, f"t{i % 4}", None if i % 5 else f"r{i}", "NONE" if i % 5 else "STRONG")
+            for i, z in enumerate((C.ZONES * 4 + [None])[:25])]
+    busy = spark.createDataFrame(busy, "ts timestamp, event_id string, actor_id string, target_zone string, target_id string, trigger_ref string, provenance_level string")
+    events = events.unionByName(busy.withColumn("window_start", F.to_timestamp(F.lit("2024-01-10"))).withColumn("action_type", F.lit("GCS_READ")), allowMissingColumns=True)
+    model = pipeline.build_world(events, closure.seed_pairs(spark), tables.DAY, most=most)
+    assert (model.busy is None) == (most == 4096)
+    single = W.edge_novelty(W.zone_edges(events, tables.DAY), tables.DAY)
+    per = single.groupBy(*W.WINDOW_KEY, "source_zone", "target_zone", "is_new").agg(F.sum("edge_count").alias("edge_count"), F.count("*").alias("n_targets"))
+    assert sorted(rows(model.edges.select(per.columns))) == sorted(rows(per))
+    assert sorted(rows(W.novelty_scores(model.edges))) == sorted(rows(W.novelty_scores(single)))
+    fused = model.activity.select(*W.WINDOW_KEY, F.lit(1.0).alias("fusion_raw"))
+    known = tables.known_initiators(spark, "/root/testdata/sf0.001")
+    names = ["window_start", "actor_id", "provenance_level", "pattern_match_score", "matched_pattern_id", "trigger_chain_resolved", "residual_risk"]
+    got = pipeline.residual(model, fused, known, tables.patterns(spark)).select(names)
+    own = provenance.dominant_provenance(events)
+    matches = provenance.pattern_match(model.activity, W.zone_sequences(events, tables.DAY), tables.patterns(spark))
+    want = provenance.residual_risk(fused, matches, own, provenance.trigger_chains(own, events, known)).select(names)
+    assert sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
