@@ -67,9 +67,10 @@ def _flux(spark, sf) -> DataFrame:
     return materialize(world.zone_flux(_events(spark, sf), _edges(spark, sf), DAY), "flux")
 
 
-def _risk(spark, sf) -> DataFrame:
-    return materialize(pipeline.score_events(_events(spark, sf), T.known_initiators(spark, sf), T.patterns(spark),
-                                             closure.seed_pairs(spark), DAY), "risk")
+def _risk(spark, sf, *columns: str) -> DataFrame:
+    """Risk rows, written once; with ``columns`` only what these need is worked out."""
+    risk = pipeline.score_events(_events(spark, sf), T.known_initiators(spark, sf), T.patterns(spark), closure.seed_pairs(spark), DAY)
+    return materialize(risk.select(*columns) if columns else risk, "risk")
 
 
 def _fused(spark, sf) -> DataFrame:
@@ -633,16 +634,21 @@ def role_gap(spark, sf):
     return g.select("scenario", *[r6(c).alias(c) for c in g.columns if c != "scenario"])
 
 
+def _activation(spark, sf) -> DataFrame:
+    risk = _risk(spark, sf, "actor_id", "inv_score", "novelty_score", "bridge_new", "closure_ratio", "orphaned_privilege", "trigger_chain_resolved")
+    return evaluate.signal_activation(risk.withColumn("scenario", scenario()), ["scenario"])
+
+
 @query
 def signal_activation(spark, sf):
-    g = evaluate.signal_activation(_risk(spark, sf).withColumn("scenario", scenario()), ["scenario"])
+    g = _activation(spark, sf)
     return g.select("scenario", *[r6(c).alias(c) for c in g.columns if c != "scenario"])
 
 
 @query
 def signal_reliability(spark, sf):
     """Scenarios stand for runs."""
-    g = evaluate.signal_activation(_risk(spark, sf).withColumn("scenario", scenario()), ["scenario"])
+    g = _activation(spark, sf)
     out = evaluate.signal_reliability(g, [c for c in g.columns if c != "scenario"])
     return out.select("signal", r6("reliability").alias("reliability"), r6("mean_activation").alias("mean_activation"))
 
@@ -688,7 +694,7 @@ PROBS = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 @query
 def residual_percentiles(spark, sf):
-    p = evaluate.residual_percentiles(_risk(spark, sf).withColumn("scenario", scenario()), ["scenario"], "residual_risk", PROBS)
+    p = evaluate.residual_percentiles(_risk(spark, sf, "actor_id", "residual_risk").withColumn("scenario", scenario()), ["scenario"], "residual_risk", PROBS)
     return p.select("scenario", "n", *[r6(c).alias(c) for c in PROBS])
 
 
