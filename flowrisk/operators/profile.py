@@ -139,13 +139,26 @@ def profile_sketch(leaves: DataFrame, samples: int = 5, bits: int = SKETCH_BITS)
     ``values`` is an HLL sketch of the distinct values, ``types`` has the occurrences of each semantic type and ``samples`` the smallest values. Profiles of
     new files are merged (``merge_profiles``) with what is kept of the old ones, which are not read again.
     """
-    typed = leaves.withColumn("value", F.coalesce("value", F.lit("")))
-    flat = typed.groupBy("path").agg(F.count(F.lit(1)).alias("count"), F.hll_sketch_agg(F.concat(F.lit("="), "value"), bits).alias("values"))
-    kinds = type_counts(leaves, "c").groupBy("path").agg(F.collect_list(F.struct("value_type", "c")).alias("types"))
+    return sketch_of_counts(materialize(leaf_counts(leaves), "leaf-counts"), samples, bits)
+
+
+def leaf_counts(leaves: DataFrame) -> DataFrame:
+    """(path, value, c, strings): occurrences of each distinct value, and as a string. One shuffle; what follows reads a value once, not a leaf."""
+    return (leaves.withColumn("value", F.coalesce("value", F.lit(""))).groupBy("path", "value")
+            .agg(F.count(F.lit(1)).alias("c"), F.count_if("is_string").alias("strings")))
+
+
+def sketch_of_counts(counts: DataFrame, samples: int = 5, bits: int = SKETCH_BITS) -> DataFrame:
+    """:func:`profile_sketch` of :func:`leaf_counts`, which should be written, as it is read twice."""
+    kind = F.when(F.col("strings") > 0, X.value_type(F.col("value")))
+    per_type = counts.groupBy("path", kind.alias("value_type")).agg(
+        F.sum("c").alias("n"), F.sum("strings").alias("c"), F.hll_sketch_agg(F.concat(F.lit("="), "value"), bits).alias("values"))
+    typed = F.when(F.col("value_type").isNotNull(), F.struct("value_type", "c"))
+    flat = per_type.groupBy("path").agg(F.sum("n").alias("count"), F.hll_union_agg("values").alias("values"), F.collect_list(typed).alias("types"))
     order = F.row_number().over(Window.partitionBy("path").orderBy("value"))
-    smallest = (typed.select("path", "value").distinct().withColumn("_r", order).where(F.col("_r") <= samples)
+    smallest = (counts.select("path", "value").withColumn("_r", order).where(F.col("_r") <= samples)
                 .groupBy("path").agg(F.array_sort(F.collect_list("value")).alias("samples")))
-    return flat.join(kinds, "path", "left").join(smallest, "path")
+    return flat.join(smallest, "path")
 
 
 def merge_profiles(first: DataFrame, *others: DataFrame, samples: int = 5) -> DataFrame:

@@ -991,9 +991,10 @@ def merged_profile(spark, sf):
     """Profiles of two halves of the entries, merged without reading them again; is the number of values within four standard errors?"""
     leaves, entries = _leaves(spark, sf, ["id"]), _entries(spark, sf)
     half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
-    parts = [materialize(profile.profile_sketch(leaves.where(h)), "half") for h in (half, ~half)]
+    counts = [materialize(profile.leaf_counts(leaves.where(h)), "leaf-counts") for h in (half, ~half)]
+    parts = [materialize(profile.sketch_of_counts(c), "half") for c in counts]
     told = profile.read_profile(profile.merge_profiles(*parts), entries.agg(F.count(F.lit(1))))
-    exact = leaves.groupBy("path").agg(F.count_distinct(F.coalesce("value", F.lit(""))).alias("n_values"))
+    exact = counts[0].unionByName(counts[1]).groupBy("path").agg(F.count_distinct("value").alias("n_values"))
     near = F.abs(F.col("cardinality") - F.col("n_values")) <= F.ceil(F.col("n_values") * (4 * 1.04 / 64))
     return told.join(exact, "path").select("path", "count", "dominant_type", r6("presence_rate").alias("presence_rate"), joined("samples").alias("samples"), "n_values",
                                            near.alias("within_error"))

@@ -118,3 +118,18 @@ def test_patterns_are_tried_once_per_value(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all(" RLIKE " not in line for line in plan.splitlines() if "Filter" in line)
     assert {r.path: (r.value_type, r.n) for r in out.collect()}["m"] == ("email", 3)
+
+
+def test_sketch_reads_values_and_not_leaves(spark, monkeypatch):
+    """Equal leaves are counted once; a value that stands as a string, a number and null keeps one type count and one sample."""
+    seen, kind = [], P.X.value_type
+    monkeypatch.setattr(P.X, "value_type", lambda v: seen.append(1) or kind(v))
+    rows = ['{"a": "10.0.0.1", "b": "7"}'] * 5 + ['{"a": "10.0.0.1", "b": 7}', '{"a": null, "b": ""}', '{"a": "x", "b": null}']
+    leaves = P.flatten_json(spark.createDataFrame([(r,) for r in rows], "entry string"))
+    counts = P.leaf_counts(leaves)
+    assert {(r.path, r.value): (r.c, r.strings) for r in counts.collect()} == {
+        ("a", "10.0.0.1"): (6, 6), ("a", ""): (1, 0), ("a", "x"): (1, 1), ("b", "7"): (6, 5), ("b", ""): (2, 1)}
+    got = {r.path: r for r in P.profile_sketch(leaves).collect()}
+    assert {p: (r["count"], [tuple(t) for t in r.types], r.samples) for p, r in got.items()} == {
+        "a": (8, [("ipv4", 6)], ["", "10.0.0.1", "x"]), "b": (8, [], ["", "7"])}
+    assert len(seen) == 1
