@@ -112,18 +112,20 @@ def link(fps: DataFrame, most: int = DISTANCE) -> DataFrame:
     Bucket members that are near the bucket's first fingerprint are linked to it, not to one another; only
     members that are still in different components are then compared in pairs. A large group of near
     copies thus costs links in proportion to its members, and no link between components is missed.
+    Joins whose sides grow with the input sort and merge: Spark takes the keys for as large as the fingerprints they are exploded from,
+    some 36 times too small, and would broadcast them.
     """
     ring = Ring(most)
     keyed = ring.keys(fps)
     heads = keyed.groupBy("key").agg(F.min(F.when(F.col("exact"), F.col("fp"))).alias("head"), F.count("*").alias("n"))
     heads = heads.where("n > 1 and head is not null")
-    members = materialize(keyed.join(heads, "key"), "simhash-members")
+    members = materialize(keyed.join(heads.hint("merge"), "key"), "simhash-members")
     near = ring.chain_holds(F.col("fp"), F.col("head"), F.col("start")) & (distance(F.col("fp"), F.col("head")) <= most)
     linked = members.where("fp <> head").where(near).select(F.col("fp").alias("u"), F.col("head").alias("v")).distinct()
     found = materialize(components(linked), "simhash-found")
 
     # Buckets of two are settled. In others, whatever is not in one component yet is compared.
-    open_ = members.where("n > 2").join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+    open_ = members.where("n > 2").join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
         "key", "start", "fp", "exact", F.coalesce("component", "fp").alias("c"))
     mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     open_ = materialize(open_.join(mixed, "key"), "simhash-open")
@@ -151,7 +153,7 @@ def near_duplicates(docs: DataFrame, most: int = DISTANCE, id_col: str = "doc_id
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
     fps = materialize(marked.groupBy("fp").agg(F.min("__id").alias("least")), "simhash-distinct")
     linked = materialize(link(fps.select("fp"), most), "simhash-linked")
-    grouped = fps.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = fps.join(linked.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = grouped.join(least, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),

@@ -78,3 +78,20 @@ def test_odd_rows(docs_of, odd_rows):
     rows = [(r[0], r[1]) for r in odd_rows]
     check(near_duplicates(docs_of(odd_rows, extra=True)).collect(), rows)
     assert near_duplicates(docs_of([])).collect() == []
+
+
+def test_keys_are_not_broadcast(spark, monkeypatch):
+    """280,000 fingerprints are 2 MB and their exploded keys ten million rows, which no driver should hold."""
+    from flowrisk.llm import simhash
+
+    class Planned(Exception):
+        pass
+
+    def plan(df, name):
+        raise Planned(df._jdf.queryExecution().executedPlan().toString())
+
+    fps = simhash.materialize(spark.range(280_000).select(F.xxhash64("id").alias("fp")), "many-fps")
+    monkeypatch.setattr(simhash, "materialize", plan)
+    with pytest.raises(Planned) as found:
+        link(fps)
+    assert "Generate" in str(found.value) and "BroadcastExchange" not in str(found.value)
