@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import byte_words, text_slices
-from flowrisk.session import materialize
+from flowrisk.llm.common import groups_for, mapped_bytes, split_words, text_slices
+from flowrisk.session import materialize, materialize_by, shuffles_dropped
 
 ADD = 0.1            # added to every count at the root
 DISCOUNT = 0.5       # taken off every kept count below the root
@@ -23,8 +23,14 @@ LEAST = 2.0          # times that words, contexts and entries of the tree occur
 WORD_SHARE = CONTEXT_SHARE = PAIR_SHARE = 0.0
 DEPTH = 3
 CACHE_WORDS = 300_000
+CHUNK_TEXTS, CHUNK_BYTES = 2_500, 8 << 20  # of a chunk, at most; larger ones ask less often for the same entries, but take more of a task's memory
+SHARD_TOKENS = 4_000_000  # tokens for each shard of the tree; a shard's part of a level is one task's
 END = 1              # stands for the end of a text; a word's number is a hash of 64 bits
-REST = 100           # added to the level in replies that tell the share left to the shorter context
+WORDS, CONTEXTS = 0, 1   # kinds of requests: for counts of words or entries, and for contexts
+# A chunk is one row of some MB: row groups are closed by their size, not after a hundred rows.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+REQUEST = "shard int, kind int, level int, chunk long, n long, keys binary, counts binary, sizes binary, entries binary, shorter binary"
+REPLY = "chunk long, kind int, level int, shard int, n long, value binary, own binary, known long"
 
 
 def number_of(word: bytes) -> int:
@@ -33,9 +39,29 @@ def number_of(word: bytes) -> int:
 
 def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Numbers of sequences: that of all but the last word, and the last word."""
-    x = context.view("uint64") * np.uint64(0x9E3779B97F4A7C15) + word.view("uint64")
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))).view("int64")
+    return x ^ (x >> np.uint64(32))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, which compresses well where they are small."""
+    raw = np.ascontiguousarray(values.view("u1").reshape(len(values), values.itemsize).T)
+    return pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=n * width, codec="zstd", asbytes=True), "u1")
+    return np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1).view(kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8", n), dtype="<u8")
 
 
 def chunks(rows: DataFrame) -> DataFrame:
@@ -44,120 +70,205 @@ def chunks(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, numbers = TaskContext.get().partitionId() << 40, {}
-        for batch in text_slices(batches, 2):
+        for batch in text_slices(batches, 2, CHUNK_TEXTS, CHUNK_BYTES):
             if len(numbers) > CACHE_WORDS:
                 numbers = {}
-            held, place, tokens, lengths, tf = batch.column(1).to_pylist(), {None: 0}, [], [], Counter()
-            for text, out in zip(batch.column(2).to_pylist(), held):
-                words = [*byte_words(text), None]
-                mapped = [place.setdefault(w, len(place)) for w in words]
-                tokens.append(np.array(mapped, "<i4"))
-                lengths.append(len(mapped))
-                if not out:
-                    tf.update(mapped)
-            for w in place:
-                if w is not None and w not in numbers:
+            held = batch.column(1).to_pylist()
+            words, lengths = split_words(mapped_bytes(batch.column(2), bytes.lower))
+            found, lengths = words.dictionary_encode(), lengths + 1
+            tokens, inner = np.zeros(len(words) + len(held), "<i4"), np.ones(len(words) + len(held), bool)
+            inner[np.cumsum(lengths) - 1] = False
+            tokens[inner] = found.indices.to_numpy() + 1   # 0 is the end
+            distinct = found.dictionary.cast(pa.binary()).to_pylist()
+            for w in distinct:
+                if w not in numbers:
                     numbers[w] = number_of(w)
-            words = [END if w is None else numbers[w] for w in place]
+            words = np.array([END, *map(numbers.__getitem__, distinct)], "<i8")
+            tf = np.bincount(tokens, np.repeat(~np.array(held, bool), lengths), len(words)).astype("<i8")
             yield pa.RecordBatch.from_arrays([
                 pa.array([at]), pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([lengths], pa.list_(pa.int64())), pa.array([words], pa.list_(pa.int64())),
-                pa.array([[tf[i] for i in range(len(words))]], pa.list_(pa.int64())), pa.array([np.concatenate(tokens).tobytes()], pa.binary())],
-                ["chunk", "ids", "held", "lengths", "words", "tf", "tokens"])
+                pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()),
+                pa.array([packed(tf)], pa.binary()), pa.array([packed(tokens)], pa.binary()), pa.array([len(tokens)]), pa.array([int(tf.sum())])],
+                ["chunk", "ids", "held", "lengths", "words", "tf", "tokens", "n_tokens", "trained"])
             at += 1
 
-    return rows.mapInArrow(
-        run, f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, lengths array<long>, words array<long>, tf array<long>, tokens binary")
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, lengths array<long>, words binary, tf binary, tokens binary, "
+                                "n_tokens long, trained long")
+
+
+@dataclass
+class Tree:
+    """What all chunks and shards are to know."""
+
+    gain: float
+    shards: int
+    below: float = 1.0                          # what root counts are divided by
+    least: tuple[float, float, float] = (LEAST,) * 3   # counts of words, contexts and entries
 
 
 class Chunk:
-    """The tokens of a chunk with what the tree knows of them.
+    """The tokens of a chunk, which go up level by level with what the tree replies.
 
-    ``walk`` yields for each length of context: whether it can have entries with the token, the entry's number, the context's, and the
-    probability by all shorter ones.
+    Requests are sorted by key and cut by shard, and replies are their values in the same order, so that no key travels back.
     """
 
-    def __init__(self, row: pa.Table, replies: pa.Table, below: float, least: tuple[float, float]):
+    def __init__(self, row: pa.Table, told: pa.Table | None, tree: Tree):
+        self.tree, self.chunk = tree, row.column("chunk")[0].as_py()
         self.lengths = row.column("lengths").combine_chunks().flatten().to_numpy()
         self.first = np.cumsum(self.lengths) - self.lengths
         self.held = np.array(row.column("held")[0].as_py(), bool)
-        words = row.column("words").combine_chunks().flatten().to_numpy().astype("int64")
-        self.tokens = words[np.frombuffer(row.column("tokens")[0].as_py(), "<i4")]
-        level, key, value = (replies.column(x).to_numpy() for x in ("level", "key", "value"))
-        self.of = {}
-        for x in np.unique(level):
-            on = np.flatnonzero(level == x)
-            on = on[np.argsort(key[on])]
-            self.of[int(x)] = key[on], value[on]
-        self.count = np.nan_to_num(self.find(0, self.tokens))
-        self.below, (self.least_word, self.least_context) = below, least
-        self.root = (self.count + ADD) / below
-
-    def find(self, level: int, wanted: np.ndarray) -> np.ndarray:
-        """What was replied at a level; NaN where nothing was."""
-        keys, values = self.of.get(level, (np.zeros(0, "int64"), None))
-        if not len(keys):
-            return np.full(len(wanted), np.nan)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], np.nan)
-
-    def before(self, values: np.ndarray, none) -> np.ndarray:
-        out = np.empty_like(values)
-        out[1:] = values[:-1]
-        out[self.first] = none
+        self.keys, to = np.unique(np.frombuffer(row.column("words")[0].as_py(), "<u8"), return_inverse=True)
+        self.words, self.at = self.keys, to.astype("<i4")[unpacked(row.column("tokens")[0].as_py(), "<i4", int(self.lengths.sum()))]
+        if told is None:
+            self.tf = np.bincount(to, unpacked(row.column("tf")[0].as_py(), "<i8", len(to)), len(self.keys))
+            return
+        self.told = {}
+        for r in sorted(told.to_pylist(), key=lambda r: r["shard"]):
+            self.told.setdefault((r["kind"], r["level"]), []).append(r)
+        self.n, _ = self.reply(WORDS, 0, "<i8")
+        count = self.n[self.at]
+        self.known, self.root = count > 0, (count + ADD) / tree.below
+        self.common = (self.words[self.at] == END) | (count >= tree.least[0])
+        self.entry, self.p = np.where(count >= tree.least[1], self.at, np.int32(-1)), self.root
+
+    def reply(self, kind: int, level: int, of: str) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all keys that were asked for, and which of them are this chunk's own."""
+        rows = self.told.pop((kind, level), [])
+        value = [unpacked(r["value"], of, r["n"]) for r in rows]
+        own = [np.unpackbits(np.frombuffer(r["own"], "u1"), count=r["n"]) for r in rows]
+        return np.concatenate([np.zeros(0, of), *value]), np.concatenate([np.zeros(0, "u1"), *own]).astype(bool)
+
+    def ascend(self) -> None:
+        """To the next level: the contexts of all tokens, and their entries."""
+        context = np.empty_like(self.entry)
+        context[1:], context[self.first] = self.entry[:-1], -1
+        self.there = np.flatnonzero(context >= 0)
+        used = np.zeros(len(self.keys), bool)
+        used[context[self.there]] = True
+        self.contexts, self.totals = self.keys[used], self.n[used]
+        self.context = np.append(np.cumsum(used) - 1, -1).astype("<i4")[context]
+        on = self.there[self.common[self.there]]
+        self.keys, entry = np.unique(extended(self.contexts[self.context[on]], self.words[self.at[on]]), return_inverse=True)
+        self.on, self.entry_on = on, entry
+        self.entry = np.full(len(self.at), -1, "<i4")
+        self.entry[on] = entry
+
+    def counted(self, level: int) -> None:
+        self.n, self.own = self.reply(WORDS, level, "<i8")
+        self.own &= self.n > 0
+        self.entry = np.where(np.append(self.n > 0, False)[self.entry], self.entry, np.int32(-1))
+
+    def smoothed(self, level: int) -> None:
+        rest, _ = self.reply(CONTEXTS, level, "<f8")
+        on = self.there[~np.isnan(rest[self.context[self.there]])]
+        c, e = self.context[on], self.entry[on]
+        share = np.append(np.maximum(self.n - DISCOUNT, 0), 0.0)[e]
+        self.p = self.p.copy()
+        self.p[on] = share / self.totals[c] + rest[c] * self.p[on]
+
+    def cut(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(shard, from, to) of the shards that have any of the sorted keys."""
+        n = self.tree.shards
+        bounds = np.searchsorted(keys, np.array([(s << 64) // n for s in range(1, n)], "<u8"))
+        for s, (a, b) in enumerate(zip([0, *bounds.tolist()], [*bounds.tolist(), len(keys)])):
+            if b > a:
+                yield s, a, b
+
+    def ask_counts(self, level: int) -> list[tuple]:
+        return [(s, WORDS, level, self.chunk, b - a, packed_keys(self.keys[a:b]), packed(self.tf[a:b].astype("<i8")), None, None, None) for s, a, b in self.cut(self.keys)]
+
+    def ask_contexts(self, level: int) -> list[tuple]:
+        """All contexts, with those of their entries that are this chunk's to tell."""
+        own, token = np.flatnonzero(self.own), np.zeros(len(self.keys), "<i4")
+        token[self.entry_on] = self.on                     # one that shows the entry
+        of = self.context[token[own]]
+        own = own[np.argsort(of, kind="stable")]
+        sizes = np.bincount(of, minlength=len(self.contexts)).astype("<i8")
+        ends, n, shorter = np.concatenate([[0], np.cumsum(sizes)]), self.n[own], self.p[token[own]]
+        return [(s, CONTEXTS, level, self.chunk, b - a, packed_keys(self.contexts[a:b]), packed(self.totals[a:b]), packed(sizes[a:b]),
+                 packed(n[ends[a]:ends[b]]), packed(shorter[ends[a]:ends[b]])) for s, a, b in self.cut(self.contexts)]
+
+    def requests(self, step: int, depth: int) -> list[tuple]:
+        """What the chunk asks in a step: for words, then for the entries of a level with the contexts of the one before, then for the last contexts."""
+        if step == 0:
+            return self.ask_counts(0)
+        out = []
+        for level in range(1, step + 1):
+            if level > 1:
+                self.counted(level - 1)
+                if level == step:
+                    out += self.ask_contexts(level - 1)
+                else:
+                    self.smoothed(level - 1)
+            if level <= depth:
+                self.ascend()
+        if step <= depth:
+            self.tf = np.bincount(self.entry_on, np.repeat(~self.held, self.lengths)[self.on], len(self.keys))
+            out += self.ask_counts(step)
         return out
 
-    def walk(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        common = (self.tokens == END) | (self.count >= self.least_word)
-        total = self.before(np.where(self.count >= self.least_context, self.count, np.nan), np.nan)
-        context, p = self.before(self.tokens, 0), self.root
-        for d in range(1, depth + 1):
-            there = ~np.isnan(total)
-            key = extended(context, self.tokens)
-            yield there & common, key, context, p
-            n = np.where(there & common, self.find(d, key), np.nan)
-            rest = np.where(there, self.find(REST + d, context), np.nan)
-            p = np.where(np.isnan(rest), p, np.nan_to_num(n - DISCOUNT) / total + rest * p)
-            context, total = self.before(key, 0), self.before(n, np.nan)
-        yield there, key, context, p
-
-
-def requests(row: pa.Table, replies: pa.Table, depth: int, below: float, least: tuple[float, float]) -> pa.Table:
-    """The distinct entries of length ``depth`` that a chunk asks for, with their training counts."""
-    chunk = Chunk(row, replies, below, least)
-    valid, key, context, p = next(x for d, x in enumerate(chunk.walk(depth), 1) if d == depth)
-    on = np.flatnonzero(valid)
-    trained = np.repeat(~chunk.held, chunk.lengths)[on]
-    keys, at, back = np.unique(key[on], return_index=True, return_inverse=True)
-    tf = np.bincount(back, trained, len(keys)).astype("int64")
-    return pa.table({"chunk": np.full(len(keys), row.column("chunk")[0].as_py(), "int64"), "key": keys, "tf": tf,
-                     "context": context[on][at], "shorter": p[on][at]})
-
-
-def text_scores(row: pa.Table, replies: pa.Table, depth: int, below: float, least: tuple[float, float]) -> pa.Table:
-    """Per text: tokens, known tokens, and log10 sums at the root and in the tree."""
-    chunk = Chunk(row, replies, below, least)
-    *_, (_, _, _, p) = chunk.walk(depth)
-    add = lambda x: np.add.reduceat(x, chunk.first)
-    return pa.table({"__id": row.column("ids").combine_chunks().flatten(), "held": chunk.held, "n_tokens": chunk.lengths,
-                     "n_known": add((chunk.count > 0).astype("int64")), "base": add(np.log10(chunk.root)), "score": add(np.log10(p))})
 
-
-def kept_contexts(entries: DataFrame, totals: DataFrame, gain: float) -> DataFrame:
-    """(key, rest) of the contexts whose next words differ from the shorter one's.
+def rows_of(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def answered(asked: pa.Table, tree: Tree) -> pa.Table:
+    """The replies to all requests of one kind for one shard."""
+    rows = asked.to_pylist()
+    keys, to = np.unique(np.concatenate([unpacked_keys(r["keys"], r["n"]) for r in rows]), return_inverse=True)
+    counts = np.concatenate([unpacked(r["counts"], "<i8", r["n"]) for r in rows])
+    if rows[0]["kind"] == WORDS:
+        n = np.bincount(to, counts, len(keys)).astype("<i8")
+        known = int((n > 0).sum())
+        if rows[0]["level"]:
+            n[n < tree.least[2]] = 0
+        first = np.zeros(len(keys), "int64")
+        first[to[::-1]] = np.arange(len(to))[::-1]
+        own, value = np.zeros(len(to), bool), n[to]
+        own[first] = True
+    else:
+        known, own, value = 0, np.zeros(len(to), bool), kept_contexts(rows, keys, to, counts, tree.gain)[to]
+    ends, out = np.cumsum([r["n"] for r in rows]), []
+    for r, b in zip(rows, ends.tolist()):
+        part = slice(b - r["n"], b)
+        out.append((r["chunk"], r["kind"], r["level"], r["shard"], r["n"], packed(value[part]), np.packbits(own[part]).tobytes(), known))
+        known = 0
+    return rows_of(out, REPLY)
+
+
+def kept_contexts(rows: list[dict], keys: np.ndarray, to: np.ndarray, totals: np.ndarray, gain: float) -> np.ndarray:
+    """The share left to the shorter context, of contexts whose next words differ from the shorter one's; else NaN.
 
     The test is a log-likelihood ratio over the entries: it has to reach ``gain`` nats for each of them. Words without an entry get a smaller
     share than before.
     """
-    sums = entries.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("seen"), F.sum("n").alias("with_entry"))
-    sums = sums.join(totals.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
-    sums = sums.withColumn("rest", 1 - F.col("seen") / F.col("total"))
-    longer = (F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.col("shorter")
-    tested = entries.join(sums, "context").groupBy("context").agg(
-        F.sum(F.col("n") * F.log(longer / F.col("shorter"))).alias("ratio"), F.count("*").alias("types"), F.max("rest").alias("rest"),
-        F.max(F.col("total") - F.col("with_entry")).alias("left"))
-    gained = F.col("ratio") + F.when(F.col("left") > 0, F.col("left") * F.log("rest")).otherwise(0.0)
-    return tested.where(gained >= gain * F.col("types")).select(F.col("context").alias("key"), "rest")
+    total = np.zeros(len(keys))
+    total[to] = totals
+    sizes = [unpacked(r["sizes"], "<i8", r["n"]) for r in rows]
+    of = np.repeat(to, np.concatenate(sizes))
+    n = np.concatenate([unpacked(r["entries"], "<i8", int(x.sum())) for r, x in zip(rows, sizes)])
+    shorter = np.concatenate([unpacked(r["shorter"], "<f8", int(x.sum())) for r, x in zip(rows, sizes)])
+    types, left = np.bincount(of, minlength=len(keys)), total - np.bincount(of, n, len(keys))
+    rest = 1 - np.bincount(of, n - DISCOUNT, len(keys)) / total
+    longer = (n - DISCOUNT) / total[of] + rest[of] * shorter
+    gained = np.bincount(of, n * np.log(longer / shorter), len(keys)).astype("f8")  # of no entries it counts whole numbers
+    some = left > 0
+    gained[some] += left[some] * np.log(rest[some])
+    return np.where((types > 0) & (gained >= gain * types), rest, np.nan)
+
+
+def text_scores(row: pa.Table, told: pa.Table, tree: Tree, depth: int) -> pa.Table:
+    """Per text: tokens, known tokens, and log10 sums at the root and in the tree."""
+    chunk = Chunk(row, told, tree)
+    for level in range(1, depth + 1):
+        chunk.ascend()
+        chunk.counted(level)
+        chunk.smoothed(level)
+    add = lambda x: np.add.reduceat(x, chunk.first)
+    return pa.table({"__id": row.column("ids").combine_chunks().flatten(), "held": chunk.held, "n_tokens": chunk.lengths,
+                     "n_known": add(chunk.known.astype("int64")), "base": add(np.log10(chunk.root)), "score": add(np.log10(chunk.p))})
 
 
 def held_out(id_: Column) -> Column:
@@ -174,38 +285,39 @@ def score(docs: DataFrame, depth: int = DEPTH, gain: float = 3.0, id_col: str =
     if it occurs LEAST times, as its entries do, and its next words differ from those after its shorter suffix by a likelihood-ratio
     test; the longest one before a word gives its distribution, smoothed with the shorter ones down to the root.
 
-    The tree is tables that grow with the corpus, keyed by hashes of 64 bits. A chunk of texts asks for each of its
-    distinct words and entries once, level by level, and gets back what occurs often enough; an entry is asked for only if its
-    context is in the tree. Tasks hold one chunk and its replies.
+    The tree is tables that grow with the corpus, keyed by hashes of 64 bits and dealt out over shards by key. A chunk of texts asks for each of its
+    distinct words and entries once, level by level; a shard replies with what occurs often enough, in the order it was asked. An entry is asked for only if its
+    context may be in the tree, and one of the chunks that have it tells the shard of its context. Requests and replies are packed, sorted
+    columns, one row per chunk and shard; tasks hold one chunk with its replies, or what is asked of one shard.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("__id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("__text"))
-    coded = materialize(chunks(rows), "suffix-chunks")
-    asked = coded.select("chunk", F.explode(F.arrays_zip("words", "tf")).alias("w")).select("chunk", F.col("w.words").alias("key"), F.col("w.tf").alias("tf"))
-    counts = materialize(asked.groupBy("key").agg(F.sum("tf").alias("n")).where("n > 0"), "suffix-words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    below = total + ADD * (distinct + 1)
-    least = tuple(max(LEAST, share * total) for share in (WORD_SHARE, CONTEXT_SHARE))
-
-    def replied(asked: DataFrame, known: DataFrame, value: str, level: int) -> DataFrame:
-        found = asked.select("chunk", "key").join(known.select("key", value), "key")
-        return materialize(found.select("chunk", "key", F.lit(level).alias("level"), F.col(value).cast("double").alias("value")), f"suffix-replies-{level}")
-
-    def by_chunk(run, schema: str, depth: int) -> DataFrame:
-        right = replies[0]
-        for other in replies[1:]:
-            right = right.unionByName(other)
-        run = partial(run, depth=depth, below=below, least=least)
-        return coded.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda row, told: run(row, told), schema)
-
-    replies = [replied(asked, counts, "n", 0)]
-    for d in range(1, depth + 1):
-        wanted = materialize(by_chunk(requests, "chunk long, key long, tf long, context long, shorter double", d), f"suffix-asked-{d}")
-        entries = wanted.groupBy("key").agg(F.sum("tf").alias("n"), F.min("context").alias("context"), F.min("shorter").alias("shorter"))
-        entries = materialize(entries.where(F.col("n") >= max(LEAST, PAIR_SHARE * total)), f"suffix-entries-{d}")
-        replies += [replied(asked, kept_contexts(entries, counts, gain), "rest", REST + d), replied(wanted, entries, "n", d)]
-        asked, counts = wanted, entries
+    with shuffles_dropped(spark):
+        coded = materialize_by(chunks(rows), "suffix-chunks", "chunk", **SMALL_GROUPS)
+    tokens, total = coded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    tree = Tree(gain, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups_for(tokens, SHARD_TOKENS)),
+                least=tuple(max(LEAST, share * total) for share in (WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE)))
+
+    def by_chunk(run: Callable, schema: str, *columns: str) -> DataFrame:
+        left = coded.select("chunk", "held", "lengths", "words", "tokens", *columns).groupBy("chunk")
+        if not replies:
+            return left.applyInArrow(lambda row: run(row, None), schema)
+        return left.cogroup(reduce(DataFrame.unionByName, replies).groupBy("chunk")).applyInArrow(run, schema)
+
+    def exchanged(step: int, tree: Tree) -> DataFrame:
+        asked = by_chunk(lambda row, told: rows_of(Chunk(row, told, tree).requests(step, depth), REQUEST), REQUEST, *([] if step else ["tf"]))
+        told = asked.groupBy("kind", "shard").applyInArrow(lambda part: answered(part, tree), REPLY)
+        with shuffles_dropped(spark):
+            return materialize(told, f"suffix-replies-{step}")
+
+    replies = []
+    for step in range(depth + 2):
+        replies.append(exchanged(step, tree))
+        if not step:
+            known = replies[0].agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+            tree = replace(tree, below=total + ADD * (known + 1))
 
     kind = rows.schema["__id"].dataType.simpleString()
-    out = by_chunk(text_scores, f"__id {kind}, held boolean, n_tokens long, n_known long, base double, score double", depth)
+    out = by_chunk(lambda row, told: text_scores(row, told, tree, depth), f"__id {kind}, held boolean, n_tokens long, n_known long, base double, score double", "ids")
     return out.select(F.col("__id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       F.col("base").alias("base_score"), "score")

@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -102,6 +104,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each write as it ends, instead of when the driver happens to collect its garbage.
+
+    For series of large exchanges, each of which is written and read again; nothing else may use the session meanwhile.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """``materialize``, with aggregates over all rows, which are taken from the written columns they need.
 
@@ -121,6 +141,19 @@ def discard(*tables: DataFrame) -> None:
             _remove(table.sparkSession, path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str, **options: str) -> DataFrame:
+    """``materialize`` in buckets of a key, as many as a shuffle has partitions, so that grouping by it shuffles the table no more.
+
+    The name in the session's catalog is a temporary one; the files lie with the other intermediate tables.
+    """
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    atexit.register(_remove, spark, path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.options(path=path, **options).bucketBy(n, key).saveAsTable(table, format="parquet")
+    return spark.read.table(table)
+
+
 def materialize_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
     """Materialize independent tables at the same time, so that small ones fill idle executors."""
     shared_folder(next(iter(frames.values())).sparkSession)

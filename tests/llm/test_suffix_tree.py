@@ -106,3 +106,20 @@ def test_rare_contexts_stay_in_a_large_corpus(docs_of):
     assert out[free[0]].train_tokens > 1_200_000
     model = check(list(out.values()), rows)
     assert {(b"xq",), (b"yq",)} <= set(model.nodes) and all(out[i].score > out[i].base_score + 5 for i in free[16:19])
+
+
+def test_what_is_written_is_less_than_the_texts(spark, monkeypatch, tmp_path):
+    """Chunks, and replies of all levels; requests are not written."""
+    from flowrisk import session
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(1)
+    assert score(docs).count() == docs.count()
+    written = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert 0 < written < sum(len((r.text or "").encode()) for r in docs.collect())
+
+
+def test_chunks_are_bounded_by_their_bytes(docs_of):
+    docs = docs_of([(i, f"w{i:02d} x{i % 7} " * 150_000) for i in range(16)]).repartition(1)
+    rows = docs.selectExpr("doc_id AS __id", "false AS held", "text AS __text")
+    sizes = suffix_tree.chunks(rows).selectExpr("size(lengths) AS texts").collect()
+    assert sum(r.texts for r in sizes) == 16 and max(r.texts for r in sizes) <= 8  # of 1.05 MB
