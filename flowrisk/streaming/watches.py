@@ -1,6 +1,6 @@
 """Open/close tracking on a live stream, with the results of the batch form.
 
-Two keyed operators. The first one, by resource, opens a watch and follows the resource; the second one, by the actor that opened it, settles
+Two keyed operators. The first one, by buckets of resources, opens a watch and follows the resource; the second one, by the actor that opened it, settles
 watches at that actor's windows. Both keep what arrives until the watermark has passed it and then take it in time order,
 so events may come in any order and any batch. The state of a resource whose watch is closed is one flag.
 """
@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from flowrisk.config import ClosureConfig
 
 HOUR_US = 3_600_000_000
+BUCKETS = 256  # of resources whose state is kept under one key; fixed for the life of a stream
 MESSAGE = ("resource_id string, status string, at timestamp, actor_id string, opening_ts timestamp, opening_event_id string, "
            "opening_action_type string, resource_type string, expected_close_type string")
 CLOSING = "resource_id string, status string, at timestamp, actor_id string"
@@ -66,7 +67,7 @@ class InTimeOrder(StatefulProcessor):
     Of rows with equal time, rank and id the last one counts. A timer stands at the earliest time at which there is something to do.
     """
 
-    value = ""
+    value, width = "", 3  # the columns of a row, and how many of all tell rows apart
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -86,7 +87,7 @@ class InTimeOrder(StatefulProcessor):
         ready, stay = {}, []
         for row in self.waiting.get():
             if row[0] <= watermark_ms * 1000:
-                ready[tuple(row[:3])] = tuple(row[3:])
+                ready[tuple(row[:self.width])] = tuple(row[self.width:])
             else:
                 stay.append(tuple(row))
         if ready and stay:
@@ -99,38 +100,67 @@ class InTimeOrder(StatefulProcessor):
         pass
 
 
-class FollowResource(InTimeOrder):
-    """Messages of one resource: OPENED, QUIET (for as long as it takes to settle), ACTIVE (again), and CLOSED or EXPIRED, the last one."""
+class FollowResources(InTimeOrder):
+    """Messages of the resources of one bucket: OPENED, QUIET (for as long as it takes to settle), ACTIVE (again), and CLOSED or EXPIRED, the last one.
 
-    value = "actor string, action string, zone string"
+    A bucket's rows are one call to the state and one table of messages, a resource that has rows is one or two calls. Times at which a resource is to be looked at
+    again are rows without an action that wait like events.
+    """
+
+    value, width = "resource string, actor string, action string, zone string", 4
 
     def __init__(self, rules: Rules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.watch = handle.getValueState("watch", "opened long, event string, actor string, action string, kind string, expected string, expiry long, quiet long, last long, still boolean")
-        self.over = handle.getValueState("over", "over boolean")
+        self.watch = handle.getMapState("watch", "resource string", "opened long, event string, actor string, action string, kind string, expected string, expiry long, quiet long, last long, still boolean, over boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.over.exists():
-            for _ in rows:
-                pass
-        else:
-            self.keep(rows, lambda r: ((int(r.us), 0, r.event_id), (r.actor_id, r.action_type, r.target_zone)))
+        self.keep(rows, lambda r: ((int(r.us), 0, r.event_id, r.resource_id), (r.actor_id, r.action_type, r.target_zone)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.over.exists():
-            return
         now = timerValues.getCurrentWatermarkInMs()
-        w, out, ended = (tuple(self.watch.get()) if self.watch.exists() else None), [], False
+        ready, later = self.passed(now)
+        of: dict[str, list[tuple]] = {}
+        for (us, rank, event, resource), values in ready:
+            of.setdefault(resource, []).append((us, rank, event, *values))
+        out, again = [], []
+        for resource, rows in of.items():
+            before = self.watch.getValue((resource,))
+            if before is not None and before[-1]:
+                continue
+            before = None if before is None else tuple(before[:-1])
+            w, told, ended = self.follow(before, [(us, event, *values) for us, rank, event, *values in rows if rank == 0], now)
+            out += [(resource, status, us, w) for status, us in told]
+            if ended:
+                self.watch.updateValue((resource,), (*[None] * 10, True))
+            elif w is not None:
+                if w != before:
+                    self.watch.updateValue((resource,), (*w, False))
+                expiry, quiet, last, still = w[6:]
+                times = [t for t in (last + quiet if quiet and not still else None, expiry if expiry >= 0 else None) if t is not None]
+                if times:
+                    again.append((min(times), 1, "", resource, None, None, None))
+        if again:
+            self.waiting.appendList(again)
+            later = min(later if later is not None else again[0][0], *(row[0] for row in again))
+        if later is not None:
+            self.wake(later)
+        if out:
+            ws = [w for *_, w in out]
+            yield pd.DataFrame({"resource_id": [r for r, *_ in out], "status": [s for _, s, _, _ in out], "at": _times([us for _, _, us, _ in out]), "actor_id": [w[2] for w in ws], "opening_ts": _times([w[0] for w in ws]),
+                                "opening_event_id": [w[1] for w in ws], "opening_action_type": [w[3] for w in ws], "resource_type": [w[4] for w in ws], "expected_close_type": [w[5] for w in ws]})
+
+    def follow(self, w: tuple | None, events: list[tuple], now: int) -> tuple[tuple | None, list[tuple[str, int]], bool]:
+        """The watch of one resource after its events up to the watermark, what is to be told, and whether it is over."""
+        out, ended = [], False
 
         def tell(status: str, us: int) -> None:
             out.append((status, us))
 
-        ready, later = self.passed(now)
-        for (us, _, event), (actor, action, zone) in ready:
+        for us, event, actor, action, zone in events:
             if w is None:
                 if self.rules.opens(action, zone):
                     w = (us, event, actor, action, *self.rules.watch(action, us), us, False)
@@ -159,22 +189,7 @@ class FollowResource(InTimeOrder):
             if 0 <= expiry <= now * 1000:
                 tell("EXPIRED", expiry)
                 ended = True
-        if ended:
-            self.over.update((True,))
-            self.watch.clear()
-            self.waiting.clear()
-        else:
-            if w is not None:
-                self.watch.update(w)
-                expiry, quiet, last, still = w[6:]
-                times = [t for t in (later, last + quiet if quiet and not still else None, expiry if expiry >= 0 else None) if t is not None]
-                later = min(times, default=None)
-            if later is not None:
-                self.wake(later)
-        if out:
-            n = len(out)
-            yield pd.DataFrame({"resource_id": [key[0]] * n, "status": [s for s, _ in out], "at": _times([us for _, us in out]), "actor_id": [w[2]] * n, "opening_ts": _times([w[0]] * n),
-                                "opening_event_id": [w[1]] * n, "opening_action_type": [w[3]] * n, "resource_type": [w[4]] * n, "expected_close_type": [w[5]] * n})
+        return w, out, ended
 
 
 def track_watches(events: DataFrame, cfg: ClosureConfig = ClosureConfig(), delay: str = "2 hours", pairs: DataFrame | None = None) -> DataFrame:
@@ -188,7 +203,7 @@ def track_watches(events: DataFrame, cfg: ClosureConfig = ClosureConfig(), delay
                   [tuple(r) for r in pairs.select("pair_id", "opening_action_type", "closing_action_type", "window_hours", "tier").collect()])
     rows = events.withWatermark("ts", delay).where(F.col("target_id").isNotNull()).select(
         F.col("target_id").alias("resource_id"), "ts", F.unix_micros("ts").alias("us"), F.coalesce("event_id", F.lit("")).alias("event_id"), "actor_id", "action_type", "target_zone")
-    return rows.groupBy("resource_id").transformWithStateInPandas(FollowResource(rules), MESSAGE, "append", "EventTime")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("resource_id"), F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(FollowResources(rules), MESSAGE, "append", "EventTime")
 
 
 class SettleAtWindows(InTimeOrder):
@@ -206,29 +221,33 @@ class SettleAtWindows(InTimeOrder):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
+        out, opened, quieted = [], {r for r, in self.open.keys()}, {r for r, in self.quiet.keys()}
+        open_, quiet = set(opened), set(quieted)
 
         def end(resource: str, status: str, us: int) -> None:
             out.append((resource, status, us))
-            self.open.removeKey((resource,))
-            if self.quiet.containsKey((resource,)):
-                self.quiet.removeKey((resource,))
+            open_.discard(resource)
+            quiet.discard(resource)
 
         ready, later = self.passed(timerValues.getCurrentWatermarkInMs())
         for (us, _, resource), (status,) in ready:
             if status == "WINDOW":
-                for (still,) in list(self.quiet.keys()):
+                for still in sorted(quiet):
                     end(still, "SETTLED", us)
             elif status == "OPENED":
-                self.open.updateValue((resource,), (True,))
-            elif self.open.containsKey((resource,)):
+                open_.add(resource)
+            elif resource in open_:
                 if status == "QUIET":
-                    self.quiet.updateValue((resource,), (True,))
+                    quiet.add(resource)
                 elif status == "ACTIVE":
-                    if self.quiet.containsKey((resource,)):
-                        self.quiet.removeKey((resource,))
+                    quiet.discard(resource)
                 else:
                     end(resource, status, us)
+        for state, before, now in ((self.open, opened, open_), (self.quiet, quieted, quiet)):  # only what changed is written
+            for resource in before - now:
+                state.removeKey((resource,))
+            for resource in now - before:
+                state.updateValue((resource,), (True,))
         if later is not None:
             self.wake(later)
         if out:

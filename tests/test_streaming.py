@@ -206,3 +206,12 @@ def test_raw_entries_arrive_as_many_files_in_three_batches(spark, tmp_path, monk
     assert n == queries._audit(spark, SF).select("event_id").distinct().count()
     assert len(list(tmp_path.glob("stream-*/part-*.parquet"))) >= 10
     assert len([p for p in tmp_path.glob("stream-*/state/commits/*") if p.name.isdigit()]) == 3
+
+
+def test_resources_of_a_bucket_are_one_key(spark, tmp_path):
+    """A key costs calls to the state, timers and tables of its own in every batch, so resources share a fixed number of them."""
+    from flowrisk.streaming import watches
+    spark.createDataFrame([("e", T0, "a", "GCS_READ", "DATA", "r")], "event_id string, ts timestamp, actor_id string, action_type string, target_zone string, target_id string").write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "e")).schema).parquet(str(tmp_path / "e"))
+    plan = live.track_watches(stream, pairs=closure.seed_pairs(spark))._jdf.queryExecution().analyzed().toString()
+    assert "pmod(xxhash64(resource_id" in plan and str(watches.BUCKETS) in plan
